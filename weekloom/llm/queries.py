@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from weekloom.llm.pii import op4_pii
+from weekloom.llm.secret_scan import op1_secret_scan
 from weekloom.llm.simhash import op9_simhash_near_dedup
+from weekloom.llm.spm_codec import op8_sentencepiece
+from weekloom.llm.token_output import op7_token_output
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op4_pii": op4_pii,
+    "op7_token_output": op7_token_output,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
