@@ -30,6 +30,8 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 #: Parts of texts that a worker's cache holds before it starts anew.
 MOST_PARTS = 400_000
+#: Files up to which the manifest, of 12 bytes a file, is broadcast.
+MOST_BROADCAST = 100_000
 WRITE_OPTIONS = {
     "compression": "snappy",
     "parquet.writer.version": "PARQUET_2_0",
@@ -175,7 +177,10 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 def read_tokens(spark: SparkSession, path: str, columns: tuple[str, ...] = ("n_tokens", "tokens")) -> DataFrame:
     """doc_id, start in the whole table, and the wanted columns; a filter on doc_id reaches row groups and pages."""
     files = spark.read.parquet(path).select("doc_id", "part", F.col("start").alias("local"), *columns)
-    return files.join(manifest(spark, path), "part").select("doc_id", (F.col("base") + F.col("local")).alias("start"), *columns)
+    bases = manifest(spark, path)
+    if bases.count() <= MOST_BROADCAST:  # one row a file; beyond this an ordinary join
+        bases = F.broadcast(bases)
+    return files.join(bases, "part").select("doc_id", (F.col("base") + F.col("local")).alias("start"), *columns)
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
