@@ -1,10 +1,813 @@
-"""All registered queries of the demand engine with their SQL."""
+"""All registered queries of the demand engine with the SQL that says the same.
+
+Queries run over the demand view of the star-schema tables (sources.tables.demand_transactions). Numbers are rounded to
+six places on both sides, since the order of summation differs between engines.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weekloom.functions import scalar
+from weekloom.operators import categorical, explore, features, forecast, outliers, panel, prices
+from weekloom.params import Params
+from weekloom.sources import tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+PARAMS = Params()
+_KEYS = ["week_of_year", *panel.KEYS]
+PLACES = 6
+
+# ---- SQL parts -------------------------------------------------------------------------------------------------
+
+_TX = """tx AS (
+  SELECT l_shipdate AS ts, CAST(s_nationkey AS BIGINT) AS pdv, l_suppkey AS supp, CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) AS prod,
+    l_quantity AS q, l_extendedprice AS g, p_type AS categoria, n_name AS premise, p_brand AS subcategoria, CAST(p_size AS VARCHAR) AS fabricante
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+cl AS (SELECT *, CAST(floor(date_sub('day', (SELECT min(ts) FROM tx), ts) / 7) AS BIGINT) + 1 AS wk FROM tx)"""
+_PANEL = (
+    _TX
+    + """,
+pn AS (SELECT wk AS week_of_year, pdv, prod AS internal_product_id, greatest(coalesce(sum(q), 0), 0) AS qty, coalesce(sum(g), 0) AS gross,
+    min(categoria) AS categoria, min(premise) AS premise, min(subcategoria) AS subcategoria, min(fabricante) AS fabricante
+  FROM cl WHERE wk <> 37 GROUP BY ALL)"""
+)
+_W = "PARTITION BY pdv, internal_product_id ORDER BY week_of_year"
+_K = "week_of_year, pdv, internal_product_id"
+
+
+def _prev(n: int) -> str:
+    return f"({_W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+
+
+def _r(expr: str, name: str) -> str:
+    return f"round(CAST({expr} AS DOUBLE), {PLACES}) + CAST(0 AS DOUBLE) AS {name}"
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + ",\n".join(parts)
+
+
+def _lag(k: int) -> str:
+    return f"coalesce(lag(qty, {k}) OVER ({_W}), 0)"
+
+
+def _need(n: int, w: int, expr: str) -> str:
+    return f"CASE WHEN count(qty) OVER {_prev(w)} >= {n} THEN {expr} END"
+
+
+def _agg(f: str, w: int, n: int) -> str:
+    return _need(n, w, f"{f}(qty) OVER {_prev(w)}")
+
+
+# ---- helpers of the queries --------------------------------------------------------------------------------------
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.demand_transactions(spark, sf_dir)
+
+
+def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.weekly_panel(panel.clean(transactions(spark, sf_dir), PARAMS))
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    kinds = dict(df.dtypes)
+    # + 0.0 makes a zero of either sign the same
+    return df.select(*((F.round(c, PLACES) + F.lit(0.0)).alias(c) if kinds[c] == "double" else F.col(c) for c in columns or df.columns))
+
+
+# ---- cleaning and panel ------------------------------------------------------------------------------------------
+
+
+@query("clean_transactions", _with(_TX) + f" SELECT wk AS week_of_year, count(*) AS n, {_r('sum(q)', 'quantity')} FROM cl WHERE wk <> 37 GROUP BY wk")
+def clean_transactions(spark, sf_dir):
+    df = panel.clean(transactions(spark, sf_dir), PARAMS)
+    return rounded(df.groupBy("week_of_year").agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity")))
+
+
+@query("weekly_panel", _with(_PANEL) + f" SELECT {_K}, {_r('qty', 'qty')}, {_r('gross', 'gross')}, categoria, premise, subcategoria, fabricante FROM pn")
+def weekly_panel(spark, sf_dir):
+    return rounded(weekly(spark, sf_dir))
+
+
+@query("weekly_panel_iso", _with(_TX) + f" SELECT CAST(week(ts) AS INTEGER) AS semana_do_ano, pdv, prod AS produto, {_r('sum(q)', 'quantity_total')} FROM cl GROUP BY ALL")
+def weekly_panel_iso(spark, sf_dir):
+    return rounded(panel.iso_panel(transactions(spark, sf_dir)))
+
+
+@query(
+    "interpolate_week",
+    _with(_PANEL)
+    + f""", a AS (SELECT * FROM pn WHERE week_of_year = 36), b AS (SELECT * FROM pn WHERE week_of_year = 38)
+SELECT CAST(37 AS BIGINT) AS week_of_year, coalesce(a.pdv, b.pdv) AS pdv, coalesce(a.internal_product_id, b.internal_product_id) AS internal_product_id,
+  {_r('(coalesce(a.qty, 0) + coalesce(b.qty, 0)) / 2', 'qty')}, {_r('(coalesce(a.gross, 0) + coalesce(b.gross, 0)) / 2', 'gross')},
+  coalesce(a.categoria, b.categoria) AS categoria, coalesce(a.premise, b.premise) AS premise, coalesce(a.subcategoria, b.subcategoria) AS subcategoria, coalesce(a.fabricante, b.fabricante) AS fabricante
+FROM a FULL JOIN b ON a.pdv = b.pdv AND a.internal_product_id = b.internal_product_id""",
+)
+def interpolate_week(spark, sf_dir):
+    return rounded(panel.interpolated_week(weekly(spark, sf_dir), 37))
+
+
+@query(
+    "densify_panel",
+    _with(_PANEL)
+    + f""", sp AS (SELECT pdv, internal_product_id, min(week_of_year) AS a, max(week_of_year) AS b FROM pn GROUP BY ALL),
+s AS (SELECT pdv, internal_product_id, unnest(generate_series(a, b)) AS week_of_year FROM sp)
+SELECT pdv, internal_product_id, week_of_year, {_r('coalesce(qty, 0)', 'qty')} FROM s LEFT JOIN pn USING (pdv, internal_product_id, week_of_year)""",
+)
+def densify_panel(spark, sf_dir):
+    return rounded(panel.densify(weekly(spark, sf_dir)), *panel.KEYS, "week_of_year", "qty")
+
+
+# ---- features ----------------------------------------------------------------------------------------------------
+
+
+def _lag_query(ks):
+    return _with(_PANEL) + f" SELECT {_K}, " + ", ".join(_r(_lag(k), f"lag_{k}") for k in ks) + " FROM pn"
+
+
+@query("lags_basic", _lag_query(PARAMS.basic_lags))
+def lags_basic(spark, sf_dir):
+    return rounded(weekly(spark, sf_dir).select(*_KEYS, *(c.alias(k) for k, c in features.lags(PARAMS.basic_lags).items())))
+
+
+@query("lags_extended", _lag_query(PARAMS.extra_lags))
+def lags_extended(spark, sf_dir):
+    return rounded(weekly(spark, sf_dir).select(*_KEYS, *(c.alias(k) for k, c in features.lags(PARAMS.extra_lags).items())))
+
+
+_BASIC_COLUMNS = [*(f"lag_{k}" for k in PARAMS.basic_lags), "rmean_4", "rstd_4", "nonzero_frac_8"]
+_BASIC = ", ".join(_r(_lag(k), f"lag_{k}") for k in PARAMS.basic_lags) + ", " + ", ".join([_r(f"coalesce({_agg('avg', 4, 4)}, 0)", "rmean_4"), _r(f"coalesce({_agg('stddev_samp', 4, 4)}, 0)", "rstd_4"), _r(f"coalesce({_need(8, 8, f'avg(CASE WHEN qty > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) OVER {_prev(8)}')}, 0)", "nonzero_frac_8")])
+
+
+@query("rolling_basic", _with(_PANEL) + f" SELECT {_K}, {_BASIC} FROM pn")
+def rolling_basic(spark, sf_dir):
+    return rounded(features.basic_features(weekly(spark, sf_dir), PARAMS), *_KEYS, *_BASIC_COLUMNS)
+
+
+_MOMENTS = [(f"{n}_{w}", f, w) for w in PARAMS.rolling_windows for n, f in (("rmean", "avg"), ("rstd", "stddev_samp"), ("rmax", "max"), ("rmin", "min"))]
+
+
+@query("rolling_moments", _with(_PANEL) + f" SELECT {_K}, " + ", ".join(_r(_agg(f, w, 4), n) for n, f, w in _MOMENTS) + ", " + ", ".join(_r(f"{_agg('max', w, 4)} - {_agg('min', w, 4)}", f"rrange_{w}") for w in PARAMS.rolling_windows) + " FROM pn")
+def rolling_moments(spark, sf_dir):
+    new: dict = {}
+    for w in PARAMS.rolling_windows:
+        new |= features.rolling(w, 4)
+    return rounded(weekly(spark, sf_dir).select(*_KEYS, *(c.alias(k) for k, c in new.items())))
+
+
+def _skew(w: int) -> str:
+    return _need(4, w, f"CASE WHEN max(qty) OVER {_prev(w)} = min(qty) OVER {_prev(w)} THEN 0 ELSE skewness(qty) OVER {_prev(w)} END")
+
+
+def _cv(w: int, n: int) -> str:
+    mean, std = _agg("avg", w, n), _agg("stddev_samp", w, n)
+    return f"coalesce(({std}) / (({mean}) + 0.01), 1)" if w > 4 else f"coalesce({std}, 0) / (coalesce({mean}, 0) + 0.01)"
+
+
+@query("rolling_skew_cv", _with(_PANEL) + f" SELECT {_K}, " + ", ".join([*(_r(f"coalesce({_skew(w)}, 0)", f"rskew_{w}") for w in (4, 8, 12)), *(_r(_cv(w, 4), f"rcv_{w}") for w in (4, 8, 12))]) + " FROM pn")
+def rolling_skew_cv(spark, sf_dir):
+    df = features.advanced_features(features.basic_features(weekly(spark, sf_dir), PARAMS), PARAMS)
+    return rounded(df, *_KEYS, *(f"{k}_{w}" for k in ("rskew", "rcv") for w in (4, 8, 12)))
+
+
+_INDEXED = _PANEL + f", ix AS (SELECT *, CAST(row_number() OVER ({_W}) AS DOUBLE) AS i FROM pn)"
+
+
+def _trend(w: int) -> str:
+    n = f"count(qty) OVER {_prev(w)}"
+    return f"CASE WHEN {n} >= 3 THEN regr_slope(qty, i) OVER {_prev(w)} * {n} / ({n} - 1) END"
+
+
+@query("trend_accel", _with(_INDEXED) + f" SELECT {_K}, " + ", ".join([*(_r(f"coalesce({_trend(w)}, 0)", f"trend_{w}") for w in (4, 8, 12)), *(_r(f"coalesce(({_trend(a)}) - ({_trend(b)}), 1)", f"accel_{a}_{b}") for a, b in ((4, 8), (8, 12)))]) + " FROM ix")
+def trend_accel(spark, sf_dir):
+    df = features.advanced_features(features.basic_features(weekly(spark, sf_dir), PARAMS), PARAMS)
+    return rounded(df, *_KEYS, "trend_4", "trend_8", "trend_12", "accel_4_8", "accel_8_12")
+
+
+def _mean(w: int) -> str:
+    return f"coalesce({_agg('avg', 4, 4)}, 0)" if w == 4 else f"({_agg('avg', w, 4)})"
+
+
+@query("momentum", _with(_PANEL) + f" SELECT {_K}, " + ", ".join(_r(f"coalesce({_mean(a)} / ({_mean(b)} + 0.01), 1)", f"momentum_{a}_{b}") for a, b in ((4, 8), (8, 12), (4, 12))) + " FROM pn")
+def momentum(spark, sf_dir):
+    df = features.advanced_features(features.basic_features(weekly(spark, sf_dir), PARAMS), PARAMS)
+    return rounded(df, *_KEYS, "momentum_4_8", "momentum_8_12", "momentum_4_12")
+
+
+@query("pct_change", _with(_PANEL) + f" SELECT {_K}, " + ", ".join(_r(f"({_lag(1)} - {_lag(k)}) / greatest(abs({_lag(k)}), 0.01)", f"pct_change_{k}") for k in (1, 2, 4, 8)) + " FROM pn")
+def pct_change(spark, sf_dir):
+    df = features.basic_features(weekly(spark, sf_dir), PARAMS)
+    return rounded(df.select(*_KEYS, *(c.alias(k) for k, c in features.percent_changes().items())))
+
+
+_WEEKS = _PANEL + ", w AS (SELECT DISTINCT week_of_year FROM pn), m AS (SELECT week_of_year, CAST(least(greatest(floor((week_of_year - 1) / 4.33::DOUBLE) + 1, 1), 12) AS INTEGER) AS month FROM w), mq AS (SELECT *, CAST(floor((month - 1) / 3) + 1 AS INTEGER) AS quarter FROM m)"
+
+
+@query(
+    "seasonality",
+    _with(_WEEKS)
+    + f""" SELECT week_of_year, month, quarter, CAST(least(greatest(floor((week_of_year - 1)::DOUBLE % 4.33::DOUBLE) + 1, 1), 4) AS INTEGER) AS week_of_month,
+  {_r('sin(2 * pi() * month / 12)', 'month_sin')}, {_r('cos(2 * pi() * month / 12)', 'month_cos')}, {_r('sin(2 * pi() * quarter / 4)', 'quarter_sin')}, {_r('cos(2 * pi() * quarter / 4)', 'quarter_cos')} FROM mq""",
+)
+def seasonality(spark, sf_dir):
+    weeks = weekly(spark, sf_dir).select("week_of_year").distinct()
+    return rounded(weeks.select("week_of_year", *(c.alias(k) for k, c in scalar.seasonality(F.col("week_of_year")).items())))
+
+
+@query(
+    "calendar_flags",
+    _with(_PANEL, "w AS (SELECT DISTINCT week_of_year AS w, (week_of_year - 1)::DOUBLE % 4.33::DOUBLE AS m, (week_of_year - 1) % 13 AS q, (SELECT max(week_of_year) FROM pn) AS last FROM pn)")
+    + " SELECT w AS week_of_year, CAST(m >= 3.5 AS INTEGER) AS is_end_of_month, CAST(m <= 0.5 AS INTEGER) AS is_start_of_month, CAST(q >= 11 AS INTEGER) AS is_end_of_quarter, CAST(q <= 1 AS INTEGER) AS is_start_of_quarter, CAST(w >= last - 4 AS INTEGER) AS is_holiday_season FROM w",
+)
+def calendar_flags(spark, sf_dir):
+    weeks = weekly(spark, sf_dir).select("week_of_year").distinct()
+    last = weeks.agg(F.max("week_of_year").alias("last"))
+    return weeks.crossJoin(F.broadcast(last)).select("week_of_year", *(c.alias(k) for k, c in scalar.calendar_flags(F.col("week_of_year"), F.col("last")).items()))
+
+
+@query(
+    "calendar_dates",
+    "SELECT o_orderdate AS ts, count(*) AS n, CAST(month(o_orderdate) AS INTEGER) AS month, CAST(quarter(o_orderdate) AS INTEGER) AS quarter, CAST(weekofyear(o_orderdate) AS INTEGER) AS semana_do_ano, dayname(o_orderdate) AS dia_da_semana, CAST(least((day(o_orderdate) - 1) // 7 + 1, 5) AS INTEGER) AS week_of_month FROM orders GROUP BY o_orderdate",
+)
+def calendar_dates(spark, sf_dir):
+    ts = F.col("o_orderdate")
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(ts.alias("ts")).agg(F.count("*").alias("n"))
+    at, parts = scalar.calendar_of_date(F.col("ts")), scalar.date_parts(F.col("ts"))
+    return df.select("ts", "n", at["month"].alias("month"), at["quarter"].alias("quarter"), parts["semana_do_ano"].alias("semana_do_ano"), parts["dia_da_semana"].alias("dia_da_semana"), at["week_of_month"].alias("week_of_month"))
+
+
+# ---- outliers ----------------------------------------------------------------------------------------------------
+
+
+def _stats_sql(least: int) -> str:
+    return (
+        _PANEL
+        + f""",
+s0 AS (SELECT pdv, internal_product_id, count(*) AS n, avg(qty) AS m, CASE WHEN max(qty) = min(qty) THEN 1 ELSE stddev_pop(qty) END AS s,
+    avg(CASE WHEN qty = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS z, quantile_cont(qty, 0.02) AS p2, quantile_cont(qty, 0.98) AS p98, quantile_cont(qty, 0.1) AS p10, quantile_cont(qty, 0.9) AS p90 FROM pn GROUP BY ALL),
+s1 AS (SELECT *, s / (m + 1e-8) AS cv FROM s0),
+s2 AS (SELECT *, 4.0 * CASE WHEN n < 3 THEN 1 WHEN n < {least} THEN CASE WHEN cv > 2 THEN 1.3 WHEN z > 0.7 THEN 1.2 ELSE 1 END
+    ELSE (CASE WHEN cv > 2 THEN 1.5 WHEN cv > 1 THEN 1.2 ELSE 0.8 END) * (CASE WHEN z > 0.7 THEN 1.3 ELSE 1 END) * (CASE WHEN m > 100 THEN 0.9 ELSE 1 END) END AS t FROM s1),
+r AS (SELECT *, count(qty) OVER {_prev(12)} AS c12, avg(qty) OVER {_prev(12)} AS m12, stddev_samp(qty) OVER {_prev(12)} AS s12 FROM pn),
+f AS (SELECT r.*, n, m, s, z, cv, t, p2, p98, p10, p90, CASE WHEN n < 3 THEN false WHEN n < {least} THEN abs(qty - m) > t * s
+    ELSE abs((qty - CASE WHEN c12 >= 3 THEN m12 ELSE m END) / coalesce(nullif(CASE WHEN c12 >= 3 THEN s12 END, 0), s)) > t END AS is_outlier
+  FROM r JOIN s2 USING (pdv, internal_product_id)),
+fa AS (SELECT *, max(CAST(is_outlier AS INTEGER)) OVER (PARTITION BY pdv, internal_product_id) AS has, least(qty, m * 5) AS cut FROM f)"""
+    )
+
+
+_FLAGS = _stats_sql(PARAMS.least_observations)
+#: A low threshold, so that treatments have something to treat in these tables.
+SENSITIVE = replace(PARAMS, z_threshold=2.0)
+_SENSITIVE_FLAGS = _FLAGS.replace("4.0 * CASE", "2.0 * CASE")
+
+
+@query("outlier_zscore_flags", _with(_FLAGS) + f" SELECT {_K}, is_outlier, {_r('t', 'threshold_used')}, {_r('cv', 'cv')} FROM f")
+def outlier_zscore_flags(spark, sf_dir):
+    return rounded(outliers.z_score_flags(weekly(spark, sf_dir), PARAMS), *_KEYS, "is_outlier", "threshold_used", "cv")
+
+
+def _treated(treatment):
+    def run(spark, sf_dir):
+        flagged = outliers.z_score_flags(weekly(spark, sf_dir), SENSITIVE)
+        return rounded(outliers.treat_z_score(flagged, SENSITIVE, treatment), *_KEYS, "qty")
+
+    return run
+
+
+def _treat_sql(new: str, where: str = "") -> str:
+    return _with(_SENSITIVE_FLAGS) + f" SELECT {_K}, {_r(f'CASE WHEN has = 1 THEN CASE WHEN is_outlier THEN {new} ELSE cut END ELSE qty END', 'qty')} FROM fa {where}"
+
+
+_HIGH = f"(CASE WHEN n >= {PARAMS.least_observations} THEN least(p90, m + 1.5 * s) ELSE m + 1.5 * s END)"
+_LOW = f"greatest(0, CASE WHEN n >= {PARAMS.least_observations} THEN p10 ELSE m - 1.5 * s END)"
+query("outlier_winsorize", _treat_sql("least(greatest(cut, greatest(0, p2)), least(p98, m * 3))"))(_treated("winsorize"))
+query("outlier_cap", _treat_sql(f"CASE WHEN cut > {_HIGH} THEN {_HIGH} WHEN cut < {_LOW} THEN {_LOW} ELSE cut END"))(_treated("cap"))
+query("outlier_remove", _treat_sql("cut", "WHERE NOT is_outlier"))(_treated("remove"))
+
+_PAST = _PANEL + f", lim AS (SELECT *, least(coalesce({_need(3, 12, f'quantile_cont(qty, 0.9) OVER {_prev(12)}')}, 220), 220) AS lim, {_need(3, 12, f'quantile_cont(qty, 0.5) OVER {_prev(12)}')} AS med FROM pn)"
+
+
+@query("outlier_percentile_cap", _with(_PAST) + f" SELECT {_K}, {_r('CASE WHEN qty > lim THEN lim ELSE qty END', 'qty')} FROM lim")
+def outlier_percentile_cap(spark, sf_dir):
+    return rounded(outliers.treat_percentile_cap(weekly(spark, sf_dir), 90.0), *_KEYS, "qty")
+
+
+@query("outlier_median_impute", _with(_PAST) + f" SELECT {_K}, {_r('CASE WHEN qty > lim THEN coalesce(med, 1) ELSE qty END', 'qty')} FROM lim")
+def outlier_median_impute(spark, sf_dir):
+    return rounded(outliers.treat_median(weekly(spark, sf_dir), 90.0), *_KEYS, "qty")
+
+
+@query(
+    "outlier_volume_change",
+    _with(_PAST, "t AS (SELECT qty, qty > lim AS o, CASE WHEN qty > lim THEN lim ELSE qty END AS a FROM lim)")
+    + f" SELECT {_r('sum(qty)', 'volume_before')}, {_r('sum(a)', 'volume_after')}, count(*) FILTER (WHERE o) AS total_outliers, {_r('max(a)', 'final_max')}, {_r('avg(a)', 'final_mean')}, {_r('(sum(qty) - sum(a)) * 100 / sum(qty)', 'volume_reduction_pct')} FROM t",
+)
+def outlier_volume_change(spark, sf_dir):
+    df = weekly(spark, sf_dir)
+    return rounded(outliers.volume_change(df, outliers.treat_percentile_cap(df, 90.0)))
+
+
+_GROUPS = _SENSITIVE_FLAGS + """,
+g AS (SELECT pdv, internal_product_id, n AS n_obs, CASE WHEN n < 3 THEN 0 ELSE m END AS mean_qty, CASE WHEN n < 3 THEN 0 ELSE s END AS std_qty, CASE WHEN n < 3 THEN 0 ELSE cv END AS cv,
+    CASE WHEN n < 3 THEN 0 ELSE z END AS zero_pct, t AS threshold_used, count(*) FILTER (WHERE is_outlier) AS n_outliers FROM f GROUP BY ALL)"""
+
+
+def _group_stats(spark, sf_dir):
+    return outliers.group_stats(outliers.z_score_flags(weekly(spark, sf_dir), SENSITIVE))
+
+
+@query("outlier_group_stats", _with(_GROUPS) + f" SELECT pdv, internal_product_id, n_obs, {_r('mean_qty', 'mean_qty')}, {_r('std_qty', 'std_qty')}, {_r('cv', 'cv')}, {_r('zero_pct', 'zero_pct')}, {_r('threshold_used', 'threshold_used')}, n_outliers, {_r('n_outliers / n_obs * 100', 'outlier_pct')} FROM g")
+def outlier_group_stats(spark, sf_dir):
+    return rounded(_group_stats(spark, sf_dir))
+
+
+_COUNTS = [("groups_with_outliers", "n_outliers > 0"), ("cv_low", "cv < 1"), ("cv_mid", "cv >= 1 AND cv < 2"), ("cv_high", "cv >= 2"), ("zeros_low", "zero_pct <= 0.3"), ("zeros_mid", "zero_pct > 0.3 AND zero_pct <= 0.7"), ("zeros_high", "zero_pct > 0.7"), ("volume_low", "mean_qty < 10"), ("volume_mid", "mean_qty >= 10 AND mean_qty < 100"), ("volume_high", "mean_qty >= 100")]
+
+
+@query("outlier_report", _with(_GROUPS) + " SELECT count(*) AS total_groups, CAST(sum(n_outliers) AS BIGINT) AS total_outliers, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in _COUNTS) + f", {_r('min(threshold_used)', 'threshold_min')}, {_r('avg(threshold_used)', 'threshold_mean')}, {_r('max(threshold_used)', 'threshold_max')}, {_r('stddev_samp(threshold_used)', 'threshold_std')} FROM g")
+def outlier_report(spark, sf_dir):
+    return rounded(outliers.report(_group_stats(spark, sf_dir)))
+
+
+@query("outlier_top_keys", _with(_GROUPS) + " SELECT pdv, CAST(sum(n_outliers) AS BIGINT) AS n_outliers, count(*) AS n_groups FROM g GROUP BY pdv ORDER BY n_outliers DESC, pdv LIMIT 10")
+def outlier_top_keys(spark, sf_dir):
+    return outliers.top_by_outliers(_group_stats(spark, sf_dir), "pdv")
+
+
+# ---- attributes --------------------------------------------------------------------------------------------------
+
+
+def _rank_sql(column: str, as_: str) -> str:
+    return f"{as_} AS (SELECT {column} AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min((pdv, internal_product_id, week_of_year)), {column}) AS freq_rank FROM pn WHERE {column} IS NOT NULL GROUP BY {column})"
+
+
+def _melted(df: DataFrame, names: list[str]) -> DataFrame:
+    """(name, total) of each column, in one aggregation."""
+    pairs = [F.struct(F.lit(n).alias("name"), F.sum(F.col(n).cast("double")).alias("total")) for n in names]
+    return rounded(df.agg(F.array(*pairs).alias("rows")).select(F.explode("rows").alias("r")).select("r.*"))
+
+
+def _dummy_sql(column: str) -> str:
+    return f"SELECT replace(replace('{column}_' || value, ' ', '_'), '-', '_') AS name, {_r('n', 'total')} FROM {column}_r WHERE freq_rank <= 10"
+
+
+@query("one_hot_top10", _with(_PANEL, _rank_sql("categoria", "categoria_r"), _rank_sql("premise", "premise_r")) + f" {_dummy_sql('categoria')} UNION ALL {_dummy_sql('premise')}")
+def one_hot_top10(spark, sf_dir):
+    return _melted(*categorical.one_hot(weekly(spark, sf_dir), PARAMS))
+
+
+@query(
+    "freq_features",
+    _with(_PANEL, _rank_sql("subcategoria", "a"), _rank_sql("fabricante", "b"))
+    + f" SELECT {_K}, {_r('ln(1 + a.n)', 'subcategoria_log_freq')}, a.freq_rank AS subcategoria_freq_rank, {_r('ln(1 + b.n)', 'fabricante_log_freq')}, b.freq_rank AS fabricante_freq_rank FROM pn LEFT JOIN a ON a.value = subcategoria LEFT JOIN b ON b.value = fabricante",
+)
+def freq_features(spark, sf_dir):
+    df, names = categorical.frequencies(weekly(spark, sf_dir), PARAMS)
+    return rounded(df, *_KEYS, *names)
+
+
+@query(
+    "interactions",
+    _with(_PANEL, _rank_sql("categoria", "c"))
+    + f""", x AS (SELECT categoria, {_lag(1)} AS lag_1, {_lag(2)} AS lag_2, coalesce({_agg('avg', 4, 4)}, 0) AS rmean_4, coalesce({_agg('avg', 8, 4)}, 0) AS rmean_8 FROM pn),
+u AS (UNPIVOT x ON lag_1, lag_2, rmean_4, rmean_8 INTO NAME num VALUE v),
+p AS (SELECT freq_rank * 4 + CASE num WHEN 'lag_1' THEN 0 WHEN 'lag_2' THEN 1 WHEN 'rmean_4' THEN 2 ELSE 3 END AS pos, replace(replace('categoria_' || value, ' ', '_'), '-', '_') || '_x_' || num AS name, sum(v) AS total FROM u JOIN c ON c.value = categoria WHERE freq_rank <= 5 GROUP BY ALL)
+SELECT name, {_r('total', 'total')} FROM p ORDER BY pos LIMIT 15""",
+)
+def interactions(spark, sf_dir):
+    df = weekly(spark, sf_dir)
+    wide = features.rolling(8, 4)["rmean_8"]
+    df = features.basic_features(df, PARAMS).withColumn("rmean_8", F.coalesce(wide, F.lit(0.0)))
+    df, dummies = categorical.one_hot(df, PARAMS)
+    return _melted(*categorical.interactions(df, dummies, PARAMS.most_interactions))
+
+
+@query("category_context", _with(_PANEL) + f" SELECT categoria AS value, {_r('avg(qty)', 'mean')}, {_r('coalesce(stddev_samp(qty), 0)', 'std')}, count(qty) AS count, {_r('quantile_cont(qty, 0.5)', 'median')}, {_r('quantile_cont(qty, 0.25)', 'q1')}, {_r('quantile_cont(qty, 0.75)', 'q3')} FROM pn GROUP BY categoria")
+def category_context(spark, sf_dir):
+    return rounded(categorical.category_context(weekly(spark, sf_dir), "categoria", wide=True))
+
+
+# ---- prices ------------------------------------------------------------------------------------------------------
+
+_PRICED = _PANEL + ", pr AS (SELECT *, CASE WHEN qty > 0 AND gross > 0 THEN round_even(gross / qty * 100, 0) / 100 ELSE 0 END AS p FROM pn)"
+
+
+@query("unit_price", _with(_PRICED) + f" SELECT {_K}, {_r('p', 'unit_price')} FROM pr")
+def unit_price(spark, sf_dir):
+    return rounded(prices.unit_price(weekly(spark, sf_dir)), *_KEYS, "unit_price")
+
+
+@query(
+    "price_lags",
+    _with(_PRICED, f"l AS (SELECT *, lag(p) OVER ({_W}) AS p1 FROM pr)")
+    + f" SELECT {_K}, "
+    + ", ".join(_r(f"coalesce(lag(p, {k}) OVER ({_W}), 0)", f"unit_price_lag_{k}") for k in (1, 2, 4))
+    + f", {_r('CASE WHEN p1 IS NULL OR p = p1 THEN 0 WHEN p1 = 0 THEN CAST(1e308 AS DOUBLE) * 10 ELSE round_even((p / p1 - 1) * 10000, 0) / 10000 END', 'unit_price_change_pct')}, {_r(f'coalesce(round_even(avg(p) OVER {_prev(4)} * 100, 0) / 100, 0)', 'unit_price_rolling_mean_4')} FROM l",
+)
+def price_lags(spark, sf_dir):
+    df = prices.price_features(prices.unit_price(weekly(spark, sf_dir)))
+    return rounded(df, *_KEYS, "unit_price_lag_1", "unit_price_lag_2", "unit_price_lag_4", "unit_price_change_pct", "unit_price_rolling_mean_4")
+
+
+@query(
+    "price_forecast",
+    _with(
+        _PRICED,
+        "b AS (SELECT *, row_number() OVER (PARTITION BY pdv, internal_product_id ORDER BY week_of_year DESC) AS k FROM pr WHERE p > 0)",
+        "l AS (SELECT pdv, internal_product_id, arg_max(p, week_of_year) AS last, CASE WHEN count(*) > 1 THEN regr_slope(p, -CAST(k AS DOUBLE)) ELSE 0 END AS slope FROM b WHERE k <= 6 GROUP BY ALL)",
+        "o AS (SELECT pdv, internal_product_id, round_even(least(greatest(last + slope, last * 0.8), last * 1.3) * 100, 0) / 100 AS predicted FROM l)",
+    )
+    + f" SELECT {_K}, {_r('coalesce(predicted, p)', 'unit_price_predicted')} FROM pr LEFT JOIN o USING (pdv, internal_product_id)",
+)
+def price_forecast(spark, sf_dir):
+    return rounded(prices.with_price_forecast(prices.unit_price(weekly(spark, sf_dir))), *_KEYS, "unit_price_predicted")
+
+
+# ---- joins and filters -------------------------------------------------------------------------------------------
+
+_DIMS = """dp AS (SELECT p_partkey AS produto, p_type AS categoria, p_brand AS marca FROM part WHERE p_size > 10),
+ds AS (SELECT s_suppkey AS pdv, n_name AS premise, r_name AS categoria_pdv FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 3 <> 0)"""
+
+
+def _facts_and_dims(spark, sf_dir):
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    facts = read("lineitem").select(F.col("l_partkey").alias("internal_product_id"), F.col("l_suppkey").alias("internal_store_id"), F.col("l_quantity").alias("quantity"))
+    products = read("part").filter("p_size > 10").select(F.col("p_partkey").alias("produto"), F.col("p_type").alias("categoria"), F.col("p_brand").alias("marca"))
+    stores = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).filter("s_suppkey % 3 <> 0")
+    return facts, products, stores.select(F.col("s_suppkey").alias("pdv"), F.col("n_name").alias("premise"), F.col("r_name").alias("categoria_pdv"))
+
+
+@query("join_dims_left", _with(_DIMS) + f" SELECT categoria, categoria_pdv, count(*) AS n, {_r('sum(l_quantity)', 'quantity')} FROM lineitem LEFT JOIN dp ON l_partkey = produto LEFT JOIN ds ON l_suppkey = pdv GROUP BY ALL")
+def join_dims_left(spark, sf_dir):
+    df = explore.with_dims(*_facts_and_dims(spark, sf_dir))
+    return rounded(df.groupBy("categoria", "categoria_pdv").agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity")))
+
+
+@query("fill_nulls_by_type", _with(_DIMS) + " SELECT coalesce(categoria, 'desconhecido') AS categoria, coalesce(premise, 'desconhecido') AS premise, coalesce(pdv, 0) AS pdv, count(*) AS n FROM lineitem LEFT JOIN dp ON l_partkey = produto LEFT JOIN ds ON l_suppkey = pdv GROUP BY ALL")
+def fill_nulls_by_type(spark, sf_dir):
+    df = explore.fill_nulls(explore.with_dims(*_facts_and_dims(spark, sf_dir)))
+    return df.groupBy("categoria", "premise", "pdv").agg(F.count("*").alias("n"))
+
+
+@query("distinct_dims", _with(_TX) + " SELECT DISTINCT prod AS produto, categoria, subcategoria AS marca FROM cl")
+def distinct_dims(spark, sf_dir):
+    return transactions(spark, sf_dir).select(F.col("internal_product_id").alias("produto"), "categoria", F.col("subcategoria").alias("marca")).distinct()
+
+
+@query("first_per_key", _with(_TX) + " SELECT prod AS produto, categoria, ts FROM (SELECT prod, categoria, ts, row_number() OVER (PARTITION BY prod ORDER BY ts, categoria) AS k FROM cl) WHERE k = 1")
+def first_per_key(spark, sf_dir):
+    df = transactions(spark, sf_dir).select(F.col("internal_product_id").alias("produto"), "categoria", F.col("transaction_date").alias("ts"))
+    return explore.first_per_key(df, ["produto"], ["ts", "categoria"])
+
+
+@query("last_per_key", _with(_PANEL) + f" SELECT pdv, internal_product_id, max(week_of_year) AS week_of_year, {_r('arg_max(qty, week_of_year)', 'qty')}, arg_max(categoria, week_of_year) AS categoria FROM pn GROUP BY ALL")
+def last_per_key(spark, sf_dir):
+    return rounded(explore.last_per_key(weekly(spark, sf_dir)), *panel.KEYS, "week_of_year", "qty", "categoria")
+
+
+@query("cross_weeks", _with(_TX) + " SELECT t.pdv, t.produto, CAST(w AS INTEGER) AS semana_do_ano FROM (SELECT pdv, prod AS produto FROM cl GROUP BY ALL ORDER BY sum(q) DESC, pdv, prod LIMIT 250) t, generate_series(1, 5) s(w)")
+def cross_weeks(spark, sf_dir):
+    top = explore.top_totals(transactions(spark, sf_dir).withColumnRenamed("internal_product_id", "produto"), ["pdv", "produto"], 250, "quantity")
+    return top.select("pdv", "produto", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("semana_do_ano"))
+
+
+@query("active_keys_semi", _with(_PANEL) + " SELECT pdv, count(*) AS n FROM pn WHERE (pdv, internal_product_id) IN (SELECT (pdv, internal_product_id) FROM pn GROUP BY pdv, internal_product_id HAVING sum(qty) > 0) GROUP BY pdv")
+def active_keys_semi(spark, sf_dir):
+    return explore.only_active(weekly(spark, sf_dir)).groupBy("pdv").agg(F.count("*").alias("n"))
+
+
+@query("history_filter", _with(_PANEL) + " SELECT pdv, internal_product_id, count(*) AS n_weeks FROM pn GROUP BY ALL HAVING count(*) >= 80")
+def history_filter(spark, sf_dir):
+    return explore.long_histories(weekly(spark, sf_dir), 80)
+
+
+@query("numeric_ids", "SELECT regexp_replace(p_brand, 'Brand#', CASE WHEN p_size > 25 THEN '' ELSE 'x' END) AS produto, count(*) AS n FROM part WHERE p_size > 25 GROUP BY ALL")
+def numeric_ids(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    df = part.select(F.when(F.col("p_size") > 25, F.regexp_replace("p_brand", "Brand#", "")).otherwise(F.regexp_replace("p_brand", "Brand#", "x")).alias("produto"))
+    return panel.numeric_ids(df, "produto").groupBy("produto").agg(F.count("*").alias("n"))
+
+
+@query("flags_product", _with(_TX) + " SELECT categoria, premise, CAST(categoria = 'PROMO' AS INTEGER) AS is_package_category, CAST(premise = 'NATION_3' AS INTEGER) AS is_package_liquor_pdv, CAST(categoria = 'PROMO' AND premise = 'NATION_3' AS INTEGER) AS is_package_in_package_liquor, count(*) AS n FROM cl GROUP BY ALL")
+def flags_product(spark, sf_dir):
+    df = transactions(spark, sf_dir).withColumn("categoria_pdv", F.col("premise"))
+    df = df.groupBy("categoria", "premise", "categoria_pdv").agg(F.count("*").alias("n"))
+    return categorical.package_flags(df, "PROMO", "NATION_3").drop("categoria_pdv")
+
+
+# ---- calendar weeks ----------------------------------------------------------------------------------------------
+
+_RESAMPLED = _TX + """,
+wk AS (SELECT CAST(date_trunc('week', ts) AS DATE) + 6 AS week_end, sum(q) AS total FROM cl GROUP BY 1),
+rs AS (SELECT CAST(s.d AS DATE) AS week_end, coalesce(total, 0) AS total FROM (SELECT unnest(generate_series((SELECT min(week_end) FROM wk)::TIMESTAMP, (SELECT max(week_end) FROM wk)::TIMESTAMP, INTERVAL 7 DAY)) AS d) s LEFT JOIN wk ON CAST(s.d AS DATE) = wk.week_end),
+pk AS (SELECT week_end AS peak, total FROM rs ORDER BY total DESC, week_end LIMIT 1)"""
+_IN_PEAK = "ts BETWEEN (SELECT peak::TIMESTAMP - INTERVAL 6 DAY FROM pk) AND (SELECT peak::TIMESTAMP FROM pk)"
+
+
+@query("weekly_resample", _with(_RESAMPLED) + f" SELECT CAST(week_end AS VARCHAR) AS week_end, {_r('total', 'total')} FROM rs")
+def weekly_resample(spark, sf_dir):
+    return rounded(panel.resample_weeks(transactions(spark, sf_dir)).withColumn("week_end", F.col("week_end").cast("string")))
+
+
+@query("peak_week", _with(_RESAMPLED) + f" SELECT CAST(peak AS VARCHAR) AS peak, {_r('total', 'total')} FROM pk")
+def peak_week(spark, sf_dir):
+    return rounded(panel.peak_week(transactions(spark, sf_dir)).withColumn("peak", F.col("peak").cast("string")))
+
+
+@query("drop_peak_week", _with(_RESAMPLED) + f" SELECT pdv, count(*) AS n, {_r('sum(q)', 'quantity')} FROM cl WHERE NOT ({_IN_PEAK}) GROUP BY pdv")
+def drop_peak_week(spark, sf_dir):
+    df = panel.without_peak_week(transactions(spark, sf_dir))
+    return rounded(df.groupBy("pdv").agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity")))
+
+
+@query("peak_top_products", _with(_RESAMPLED) + f" SELECT prod AS internal_product_id, {_r('sum(q)', 'total')} FROM cl WHERE {_IN_PEAK} GROUP BY prod ORDER BY sum(q) DESC, prod LIMIT 10")
+def peak_top_products(spark, sf_dir):
+    return rounded(explore.top_totals(panel.in_peak_week(transactions(spark, sf_dir)), ["internal_product_id"], 10, "quantity"))
+
+
+@query(
+    "interpolate_linear",
+    _with(
+        _RESAMPLED,
+        "gap AS (SELECT week_end, row_number() OVER (ORDER BY week_end) AS i, CASE WHEN week(week_end) % 5 = 0 THEN NULL ELSE nullif(total, 0) END AS v FROM rs)",
+        "pq AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN i END) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS pi, min(CASE WHEN v IS NOT NULL THEN i END) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS qi FROM gap)",
+    )
+    + f" SELECT CAST(pq.week_end AS VARCHAR) AS week_end, {_r('CASE WHEN pq.v IS NOT NULL OR pq.pi IS NULL THEN pq.v WHEN pq.qi IS NULL THEN p.v ELSE p.v + (q.v - p.v) * (pq.i - pq.pi) / (pq.qi - pq.pi) END', 'total')} FROM pq LEFT JOIN gap p ON p.i = pq.pi LEFT JOIN gap q ON q.i = pq.qi",
+)
+def interpolate_linear(spark, sf_dir):
+    totals = panel.resample_weeks(transactions(spark, sf_dir))
+    gaps = totals.withColumn("total", F.when(F.weekofyear("week_end") % 5 == 0, 0.0).otherwise(F.col("total")))
+    return rounded(panel.interpolated_totals(gaps).withColumn("week_end", F.col("week_end").cast("string")))
+
+
+_ISO = _TX + ", iso AS (SELECT CAST(week(ts) AS INTEGER) AS semana_do_ano, pdv, prod AS produto, sum(q) AS quantity_total, min(subcategoria) AS marca FROM cl GROUP BY 1, 2, 3)"
+
+
+@query(
+    "notebook_rolling",
+    _with(_ISO)
+    + " SELECT semana_do_ano, pdv, produto, "
+    + ", ".join(
+        [*(_r(f"lag(quantity_total, {k}) OVER w", f"lag_{k}") for k in (1, 2, 3, 4)), *(_r(f"{f}(quantity_total) OVER (PARTITION BY pdv, produto ORDER BY semana_do_ano ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)", name) for f, n, name in (("avg", 4, "media_movel_4"), ("avg", 2, "media_movel_2"), ("stddev_samp", 4, "std_movel_4")))]
+    )
+    + " FROM iso WINDOW w AS (PARTITION BY pdv, produto ORDER BY semana_do_ano)",
+)
+def notebook_rolling(spark, sf_dir):
+    return rounded(features.notebook_features(panel.iso_panel(transactions(spark, sf_dir))).drop("quantity_total"))
+
+
+@query("brand_week_mean", _with(_ISO) + f" SELECT semana_do_ano, pdv, produto, {_r('avg(quantity_total) OVER (PARTITION BY marca, semana_do_ano)', 'media_vendas_marca_semana')} FROM iso")
+def brand_week_mean(spark, sf_dir):
+    df = transactions(spark, sf_dir)
+    brands = df.groupBy(F.col("internal_product_id").alias("produto")).agg(F.min("subcategoria").alias("marca"))
+    df = panel.iso_panel(df).join(brands, "produto", "left")
+    return rounded(explore.group_mean(df, ["marca", "semana_do_ano"], "quantity_total", "media_vendas_marca_semana"), "semana_do_ano", "pdv", "produto", "media_vendas_marca_semana")
+
+
+# ---- summaries ---------------------------------------------------------------------------------------------------
+
+
+@query("basic_stats", _with(_PANEL) + f" SELECT count(*) AS total_records, count(DISTINCT pdv) AS unique_pdvs, count(DISTINCT internal_product_id) AS unique_products, {_r('avg(qty)', 'mean_sales')}, {_r('median(qty)', 'median_sales')}, {_r('avg(CASE WHEN qty = 0 THEN 100.0 ELSE 0.0 END)', 'zero_percentage')}, {_r('avg(gross)', 'mean_gross_value')}, min(week_of_year) AS first_week, max(week_of_year) AS last_week FROM pn")
+def basic_stats(spark, sf_dir):
+    return rounded(explore.basic_stats(weekly(spark, sf_dir)))
+
+
+def _describe_sql(source: str, columns: list[str]) -> str:
+    one = lambda c: f"SELECT '{c}' AS feature_name, count({c}) AS count, {_r(f'avg({c})', 'mean')}, {_r(f'stddev_samp({c})', 'std')}, {_r(f'min({c})', 'min')}, {_r(f'quantile_cont({c}, 0.25)', 'p25')}, {_r(f'quantile_cont({c}, 0.5)', 'p50')}, {_r(f'quantile_cont({c}, 0.75)', 'p75')}, {_r(f'max({c})', 'max')} FROM {source}"
+    return " UNION ALL ".join(map(one, columns))
+
+
+@query("describe_features", _with(_PANEL, f"bf AS (SELECT {_K}, {_BASIC} FROM pn)") + " " + _describe_sql("bf", ["week_of_year", *_BASIC_COLUMNS]))
+def describe_features(spark, sf_dir):
+    df = features.basic_features(weekly(spark, sf_dir), PARAMS)
+    return rounded(explore.describe(rounded(df, *_KEYS, *_BASIC_COLUMNS), ["week_of_year", *_BASIC_COLUMNS]))
+
+
+@query("nonzero_stats", _with(_PANEL) + f" SELECT count(*) AS n, {_r('avg(qty)', 'mean')}, {_r('stddev_samp(qty)', 'std')}, {_r('quantile_cont(qty, 0.5)', 'p50')}, {_r('quantile_cont(qty, 0.75)', 'p75')}, {_r('quantile_cont(qty, 0.95)', 'p95')}, {_r('max(qty)', 'max')} FROM pn WHERE qty > 0")
+def nonzero_stats(spark, sf_dir):
+    return rounded(explore.nonzero_stats(weekly(spark, sf_dir)))
+
+
+@query("top_stores", _with(_PANEL) + f" SELECT pdv, {_r('sum(qty)', 'total')} FROM pn GROUP BY pdv ORDER BY sum(qty) DESC, pdv LIMIT 10")
+def top_stores(spark, sf_dir):
+    return rounded(explore.top_totals(weekly(spark, sf_dir), ["pdv"], 10))
+
+
+@query("total_by_week", _with(_PANEL) + f" SELECT week_of_year, {_r('sum(qty)', 'total')} FROM pn GROUP BY week_of_year")
+def total_by_week(spark, sf_dir):
+    return rounded(explore.total_by(weekly(spark, sf_dir), "week_of_year"))
+
+
+@query("total_by_category", _with(_TX) + f" SELECT categoria, {_r('sum(q)', 'total')} FROM cl GROUP BY categoria")
+def total_by_category(spark, sf_dir):
+    return rounded(explore.total_by(transactions(spark, sf_dir), "categoria", "quantity"))
+
+
+@query("by_month", _with(_TX) + f" SELECT CAST(month(ts) AS INTEGER) AS mes, {_r('sum(q)', 'total')} FROM cl GROUP BY 1")
+def by_month(spark, sf_dir):
+    return rounded(explore.by_month(transactions(spark, sf_dir).withColumn("mes", F.month("transaction_date"))))
+
+
+@query("by_quarter", _with(_PANEL) + f" SELECT CAST((week_of_year - 1) // 13 + 1 AS BIGINT) AS trimestre, {_r('sum(qty)', 'total')} FROM pn GROUP BY 1")
+def by_quarter(spark, sf_dir):
+    return rounded(explore.by_quarter(weekly(spark, sf_dir)))
+
+
+@query("histogram_log", _with(_PANEL, "x AS (SELECT ln(1 + qty) AS x FROM pn WHERE qty > 0)", "e AS (SELECT min(x) AS lo, (max(x) - min(x)) / 50 AS w FROM x)") + " SELECT CAST(least(floor((x - lo) / w), 49) AS BIGINT) AS bin, count(*) AS n FROM x, e GROUP BY 1")
+def histogram_log(spark, sf_dir):
+    return explore.histogram(weekly(spark, sf_dir))
+
+
+@query("iqr_extremes", _with(_PANEL, "t AS (SELECT quantile_cont(qty, 0.75) + 3 * (quantile_cont(qty, 0.75) - quantile_cont(qty, 0.25)) AS t FROM pn WHERE qty > 0)") + f" SELECT count(*) FILTER (WHERE qty > t) AS n_extreme, {_r('max(t)', 'threshold')} FROM pn, t WHERE qty > 0")
+def iqr_extremes(spark, sf_dir):
+    return rounded(explore.extreme_values(weekly(spark, sf_dir)))
+
+
+_CORR = ["qty", "lag_1", "lag_2", "lag_3", "lag_4"]
+
+
+@query("corr_matrix", _with(_PANEL, "c AS (SELECT qty, " + ", ".join(f"{_lag(k)} AS lag_{k}" for k in (1, 2, 3, 4)) + " FROM pn)") + " " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {_r(f'corr({a}, {b})', 'corr')} FROM c" for a in _CORR for b in _CORR))
+def corr_matrix(spark, sf_dir):
+    return rounded(explore.correlations(features.basic_features(weekly(spark, sf_dir), PARAMS), _CORR))
+
+
+@query("zero_share", _with(_PANEL) + f" SELECT {_r('avg(CASE WHEN qty = 0 THEN 100.0 ELSE 0.0 END)', 'zero_pct')}, {_r('100 - avg(CASE WHEN qty = 0 THEN 100.0 ELSE 0.0 END)', 'nonzero_pct')} FROM pn")
+def zero_share(spark, sf_dir):
+    return rounded(explore.zero_share(weekly(spark, sf_dir)))
+
+
+@query(
+    "data_quality",
+    _with(_TX, "r AS (SELECT ts, pdv, prod, q, CASE WHEN q = 1 THEN NULL ELSE categoria END AS categoria FROM cl)")
+    + " SELECT count(*) AS n_rows, count(*) FILTER (WHERE categoria IS NULL) AS n_null, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM r)) AS n_duplicate, count(*) FILTER (WHERE q < 0) AS n_negative, CAST(0 AS BIGINT) AS n_bad_date FROM r",
+)
+def data_quality(spark, sf_dir):
+    df = transactions(spark, sf_dir).select("transaction_date", "pdv", "internal_product_id", "quantity", F.when(F.col("quantity") != 1, F.col("categoria")).alias("categoria"))
+    return explore.data_quality(df)
+
+
+# ---- split, metrics, submissions ---------------------------------------------------------------------------------
+
+
+def _part(first: bool):
+    return lambda spark, sf_dir: rounded(explore.split(weekly(spark, sf_dir))[0 if first else 1], *_KEYS, "qty")
+
+
+query("split_train", _with(_PANEL) + f" SELECT {_K}, {_r('qty', 'qty')} FROM pn WHERE week_of_year <= 44")(_part(True))
+query("split_valid", _with(_PANEL) + f" SELECT {_K}, {_r('qty', 'qty')} FROM pn WHERE week_of_year BETWEEN 45 AND 52")(_part(False))
+
+
+@query(
+    "metrics_wmape",
+    _with(_PANEL, f"s AS (SELECT qty AS y, coalesce({_agg('avg', 4, 4)}, 0) AS p FROM pn)")
+    + f" SELECT {_r('sum(abs(y - p)) / sum(abs(y))', 'wmape')}, {_r('avg(abs(y - p))', 'mae')}, {_r('sqrt(avg((y - p) * (y - p)))', 'rmse')}, {_r('1 - avg((y - p) * (y - p)) / var_pop(y)', 'r2')} FROM s",
+)
+def metrics_wmape(spark, sf_dir):
+    df = features.basic_features(weekly(spark, sf_dir), PARAMS)
+    return rounded(explore.metrics(df.select(F.col("qty").alias("y"), F.col("rmean_4").alias("p"))))
+
+
+def _naive_submission(spark, sf_dir):
+    """A forecast without a model: the rounded mean of the last four weeks of a key, for five weeks."""
+    df = features.basic_features(weekly(spark, sf_dir), PARAMS)
+    last = explore.last_per_key(df.select(*_KEYS, "rmean_4"))
+    weeks = F.explode(F.sequence(F.lit(1), F.lit(5))).alias("semana")
+    return last.select(weeks, "pdv", F.col("internal_product_id").alias("produto"), forecast.thresholded(F.col("rmean_4")).alias("quantidade"))
+
+
+_NAIVE = _PANEL + f""",
+nf AS (SELECT {_K}, coalesce({_agg('avg', 4, 4)}, 0) AS r FROM pn),
+sub AS (SELECT CAST(w AS INTEGER) AS semana, pdv, internal_product_id AS produto, CAST(round_even(CASE WHEN r >= 0.5 THEN r ELSE 0 END, 0) AS INTEGER) AS quantidade FROM (SELECT pdv, internal_product_id, arg_max(r, week_of_year) AS r FROM nf GROUP BY ALL), generate_series(1, 5) s(w))"""
+
+
+@query("submission_frame", _with(_NAIVE) + " SELECT * FROM sub")
+def submission_frame(spark, sf_dir):
+    return _naive_submission(spark, sf_dir)
+
+
+@query("submission_check", _with(_NAIVE) + " SELECT CAST(sum(quantidade) AS BIGINT) AS total, count(*) FILTER (WHERE quantidade = 0) AS n_zero FROM sub")
+def submission_check(spark, sf_dir):
+    return explore.submission_check(_naive_submission(spark, sf_dir))
+
+
+@query("submission_summary", _with(_NAIVE) + f" SELECT count(*) AS total_predictions, count(DISTINCT pdv) AS unique_pdvs, count(DISTINCT produto) AS unique_products, CAST(sum(quantidade) AS BIGINT) AS total_quantity, {_r('avg(quantidade)', 'avg_quantity')} FROM sub")
+def submission_summary(spark, sf_dir):
+    return rounded(explore.submission_summary(_naive_submission(spark, sf_dir)), "total_predictions", "unique_pdvs", "unique_products", "total_quantity", "avg_quantity")
+
+
+@query("prediction_stats", _with(_NAIVE) + f" SELECT semana, CAST(sum(quantidade) AS BIGINT) AS total, {_r('avg(quantidade)', 'mean')}, {_r('stddev_samp(quantidade)', 'std')} FROM sub GROUP BY semana")
+def prediction_stats(spark, sf_dir):
+    return rounded(explore.prediction_stats(_naive_submission(spark, sf_dir)))
+
+
+@query(
+    "direct_forecast_frame",
+    _with(
+        _PANEL,
+        "nb AS (SELECT *, avg(qty) OVER (PARTITION BY pdv, internal_product_id ORDER BY week_of_year ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS mm FROM pn)",
+        "top AS (SELECT pdv, internal_product_id FROM pn GROUP BY ALL ORDER BY sum(qty) DESC, pdv, internal_product_id LIMIT 250)",
+    )
+    + f" SELECT top.pdv, top.internal_product_id, CAST(w AS INTEGER) AS semana_do_ano, {_r('coalesce(qty, 0)', 'lag_1_semana')}, {_r('coalesce(mm, 0)', 'media_movel_4_semanas')} FROM top CROSS JOIN generate_series(1, 5) s(w) LEFT JOIN nb ON nb.pdv = top.pdv AND nb.internal_product_id = top.internal_product_id AND week_of_year = 52",
+)
+def direct_forecast_frame(spark, sf_dir):
+    return rounded(_direct_frame(spark, sf_dir))
+
+
+def _direct_frame(spark, sf_dir):
+    df = weekly(spark, sf_dir).withColumn("media_movel_4", F.avg("qty").over(features.before(4)))
+    return forecast.direct_frame(df, tables.forecast_weeks(spark, 5), 250, 52)
+
+
+@query("sample_deterministic")
+def sample_deterministic(spark, sf_dir):
+    return explore.hash_sample(weekly(spark, sf_dir), _KEYS, 1000)
+
+
+# ---- serving features, models and forecasts ----------------------------------------------------------------------
+
+
+@query(
+    "history_features",
+    _with(
+        _PANEL,
+        "o AS (SELECT * FROM pn WHERE (pdv, internal_product_id) IN (SELECT (pdv, internal_product_id) FROM pn GROUP BY pdv, internal_product_id HAVING count(*) >= 12))",
+        "nx AS (SELECT pdv, internal_product_id, week_of_year, qty FROM o UNION ALL SELECT DISTINCT pdv, internal_product_id, 100000, 0 FROM o)",
+        f"ix AS (SELECT *, CAST(row_number() OVER ({_W}) AS DOUBLE) AS i FROM nx)",
+        f"ft AS (SELECT {_K}, {_lag(1)} AS lag_1, {_lag(24)} AS lag_24, {_agg('avg', 4, 4)} AS rmean_4, {_agg('stddev_samp', 4, 4)} AS rstd_4, {_agg('stddev_samp', 20, 4)} AS rstd_20, {_skew(8)} AS rskew_8, {_trend(12)} AS trend_12 FROM ix)",
+    )
+    + f" SELECT pdv, internal_product_id, {', '.join(_r(c, c) for c in ('lag_1', 'lag_24', 'rmean_4', 'rstd_4', 'rstd_20', 'rskew_8', 'trend_12'))} FROM ft WHERE week_of_year = 100000",
+)
+def history_features(spark, sf_dir):
+    state = forecast.histories(weekly(spark, sf_dir), 24, 12)
+    df = forecast.history_features(state, F.lit(1).cast("bigint"), F.lit(357), PARAMS)
+    return rounded(df, *panel.KEYS, "lag_1", "lag_24", "rmean_4", "rstd_4", "rstd_20", "rskew_8", "trend_12")
+
+
+_SMALL = replace(PARAMS, rounds=8, depth=4, train_until=300, valid_from=301, valid_until=357)
+
+
+def _model_frame(spark, sf_dir):
+    df = features.basic_features(weekly(spark, sf_dir), _SMALL)
+    return df, ["week_of_year", *_BASIC_COLUMNS]
+
+
+def _fitted(spark, sf_dir):
+    df, names = _model_frame(spark, sf_dir)
+    train, valid = explore.split(df, _SMALL.train_until, _SMALL.valid_from, _SMALL.valid_until)
+    return df, names, train, valid, forecast.train_trees(train, names, params=_SMALL)
+
+
+@query("gbt_train_score")
+def gbt_train_score(spark, sf_dir):
+    *_, valid, model = _fitted(spark, sf_dir)
+    return forecast.validate(model, valid)
+
+
+@query("feature_importance")
+def feature_importance(spark, sf_dir):
+    _, names, _, _, model = _fitted(spark, sf_dir)
+    return forecast.importances(spark, model, names)
+
+
+@query("recursive_forecast")
+def recursive_forecast(spark, sf_dir):
+    df, _, _, _, model = _fitted(spark, sf_dir)
+    state = forecast.histories(df, _SMALL.history_kept, _SMALL.least_history)
+    return forecast.recursive_forecast(state, model.transform, _SMALL.forecast_weeks, 357, _SMALL, advanced=False)
+
+
+@query("iterative_forecast")
+def iterative_forecast(spark, sf_dir):
+    df = weekly(spark, sf_dir).select(F.col("week_of_year").cast("int").alias("semana_do_ano"), *panel.KEYS, "qty", F.coalesce(F.lag("qty", 1).over(features.BY_KEY), F.lit(0.0)).alias("lag_1_semana"), F.coalesce(F.avg("qty").over(features.before(4)), F.lit(0.0)).alias("media_movel_4_semanas"))
+    model = forecast.train_trees(df, ["semana_do_ano", "lag_1_semana", "media_movel_4_semanas"], params=_SMALL)
+    frame = _direct_frame(spark, sf_dir).filter("semana_do_ano = 1").drop("semana_do_ano")
+    return forecast.frozen_mean_forecast(frame, model.transform, (1, 2, 3, 4, 5), {5: 3 / 7})
+
+
+@query("loss_tournament")
+def loss_tournament(spark, sf_dir):
+    df, names = _model_frame(spark, sf_dir)
+    train, valid = explore.split(df, _SMALL.train_until, _SMALL.valid_from, _SMALL.valid_until)
+    return forecast.tournament(train, valid, names, params=_SMALL)
 
 
-def entry(spark, sf_dir: str):
-    return QUERIES["rolling_basic"](spark, sf_dir)
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling_basic(spark, sf_dir)
