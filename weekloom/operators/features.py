@@ -13,12 +13,15 @@ from weekloom.functions.scalar import calendar_flags, seasonality
 from weekloom.operators.panel import KEYS
 from weekloom.params import Params
 
-BY_KEY = Window.partitionBy(*KEYS).orderBy("week_of_year")
-INDEX = "week_of_year"
+INDEX = "week_of_year_row"
+
+
+def by_key():
+    return Window.partitionBy(*KEYS).orderBy("week_of_year")
 
 
 def before(n: int):
-    return BY_KEY.rowsBetween(-n, -1)
+    return by_key().rowsBetween(-n, -1)
 
 
 def needing(n: int, window, value: Column, of: Column) -> Column:
@@ -27,7 +30,7 @@ def needing(n: int, window, value: Column, of: Column) -> Column:
 
 
 def lags(lags_: tuple[int, ...], column: str = "qty") -> dict[str, Column]:
-    return {f"lag_{k}": F.coalesce(F.lag(column, k).over(BY_KEY), F.lit(0.0)) for k in lags_}
+    return {f"lag_{k}": F.coalesce(F.lag(column, k).over(by_key()), F.lit(0.0)) for k in lags_}
 
 
 def rolling(w: int, need: int, column: str = "qty") -> dict[str, Column]:
@@ -50,7 +53,7 @@ def skewness(w: int, need: int = 4, column: str = "qty") -> Column:
     return F.when(n >= need, F.when(F.max(c).over(win) == F.min(c).over(win), 0.0).otherwise(corrected))
 
 
-def trend(w: int, need: int = 3, column: str = "qty", index: str = INDEX + "_row") -> Column:
+def trend(w: int, need: int = 3, column: str = "qty", index: str = INDEX) -> Column:
     """Slope over the positions of the previous w rows, with sample covariance over population variance: n/(n-1) times
     the least-squares slope."""
     win = before(w)
@@ -59,7 +62,7 @@ def trend(w: int, need: int = 3, column: str = "qty", index: str = INDEX + "_row
 
 
 def with_row_index(panel: DataFrame) -> DataFrame:
-    return panel.withColumn(INDEX + "_row", F.row_number().over(BY_KEY).cast("double"))
+    return panel.withColumn(INDEX, F.row_number().over(by_key()).cast("double"))
 
 
 def basic_features(panel: DataFrame, params: Params = Params()) -> DataFrame:
@@ -94,7 +97,7 @@ def advanced_features(featured: DataFrame, params: Params = Params()) -> DataFra
     df = df.crossJoin(F.broadcast(last))
     more = percent_changes() | ratios_and_changes() | seasonality(F.col("week_of_year")) | calendar_flags(F.col("week_of_year"), F.col("_last"))
     filled = {k: F.coalesce(F.col(k), F.lit(0.0)) for k in rolled}
-    keep = [c for c in df.columns if c not in filled and c not in ("_last", INDEX + "_row")]
+    keep = [c for c in df.columns if c not in filled and c not in ("_last", INDEX)]
     return df.select(*keep, *(c.alias(k) for k, c in (filled | more).items()))
 
 

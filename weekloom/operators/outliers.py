@@ -9,8 +9,9 @@ from weekloom.operators.features import before
 from weekloom.operators.panel import KEYS
 from weekloom.params import Params
 
-KEY = Window.partitionBy(*KEYS)
-_STATS = ["n_obs", "mean_qty", "std_qty", "zero_pct", "cv", "threshold_used"]
+
+def _key():
+    return Window.partitionBy(*KEYS)
 
 
 def adaptive_threshold(p: Params) -> Column:
@@ -28,8 +29,8 @@ def z_score_flags(panel: DataFrame, params: Params = Params()) -> DataFrame:
     Statistics cover the whole key, later weeks too; the rolling mean and deviation look at earlier weeks only.
     """
     q = F.col("qty")
-    std = F.stddev_pop(q).over(KEY)
-    df = panel.select("*", F.count("*").over(KEY).alias("n_obs"), F.avg(q).over(KEY).alias("mean_qty"), F.when(std == 0, 1.0).otherwise(std).alias("std_qty"), F.avg((q == 0).cast("double")).over(KEY).alias("zero_pct"))
+    std = F.stddev_pop(q).over(_key())
+    df = panel.select("*", F.count("*").over(_key()).alias("n_obs"), F.avg(q).over(_key()).alias("mean_qty"), F.when(std == 0, 1.0).otherwise(std).alias("std_qty"), F.avg((q == 0).cast("double")).over(_key()).alias("zero_pct"))
     df = df.withColumn("cv", F.col("std_qty") / (F.col("mean_qty") + 1e-8))
     df = df.withColumn("threshold_used", adaptive_threshold(params))
     win = before(params.outlier_window)
@@ -47,9 +48,9 @@ def treat_z_score(flagged: DataFrame, params: Params = Params(), treatment: str
     winsorized, capped or removed, with bounds from the values before that."""
     treatment = treatment or params.treatment
     q, mean, n = F.col("qty"), F.col("mean_qty"), F.col("n_obs")
-    percentile = lambda p: F.percentile(q, F.lit(p)).over(KEY)
+    percentile = lambda p: F.percentile(q, F.lit(p)).over(_key())
     bounds = {"winsorize": (0.02, 0.98), "cap": (0.10, 0.90)}.get(treatment, ())
-    df = flagged.select("*", F.max("is_outlier").over(KEY).alias("_any"), *(percentile(p).alias(f"_p{i}") for i, p in enumerate(bounds)))
+    df = flagged.select("*", F.max("is_outlier").over(_key()).alias("_any"), *(percentile(p).alias(f"_p{i}") for i, p in enumerate(bounds)))
     top = mean * params.cap_multiplier
     cut = F.when(q > top, top).otherwise(q)
     if treatment == "winsorize":

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions.scalar import clip, half_even
-from weekloom.operators.features import BY_KEY, before
+from weekloom.operators.features import before, by_key
 from weekloom.operators.panel import KEYS
 
 
@@ -18,9 +18,9 @@ def unit_price(panel: DataFrame) -> DataFrame:
 def price_features(priced: DataFrame) -> DataFrame:
     """Lags 1, 2, 4, change on the row before (infinite from 0 up), and mean of the previous 4 rows, from one row on."""
     p = F.col("unit_price")
-    last = F.lag(p).over(BY_KEY)
+    last = F.lag(p).over(by_key())
     change = F.when(last.isNull() | (p == last), 0.0).when(last == 0, F.lit(float("inf"))).otherwise(half_even(p / F.nullif(last, F.lit(0.0)) - 1, 4))
-    new = {f"unit_price_lag_{k}": F.coalesce(F.lag(p, k).over(BY_KEY), F.lit(0.0)) for k in (1, 2, 4)}
+    new = {f"unit_price_lag_{k}": F.coalesce(F.lag(p, k).over(by_key()), F.lit(0.0)) for k in (1, 2, 4)}
     new |= {"unit_price_change_pct": change, "unit_price_rolling_mean_4": F.coalesce(half_even(F.avg(p).over(before(4)), 2), F.lit(0.0))}
     return priced.select("*", *(c.alias(k) for k, c in new.items()))
 

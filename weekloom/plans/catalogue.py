@@ -796,7 +796,7 @@ def recursive_forecast(spark, sf_dir):
 
 @query("iterative_forecast")
 def iterative_forecast(spark, sf_dir):
-    df = weekly(spark, sf_dir).select(F.col("week_of_year").cast("int").alias("semana_do_ano"), *panel.KEYS, "qty", F.coalesce(F.lag("qty", 1).over(features.BY_KEY), F.lit(0.0)).alias("lag_1_semana"), F.coalesce(F.avg("qty").over(features.before(4)), F.lit(0.0)).alias("media_movel_4_semanas"))
+    df = weekly(spark, sf_dir).select(F.col("week_of_year").cast("int").alias("semana_do_ano"), *panel.KEYS, "qty", F.coalesce(F.lag("qty", 1).over(features.by_key()), F.lit(0.0)).alias("lag_1_semana"), F.coalesce(F.avg("qty").over(features.before(4)), F.lit(0.0)).alias("media_movel_4_semanas"))
     model = forecast.train_trees(df, ["semana_do_ano", "lag_1_semana", "media_movel_4_semanas"], params=_SMALL)
     frame = _direct_frame(spark, sf_dir).filter("semana_do_ano = 1").drop("semana_do_ano")
     return forecast.frozen_mean_forecast(frame, model.transform, (1, 2, 3, 4, 5), {5: 3 / 7})
