@@ -1,10 +1,12 @@
 """Nearest neighbours by a block matrix join.
 
-Queries and candidates are dealt out as tiles of bounded size. In a tile, both sides are quantised to int8 and one
-matrix product gives all approximate inner products, each with a bound on its error made of the norms of the vectors and
-of what quantising left. A candidate whose upper bound is below the k-th lower bound of the query cannot be among its
-k nearest; the others are computed again from the original vectors, and heaps keep the k best, in the tile and then
-over all tiles of a query. No candidate is lost: the result is exact.
+Queries are dealt into blocks and candidates into strips, of which there are few; a task holds one block of queries and
+streams a strip past it in tiles. In a tile, both sides are quantised to int8 and one matrix product gives all
+approximate inner products, each with a bound on its error made of the norms of the vectors and of what quantising left.
+A candidate whose upper bound is below the k-th best lower bound, or below the k-th score that the query has already,
+cannot be among its k nearest; the others are computed again from the original vectors and go to the query's heap. The
+strips' heaps are merged by query. No candidate is lost: the result is exact, and what tasks emit is k rows for each
+query and strip.
 """
 
 from __future__ import annotations
@@ -17,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import settle, tiled
+from weekloom.llm.common import settle
 from weekloom.llm.vectors import clean, matrix
 
 NEAREST = 20
 EVERY = 20
-TILE = 2048
+#: Queries in a block, candidates in a tile, candidates in a strip at least, and most strips.
+BLOCK, TILE, STRIP, MOST_STRIPS = 2048, 2048, 8192, 64
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -38,38 +41,94 @@ def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.add.accumulate(x * y, axis=1)[:, -1]
 
 
-def nearest_in_tile(query_ids, queries, ids, candidates, k: int) -> Iterator[tuple[int, int, float]]:
-    """(query id, candidate id, score) of the k nearest of each query in the tile."""
-    qq, qs, qn, qe = quantised(queries)
-    cq, cs, cn, ce = quantised(candidates)
-    kind = np.float32 if queries.shape[1] * 127 * 127 < 1 << 24 else np.float64  # products of int8 add up exactly
-    right = np.ascontiguousarray(cq.astype(kind).T)
-    for at in range(0, len(queries), 128):
-        part = slice(at, at + 128)
-        near = (qq[part].astype(kind) @ right).astype(np.float64) * qs[part, None] * cs
-        slack = qn[part, None] * ce + qe[part, None] * cn + qe[part, None] * ce
-        slack += 1e-12 * qn[part, None] * cn
-        own = query_ids[part, None] == ids[None, :]
-        low = np.where(own, -np.inf, near - slack)
-        kth = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(low), -np.inf)
-        i, j = np.nonzero((near + slack >= kth[:, None]) & ~own)
-        for cut in range(0, len(i), 1 << 16):  # a slice of the pairs, each query in one slice or in two that meet
-            score = exact(queries[part][i[cut : cut + (1 << 16)]], candidates[j[cut : cut + (1 << 16)]])
-            rows, first = np.unique(i[cut : cut + (1 << 16)], return_index=True)
-            for row, a, b in zip(rows, first, [*first[1:], len(score)]):
-                where = cut + np.arange(a, b)
-                for s, v in heapq.nsmallest(k, zip((-score[a:b]).tolist(), ids[j[where]].tolist())):
-                    yield int(query_ids[at + row]), v, -s
-
-
-def _tile(k: int):
-    def run(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        ids, x = table.column("vec_id").to_numpy(), matrix(table.column("vec"))
-        q, c = side == 0, side == 1
-        found = list(nearest_in_tile(ids[q], x[q], ids[c], x[c], k)) if q.any() and c.any() else []
-        columns = list(zip(*found)) or [(), (), ()]
-        return pa.table({n: pa.array(v, t) for n, v, t in zip(("query_id", "vec_id", "score"), columns, (pa.int64(), pa.int64(), pa.float64()))})
+class Block:
+    """A block of queries with a heap of (score, -id) for each; the least of a full heap bounds what may still enter."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int) -> None:
+        self.ids, self.x, self.k = ids, queries, k
+        self.q, self.scale, self.norm, self.rest = quantised(queries)
+        self.kind = np.float32 if queries.shape[1] * 127 * 127 < 1 << 24 else np.float64  # sums of int8 products are exact
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
+        self.least = np.full(len(ids), -np.inf)
+
+    def add(self, ids: np.ndarray, candidates: np.ndarray) -> None:
+        """One tile of candidates."""
+        q, scale, norm, rest = quantised(candidates)
+        right = np.ascontiguousarray(q.astype(self.kind).T)
+        for at in range(0, len(self.ids), 128):
+            part = slice(at, at + 128)
+            near = (self.q[part].astype(self.kind) @ right).astype(np.float64) * self.scale[part, None] * scale
+            slack = self.norm[part, None] * rest + self.rest[part, None] * norm + self.rest[part, None] * rest
+            slack += 1e-12 * self.norm[part, None] * norm
+            own = self.ids[part, None] == ids[None, :]
+            kth = self.least[part]
+            if near.shape[1] > self.k:
+                kth = np.maximum(kth, np.partition(np.where(own, -np.inf, near - slack), -self.k, axis=1)[:, -self.k])
+            i, j = np.nonzero((near + slack >= kth[:, None]) & ~own)
+            for cut in range(0, len(i), 1 << 16):
+                some, other = i[cut : cut + (1 << 16)], j[cut : cut + (1 << 16)]
+                self._push(at + some, ids[other], exact(self.x[at + some], candidates[other]))
+
+    def _push(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        first = np.flatnonzero(np.diff(rows, prepend=-1))
+        for row, a, b in zip(rows[first].tolist(), first, [*first[1:], len(rows)]):
+            pairs = list(zip(scores[a:b].tolist(), (-ids[a:b]).tolist()))
+            # equal pairs are one vector met twice
+            heap = self.heaps[row] = heapq.nlargest(self.k, {*self.heaps[row], *pairs})
+            if len(heap) == self.k:
+                self.least[row] = heap[-1][0]
+
+    def rows(self) -> Iterator[tuple[int, int, float]]:
+        for query, heap in zip(self.ids.tolist(), self.heaps):
+            for score, minus in heap:
+                yield query, -minus, score
+
+
+def _found(block: Block | None) -> pa.RecordBatch:
+    columns = list(zip(*block.rows())) if block else []
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns or [(), (), ()], (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
+
+def _strips(k: int, tile: int):
+    """Rows come sorted by (dim, ti, tj, side): first a block's queries, then the candidates of a strip."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, queries, block, waiting = None, [], None, []
+
+        def flush(least: int) -> None:
+            nonlocal block, waiting
+            if block is None and queries:
+                ids = np.concatenate([q[0] for q in queries])
+                block = Block(ids, np.concatenate([q[1] for q in queries]), k)
+                queries.clear()
+            if waiting and sum(len(w[0]) for w in waiting) >= least:
+                if block is not None:
+                    block.add(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]))
+                waiting = []
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("dim", "ti", "tj", "side")], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(edges, edges[1:]):
+                if b == a:
+                    continue
+                now, side = tuple(keys[a, :3].tolist()), keys[a, 3]
+                if now != key:
+                    flush(1)
+                    if block is not None:
+                        yield _found(block)
+                    key, block, waiting = now, None, []
+                    queries.clear()
+                for at in range(a, b, tile):
+                    rows = batch.slice(at, min(tile, b - at))
+                    data = rows.column("vec_id").to_numpy(), matrix(rows.column("vec"))
+                    if side == 0:
+                        queries.append(data)
+                    else:
+                        waiting.append(data)
+                        flush(tile)
+        flush(1)
+        yield _found(block)
 
     return run
 
@@ -106,16 +165,21 @@ def _merge(k: int):
     return run
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, k: int = NEAREST, tile: int = TILE) -> DataFrame:
+def nearest(queries: DataFrame, candidates: DataFrame, k: int = NEAREST, block: int = BLOCK, tile: int = TILE, strip: int = STRIP) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates of largest inner product with each query, itself left out.
 
     Both have (vec_id, embedding) rows. Ties go to the smaller vec_id, fewer than k candidates give fewer rows, a
     vec_id that repeats counts once, and vectors meet only those of their own length. Unusable vectors (null, zero,
     null or non-finite components) and rows without vec_id take no part. Other columns are ignored.
     """
-    left, right = (settle(clean(x).select("dim", "vec_id", "vec")) for x in (queries, candidates))
-    tiles = tiled(left, right, ["dim"], "vec_id", tile)
-    found = tiles.groupBy("dim", "ti", "tj").applyInArrow(_tile(k), "query_id long, vec_id long, score double")
+    left, right = (settle(clean(x).select("dim", "vec_id", "vec")) for x in (queries.dropDuplicates(["vec_id"]), candidates))
+    blocks, strips = -(-left.count() // block), min(MOST_STRIPS, -(-right.count() // strip))
+    chunk = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
+    dealt = left.select("dim", chunk(blocks).alias("ti"), every(strips).alias("tj"), F.lit(0).alias("side"), "vec_id", "vec")
+    dealt = dealt.unionByName(right.select("dim", every(blocks).alias("ti"), chunk(strips).alias("tj"), F.lit(1).alias("side"), "vec_id", "vec"))
+    dealt = dealt.repartition("dim", "ti", "tj").sortWithinPartitions("dim", "ti", "tj", "side")
+    found = dealt.mapInArrow(_strips(k, tile), "query_id long, vec_id long, score double")
     return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
 
 
