@@ -21,6 +21,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 #: Documents that a bucket of the rounding holds on average.
 BUCKET = 256
+#: Parts into which each source is dealt for the join with its multiplier.
+SALTS = 64
 TOLERANCE, MOST_STEPS = 1e-7, 80
 _KEY = ["no_source", "source"]
 
@@ -103,7 +105,10 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tupl
     solved = settle(tilts(sizes, wanted, most))
     rate = F.when(F.col("tilt").isNull(), F.when(F.col("target") > 0, F.lit(float(most))).otherwise(0.0)).otherwise(F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.log(F.lit(float(most))))))
     bucket = F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("docs") / F.lit(BUCKET))).cast("int")
-    rated = own.join(solved, _KEY).select(*_KEY, "source_size", "target", bucket.alias("bucket"), F.struct((-F.col("size")).alias("minus"), "doc_id", F.least(rate, F.lit(float(most))).alias("rate")).alias("row"))
+    # salted, else all of a hot source would meet in one task
+    spread = solved.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = own.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
+    rated = salted.join(spread, [*_KEY, "salt"]).select(*_KEY, "source_size", "target", bucket.alias("bucket"), F.struct((-F.col("size")).alias("minus"), "doc_id", F.least(rate, F.lit(float(most))).alias("rate")).alias("row"))
     made = rated.groupBy(*_KEY, "source_size", "target", "bucket").agg(_rounded(F.sort_array(F.collect_list("row"))).alias("rows"))
     return made.select("source_size", "target", F.explode("rows").alias("r")).select("r.doc_id", "r.size", "source_size", "target", "r.rate", "r.copies")
 
