@@ -55,11 +55,15 @@ def first_value(column: str, order: str | None) -> Column:
     return F.min_by(F.col(column), F.when(F.col(column).isNotNull(), F.col(order)))
 
 
-def weekly_panel(cleaned: DataFrame, order: str | None = None) -> DataFrame:
+def weekly_panel(cleaned: DataFrame, order: str | None = None, attributes: list[str] | tuple = tuple(ATTRIBUTES)) -> DataFrame:
     """One row for each week, store and product: qty (never under 0), gross, first attributes. Null keys go."""
     df = cleaned.dropna(subset=["week_of_year", *KEYS])
+    attributes = [c for c in attributes if c in df.columns]
+    if order is None and attributes:
+        # the least of strings needs sorted rows; sums by keys and attributes don't, and leave few rows to sort
+        df = df.groupBy("week_of_year", *KEYS, *attributes).agg(F.sum("quantity").alias("quantity"), F.sum("gross_value").alias("gross_value"))
     sums = [F.greatest(F.coalesce(F.sum("quantity"), F.lit(0.0)), F.lit(0.0)).alias("qty"), F.coalesce(F.sum("gross_value"), F.lit(0.0)).alias("gross")]
-    return df.groupBy("week_of_year", *KEYS).agg(*sums, *(first_value(c, order).alias(c) for c in ATTRIBUTES if c in df.columns))
+    return df.groupBy("week_of_year", *KEYS).agg(*sums, *(first_value(c, order).alias(c) for c in attributes))
 
 
 def iso_panel(df: DataFrame) -> DataFrame:

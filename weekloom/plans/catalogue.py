@@ -82,8 +82,8 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.demand_transactions(spark, sf_dir)
 
 
-def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.weekly_panel(panel.clean(transactions(spark, sf_dir), PARAMS))
+def weekly(spark: SparkSession, sf_dir: str, *attributes: str) -> DataFrame:
+    return panel.weekly_panel(panel.clean(transactions(spark, sf_dir), PARAMS), attributes=attributes)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -103,7 +103,7 @@ def clean_transactions(spark, sf_dir):
 
 @query("weekly_panel", _with(_PANEL) + f" SELECT {_K}, {_r('qty', 'qty')}, {_r('gross', 'gross')}, categoria, premise, subcategoria, fabricante FROM pn")
 def weekly_panel(spark, sf_dir):
-    return rounded(weekly(spark, sf_dir))
+    return rounded(weekly(spark, sf_dir, *panel.ATTRIBUTES))
 
 
 @query("weekly_panel_iso", _with(_TX) + f" SELECT CAST(week(ts) AS INTEGER) AS semana_do_ano, pdv, prod AS produto, {_r('sum(q)', 'quantity_total')} FROM cl GROUP BY ALL")
@@ -121,7 +121,7 @@ SELECT CAST(37 AS BIGINT) AS week_of_year, coalesce(a.pdv, b.pdv) AS pdv, coales
 FROM a FULL JOIN b ON a.pdv = b.pdv AND a.internal_product_id = b.internal_product_id""",
 )
 def interpolate_week(spark, sf_dir):
-    return rounded(panel.interpolated_week(weekly(spark, sf_dir), 37))
+    return rounded(panel.interpolated_week(weekly(spark, sf_dir, *panel.ATTRIBUTES), 37))
 
 
 @query(
@@ -371,7 +371,7 @@ def _dummy_sql(column: str) -> str:
 
 @query("one_hot_top10", _with(_PANEL, _rank_sql("categoria", "categoria_r"), _rank_sql("premise", "premise_r")) + f" {_dummy_sql('categoria')} UNION ALL {_dummy_sql('premise')}")
 def one_hot_top10(spark, sf_dir):
-    return _melted(*categorical.one_hot(weekly(spark, sf_dir), PARAMS))
+    return _melted(*categorical.one_hot(weekly(spark, sf_dir, "categoria", "premise"), PARAMS))
 
 
 @query(
@@ -380,7 +380,7 @@ def one_hot_top10(spark, sf_dir):
     + f" SELECT {_K}, {_r('ln(1 + a.n)', 'subcategoria_log_freq')}, a.freq_rank AS subcategoria_freq_rank, {_r('ln(1 + b.n)', 'fabricante_log_freq')}, b.freq_rank AS fabricante_freq_rank FROM pn LEFT JOIN a ON a.value = subcategoria LEFT JOIN b ON b.value = fabricante",
 )
 def freq_features(spark, sf_dir):
-    df, names = categorical.frequencies(weekly(spark, sf_dir), PARAMS)
+    df, names = categorical.frequencies(weekly(spark, sf_dir, "subcategoria", "fabricante"), PARAMS)
     return rounded(df, *_KEYS, *names)
 
 
@@ -393,7 +393,7 @@ p AS (SELECT freq_rank * 4 + CASE num WHEN 'lag_1' THEN 0 WHEN 'lag_2' THEN 1 WH
 SELECT name, {_r('total', 'total')} FROM p ORDER BY pos LIMIT 15""",
 )
 def interactions(spark, sf_dir):
-    df = weekly(spark, sf_dir)
+    df = weekly(spark, sf_dir, "categoria")
     wide = features.rolling(8, 4)["rmean_8"]
     df = features.basic_features(df, PARAMS).withColumn("rmean_8", F.coalesce(wide, F.lit(0.0)))
     df, dummies = categorical.one_hot(df, PARAMS)
@@ -402,7 +402,7 @@ def interactions(spark, sf_dir):
 
 @query("category_context", _with(_PANEL) + f" SELECT categoria AS value, {_r('avg(qty)', 'mean')}, {_r('coalesce(stddev_samp(qty), 0)', 'std')}, count(qty) AS count, {_r('quantile_cont(qty, 0.5)', 'median')}, {_r('quantile_cont(qty, 0.25)', 'q1')}, {_r('quantile_cont(qty, 0.75)', 'q3')} FROM pn GROUP BY categoria")
 def category_context(spark, sf_dir):
-    return rounded(categorical.category_context(weekly(spark, sf_dir), "categoria", wide=True))
+    return rounded(categorical.category_context(weekly(spark, sf_dir, "categoria"), "categoria", wide=True))
 
 
 # ---- prices ------------------------------------------------------------------------------------------------------
@@ -480,7 +480,7 @@ def first_per_key(spark, sf_dir):
 
 @query("last_per_key", _with(_PANEL) + f" SELECT pdv, internal_product_id, max(week_of_year) AS week_of_year, {_r('arg_max(qty, week_of_year)', 'qty')}, arg_max(categoria, week_of_year) AS categoria FROM pn GROUP BY ALL")
 def last_per_key(spark, sf_dir):
-    return rounded(explore.last_per_key(weekly(spark, sf_dir)), *panel.KEYS, "week_of_year", "qty", "categoria")
+    return rounded(explore.last_per_key(weekly(spark, sf_dir, "categoria")), *panel.KEYS, "week_of_year", "qty", "categoria")
 
 
 @query("cross_weeks", _with(_TX) + " SELECT t.pdv, t.produto, CAST(w AS INTEGER) AS semana_do_ano FROM (SELECT pdv, prod AS produto FROM cl GROUP BY ALL ORDER BY sum(q) DESC, pdv, prod LIMIT 250) t, generate_series(1, 5) s(w)")
