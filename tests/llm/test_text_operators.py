@@ -95,13 +95,18 @@ def test_redaction(spark):
         ("four one one one one one one one one one one one one one one one", "card", "four one one one one one one one one one one one one one one one"),
         ("at 192 dot 168 dot 1 dot 10.", "ip", "192 dot 168 dot 1 dot 10"),
         ("10[.]0[.]0[.]1 x", "ip", "10[.]0[.]0[.]1"),
+        ("at one nine two dot one six eight dot one dot two zero.", "ip", "one nine two dot one six eight dot one dot two zero"),
+        ("jane-at-example-dot-org", "email", "jane-at-example-dot-org"),
+        ("jane&#64;example&#46;org!", "email", "jane&#64;example&#46;org"),
+        ("jane%40example.org", "email", "jane%40example.org"),
+        ("card ４１１１ 1111 1111 １１１１ x", "card", "４１１１ 1111 1111 １１１１"),
     ],
 )
 def test_disguises_map_back_to_the_source(text, kind, span):
     assert (kind, span) in [(k, text[a:b]) for k, a, b in pii.scan_text(text)]
 
 
-@pytest.mark.parametrize("text", ["hosted at example.com and (dot) more", "one two three four five", "we met at home. Then [at] noon", "look at this dot", "Привет мир", "naïve café – 3 − 1"])
+@pytest.mark.parametrize("text", ["hosted at example.com and (dot) more", "one two three four five", "we met at home. Then [at] noon", "look at this dot", "a state-of-the-art look-at-me.now (d) 10 %", "Привет мир", "naïve café – 3 − 1"])
 def test_clean_texts_stay_clean(text):
     assert pii.scan_text(text) == []
 

@@ -44,13 +44,16 @@ _SPELLED = {
     "zéro": "0", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
 }
 _WORD_DIGIT = "|".join(sorted(_SPELLED, key=len, reverse=True))
-#: Spelled digits count from four in a row on, digits in figures among them.
+#: Spelled digits count from four in a row on, digits in figures and spelled dots among them.
 _DIGIT = rf"(?:{_WORD_DIGIT}|[0-9]|double (?:{_WORD_DIGIT}))"
-_SPELLED_RUN = re.compile(rf"(?<!\w)(?:\+ ?|plus )?{_DIGIT}(?:[ ,.-]{{1,3}}{_DIGIT}){{3,}}(?!\w)", re.IGNORECASE)
+_SPELLED_DOT = r"\s(?:dot|point|punkt|punto)\s"
+_SPELLED_RUN = re.compile(rf"(?<!\w)(?:\+ ?|plus )?{_DIGIT}(?:(?:[ ,.-]{{1,3}}|{_SPELLED_DOT}){_DIGIT}){{3,}}(?!\w)", re.IGNORECASE)
 _SPELLED_ONE = re.compile(rf"(?<!\w)(?:{_WORD_DIGIT})(?!\w)", re.IGNORECASE)
-_MAYBE_SPELLED = re.compile(rf"(?<!\w)(?:{_WORD_DIGIT})[ ,.-]{{1,3}}(?:{_WORD_DIGIT}|[0-9])(?!\w)", re.IGNORECASE)
-_AT, _DOT = r"(?:\s?[\[({<]\s?(?:at|@|arroba)\s?[\])}>]\s?|\s(?:at|AT)\s|\s@\s)", r"(?:\s?[\[({<]\s?(?:dot|punkt|punto|point|\.)\s?[\])}>]\s?|\s(?:dot|DOT)\s|\s\.\s)"
-_BRACKETED = re.compile(r"[\[({<]\s?(?:at|@|arroba|dot|punkt|punto|point|\.)\s?[\])}>]|\sdot\s|\s@\s", re.IGNORECASE)
+_MAYBE_SPELLED = re.compile(rf"(?<!\w)(?:{_WORD_DIGIT})(?:[ ,.-]{{1,3}}|{_SPELLED_DOT})(?:{_WORD_DIGIT}|[0-9])(?!\w)", re.IGNORECASE)
+_OPEN, _SHUT = r"\s?[\[({<]\s?", r"\s?[\])}>]\s?"
+_AT = rf"(?:{_OPEN}(?:at|@|arroba){_SHUT}|&#0*64;|&#x0*40;|&commat;|%40|\sat\s|\s?-\s?at\s?-\s?|\s@\s)"
+_DOT = rf"(?:{_OPEN}(?:dot|punkt|punto|point|\.){_SHUT}|&#0*46;|&#x0*2e;|&period;|%2e|\sdot\s|\s?-\s?dot\s?-\s?|\s\.\s)"
+_BRACKETED = re.compile(rf"{_OPEN}(?:at|@|arroba|dot|punkt|punto|point|\.){_SHUT}|&#0*(?:64|46);|&#x0*(?:40|2e);|&commat;|&period;|%40|%2e|\sdot\s|\s@\s|-\s?dot\s?-", re.IGNORECASE)
 _NAME, _LABEL = r"[A-Za-z0-9_%+-]{1,64}", r"[A-Za-z0-9-]{1,63}"
 _DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:\.|{_DOT}){_NAME})*(?:{_AT}|@){_LABEL}(?:(?:\.|{_DOT}){_LABEL})+", re.IGNORECASE)
 _DISGUISED_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
@@ -130,7 +133,7 @@ def _undotted(m: re.Match) -> str:
 def _is_meant(address: str) -> bool:
     """"at" as a plain word is prose ("hosted at example.com") unless a disguised dot follows."""
     parts = list(_PART.finditer(address))
-    bare = [p for p in parts if p["at"] and p["at"].strip().lower() == "at"]
+    bare = [p for p in parts if p["at"] and p["at"].strip(" -\t\n").lower() == "at"]
     return not bare or any(p["dot"] and p.start() > bare[0].start() for p in parts)
 
 
@@ -154,8 +157,8 @@ def _spelled(t: Traced) -> Traced:
     def figures(m: re.Match) -> str:
         plus = "+" if re.match(r"\+|plus ", m[0], re.IGNORECASE) else ""
         body = re.sub(rf"double ({_WORD_DIGIT})", lambda d: _SPELLED[d[1].lower()] * 2, m[0], flags=re.IGNORECASE)
-        digits = _SPELLED_ONE.sub(lambda d: _SPELLED[d[0].lower()], body)
-        return plus + re.sub(r"[^0-9]", "", digits) if _SPELLED_ONE.search(m[0]) else m[0]
+        digits = _SPELLED_ONE.sub(lambda d: _SPELLED[d[0].lower()], re.sub(_SPELLED_DOT, "\x00", body, flags=re.IGNORECASE))
+        return plus + re.sub(r"[^0-9\x00]", "", digits).replace("\x00", ".") if _SPELLED_ONE.search(m[0]) else m[0]
 
     return t.rewrite(_SPELLED_RUN, figures)
 
