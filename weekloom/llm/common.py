@@ -20,7 +20,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if shared is None:
         shared = sc.getCheckpointDir()
     if shared is None:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="weekloom-")
     if sc.getCheckpointDir() is None:
