@@ -26,7 +26,7 @@ from weekloom.llm.vectors import clean, matrix
 
 LEAST_COSINE = 0.93
 MARGIN = 0.15
-#: Vectors the centroids are fitted on at most (all are indexed), vectors a cell should hold, and most cells.
+#: Vectors the centroids are fitted on, about, at most (all are indexed), vectors a cell should hold, and most cells.
 SAMPLE, CELL, MOST_CELLS = 16_384, 1024, 1024
 TILE = 1024
 
@@ -49,8 +49,10 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def fit(vectors: DataFrame, n: int, sample: int = SAMPLE) -> dict[int, np.ndarray]:
-    """Centroids for each dimension, from the sample rows (vec_id, dim, vec) of smallest hash."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("dim", "vec").collect()
+    """Centroids for each dimension, from the n rows (vec_id, dim, vec) whose hash is in the first sample / n of its range."""
+    share = min(1.0, sample / max(n, 1))
+    chosen = vectors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("vec_id", "dim", "vec")
+    rows = sorted(chosen.collect())
     by_dim: dict[int, list[bytes]] = {}
     for r in rows:
         by_dim.setdefault(r.dim, []).append(bytes(r.vec))
