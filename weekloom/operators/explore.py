@@ -162,3 +162,13 @@ def with_dims(facts: DataFrame, products: DataFrame, stores: DataFrame, product:
 def split(panel: DataFrame, train_until: int = 44, valid_from: int = 45, valid_until: int = 52) -> tuple[DataFrame, DataFrame]:
     w = F.col("week_of_year")
     return panel.filter(w <= train_until), panel.filter(w.between(valid_from, valid_until))
+
+
+def with_features(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with all the named feature columns: those it lacks are 0."""
+    return df.withColumns({n: F.lit(0.0) for n in names if n not in df.columns})
+
+
+def plan_size(df: DataFrame) -> int:
+    """Bytes that the optimiser expects of df, without running it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from weekloom.functions import scalar
 from weekloom.operators import categorical, explore, features, forecast, outliers, panel, prices
 from weekloom.params import Params
-from weekloom.sources import tables
+from weekloom.plans import pipeline
+from weekloom.sources import sinks, tables
+from weekloom.streaming import weekly as stream_weekly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -809,5 +811,84 @@ def loss_tournament(spark, sf_dir):
     return forecast.tournament(train, valid, names, params=_SMALL)
 
 
+# ---- further operators -------------------------------------------------------------------------------------------
+
+
+@query(
+    "repair_week",
+    _with(_PANEL, "p36 AS (SELECT * FROM pn WHERE week_of_year = 36), p38 AS (SELECT * FROM pn WHERE week_of_year = 38)")
+    + f""", al AS (SELECT week_of_year, qty, gross FROM pn UNION ALL
+  SELECT 37, (coalesce(a.qty, 0) + coalesce(b.qty, 0)) / 2, (coalesce(a.gross, 0) + coalesce(b.gross, 0)) / 2 FROM p36 a FULL JOIN p38 b ON a.pdv = b.pdv AND a.internal_product_id = b.internal_product_id)
+SELECT CAST(week_of_year AS BIGINT) AS week_of_year, count(*) AS n, {_r('sum(qty)', 'qty')}, {_r('sum(gross)', 'gross')} FROM al GROUP BY 1""",
+)
+def repair_week(spark, sf_dir):
+    df = panel.repair_week(weekly(spark, sf_dir), 37)
+    return rounded(df.groupBy("week_of_year").agg(F.count("*").alias("n"), F.sum("qty").alias("qty"), F.sum("gross").alias("gross")))
+
+
+@query("value_counts", _with(_PANEL, _rank_sql("fabricante", "v")) + " SELECT value, n, CAST(freq_rank AS INTEGER) AS freq_rank FROM v")
+def value_counts(spark, sf_dir):
+    return categorical.value_counts(weekly(spark, sf_dir, "fabricante"), "fabricante")
+
+
+@query("label_codes", "SELECT p_type AS categoria, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS DOUBLE) AS categoria_code, count(*) AS n FROM part GROUP BY p_type")
+def label_codes(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.col("p_type").alias("categoria")).agg(F.count("*").alias("n"))
+    return categorical.label_codes(df, ["categoria"]).transform(df).select("categoria", "categoria_code", "n")
+
+
+@query("category_embedding")
+def category_embedding(spark, sf_dir):
+    df = categorical.category_embedding(weekly(spark, sf_dir, "categoria"), "categoria")
+    from pyspark.ml.functions import vector_to_array
+
+    return df.select("value", vector_to_array("embedding").alias("embedding"))
+
+
+_STORES = "CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'desconhecido' WHEN 3 THEN 'x' || s_suppkey ELSE CAST(s_suppkey AS {}) END"
+
+
+@query("valid_stores", f"SELECT CAST(pdv AS BIGINT) AS pdv FROM (SELECT {_STORES.format('VARCHAR')} AS pdv FROM supplier) WHERE regexp_full_match(pdv, '[0-9]+')")
+def valid_stores(spark, sf_dir):
+    return panel.valid_stores(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.expr(_STORES.format("STRING")).alias("pdv")))
+
+
+@query("rejected_stores", "SELECT CASE s_suppkey % 5 WHEN 0 THEN 'null' WHEN 3 THEN 'junk' ELSE 'unknown' END AS reason, count(*) AS count FROM supplier WHERE s_suppkey % 5 < 4 GROUP BY 1")
+def rejected_stores(spark, sf_dir):
+    return panel.rejected_stores(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.expr(_STORES.format("STRING")).alias("pdv")))
+
+
+@query("null_counts", _with(_DIMS) + " SELECT count(*) FILTER (WHERE categoria IS NULL) AS categoria, count(*) FILTER (WHERE premise IS NULL) AS premise FROM lineitem LEFT JOIN dp ON l_partkey = produto LEFT JOIN ds ON l_suppkey = pdv")
+def null_counts(spark, sf_dir):
+    return explore.null_counts(explore.with_dims(*_facts_and_dims(spark, sf_dir)).select("categoria", "premise"))
+
+
+@query("total_by_premise", _with(_TX) + f" SELECT premise, {_r('sum(q)', 'total')} FROM cl GROUP BY premise ORDER BY sum(q) DESC, premise LIMIT 5")
+def total_by_premise(spark, sf_dir):
+    return rounded(explore.top_totals(transactions(spark, sf_dir), ["premise"], 5, "quantity"))
+
+
+@query("histogram_density", _with(_PANEL, "x AS (SELECT ln(1 + qty) AS x FROM pn WHERE qty > 0)", "e AS (SELECT min(x) AS lo, (max(x) - min(x)) / 50 AS w, count(*) AS n FROM x)") + f" SELECT CAST(least(floor((x - lo) / w), 49) AS BIGINT) AS bin, {_r('count(*) / (any_value(e.n) * any_value(w))', 'n')} FROM x, e GROUP BY 1")
+def histogram_density(spark, sf_dir):
+    return rounded(explore.histogram(weekly(spark, sf_dir), density=True))
+
+
+@query("events_weekly", "SELECT event_type, date_trunc('week', ts)::TIMESTAMP AS week_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def events_weekly(spark, sf_dir):
+    df = stream_weekly.weekly_totals(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return df.select("event_type", F.col("week.start").cast("timestamp_ntz").alias("week_start"), "n", F.round("total", 4).alias("total"))
+
+
+@query("comprehensive_features")
+def comprehensive_features(spark, sf_dir):
+    df, names = pipeline.comprehensive_features(weekly(spark, sf_dir, *panel.ATTRIBUTES), PARAMS)
+    return df.select(*_KEYS, "qty", *(n for n in names if n not in _KEYS))
+
+
+@query("feature_kinds", "SELECT * FROM (VALUES ('lag_1', 'numerical'), ('categoria_PROMO', 'categorical'), ('premise_NATION_1', 'categorical'), ('fabricante_log_freq', 'numerical')) t(feature_name, feature_type)")
+def feature_kinds(spark, sf_dir):
+    return sinks.feature_kinds(spark, ["lag_1", "categoria_PROMO", "premise_NATION_1", "fabricante_log_freq"])
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling_basic(spark, sf_dir)
