@@ -6,8 +6,10 @@ solve a convex dual. Its gradient and curvature are sums over documents that dep
 Newton step is one aggregation over a table of (source, size, count), done for all sources at once; a step that leaves
 the bracket known so far is replaced by its middle.
 
-Rates become copies within small buckets of each source, from the longest document to the shortest: a rate is rounded
-down or up, whichever keeps the words taken nearest to the words wanted so far. A source of any size is many buckets.
+Rates become copies within small buckets of each source, from the longest document to the shortest: each takes the
+number of copies that keeps the words taken nearest to the words its rate and those before it ask for. That is the rate
+rounded down or up unless long documents have left more than a short one's size over. A source of any size is many
+buckets.
 """
 
 from __future__ import annotations
@@ -76,15 +78,15 @@ def tilts(sizes: DataFrame, wanted: DataFrame, most: float = MOST) -> DataFrame:
     return wanted.join(state.select(*_KEY, "mean", "tilt"), _KEY, "left")
 
 
-def _rounded(rows: Column) -> Column:
-    """Copies for an array of (minus size, doc_id, rate): the rate down or up, toward the words wanted so far."""
+def _rounded(rows: Column, most: float) -> Column:
+    """Copies, 0 to most, for an array of (minus size, doc_id, rate), toward the words wanted so far."""
     start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<struct<doc_id:bigint,size:bigint,rate:double,copies:bigint>>").alias("out"))
 
     def add(state: Column, row: Column) -> Column:
         size = -row["minus"]
         owed = state["owed"] + row["rate"] * size
-        down, up = F.floor(row["rate"]), F.ceil(row["rate"])
-        copies = F.when(size <= 0, F.lit(0).cast("bigint")).when(owed - down * size <= up * size - owed, down).otherwise(up).cast("bigint")
+        near = F.rint(owed / F.nullif(size, F.lit(0).cast("bigint")))
+        copies = F.coalesce(F.least(F.greatest(near, F.lit(0.0)), F.floor(F.lit(most))), F.lit(0.0)).cast("bigint")
         made = F.struct(row["doc_id"].alias("doc_id"), size.alias("size"), row["rate"].alias("rate"), copies.alias("copies"))
         return F.struct((owed - copies * size).alias("owed"), F.concat(state["out"], F.array(made)).alias("out"))
 
@@ -109,7 +111,7 @@ def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tupl
     spread = solved.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = own.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
     rated = salted.join(spread, [*_KEY, "salt"]).select(*_KEY, "source_size", "target", bucket.alias("bucket"), F.struct((-F.col("size")).alias("minus"), "doc_id", F.least(rate, F.lit(float(most))).alias("rate")).alias("row"))
-    made = rated.groupBy(*_KEY, "source_size", "target", "bucket").agg(_rounded(F.sort_array(F.collect_list("row"))).alias("rows"))
+    made = rated.groupBy(*_KEY, "source_size", "target", "bucket").agg(_rounded(F.sort_array(F.collect_list("row")), float(most)).alias("rows"))
     return made.select("source_size", "target", F.explode("rows").alias("r")).select("r.doc_id", "r.size", "source_size", "target", "r.rate", "r.copies")
 
 
