@@ -28,7 +28,7 @@ from weekloom.llm.common import checkpoint_dir, slices, strings
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
-#: Parts of texts that a worker's cache holds before it starts anew.
+#: Parts of texts that a worker's cache holds before it drops the less used.
 MOST_PARTS = 400_000
 #: Files up to which the manifest, of 12 bytes a file, is broadcast.
 MOST_BROADCAST = 100_000
@@ -75,7 +75,30 @@ class Encoder:
     def _reset(self) -> None:
         self.parts = _Parts()
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.starts, self.lengths = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.starts, self.lengths, self.uses = (np.zeros(1 << 12, np.int64) for _ in range(3))
+
+    def _shrink(self) -> None:
+        """Keep the half of the parts that was used most."""
+        n = len(self.parts)
+        keep = np.sort(np.argsort(-self.uses[:n], kind="stable")[: MOST_PARTS // 2])
+        names, lengths, ids = list(self.parts), self.lengths[keep], self._ids(keep)
+        self._reset()
+        self.parts.update({names[i]: at for at, i in enumerate(keep.tolist())})
+        self._store(np.arange(len(keep)), ids, lengths)
+
+    def _ids(self, index: np.ndarray) -> np.ndarray:
+        """The ids of parts, in a row."""
+        n = self.lengths[index]
+        return self.flat[np.repeat(self.starts[index] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+    def _store(self, at: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        while len(self.parts) > len(self.starts):
+            self.starts, self.lengths, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.uses))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.starts[at], self.lengths[at] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths) of words of letters, which are one pre-token each."""
@@ -92,17 +115,10 @@ class Encoder:
         """Encode the queued parts."""
         first, new = len(self.parts) - len(self.parts.new), self.parts.new
         is_word = np.fromiter((_LETTERS.fullmatch(x) is not None for x in new), bool, len(new))
-        while len(self.parts) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
         for where, how in ((is_word, self._words), (~is_word, self._any)):
             at = np.flatnonzero(where)
             if len(at):
-                ids, n = how([new[i] for i in at])
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                self.starts[first + at], self.lengths[first + at] = self.used + np.cumsum(n) - n, n
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
+                self._store(first + at, *how([new[i] for i in at]))
         self.parts.new = []
 
     @staticmethod
@@ -112,17 +128,15 @@ class Encoder:
     def encode(self, texts: list[str], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the offsets of each text (one more than texts). With end, each text ends with that id."""
         if len(self.parts) > MOST_PARTS:
-            self._reset()
+            self._shrink()
         take = self.parts.__getitem__
         index = [np.fromiter(map(take, self._cut(t)), np.int64) for t in texts]
         if self.parts.new:
             self._learn()
         counts = [len(x) for x in index]
         every = np.concatenate(index) if index else np.zeros(0, np.int64)
-        n, source = self.lengths[every], self.starts[every]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(source - (ends - n), n) + np.arange(total)]
+        self.uses[: len(self.parts)] += np.bincount(every, minlength=len(self.parts))
+        ids, ends = self._ids(every), np.cumsum(self.lengths[every])
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
         if end is None:
             return ids, bounds
