@@ -1,8 +1,8 @@
 """Forecasts: features from a history array, recursive, direct and frozen-mean strategies, and boosted-tree models.
 
 State is one row for each key with its last values in a bounded array; a step computes the same features as training
-does, with array functions, scores all keys at once, and appends the result. Five steps are one lineage of projections:
-no shuffle, no collect.
+does, with array functions, scores all keys at once, and appends the result: no shuffle, no collect. Each step's scores
+are written to the checkpoint folder, so that later steps and the union of all weeks don't compute them again.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from weekloom.operators.explore import metrics
 from weekloom.operators.features import percent_changes, ratios_and_changes
 from weekloom.operators.panel import KEYS
 from weekloom.params import Params
+from weekloom.sources.stages import settle
 
 
 def histories(panel: DataFrame, keep: int = 24, least: int = 12, statics: list[str] | None = None) -> DataFrame:
@@ -105,7 +106,7 @@ def recursive_forecast(state: DataFrame, score, weeks: tuple[int, ...], last_wee
     keep, base, out = params.history_kept, list(state.columns), None
     for w in weeks:
         scored = score(history_features(state, F.lit(w).cast("bigint"), F.lit(last_week), params, advanced))
-        scored = scored.select(*base, F.greatest(F.col("prediction"), F.lit(0.0)).alias("predicted"))
+        scored = settle(scored.select(*base, F.greatest(F.col("prediction"), F.lit(0.0)).alias("predicted")))
         rows = scored.select(F.lit(w).alias("semana"), "pdv", F.col("internal_product_id").alias("produto"), thresholded(F.col("predicted")).alias("quantidade"), "predicted")
         out = rows if out is None else out.unionByName(rows)
         longer = last_values(F.concat("hist", F.array("predicted")), keep)
@@ -128,7 +129,8 @@ def frozen_mean_forecast(frame: DataFrame, score, weeks: tuple[int, ...], partia
     """
     base, out = frame.columns, None
     for w in weeks:
-        scored = score(frame.withColumn("semana_do_ano", F.lit(w))).withColumn("predicted", F.greatest(F.col("prediction"), F.lit(0.0)))
+        scored = score(frame.withColumn("semana_do_ano", F.lit(w))).select(*base, F.greatest(F.col("prediction"), F.lit(0.0)).alias("predicted"))
+        scored = settle(scored)
         factor = F.lit(float((partial or {}).get(w, 1.0)))
         rows = scored.select(F.lit(w).alias("semana"), "pdv", F.col("internal_product_id").alias("produto"), half_even(F.col("predicted") * factor).cast("int").alias("quantidade"))
         out = rows if out is None else out.unionByName(rows)
