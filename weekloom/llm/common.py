@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that are turned into Python objects at a time.
-SLICE = 512
+from weekloom.sources.stages import checkpoint_dir, settle
 
+__all__ = ["SLICE", "checkpoint_dir", "forest", "raw", "settle", "slices", "strings", "tiled"]
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of this machine only where none is set and Spark is local."""
-    sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if shared is None:
-        shared = sc.getCheckpointDir()
-    if shared is None:
-        if sc.master != "local" and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="weekloom-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared)
-    return shared
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder once; what follows reads that, also after an executor is lost."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Rows of an Arrow batch that are turned into Python objects at a time.
+SLICE = 512
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
