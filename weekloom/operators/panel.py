@@ -16,13 +16,13 @@ ATTRIBUTES = ["categoria", "premise", "subcategoria", "tipos", "label", "fabrica
 def valid_stores(df: DataFrame, params: Params = Params()) -> DataFrame:
     """Rows with a known store, its id a number; junk ids go."""
     known = F.col("pdv").isNotNull() & ~F.col("pdv").cast("string").isin("", params.unknown_store)
-    return df.filter(known).withColumn("pdv", F.try_to_number(F.col("pdv").cast("string"), F.lit("9" * 18)).cast("bigint") if dict(df.dtypes)["pdv"] == "string" else F.col("pdv").cast("bigint")).filter(F.col("pdv").isNotNull())
+    return df.filter(known).withColumn("pdv", F.col("pdv").cast("string").try_cast("bigint")).filter(F.col("pdv").isNotNull())
 
 
 def rejected_stores(df: DataFrame, params: Params = Params()) -> DataFrame:
     """How many rows valid_stores leaves out, by reason."""
     text = F.col("pdv").cast("string")
-    reason = F.when(text.isNull(), "null").when(text.isin("", params.unknown_store), "unknown").when(~text.rlike("^[0-9]{1,18}$"), "junk")
+    reason = F.when(text.isNull(), "null").when(text.isin("", params.unknown_store), "unknown").when(text.try_cast("bigint").isNull(), "junk")
     return df.groupBy(reason.alias("reason")).count().filter(F.col("reason").isNotNull())
 
 
@@ -141,5 +141,5 @@ def interpolated_totals(totals: DataFrame) -> DataFrame:
     point = F.when(F.col("v").isNotNull(), F.struct("i", "v"))
     at = at.withColumn("p", F.last(point, True).over(order)).withColumn("q", F.first(point, True).over(order.rowsBetween(0, Window.unboundedFollowing)))
     line = F.col("p.v") + (F.col("q.v") - F.col("p.v")) * (F.col("i") - F.col("p.i")) / (F.col("q.i") - F.col("p.i"))
-    value = F.when(F.col("v").isNotNull() | F.col("p").isNull(), F.col("v")).when(F.col("q").isNull(), F.col("p.v")).otherwise(F.try_divide(line, F.lit(1.0)))
+    value = F.when(F.col("v").isNotNull() | F.col("p").isNull(), F.col("v")).when(F.col("q").isNull(), F.col("p.v")).otherwise(line)
     return at.select("week_end", value.alias("total"))
