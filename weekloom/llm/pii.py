@@ -175,8 +175,8 @@ def deobfuscate(text: str) -> Traced:
 
 
 def scan_text(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in code points of the source: all plain spans, and those that only the normalised text shows
-    and that meet no plain span; by kind as listed, then start."""
+    """(kind, start, end) in code points of the source: all plain spans, and those that only the normalised text shows,
+    which a plain span of the kind may be a part of but never the whole of; by kind as listed, then start."""
     plain = detect(text)
     if not text or not _disguised(text):
         return plain
@@ -185,7 +185,7 @@ def scan_text(text: str) -> list[tuple[str, int, int]]:
     if traced.text != text:
         for kind, a, b in detect(traced.text):
             start, end = traced.spans[a][0], traced.spans[b - 1][1]
-            if not any(start < y and x < end for _, x, y in plain):
+            if not any(k == kind and x <= start and end <= y for k, x, y in plain):
                 found.add((kind, start, end))
     return sorted(found, key=lambda s: (KINDS.index(s[0]), s[1]))
 
