@@ -2,8 +2,9 @@
 
 The test for random strings: prose and identifiers take few tokens of a public byte-level vocabulary, 3 or more
 characters each; random base64, hex or key material takes about one token for every 1.5 characters. Runs of key
-characters that mix character classes are encoded with tiktoken; those with few characters a token are secrets, unless
-they are digests of known lengths, UUIDs, numbers, or names made of words.
+characters are encoded with tiktoken; those with few characters a token are secrets, unless they are digests of known
+lengths, UUIDs, numbers, lists of one or two characters, or names made of words. Words joined to a key dilute it: of a
+run that is not random as a whole, what lies between its words is scored, and each part between separators.
 
 Long runs are found in numpy over the UTF-8 bytes; regular expressions then look at those runs only.
 """
@@ -38,6 +39,11 @@ _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 _ANY_HEX = re.compile(r"[0-9a-fA-F]+")
 #: Words of one case, or capitalised, with separators and short numbers between them.
 _NAME = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})(?:[_/=+-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}))*[_/=+-]*")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: What separators delimit; a UUID is one part.
+_PART = re.compile(rf"{_UUID.pattern}|[A-Za-z0-9]+")
+#: Shortest name that parts a run, and least longest part of several that are scored as one.
+LEAST_NAME, LEAST_PART = 4, 8
 _IN_RUN = np.zeros(256, bool)
 _IN_RUN[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", np.uint8)] = True
 
@@ -65,21 +71,63 @@ def _long_runs(data: bytes, least: int = 16) -> list[tuple[int, int]]:
     return list(zip(starts[keep].tolist(), ends[keep].tolist()))
 
 
-def is_known(run: str) -> bool:
-    """A digest of a usual length, a UUID, a number, or a name made of words."""
+def is_name(core: str, ranks: str = RANKS, most: float = MOST_CHARS_PER_TOKEN) -> bool:
+    """Made of words in the usual spellings of names, and these, in lower case, take as few tokens as words do."""
+    digits_apart = re.sub(r"[0-9]+", lambda m: m[0] if len(m[0]) < 5 else "_", core)
+    if not _NAME.fullmatch(digits_apart):
+        return False
+    words = [w.lower() for w in _WORD.findall(core)]
+    return sum(map(len, words)) >= most * sum(len(encoding(ranks).encode_ordinary(w)) for w in words)
+
+
+def is_known(run: str, ranks: str = RANKS, most: float = MOST_CHARS_PER_TOKEN) -> bool:
+    """A digest of a usual length, a UUID, a number, a list of one or two characters, or a name made of words."""
     core = run.strip("=-_/+")
     if _ANY_HEX.fullmatch(core):
         return core.isdigit() or len(core) in DIGEST_LENGTHS
-    if _UUID.fullmatch(core) or not re.search(r"[0-9]", core) or not re.search(r"[A-Za-z]", core):
+    if _UUID.fullmatch(core) or not re.search(r"[A-Za-z]", core):
         return True
-    digits_apart = re.sub(r"[0-9]+", lambda m: m[0] if len(m[0]) < 5 else "_", core)
     words = re.findall(r"[A-Za-z]+", core)
-    return bool(_NAME.fullmatch(digits_apart)) and max(map(len, words)) >= 5 and sum(map(len, words)) / len(words) >= 3.5
+    if not re.search(r"[0-9]", core) and max(map(len, words)) <= 2:
+        return True
+    return max(map(len, words)) >= 5 and sum(map(len, words)) / len(words) >= 3.5 and is_name(core, ranks, most)
 
 
 def is_dense(run: str, ranks: str = RANKS, most: float = MOST_CHARS_PER_TOKEN) -> bool:
     """Few characters a token, and not a known digest or identifier."""
-    return not is_known(run) and len(run) < most * len(encoding(ranks).encode_ordinary(run))
+    return len(run) < most * len(encoding(ranks).encode_ordinary(run)) and not is_known(run, ranks, most)
+
+
+def _parts_run(part: str, ranks: str) -> bool:
+    """Whether a part of a run is no piece of a key: a UUID, a digest, or a name."""
+    if _UUID.fullmatch(part) or (_ANY_HEX.fullmatch(part) and len(part) in DIGEST_LENGTHS):
+        return True
+    return len(part) >= LEAST_NAME and not part.isdigit() and is_name(part, ranks)
+
+
+def dense_spans(run: str, ranks: str = RANKS, free=lambda a, b: True) -> list[tuple[int, int]]:
+    """(start, end) of what is random in a run of key characters and free: all of it; else what lies between names, if
+    that is random with its separators; else single parts. Each has LEAST_RUN characters or more."""
+
+    def fits(a: int, b: int) -> bool:
+        return b - a >= LEAST_RUN and free(a, b) and is_dense(run[a:b], ranks)
+
+    if fits(0, len(run)):
+        return [(0, len(run))]
+    groups: list[list[tuple[int, int]]] = [[]]
+    for m in _PART.finditer(run):
+        if _parts_run(m[0], ranks):
+            groups += [[m.span()], []]
+        else:
+            groups[-1].append(m.span())
+    found = []
+    for some in filter(None, groups):
+        whole = (some[0][0], some[-1][1])
+        if len(some) > 1 and max(b - a for a, b in some) >= LEAST_PART and fits(*whole):
+            found.append(whole)
+        else:
+            found += [span for span in some if fits(*span)]
+    return found
 
 
 def scan_text(text: str, ranks: str = RANKS) -> list[tuple[str, int, int]]:
@@ -103,8 +151,10 @@ def scan_text(text: str, ranks: str = RANKS) -> list[tuple[str, int, int]]:
             found += [("hex", a + m.start(), a + m.end()) for m in HEX.finditer(run)]
         taken = sorted((a, b) for _, a, b in found)
         for a, b in runs:
-            if b - a >= LEAST_RUN and not any(a < y and x < b for x, y in taken) and is_dense(text[a:b], ranks):
-                found.append(("dense", a, b))
+            if b - a >= LEAST_RUN:
+                near = [(x - a, y - a) for x, y in taken if a < y and x < b]
+                free = lambda p, q: not any(p < y and x < q for x, y in near)  # noqa: B023, E731
+                found += [("dense", a + p, a + q) for p, q in dense_spans(text[a:b], ranks, free)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
