@@ -140,6 +140,38 @@ def test_clean_texts_stay_clean(text):
     assert pii.scan_text(text) == []
 
 
+@pytest.mark.parametrize(
+    "text, kind, span",
+    [
+        ("to jane@example . com now", "email", "jane@example . com"),
+        ("to jane.doe@mail . example . org now", "email", "jane.doe@mail . example . org"),
+        ("to jane@example . com . Then we left", "email", "jane@example . com"),
+        ("john -at- example . com", "email", "john -at- example . com"),
+        ("met at home . jane (at) example (dot) com", "email", "jane (at) example (dot) com"),
+        ("on 10 . 0 . 0 . 1 today", "ip", "10 . 0 . 0 . 1"),
+        ("plus double four double seven double nine double five double one", "phone", "plus double four double seven double nine double five double one"),
+        ("4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 one", "card", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 one"),
+    ],
+)
+def test_disguises_that_stand_alone(text, kind, span):
+    assert (kind, span) in [(k, text[a:b]) for k, a, b in pii.scan_text(text)]
+
+
+@pytest.mark.parametrize("text", ["we met at home . Then we left .", "we met at home . then it rained", "look at this - at noon . it is"])
+def test_spaced_prose_stays_clean(text):
+    assert pii.scan_text(text) == []
+
+
+def test_a_plain_address_ends_with_its_sentence():
+    assert pii.scan_text("to jane@example.com . Then we left") == [("email", 3, 19)]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["jane", "example", "com", "10", "1", "one", "fünf", "double ", "plus ", "at", "dot", "arroba", "punkt", ".", " . ", "@", " @ ", " ", "-", " -at- ", "(", ")", "[at]", "{dot}", "&#64;", "&#x2e;", "%40", "%2E", "\n", ", ", "е", "１"]), max_size=14).map("".join))
+def test_no_disguise_is_left_out_unread(text):
+    assert pii._disguised(text) or pii.deobfuscate(text).text == text
+
+
 def test_scans_of_awkward_tables(spark):
     df = frame(spark, [None, "", "x@y.zz", "x@y.zz", "a" * 200_000 + " x@y.zz"], [1, 2, 3, 3, None])
     got = sorted((r.doc_id or 0, len(r.spans)) for r in pii.scan(df).collect())

@@ -49,16 +49,26 @@ _DIGIT = rf"(?:{_WORD_DIGIT}|[0-9]|double (?:{_WORD_DIGIT}))"
 _SPELLED_DOT = r"\s(?:dot|point|punkt|punto)\s"
 _SPELLED_RUN = re.compile(rf"(?<!\w)(?:\+ ?|plus )?{_DIGIT}(?:(?:[ ,.-]{{1,3}}|{_SPELLED_DOT}){_DIGIT}){{3,}}(?!\w)", re.IGNORECASE)
 _SPELLED_ONE = re.compile(rf"(?<!\w)(?:{_WORD_DIGIT})(?!\w)", re.IGNORECASE)
-_MAYBE_SPELLED = re.compile(rf"(?<!\w)(?:{_WORD_DIGIT})(?:[ ,.-]{{1,3}}|{_SPELLED_DOT})(?:{_WORD_DIGIT}|[0-9])(?!\w)", re.IGNORECASE)
 _OPEN, _SHUT = r"\s?[\[({<]\s?", r"\s?[\])}>]\s?"
 _AT = rf"(?:{_OPEN}(?:at|@|arroba){_SHUT}|&#0*64;|&#x0*40;|&commat;|%40|\sat\s|\s?-\s?at\s?-\s?|\s@\s)"
 _DOT = rf"(?:{_OPEN}(?:dot|punkt|punto|point|\.){_SHUT}|&#0*46;|&#x0*2e;|&period;|%2e|\sdot\s|\s?-\s?dot\s?-\s?|\s\.\s)"
-_BRACKETED = re.compile(rf"{_OPEN}(?:at|@|arroba|dot|punkt|punto|point|\.){_SHUT}|&#0*(?:64|46);|&#x0*(?:40|2e);|&commat;|&period;|%40|%2e|\sdot\s|\s@\s|-\s?dot\s?-", re.IGNORECASE)
 _NAME, _LABEL = r"[A-Za-z0-9_%+-]{1,64}", r"[A-Za-z0-9-]{1,63}"
 _DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:\.|{_DOT}){_NAME})*(?:{_AT}|@){_LABEL}(?:(?:\.|{_DOT}){_LABEL})+", re.IGNORECASE)
 _DISGUISED_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 _PART = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.IGNORECASE)
 
+_SPACED_DOT = re.compile(r"\s\.\s")
+# Top-level domains, without those that are English words.
+_DOMAINS = frozenset(
+    """com org net edu gov mil int info biz dev xyz
+    ac ad ae af ag ai al ao aq ar au aw ax az ba bb bd bf bg bh bi bj bm bn bo br bs bt bw bz ca cc cd cf cg ch ci ck cl cm cn
+    co cr cu cv cw cx cy cz de dj dk dm dz ec ee eg er es et eu fi fj fk fm fo fr ga gd ge gf gg gh gi gl gm gn gp gq gr gs gt
+    gu gw gy hk hm hn hr ht hu id ie il im io iq ir je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv
+    ly ma mc md mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx mz na nc ne nf ng ni nl np nr nu nz om pa pe pf pg ph pk pl pm
+    pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm
+    tn tr tt tv tw tz ua ug uk uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw""".split()
+)
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -126,8 +136,8 @@ class Traced:
         return Traced("".join([*out, self.text[at:]]), spans + self.spans[at:])
 
 
-def _undotted(m: re.Match) -> str:
-    return _PART.sub(lambda p: "@" if p["at"] else ".", m[0])
+def _undotted(address: str) -> str:
+    return _PART.sub(lambda p: "@" if p["at"] else ".", address)
 
 
 def _is_meant(address: str) -> bool:
@@ -137,14 +147,29 @@ def _is_meant(address: str) -> bool:
     return not bare or any(p["dot"] and p.start() > bare[0].start() for p in parts)
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of disguised addresses. A dot between blanks also ends sentences: what follows the last one belongs to the
+    address only if it ends in a top-level domain; the search goes on from where the address is cut."""
+    at = 0
+    while m := _DISGUISED.search(text, at):
+        a, at = m.span()
+        for p in reversed([*_PART.finditer(m[0])]):
+            last = re.split(r"\.", text[a + p.end() : at])[-1]
+            if not _SPACED_DOT.fullmatch(p[0]) or (last in (last.lower(), last.upper()) and last.lower() in _DOMAINS):
+                break
+            at = a + p.start()
+        if at == m.end() or _DISGUISED.fullmatch(text[a:at]):
+            yield a, at
+
+
 def _at_and_dots(t: Traced) -> Traced:
     """Rewrite at and dot disguises, but only within what then reads as an address."""
     out, spans, at = [], [], 0
-    for whole in sorted([*_DISGUISED.finditer(t.text), *_DISGUISED_IP.finditer(t.text)], key=lambda m: m.start()):
-        a, b = whole.span()
-        if a < at or _undotted(whole) == whole[0] or not _is_meant(whole[0]):
+    for a, b in sorted([*_addresses(t.text), *(m.span() for m in _DISGUISED_IP.finditer(t.text))], key=lambda s: s[0]):
+        whole = t.text[a:b]
+        if a < at or _undotted(whole) == whole or not _is_meant(whole):
             continue
-        part = Traced(t.text[a:b], t.spans[a:b]).rewrite(_PART, lambda p: "@" if p["at"] else ".")
+        part = Traced(whole, t.spans[a:b]).rewrite(_PART, lambda p: "@" if p["at"] else ".")
         out += [t.text[at:a], part.text]
         spans += t.spans[at:a] + part.spans
         at = b
@@ -164,7 +189,12 @@ def _spelled(t: Traced) -> Traced:
 
 
 def _disguised(text: str) -> bool:
-    return (not text.isascii() and _LOOK.search(text) is not None) or _BRACKETED.search(text) is not None or _MAYBE_SPELLED.search(text) is not None
+    """Whether a transducer may rewrite something: each one's own pattern, so that none that would is left out."""
+    if not text.isascii() and _LOOK.search(text):
+        return True
+    if _PART.search(text) and (_DISGUISED.search(text) or _DISGUISED_IP.search(text)):
+        return True
+    return _SPELLED_RUN.search(text) is not None
 
 
 def deobfuscate(text: str) -> Traced:
