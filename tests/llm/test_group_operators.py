@@ -208,6 +208,21 @@ def test_recall_of_cells_on_borderline_links(spark):
     assert got >= 0.98 * 3000
 
 
+@pytest.mark.parametrize("dims, power", [(64, 2), (64, 0), (4, 0)])
+def test_default_margin_loses_no_link(spark, monkeypatch, dims, power):
+    """Borderline pairs across many cells, also where few directions carry most of the vectors."""
+    monkeypatch.setattr(embed_dedup, "CELL", 40)
+    rng, scale = np.random.default_rng(8), 1 / np.arange(1, dims + 1) ** power
+    x, d = (rng.normal(size=(600, dims)) * scale for _ in range(2))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d -= (d * x).sum(axis=1, keepdims=True) * x
+    y = 0.935 * x + np.sqrt(1 - 0.935**2) * d / np.linalg.norm(d, axis=1, keepdims=True)
+    rows = np.concatenate([x, y])
+    links = (rows @ rows.T >= 0.93).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(rows)], "vec_id bigint, embedding array<double>, label int")
+    assert {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df).collect()} == dict(enumerate(links.tolist()))
+
+
 # ---- mixing ------------------------------------------------------------------------------------------------------------
 
 

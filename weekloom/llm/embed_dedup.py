@@ -6,9 +6,9 @@ products find the links. A link between two cells is found where either end visi
 for each end. Cells of any size are dealt out as tiles; a tile returns counts of links and a spanning forest of them,
 never the pairs.
 
-A pair of cosine c lies at most sqrt(2 - 2c) apart, so a margin of that size would lose no link. The default margin is
-smaller: a displacement in a random direction of 64 dimensions has a part of sqrt(2 - 2c) / 8 along any one direction,
-0.047 for c = 0.93, and MARGIN is over three times that. Recall against brute force is measured in the tests.
+A pair of cosine c lies at most sqrt(2 - 2c) apart. If a boundary is between the two, their distances to it add up to no
+more than that, and the smaller one is at most half of it, sqrt((1 - c) / 2): that end visits the other's cell. The
+margin is this bound for the least cosine, so no link is lost, whatever the vectors' directions.
 """
 
 from __future__ import annotations
@@ -25,12 +25,18 @@ from weekloom.llm.graph import components
 from weekloom.llm.vectors import clean, matrix
 
 LEAST_COSINE = 0.93
-MARGIN = 0.15
+#: Against rounding of the difference between two cosines.
+SLACK = 1e-9
 #: Vectors the centroids are fitted on, about, at most (all are indexed), vectors a cell should hold, and most cells.
 SAMPLE, CELL, MOST_CELLS = 16_384, 1024, 1024
 TILE = 1024
 
 
+def exact_margin(least: float) -> float:
+    """Distance to a boundary within which one end of each link across it lies."""
+    return max(0.0, (1 - least) / 2) ** 0.5
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -80,7 +86,7 @@ def _assign(centres: dict[int, np.ndarray], margin: float):
                     near = unit(matrix(batch.column(3).take(pa.array(some)))) @ c.T
                     own = near.argmax(axis=1)
                     gap = near[np.arange(len(some)), own][:, None] - near
-                    close = gap <= margin * apart[own]
+                    close = gap <= margin * apart[own] + SLACK
                     close[np.arange(len(some)), own] = True
                     home[some] = own
                     for i, which in zip(some, close):
@@ -138,15 +144,17 @@ def _tile(least: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, label: str = "label", margin: float = MARGIN) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, label: str = "label", margin: float | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, label).
 
     Vectors link if their labels are equal and not null, they have the same length, and their cosine is at least least.
     n_links counts the other vectors linked directly, exact copies among them; component_id is the smallest vec_id
     reachable; kept marks it. A vec_id names one vector: rows that repeat it are returned each, and count once. Unusable
     vectors (null, zero, null or non-finite components) and those without label link with nothing and are kept; a row
-    without vec_id has null for component_id and kept. Other columns are ignored.
+    without vec_id has null for component_id and kept. Other columns are ignored. The default margin is exact for least;
+    a smaller one visits fewer cells and may lose links.
     """
+    margin = exact_margin(least) if margin is None else margin
     base = settle(clean(vectors, label).filter(F.col("label").isNotNull()).distinct())
     reps = settle(base.groupBy("label", "dim", "vec").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
     centres = fit(reps, reps.count())
