@@ -144,6 +144,22 @@ def test_nearest_is_exact(spark, sizes):
     assert ann.nearest(df.limit(0), df).count() == 0 and ann.nearest(df, df.limit(0)).count() == 0
 
 
+def test_nearest_with_rows_that_repeat(spark):
+    rng = np.random.default_rng(3)
+    rows = {i: rng.normal(size=8).astype(np.float32).astype(float) for i in range(400)}
+    best = brute_nearest(rows, [0], 1)[0][2]
+    table = [(i, x.tolist(), 1) for i, x in rows.items()] + [(best, rows[best].tolist(), 1)] * 30
+    table += [(20, None, 1)] * 8 + [(40, [*rows[40].tolist(), 1.0], 1)] * 3
+    df = spark.createDataFrame(table, VECTORS).repartition(4)
+    got = ann.nearest(df.filter("vec_id % 20 = 0"), df, 10).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_nearest(rows, [i for i in rows if i % 20 == 0], 10))
+
+
+def test_a_query_whose_first_row_is_unusable(spark):
+    df = spark.createDataFrame([(0, None, 1), (0, [1.0, 0.0], 1), (1, [1.0, 1.0], 1)], VECTORS).coalesce(1)
+    assert [tuple(r) for r in ann.nearest(df.filter("vec_id = 0"), df).collect()] == [(0, 1, 1, 1.0)]
+
+
 def test_quantisation_bounds_hold():
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(50, 16)), rng.normal(size=(60, 16)) * 10

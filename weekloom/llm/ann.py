@@ -165,14 +165,20 @@ def _merge(k: int):
     return run
 
 
+def _one_each(vectors: DataFrame) -> DataFrame:
+    """(dim, vec_id, vec), one row a vec_id. Blocks bound what is pruned by rows, so that none may repeat."""
+    return vectors.groupBy("vec_id").agg(F.min(F.struct("dim", "vec")).alias("v")).select("v.dim", "vec_id", "v.vec")
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = NEAREST, block: int = BLOCK, tile: int = TILE, strip: int = STRIP) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates of largest inner product with each query, itself left out.
 
-    Both have (vec_id, embedding) rows. Ties go to the smaller vec_id, fewer than k candidates give fewer rows, a
-    vec_id that repeats counts once, and vectors meet only those of their own length. Unusable vectors (null, zero,
-    null or non-finite components) and rows without vec_id take no part. Other columns are ignored.
+    Both have (vec_id, embedding) rows. Ties go to the smaller vec_id, fewer than k candidates give fewer rows, and
+    vectors meet only those of their own length. Unusable vectors (null, zero, null or non-finite components) and rows
+    without vec_id take no part. A vec_id that repeats counts once, with its shortest usable vector, of equally long ones
+    the least in bytes. Other columns are ignored.
     """
-    left, right = (settle(clean(x).select("dim", "vec_id", "vec")) for x in (queries.dropDuplicates(["vec_id"]), candidates))
+    left, right = (settle(_one_each(clean(x))) for x in (queries, candidates))
     blocks, strips = -(-left.count() // block), min(MOST_STRIPS, -(-right.count() // strip))
     chunk = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n))).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
