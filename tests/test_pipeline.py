@@ -3,6 +3,7 @@
 import json
 from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,32 @@ def test_streaming_weeks(spark, sf_dir, tmp_path):
     query = weekly.weekly_totals(stream).writeStream.outputMode("complete").format("memory").queryName("weeks").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(spark.table("weeks").collect()) == sorted(weekly.weekly_totals(events).collect())
+
+
+def test_trees_are_kept_up_to_the_best_round_on_valid_rows(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(float(x), float(x > 0.5) + float(e)) for x, e in zip(rng.random(120), rng.normal(size=120))], "x double, qty double").coalesce(1)
+    train, valid = df.limit(60).cache(), df.offset(60).cache()
+    params = replace(QUICK, rounds=12, depth=4, step=0.5)
+    whole, kept = (forecast.train_trees(train, ["x"], valid=v, loss="squared", params=params) for v in (None, valid))
+    errors = whole.stages[-1].evaluateEachIteration(whole.stages[0].transform(valid), "squared")
+    best = errors.index(min(errors)) + 1
+    assert kept.stages[-1].getNumTrees == best < whole.stages[-1].getNumTrees == 12
+    assert abs(forecast.validate(kept, valid).first().rmse ** 2 - forecast.validate(whole, valid).first().rmse ** 2) > 0
+    assert [r["feature"] for r in forecast.importances(spark, kept, ["x"]).collect()] == ["x"]
+
+
+def test_model_queries_train_in_full(spark, sf_dir, monkeypatch):
+    from weekloom.plans import catalogue
+
+    seen = []
+
+    def stop(train, features, target="qty", valid=None, loss="absolute", params=None, weight=None):
+        seen.append((params.rounds, params.depth, valid is not None))
+        raise InterruptedError
+
+    monkeypatch.setattr(forecast, "train_trees", stop)
+    for name in ("gbt_train_score", "feature_importance", "recursive_forecast", "loss_tournament", "iterative_forecast"):
+        with pytest.raises(InterruptedError):
+            catalogue.QUERIES[name](spark, sf_dir)
+    assert seen == [(Params().rounds, Params().depth, name < 4) for name in range(5)]

@@ -138,21 +138,39 @@ def frozen_mean_forecast(frame: DataFrame, score, weeks: tuple[int, ...], partia
     return out
 
 
+def first_trees(model, n: int):
+    """The boosted model cut to its first n trees."""
+    from pyspark.ml.regression import GBTRegressionModel
+
+    java, context = model._java_obj, SparkSession.active().sparkContext
+    kinds = context._jvm.org.apache.spark.ml.regression
+    trees, weights = context._gateway.new_array(kinds.DecisionTreeRegressionModel, n), context._gateway.new_array(context._jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(list(java.trees())[:n], list(java.treeWeights())[:n])):
+        trees[i], weights[i] = tree, weight
+    return model._copyValues(GBTRegressionModel(kinds.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures())))
+
+
 def train_trees(train: DataFrame, features: list[str], target: str = "qty", valid: DataFrame | None = None, loss: str = "absolute", params: Params = Params(), weight: str | None = None):
-    """A fitted pipeline of boosted trees; with valid rows, training stops when they no longer improve."""
-    from pyspark.ml import Pipeline
+    """A fitted pipeline of boosted trees; with valid rows, all rounds are made and those up to the best on valid kept.
+
+    That is early stopping whose patience is the number of rounds: Spark's own stops at the first round without a gain.
+    """
+    from pyspark.ml import PipelineModel
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     trees = GBTRegressor(featuresCol="features", labelCol=target, lossType=loss, maxIter=params.rounds, maxDepth=params.depth, stepSize=params.step, seed=params.seed, subsamplingRate=0.8 if loss == "squared" else 1.0, maxBins=64)
     if weight:
         trees = trees.setWeightCol(weight)
-    data = train.withColumn("_valid", F.lit(False))
+    columns = [*dict.fromkeys([*features, target, *([weight] if weight else [])])]
+    assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    model = trees.fit(assembler.transform(train.select(*columns)))
     if valid is not None:
-        trees = trees.setValidationIndicatorCol("_valid")
-        data = data.unionByName(valid.withColumn("_valid", F.lit(True)))
-    columns = [*dict.fromkeys([*features, target, "_valid", *([weight] if weight else [])])]
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), trees]).fit(data.select(*columns))
+        errors = model.evaluateEachIteration(assembler.transform(valid.select(*columns)), loss)
+        best = min(range(len(errors)), key=lambda i: (errors[i] != errors[i], errors[i])) + 1  # of no rows, all are NaN
+        if best < len(errors) and errors[0] == errors[0]:
+            model = first_trees(model, best)
+    return PipelineModel([assembler, model])
 
 
 def importances(spark: SparkSession, model, features: list[str]) -> DataFrame:
@@ -171,7 +189,8 @@ def tournament(train: DataFrame, valid: DataFrame, features: list[str], target:
     from pyspark.ml.regression import LinearRegression
 
     huber = LinearRegression(labelCol=target, loss="huber", maxIter=50)
-    models = {"squared": train_trees(train, features, target, loss="squared", params=params), "absolute": train_trees(train, features, target, params=params), "huber": Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), huber]).fit(train)}
+    models = {loss: train_trees(train, features, target, valid, loss, params) for loss in ("squared", "absolute")}
+    models |= {"huber": Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), huber]).fit(train)}
     rows = [(name, float(validate(m, valid, target).first().wmape)) for name, m in models.items()]
     return train.sparkSession.createDataFrame(sorted(rows, key=lambda r: r[1]), "model string, wmape double")
 

@@ -763,18 +763,19 @@ def history_features(spark, sf_dir):
     return rounded(df, *panel.KEYS, "lag_1", "lag_24", "rmean_4", "rstd_4", "rstd_20", "rskew_8", "trend_12")
 
 
-_SMALL = replace(PARAMS, rounds=8, depth=4, train_until=300, valid_from=301, valid_until=357)
+#: The rounds and depth of PARAMS; the split fits the 357 weeks of the tables.
+_MODEL = replace(PARAMS, train_until=300, valid_from=301, valid_until=357)
 
 
 def _model_frame(spark, sf_dir):
-    df = features.basic_features(weekly(spark, sf_dir), _SMALL)
+    df = features.basic_features(weekly(spark, sf_dir), _MODEL)
     return df, ["week_of_year", *_BASIC_COLUMNS]
 
 
 def _fitted(spark, sf_dir):
     df, names = _model_frame(spark, sf_dir)
-    train, valid = explore.split(df, _SMALL.train_until, _SMALL.valid_from, _SMALL.valid_until)
-    return df, names, train, valid, forecast.train_trees(train, names, params=_SMALL)
+    train, valid = explore.split(df, _MODEL.train_until, _MODEL.valid_from, _MODEL.valid_until)
+    return df, names, train, valid, forecast.train_trees(train, names, valid=valid, params=_MODEL)
 
 
 @query("gbt_train_score")
@@ -792,14 +793,14 @@ def feature_importance(spark, sf_dir):
 @query("recursive_forecast")
 def recursive_forecast(spark, sf_dir):
     df, _, _, _, model = _fitted(spark, sf_dir)
-    state = forecast.histories(df, _SMALL.history_kept, _SMALL.least_history)
-    return forecast.recursive_forecast(state, model.transform, _SMALL.forecast_weeks, 357, _SMALL, advanced=False)
+    state = forecast.histories(df, _MODEL.history_kept, _MODEL.least_history)
+    return forecast.recursive_forecast(state, model.transform, _MODEL.forecast_weeks, 357, _MODEL, advanced=False)
 
 
 @query("iterative_forecast")
 def iterative_forecast(spark, sf_dir):
     df = weekly(spark, sf_dir).select(F.col("week_of_year").cast("int").alias("semana_do_ano"), *panel.KEYS, "qty", F.coalesce(F.lag("qty", 1).over(features.by_key()), F.lit(0.0)).alias("lag_1_semana"), F.coalesce(F.avg("qty").over(features.before(4)), F.lit(0.0)).alias("media_movel_4_semanas"))
-    model = forecast.train_trees(df, ["semana_do_ano", "lag_1_semana", "media_movel_4_semanas"], params=_SMALL)
+    model = forecast.train_trees(df, ["semana_do_ano", "lag_1_semana", "media_movel_4_semanas"], params=_MODEL)
     frame = _direct_frame(spark, sf_dir).filter("semana_do_ano = 1").drop("semana_do_ano")
     return forecast.frozen_mean_forecast(frame, model.transform, (1, 2, 3, 4, 5), {5: 3 / 7})
 
@@ -807,8 +808,8 @@ def iterative_forecast(spark, sf_dir):
 @query("loss_tournament")
 def loss_tournament(spark, sf_dir):
     df, names = _model_frame(spark, sf_dir)
-    train, valid = explore.split(df, _SMALL.train_until, _SMALL.valid_from, _SMALL.valid_until)
-    return forecast.tournament(train, valid, names, params=_SMALL)
+    train, valid = explore.split(df, _MODEL.train_until, _MODEL.valid_from, _MODEL.valid_until)
+    return forecast.tournament(train, valid, names, params=_MODEL)
 
 
 # ---- further operators -------------------------------------------------------------------------------------------
