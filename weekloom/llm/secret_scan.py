@@ -31,21 +31,24 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Kinds in the order in which spans that start together are listed; the last is what the token test adds.
 KINDS = ("assign", "access", "hex", "dense")
 LEAST_ASSIGNED, LEAST_ACCESS = 6, 20
-#: Shortest run that the token test looks at, and the characters per token below which it is random.
+#: Shortest run that the token test looks at, and the characters per token up to which it is random.
 LEAST_RUN, MOST_CHARS_PER_TOKEN = 20, 2.0
 DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 _ANY_HEX = re.compile(r"[0-9a-fA-F]+")
-#: Words of one case, or capitalised, with separators and short numbers between them.
-_NAME = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})(?:[_/=+-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}))*[_/=+-]*")
+#: Words of one case, or capitalised, with separators and numbers between them. Each run of letters and digits is taken
+#: whole, in one way only, so that the time is linear in the length.
+_NAME = re.compile(r"(?:[A-Z]*+[a-z]{2,}+|[A-Z]{2,}+(?![a-z])|[0-9]++)(?:[_/=+-]*+(?:[A-Z]*+[a-z]{2,}+|[A-Z]{2,}+(?![a-z])|[0-9]++))*+[_/=+-]*+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: What separators delimit; a UUID is one part.
 _PART = re.compile(rf"{_UUID.pattern}|[A-Za-z0-9]+")
 #: Shortest name that parts a run, and least longest part of several that are scored as one.
 LEAST_NAME, LEAST_PART = 4, 8
+_SEPARATORS = "+/_=-"
+_KEY_CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + _SEPARATORS
 _IN_RUN = np.zeros(256, bool)
-_IN_RUN[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", np.uint8)] = True
+_IN_RUN[np.frombuffer(_KEY_CHARACTERS.encode(), np.uint8)] = True
 
 _encodings: dict[str, object] = {}
 
@@ -82,7 +85,7 @@ def is_name(core: str, ranks: str = RANKS, most: float = MOST_CHARS_PER_TOKEN) -
 
 def is_known(run: str, ranks: str = RANKS, most: float = MOST_CHARS_PER_TOKEN) -> bool:
     """A digest of a usual length, a UUID, a number, a list of one or two characters, or a name made of words."""
-    core = run.strip("=-_/+")
+    core = run.strip(_SEPARATORS)
     if _ANY_HEX.fullmatch(core):
         return core.isdigit() or len(core) in DIGEST_LENGTHS
     if _UUID.fullmatch(core) or not re.search(r"[A-Za-z]", core):
@@ -95,7 +98,7 @@ def is_known(run: str, ranks: str = RANKS, most: float = MOST_CHARS_PER_TOKEN) -
 
 def is_dense(run: str, ranks: str = RANKS, most: float = MOST_CHARS_PER_TOKEN) -> bool:
     """Few characters a token, and not a known digest or identifier."""
-    return len(run) < most * len(encoding(ranks).encode_ordinary(run)) and not is_known(run, ranks, most)
+    return len(run) <= most * len(encoding(ranks).encode_ordinary(run)) and not is_known(run, ranks, most)
 
 
 def _parts_run(part: str, ranks: str) -> bool:
@@ -105,12 +108,12 @@ def _parts_run(part: str, ranks: str) -> bool:
     return len(part) >= LEAST_NAME and not part.isdigit() and is_name(part, ranks)
 
 
-def dense_spans(run: str, ranks: str = RANKS, free=lambda a, b: True) -> list[tuple[int, int]]:
-    """(start, end) of what is random in a run of key characters and free: all of it; else what lies between names, if
-    that is random with its separators; else single parts. Each has LEAST_RUN characters or more."""
+def dense_spans(run: str, ranks: str = RANKS) -> list[tuple[int, int]]:
+    """(start, end) of what is random in a run of key characters: all of it; else what lies between names, if that is
+    random with its separators; else single parts. Each has LEAST_RUN characters or more."""
 
     def fits(a: int, b: int) -> bool:
-        return b - a >= LEAST_RUN and free(a, b) and is_dense(run[a:b], ranks)
+        return b - a >= LEAST_RUN and is_dense(run[a:b], ranks)
 
     if fits(0, len(run)):
         return [(0, len(run))]
@@ -130,10 +133,29 @@ def dense_spans(run: str, ranks: str = RANKS, free=lambda a, b: True) -> list[tu
     return found
 
 
+def _rest(runs: list[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What is left of the runs beside the spans taken, both in order of start; LEAST_RUN characters or more."""
+    spans = iter([*taken, (1 << 62, 1 << 62)])
+    x, y = next(spans)
+    for a, b in runs:
+        while y <= a:
+            x, y = next(spans)
+        while x < b:
+            if x - a >= LEAST_RUN:
+                yield a, x
+            a = max(a, y)
+            if y > b:
+                break
+            x, y = next(spans)
+        if b - a >= LEAST_RUN:
+            yield a, b
+
+
 def scan_text(text: str, ranks: str = RANKS) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the secrets in a text, in code points, by start and then kind as KINDS lists them.
 
-    Dense spans that meet a span of another kind are left out: that secret is reported already.
+    The token test sees what the other kinds leave of each run: their spans are reported already. Null and empty texts
+    have no secrets; the time is linear in the text, whatever it holds.
     """
     found: list[tuple[str, int, int]] = []
     if not text:
@@ -149,12 +171,10 @@ def scan_text(text: str, ranks: str = RANKS) -> list[tuple[str, int, int]]:
             run = text[a:b]
             found += [("access", a + m.start(), a + m.end()) for m in ACCESS.finditer(run) if len(m[0]) >= LEAST_ACCESS]
             found += [("hex", a + m.start(), a + m.end()) for m in HEX.finditer(run)]
-        taken = sorted((a, b) for _, a, b in found)
-        for a, b in runs:
-            if b - a >= LEAST_RUN:
-                near = [(x - a, y - a) for x, y in taken if a < y and x < b]
-                free = lambda p, q: not any(p < y and x < q for x, y in near)  # noqa: B023, E731
-                found += [("dense", a + p, a + q) for p, q in dense_spans(text[a:b], ranks, free)]
+        for a, b in _rest(runs, sorted((a, b) for _, a, b in found)):
+            if a and text[a - 1] in _KEY_CHARACTERS:  # a span ends here: the mark after it is no part of a key
+                a = b - len(text[a:b].lstrip(_SEPARATORS))
+            found += [("dense", a + p, a + q) for p, q in dense_spans(text[a:b], ranks)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
