@@ -1,7 +1,7 @@
 """Personal data in text, also where it is disguised.
 
 Plain detection looks for e-mail addresses, IPv4 addresses, card numbers and phone numbers. Disguises are undone by
-transducers that rewrite a text and record, for each character they write, the source span it stands for: look-alike
+transducers that rewrite a text and record the place of each piece they write and of what it replaces: look-alike
 letters and digits of other scripts, "(at)" and "dot" in words or brackets, and spelled digits. The same detectors then
 read the normalised text; what they find there is mapped back to source characters, and kept if it is not plain.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,22 +20,25 @@ from pyspark.sql import functions as F
 from weekloom.llm.common import slices, strings
 
 KINDS = ("email", "ip", "card", "phone")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_FOUR_NUMBERS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
+_NUMBER = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NOT_EMAIL = re.compile(r"[^A-Za-z0-9._%+@-]")
-_OF_EMAIL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
-_DIGITS_DOTS = re.compile(r"[0-9][0-9.]{6,}")
+_OF_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 # Look-alikes: Cyrillic, then Greek, then other letters and signs.
 _LOOKS = dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТХУІЈЅ", "aeopcyxijsdhqwABEKMHOPCTXYIJS"))
 _LOOKS |= dict(zip("οαινρτυκΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oaivptukABEZHIKMNOPTYX"))
-_LOOKS |= dict(zip("ıɡℓ․。．｡＠﹫‐‑–−＋", "igl....@@----+"))
+_LOOKS |= dict(zip("ıɡℓ․。．｡＠﹫＋", "igl....@@+"))
 _LOOKS |= {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}
 _LOOKS |= {chr(zero + i): str(i) for zero in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for i in range(10)}
-_LOOKS |= dict.fromkeys("​‌‍⁠﻿­", "")
-_LOOK = re.compile("[" + "".join(map(re.escape, _LOOKS)) + "]")
+_ONE_FOR_ONE = str.maketrans(_LOOKS)
+#: Dashes count as hyphens only where no blank is beside them: between blanks they part sentences and ranges.
+_DASH = re.compile(r"(?<=\S)[‐‑–−](?=\S)")
+_HIDDEN = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
+_UNSEEN = re.compile(f"[{_HIDDEN}]")
+_REWRITTEN = frozenset([*_LOOKS, *"‐‑–−", *_HIDDEN])
 
 # The spelled digits of four languages.
 _SPELLED = {
@@ -44,20 +48,29 @@ _SPELLED = {
     "zéro": "0", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
 }
 _WORD_DIGIT = "|".join(sorted(_SPELLED, key=len, reverse=True))
+# The patterns below read texts in lower case. None can match a text in more than a few ways, so that all are linear.
 #: Spelled digits count from four in a row on, digits in figures and spelled dots among them.
-_DIGIT = rf"(?:{_WORD_DIGIT}|[0-9]|double (?:{_WORD_DIGIT}))"
+_DIGIT = rf"(?:{_WORD_DIGIT}|[0-9]++|double (?:{_WORD_DIGIT}))"
 _SPELLED_DOT = r"\s(?:dot|point|punkt|punto)\s"
-_SPELLED_RUN = re.compile(rf"(?<!\w)(?:\+ ?|plus )?{_DIGIT}(?:(?:[ ,.-]{{1,3}}|{_SPELLED_DOT}){_DIGIT}){{3,}}(?!\w)", re.IGNORECASE)
-_SPELLED_ONE = re.compile(rf"(?<!\w)(?:{_WORD_DIGIT})(?!\w)", re.IGNORECASE)
+_SPELLED_RUN = re.compile(rf"(?<!\w)(?:\+ ?|plus )?{_DIGIT}(?:(?:[ ,.()-]{{1,3}}+|{_SPELLED_DOT}){_DIGIT}){{3,}}(?!\w)")
+_SPELLED_ONE = re.compile(rf"(?<!\w)(?:{_WORD_DIGIT})(?!\w)")
+_DOUBLE = re.compile(rf"double ({_WORD_DIGIT})")
+_SPELLED_DOTS = re.compile(_SPELLED_DOT)
 _OPEN, _SHUT = r"\s?[\[({<]\s?", r"\s?[\])}>]\s?"
-_AT = rf"(?:{_OPEN}(?:at|@|arroba){_SHUT}|&#0*64;|&#x0*40;|&commat;|%40|\sat\s|\s?-\s?at\s?-\s?|\s@\s)"
-_DOT = rf"(?:{_OPEN}(?:dot|punkt|punto|point|\.){_SHUT}|&#0*46;|&#x0*2e;|&period;|%2e|\sdot\s|\s?-\s?dot\s?-\s?|\s\.\s)"
-_NAME, _LABEL = r"[A-Za-z0-9_%+-]{1,64}", r"[A-Za-z0-9-]{1,63}"
-_DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:\.|{_DOT}){_NAME})*(?:{_AT}|@){_LABEL}(?:(?:\.|{_DOT}){_LABEL})+", re.IGNORECASE)
-_DISGUISED_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
-_PART = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.IGNORECASE)
-
-_SPACED_DOT = re.compile(r"\s\.\s")
+_AT = re.compile(rf"{_OPEN}(?:at|@|arroba){_SHUT}|&#0{{0,8}}64;|&#x0{{0,8}}40;|&commat;|%40|\sat\s|\s?-\s?at\s?-\s?|\s@\s|@")
+#: What every disguised or plain at has in it, with how far before that the disguise may start.
+_AT_CORE = re.compile(r"[\s\[({<-](?:at[\s\])}>-]|arroba[\s\])}>])|@(?=[\s\])}>a-z0-9-])|[&%]")
+_REACH = 3
+_DOTS = rf"(?:{_OPEN}(?:dot|punkt|punto|point|\.){_SHUT}|&#0{{0,8}}46;|&#x0{{0,8}}2e;|&period;|%2e|\s?-\s?dot\s?-\s?|\s(?:\.|dot|punkt|punto|point)\s)"
+_DOT = re.compile(_DOTS)
+_DOT_BEFORE = re.compile(rf"{_DOTS}\Z")
+_LONGEST_DOT = 16
+_OF_NAME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_%+-")
+_LABEL = r"(?:[a-z0-9]|-(?!\s?dot\s?-))++"
+_DISGUISED_DOMAIN = re.compile(rf"{_LABEL}(?:(?:\.|{_DOTS}){_LABEL})++")
+_DISGUISED_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{_DOTS})[0-9]{{1,3}}){{3}}(?![0-9])")
+#: Dots that also end or are part of sentences.
+_PROSE_DOT = re.compile(r"\s(?:\.|punkt|punto|point)\s")
 # Top-level domains, without those that are English words.
 _DOMAINS = frozenset(
     """com org net edu gov mil int info biz dev xyz
@@ -78,28 +91,36 @@ def luhn(digits: str) -> bool:
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
-    """Matches lie within runs of the pattern's characters: only the runs around an @ are searched."""
+    """Leftmost matches of the pattern: each @ in turn, with all that may stand before it and a domain after it."""
     at, done = text.find("@"), 0
     while at >= 0:
         a = at
-        while a > done and text[a - 1] in _OF_EMAIL:
+        while a > done and text[a - 1] in _OF_LOCAL:
             a -= 1
-        m = _NOT_EMAIL.search(text, at)
-        done = m.start() if m else len(text)
-        for m in _EMAIL.finditer(text, a, done):
-            yield m.span()
+        if a < at and (m := _DOMAIN.match(text, at + 1)):
+            yield a, m.end()
+            done = m.end()
+        else:
+            done = at + 1
         at = text.find("@", done)
 
 
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    """Numbers joined by single dots, four by four; their parts are at most 255."""
+    for chain in _FOUR_NUMBERS.finditer(text):
+        numbers = [*_NUMBER.finditer(text, *chain.span())]
+        for i in range(0, len(numbers) - 3, 4):
+            four = [m[0] for m in numbers[i : i + 4]]
+            if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in four):
+                yield numbers[i].start(), numbers[i + 3].end()
+
+
 def detect(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of plain personal data, leftmost first within each kind, kinds as listed."""
+    """(kind, start, end) of plain personal data, leftmost first within each kind, kinds as listed. Linear in the text."""
     found: list[tuple[str, int, int]] = []
     if "@" in text:
         found += [("email", a, b) for a, b in _emails(text)]
-    for run in _DIGITS_DOTS.finditer(text):
-        for m in _IP.finditer(text, *run.span()):
-            if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 and not p[:-3].strip("0") for p in m[0].split(".")):
-                found.append(("ip", *m.span()))
+    found += [("ip", a, b) for a, b in _ips(text)]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = m[0].replace(" ", "").replace("-", "")
@@ -113,111 +134,154 @@ def detect(text: str) -> list[tuple[str, int, int]]:
 
 
 class Traced:
-    """A rewritten text; spans[i] is the source span of character i."""
-
-    def __init__(self, text: str, spans: list[tuple[int, int]] | None = None, origin: int = 0) -> None:
-        self.text = text
-        self.spans = spans if spans is not None else [(origin + i, origin + i + 1) for i in range(len(text))]
-
-    def rewrite(self, pattern: re.Pattern, output) -> Traced:
-        """Replace each match by output(match); every character written stands for the whole match's source."""
-        out, spans, at = [], [], 0
-        for m in pattern.finditer(self.text):
-            a, b = m.span()
-            new = output(m)
-            if new == m[0]:
-                continue
-            out += [self.text[at:a], new]
-            spans += self.spans[at:a]
-            spans += [(self.spans[a][0], self.spans[b - 1][1])] * len(new)
-            at = b
-        if not at:
-            return self
-        return Traced("".join([*out, self.text[at:]]), spans + self.spans[at:])
-
-
-def _undotted(address: str) -> str:
-    return _PART.sub(lambda p: "@" if p["at"] else ".", address)
-
+    """A text after steps of rewriting; a step keeps the places of what it wrote, in its output and in its input."""
 
-def _is_meant(address: str) -> bool:
-    """"at" as a plain word is prose ("hosted at example.com") unless a disguised dot follows."""
-    parts = list(_PART.finditer(address))
-    bare = [p for p in parts if p["at"] and p["at"].strip(" -\t\n").lower() == "at"]
-    return not bare or any(p["dot"] and p.start() > bare[0].start() for p in parts)
+    def __init__(self, text: str, steps: tuple = ()) -> None:
+        self.text, self.steps = text, steps
 
-
-def _addresses(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of disguised addresses. A dot between blanks also ends sentences: what follows the last one belongs to the
-    address only if it ends in a top-level domain; the search goes on from where the address is cut."""
-    at = 0
-    while m := _DISGUISED.search(text, at):
-        a, at = m.span()
-        for p in reversed([*_PART.finditer(m[0])]):
-            last = re.split(r"\.", text[a + p.end() : at])[-1]
-            if not _SPACED_DOT.fullmatch(p[0]) or (last in (last.lower(), last.upper()) and last.lower() in _DOMAINS):
+    def rewrite(self, edits: list[tuple[int, int, str]]) -> Traced:
+        """Replace each (start, end, new), which are in order and apart from each other."""
+        text = self.text
+        if not edits:
+            return self
+        out, at, size, starts, ends = [], 0, 0, [], []
+        for a, b, new in edits:
+            out += [text[at:a], new]
+            starts.append(size + a - at)
+            ends.append(starts[-1] + len(new))
+            size, at = ends[-1], b
+        return Traced("".join([*out, text[at:]]), (*self.steps, (starts, ends, [e[0] for e in edits], [e[1] for e in edits])))
+
+    def source(self, a: int, b: int) -> tuple[int, int]:
+        """The source span of text[a:b]; what was written stands for all that it replaced."""
+        for starts, ends, before, after in reversed(self.steps):
+            i, j = bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1
+            if i >= 0:
+                a = before[i] if a < ends[i] else a - ends[i] + after[i]
+            if j >= 0:
+                b = after[j] if b - 1 < ends[j] else b - ends[j] + after[j]
+        return a, b
+
+
+def lowered(text: str) -> str:
+    """text in lower case, character by character: those whose lower case is longer stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _name_before(low: str, least: int, end: int) -> int | None:
+    """Where the names joined by dots start that end here, not before least; None if there is none."""
+    start = None
+    while True:
+        a = end
+        while a > least and low[a - 1] in _OF_NAME:
+            a -= 1
+        if a == end:
+            return start
+        start = a
+        if a > least and low[a - 1] == ".":
+            end = a - 1
+        elif m := _DOT_BEFORE.search(low, max(least, a - _LONGEST_DOT), a):
+            end = m.start()
+        else:
+            return start
+
+
+def _addresses(text: str, low: str) -> Iterator[list[tuple[int, int, str]]]:
+    """The edits that make each disguised address a plain one: an at, with names before it and a domain after it.
+
+    "at" as a plain word is prose ("hosted at example.com") unless a disguised dot follows. Dots between blanks and words
+    for them also occur in sentences: what follows the last one belongs to the address only if it ends in a top-level
+    domain, of one case; the search goes on from where the address is cut.
+    """
+    done = 0
+    for core in _AT_CORE.finditer(low):
+        if core.start() < done:
+            continue
+        places = (_AT.match(low, i) for i in range(max(done, core.start() - _REACH), core.start() + 1))
+        m = next((m for m in places if m and m.end() > core.start()), None)
+        whole = m and _DISGUISED_DOMAIN.match(low, m.end())
+        if not whole or (start := _name_before(low, done, m.start())) is None:
+            continue
+        end, dots = whole.end(), [*_DOT.finditer(low, *whole.span())]
+        while dots and _PROSE_DOT.fullmatch(dots[-1][0]):
+            last = text[dots[-1].end() : end].rsplit(".", 1)[-1]
+            if last in (last.lower(), last.upper()) and last.lower() in _DOMAINS:
                 break
-            at = a + p.start()
-        if at == m.end() or _DISGUISED.fullmatch(text[a:at]):
-            yield a, at
+            end = dots.pop().start()
+        done = end
+        if end < whole.end() and not _DISGUISED_DOMAIN.fullmatch(low, m.end(), end):
+            continue
+        if m[0].strip(" -\t\n") == "at" and not dots:
+            continue
+        edits = [(p.start(), p.end(), ".") for p in _DOT.finditer(low, start, m.start())]
+        edits += [(*m.span(), "@")] if m[0] != "@" else []
+        edits += [(p.start(), p.end(), ".") for p in dots]
+        if edits:
+            yield edits
 
 
 def _at_and_dots(t: Traced) -> Traced:
     """Rewrite at and dot disguises, but only within what then reads as an address."""
-    out, spans, at = [], [], 0
-    for a, b in sorted([*_addresses(t.text), *(m.span() for m in _DISGUISED_IP.finditer(t.text))], key=lambda s: s[0]):
-        whole = t.text[a:b]
-        if a < at or _undotted(whole) == whole or not _is_meant(whole):
-            continue
-        part = Traced(whole, t.spans[a:b]).rewrite(_PART, lambda p: "@" if p["at"] else ".")
-        out += [t.text[at:a], part.text]
-        spans += t.spans[at:a] + part.spans
-        at = b
-    return Traced("".join([*out, t.text[at:]]), spans + t.spans[at:]) if at else t
+    low = lowered(t.text)
+    found = [*_addresses(t.text, low), *([(p.start(), p.end(), ".") for p in _DOT.finditer(low, *m.span())] for m in _DISGUISED_IP.finditer(low))]
+    edits: list[tuple[int, int, str]] = []
+    for some in sorted(filter(None, found)):
+        if not edits or some[0][0] >= edits[-1][1]:
+            edits += some
+    return t.rewrite(edits)
 
 
 def _spelled(t: Traced) -> Traced:
-    """Rewrite runs of spelled digits as figures; the blanks and marks between them go."""
-
-    def figures(m: re.Match) -> str:
-        plus = "+" if re.match(r"\+|plus ", m[0], re.IGNORECASE) else ""
-        body = re.sub(rf"double ({_WORD_DIGIT})", lambda d: _SPELLED[d[1].lower()] * 2, m[0], flags=re.IGNORECASE)
-        digits = _SPELLED_ONE.sub(lambda d: _SPELLED[d[0].lower()], re.sub(_SPELLED_DOT, "\x00", body, flags=re.IGNORECASE))
-        return plus + re.sub(r"[^0-9\x00]", "", digits).replace("\x00", ".") if _SPELLED_ONE.search(m[0]) else m[0]
+    """Rewrite runs of spelled digits, and of figures with spelled dots, as figures; blanks and marks between them go."""
 
-    return t.rewrite(_SPELLED_RUN, figures)
+    def figures(run: str) -> str | None:
+        if not (_SPELLED_ONE.search(run) or _SPELLED_DOTS.search(run)):
+            return None
+        plus = "+" if run.startswith(("+", "plus ")) else ""
+        body = _SPELLED_DOTS.sub("\x00", _DOUBLE.sub(lambda d: _SPELLED[d[1]] * 2, run))
+        digits = _SPELLED_ONE.sub(lambda d: _SPELLED[d[0]], body)
+        return plus + re.sub(r"[^0-9\x00]", "", digits).replace("\x00", ".")
 
-
-def _disguised(text: str) -> bool:
-    """Whether a transducer may rewrite something: each one's own pattern, so that none that would is left out."""
-    if not text.isascii() and _LOOK.search(text):
-        return True
-    if _PART.search(text) and (_DISGUISED.search(text) or _DISGUISED_IP.search(text)):
-        return True
-    return _SPELLED_RUN.search(text) is not None
+    runs = ((m, figures(m[0])) for m in _SPELLED_RUN.finditer(lowered(t.text)))
+    return t.rewrite([(*m.span(), new) for m, new in runs if new is not None])
 
 
 def deobfuscate(text: str) -> Traced:
+    """text after all transducers: look-alikes, then at and dot disguises, then spelled digits."""
     t = Traced(text)
-    if not text.isascii():
-        t = t.rewrite(_LOOK, lambda m: _LOOKS[m[0]])
+    if not text.isascii() and not _REWRITTEN.isdisjoint(text):
+        plain = _DASH.sub("-", text.translate(_ONE_FOR_ONE))
+        t = Traced(plain).rewrite([(*m.span(), "") for m in _UNSEEN.finditer(plain)])
     return _spelled(_at_and_dots(t))
 
 
-def scan_text(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in code points of the source: all plain spans, and those that only the normalised text shows,
-    which a plain span of the kind may be a part of but never the whole of; by kind as listed, then start."""
+def split_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """(plain spans, spans that only the normalised text shows), (kind, start, end) in code points of the source.
+
+    A plain span of the kind may be a part of an added one, but never the whole of it.
+    """
     plain = detect(text)
-    if not text or not _disguised(text):
-        return plain
-    traced = deobfuscate(text)
-    found = set(plain)
-    if traced.text != text:
-        for kind, a, b in detect(traced.text):
-            start, end = traced.spans[a][0], traced.spans[b - 1][1]
-            if not any(k == kind and x <= start and end <= y for k, x, y in plain):
-                found.add((kind, start, end))
-    return sorted(found, key=lambda s: (KINDS.index(s[0]), s[1]))
+    traced = deobfuscate(text) if text else Traced(text)
+    if traced.text == text:
+        return plain, []
+    added = {(kind, *traced.source(a, b)) for kind, a, b in detect(traced.text)}
+    if plain:
+        inside = {k: [(a, b) for kind, a, b in plain if kind == k] for k in KINDS}
+        starts = {k: [a for a, _ in some] for k, some in inside.items()}
+
+        def covered(kind: str, a: int, b: int) -> bool:
+            i = bisect_right(starts[kind], a) - 1  # plain spans of a kind are apart from each other
+            return i >= 0 and b <= inside[kind][i][1]
+
+        added = {s for s in added if not covered(*s)}
+    return plain, sorted(added)
+
+
+def scan_text(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the plain and the added spans of a text, by kind as listed, then start. Time and memory are
+    linear in the text: only the places that were rewritten are kept."""
+    return sorted({s for some in split_spans(text) for s in some}, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,9 +290,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         found = []
         for text in strings(batch.column(1)):
-            spans = scan_text(text)
-            base = set(detect(text)) if spans else set()
-            found.append([{"kind": k, "start": a, "end": b, "base": (k, a, b) in base} for k, a, b in spans])
+            plain, added = split_spans(text)
+            spans = sorted([*((*s, True) for s in plain), *((*s, False) for s in added)], key=lambda s: (KINDS.index(s[0]), s[1], not s[3]))
+            found.append([dict(zip(("kind", "start", "end", "base"), s)) for s in spans])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
 
 
