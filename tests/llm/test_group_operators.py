@@ -163,9 +163,36 @@ def test_a_query_whose_first_row_is_unusable(spark):
 def test_quantisation_bounds_hold():
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(50, 16)), rng.normal(size=(60, 16)) * 10
-    (qx, sx, nx, ex), (qy, sy, ny, ey) = ann.quantised(x), ann.quantised(y)
-    near = (qx.astype(float) @ qy.T.astype(float)) * sx[:, None] * sy
-    assert (np.abs(near - x @ y.T) <= nx[:, None] * ey + ex[:, None] * ny + ex[:, None] * ey + 1e-9).all()
+    (qx, sx, rx), (qy, sy, ry) = ann.quantised(x), ann.quantised(y)
+    near, norm = (qx.astype(float) @ qy.T.astype(float)) * sx[:, None] * sy, lambda v: np.linalg.norm(v, axis=1)
+    assert (np.abs(near - x @ y.T) <= norm(x)[:, None] * norm(ry) + norm(rx)[:, None] * norm(y) + norm(rx)[:, None] * norm(ry) + 1e-9).all()
+
+
+@pytest.mark.parametrize("copies", [25, 3000])
+@pytest.mark.parametrize("strip", [8192, 300])
+def test_nearest_among_many_copies(spark, copies, strip):
+    """One vector near the query, once under one id very many times and once under very many ids; and near copies."""
+    rng = np.random.default_rng(7)
+    rows = {i: rng.normal(size=8).astype(np.float32).astype(float) for i in range(400)}
+    rows |= {1000 + i: (rows[0] * 1.5).astype(np.float32).astype(float) for i in range(copies)}
+    rows |= {9000 + i: (rows[20] + rng.normal(size=8) * 1e-3).astype(np.float32).astype(float) for i in range(300)}
+    best = brute_nearest(rows, [40], 1)[0][2]
+    table = [(i, x.tolist(), 1) for i, x in rows.items()] + [(best, rows[best].tolist(), 1)] * copies
+    df = spark.createDataFrame(table, VECTORS).repartition(4)
+    wanted = [i for i in rows if i < 400 and i % 20 == 0]
+    got = ann.nearest(df.filter("vec_id < 400 and vec_id % 20 = 0"), df, 20, strip=strip).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_nearest(rows, wanted, 20))
+
+
+def test_join_with_a_hot_key(spark, monkeypatch):
+    from weekloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    many = common.settle(spark.createDataFrame([(0 if i % 3 else i, i) for i in range(900)] + [(None, -1)], "k bigint, v bigint"))
+    one = spark.createDataFrame([(i, i * 2) for i in range(0, 900, 2)], "k bigint, w bigint")
+    for how in ("inner", "left"):
+        got = common.spread_join(many, one, ["k"], how)
+        assert sorted(map(repr, got.select("k", "v", "w").collect())) == sorted(map(repr, many.join(one, "k", how).select("k", "v", "w").collect()))
 
 
 def brute_links(rows, least=0.93):

@@ -1,12 +1,16 @@
 """Nearest neighbours by a block matrix join.
 
-Queries are dealt into blocks and candidates into strips, of which there are few; a task holds one block of queries and
-streams a strip past it in tiles. In a tile, both sides are quantised to int8 and one matrix product gives all
-approximate inner products, each with a bound on its error made of the norms of the vectors and of what quantising left.
-A candidate whose upper bound is below the k-th best lower bound, or below the k-th score that the query has already,
-cannot be among its k nearest; the others are computed again from the original vectors and go to the query's heap. The
-strips' heaps are merged by query. No candidate is lost: the result is exact, and what tasks emit is k rows for each
-query and strip.
+Each vector is coded once, in two layers of int8: components in units of the largest, and what that leaves in units of
+its own largest. Codes travel, with scales, norms and the norms of what each layer leaves. Queries are dealt into blocks
+and candidates into strips; a task holds one block of queries and streams a strip past it in tiles. In a tile, one matrix
+product of first layers gives all approximate inner products, each with a bound on its error made of those norms. A
+candidate whose upper bound is below the k-th best lower bound met cannot be among the k nearest; those left get the
+narrower bounds of both layers and face the same test again.
+
+What survives in all strips is a little more than k pairs a query. Only these fetch the original vectors; their inner
+products are computed in double precision and merged by a heap for each query. No candidate is lost: the result is exact.
+Exact copies can't be told apart by bounds, but only the k + 1 smallest ids of a vector can be among k nearest; the
+others take no part in the join.
 """
 
 from __future__ import annotations
@@ -16,24 +20,65 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import settle
+from weekloom.llm.common import settle, spread_join
 from weekloom.llm.vectors import clean, matrix
 
 NEAREST = 20
 EVERY = 20
 #: Queries in a block, candidates in a tile, candidates in a strip at least, and most strips.
-BLOCK, TILE, STRIP, MOST_STRIPS = 2048, 2048, 8192, 64
+BLOCK, TILE, STRIP, MOST_STRIPS = 8192, 2048, 8192, 64
+#: Surviving pairs that a task holds before it tests them again.
+MOST_PAIRS = 1 << 20
+_CODES = ("scale1", "scale2", "norm", "rest1", "rest2")
 
 
-def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 rows, scales, norms, and norms of the remainders x - scale * int8."""
+def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """int8 rows, scales, and the remainders x - scale * int8."""
     scale = np.abs(x).max(axis=1) / 127
     scale[scale == 0] = 1
     q = np.rint(x / scale[:, None]).astype(np.int8)
-    return q, scale, np.linalg.norm(x, axis=1), np.linalg.norm(x - q * scale[:, None], axis=1)
+    return q, scale, x - q * scale[:, None]
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(dim, vec_id, code, numbers) of (dim, vec_id, vec): two layers of int8, and what _CODES names, as float64."""
+    for batch in batches:
+        dims = batch.column(0).to_numpy()
+        for dim in np.unique(dims).tolist():
+            rows = pa.array(np.flatnonzero(dims == dim))
+            x = matrix(batch.column(2).take(rows))
+            q1, s1, r1 = quantised(x)
+            q2, s2, r2 = quantised(r1)
+            numbers = np.stack([s1, s2, *(np.linalg.norm(v, axis=1) for v in (x, r1, r2))], axis=1)
+            code = np.concatenate([q1, q2], axis=1)
+            columns = [pa.array([row.tobytes() for row in v], pa.binary()) for v in (code, numbers)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *columns], names=["dim", "vec_id", "code", "numbers"])
+
+
+class Coded:
+    """Codes of some vectors of one length, read back."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        self.ids = batch.column("vec_id").to_numpy()
+        code, numbers = batch.column("code").to_pylist(), batch.column("numbers").to_pylist()
+        self.q = np.frombuffer(b"".join(code), np.int8).reshape(len(code), 2, -1)
+        self.numbers = np.frombuffer(b"".join(numbers), np.float64).reshape(len(numbers), len(_CODES))
+
+    @classmethod
+    def together(cls, some: list[Coded]) -> Coded:
+        own = cls.__new__(cls)
+        own.ids, own.q, own.numbers = (np.concatenate([getattr(x, n) for x in some]) for n in ("ids", "q", "numbers"))
+        return own
+
+    def unpack(self) -> Coded:
+        """First layers as floats whose sums of products are exact, and both layers added up."""
+        self.scale, scale2, self.norm, self.rest1, self.rest2 = self.numbers.T
+        self.first = self.q[:, 0].astype(np.float32 if self.q.shape[2] * 127 * 127 < 1 << 24 else np.float64)
+        self.both = self.q[:, 0] * self.scale[:, None] + self.q[:, 1] * scale2[:, None]
+        return self
 
 
 def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -42,51 +87,61 @@ def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """A block of queries with a heap of (score, -id) for each; the least of a full heap bounds what may still enter."""
-
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int) -> None:
-        self.ids, self.x, self.k = ids, queries, k
-        self.q, self.scale, self.norm, self.rest = quantised(queries)
-        self.kind = np.float32 if queries.shape[1] * 127 * 127 < 1 << 24 else np.float64  # sums of int8 products are exact
-        self.heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
-        self.least = np.full(len(ids), -np.inf)
-
-    def add(self, ids: np.ndarray, candidates: np.ndarray) -> None:
-        """One tile of candidates."""
-        q, scale, norm, rest = quantised(candidates)
-        right = np.ascontiguousarray(q.astype(self.kind).T)
-        for at in range(0, len(self.ids), 128):
-            part = slice(at, at + 128)
-            near = (self.q[part].astype(self.kind) @ right).astype(np.float64) * self.scale[part, None] * scale
-            slack = self.norm[part, None] * rest + self.rest[part, None] * norm + self.rest[part, None] * rest
-            slack += 1e-12 * self.norm[part, None] * norm
-            own = self.ids[part, None] == ids[None, :]
-            kth = self.least[part]
+    """A block of queries, the k best lower bounds of each, and the pairs that may be among its nearest."""
+
+    def __init__(self, queries: Coded, k: int) -> None:
+        self.x, self.k = queries.unpack(), k
+        self.best = np.full((len(queries.ids), k), -np.inf)
+        self.least = np.full(len(queries.ids), -np.inf)
+        self.pairs: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def add(self, tile: Coded) -> None:
+        x, y = self.x, tile.unpack()
+        right = np.ascontiguousarray(y.first.T)
+        for at in range(0, len(x.ids), 128):
+            p = slice(at, at + 128)
+            near = (x.first[p] @ right).astype(np.float64) * x.scale[p, None] * y.scale
+            slack = (x.norm[p, None] + x.rest1[p, None]) * y.rest1 + x.rest1[p, None] * y.norm + 1e-12 * x.norm[p, None] * y.norm
+            own = x.ids[p, None] == y.ids[None, :]
+            kth = self.least[p]
             if near.shape[1] > self.k:
                 kth = np.maximum(kth, np.partition(np.where(own, -np.inf, near - slack), -self.k, axis=1)[:, -self.k])
             i, j = np.nonzero((near + slack >= kth[:, None]) & ~own)
             for cut in range(0, len(i), 1 << 16):
-                some, other = i[cut : cut + (1 << 16)], j[cut : cut + (1 << 16)]
-                self._push(at + some, ids[other], exact(self.x[at + some], candidates[other]))
-
-    def _push(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        first = np.flatnonzero(np.diff(rows, prepend=-1))
-        for row, a, b in zip(rows[first].tolist(), first, [*first[1:], len(rows)]):
-            pairs = list(zip(scores[a:b].tolist(), (-ids[a:b]).tolist()))
-            # equal pairs are one vector met twice
-            heap = self.heaps[row] = heapq.nlargest(self.k, {*self.heaps[row], *pairs})
-            if len(heap) == self.k:
-                self.least[row] = heap[-1][0]
-
-    def rows(self) -> Iterator[tuple[int, int, float]]:
-        for query, heap in zip(self.ids.tolist(), self.heaps):
-            for score, minus in heap:
-                yield query, -minus, score
-
-
-def _found(block: Block | None) -> pa.RecordBatch:
-    columns = list(zip(*block.rows())) if block else []
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns or [(), (), ()], (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+                self._narrow(at + i[cut : cut + (1 << 16)], j[cut : cut + (1 << 16)], y)
+
+    def _narrow(self, i: np.ndarray, j: np.ndarray, y: Coded) -> None:
+        """Bounds of both layers for pairs of query i and candidate j, sorted by query."""
+        x = self.x
+        near = np.einsum("ij,ij->i", x.both[i], y.both[j])
+        slack = (x.norm[i] + x.rest2[i]) * y.rest2[j] + x.rest2[i] * y.norm[j] + 1e-12 * x.norm[i] * y.norm[j]
+        low, high = near - slack, near + slack
+        first = np.flatnonzero(np.diff(i, prepend=-1))
+        for q, a, b in zip(i[first].tolist(), first.tolist(), [*first[1:].tolist(), len(i)]):
+            lows = np.concatenate([self.best[q], low[a:b]])
+            self.best[q] = np.partition(lows, -self.k)[-self.k :]
+            self.least[q] = self.best[q].min()
+        keep = high >= self.least[i]
+        self.pairs.append((i[keep], y.ids[j[keep]], low[keep], high[keep]))
+        self.held += int(keep.sum())
+        if self.held > MOST_PAIRS:
+            self.pairs = [self.survivors()]
+            self.held = len(self.pairs[0][0])
+
+    def survivors(self) -> tuple[np.ndarray, ...]:
+        i, ids, low, high = (np.concatenate(c) for c in zip(*self.pairs)) if self.pairs else (np.zeros(0, t) for t in (np.int64, np.int64, float, float))
+        keep = high >= self.least[i]
+        return i[keep], ids[keep], low[keep], high[keep]
+
+    def batch(self) -> pa.RecordBatch:
+        i, ids, low, high = self.survivors()
+        return _pairs(self.x.ids[i], ids, low, high)
+
+
+def _pairs(*columns) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["query_id", "vec_id", "low", "high"])
 
 
 def _strips(k: int, tile: int):
@@ -96,14 +151,12 @@ def _strips(k: int, tile: int):
         key, queries, block, waiting = None, [], None, []
 
         def flush(least: int) -> None:
-            nonlocal block, waiting
+            nonlocal block, queries, waiting
             if block is None and queries:
-                ids = np.concatenate([q[0] for q in queries])
-                block = Block(ids, np.concatenate([q[1] for q in queries]), k)
-                queries.clear()
-            if waiting and sum(len(w[0]) for w in waiting) >= least:
+                block, queries = Block(Coded.together(queries), k), []
+            if waiting and sum(len(w.ids) for w in waiting) >= least:
                 if block is not None:
-                    block.add(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]))
+                    block.add(Coded.together(waiting))
                 waiting = []
 
         for batch in batches:
@@ -116,23 +169,60 @@ def _strips(k: int, tile: int):
                 if now != key:
                     flush(1)
                     if block is not None:
-                        yield _found(block)
-                    key, block, waiting = now, None, []
-                    queries.clear()
+                        yield block.batch()
+                    key, block, queries, waiting = now, None, [], []
                 for at in range(a, b, tile):
-                    rows = batch.slice(at, min(tile, b - at))
-                    data = rows.column("vec_id").to_numpy(), matrix(rows.column("vec"))
+                    data = Coded(batch.slice(at, min(tile, b - at)))
                     if side == 0:
                         queries.append(data)
                     else:
                         waiting.append(data)
                         flush(tile)
         flush(1)
-        yield _found(block)
+        if block is not None:
+            yield block.batch()
+
+    return run
+
+
+def _over_all_strips(k: int):
+    """Rows come sorted by query and falling lower bound: the k-th of them is what others' upper bounds must reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, met, least = None, 0, -np.inf
+        for batch in batches:
+            ids, low, high = (batch.column(c).to_numpy() for c in ("query_id", "low", "high"))
+            keep = np.zeros(len(ids), bool)
+            edges = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+            for a, b in zip(edges, edges[1:]):
+                if b == a:
+                    continue
+                if ids[a] != query:
+                    query, met, least = ids[a], 0, -np.inf
+                if met < k <= met + b - a:
+                    least = low[a + k - met - 1]
+                met += b - a
+                keep[a:b] = high[a:b] >= least
+            yield batch.filter(pa.array(keep)).select(["query_id", "vec_id"])
 
     return run
 
 
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            score = np.concatenate([_scores(batch.slice(at, 8192)) for at in range(0, batch.num_rows, 8192)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+
+def _scores(batch: pa.RecordBatch) -> np.ndarray:
+    out, dims = np.empty(batch.num_rows), np.array([len(x) for x in batch.column(2).to_pylist()])
+    for dim in np.unique(dims).tolist():
+        rows = np.flatnonzero(dims == dim)
+        out[rows] = exact(*(matrix(batch.column(c).take(pa.array(rows))) for c in (2, 3)))
+    return out
+
+
 def _merge(k: int):
     """Rows come sorted by query; a heap of the k best is all that is held."""
 
@@ -166,7 +256,7 @@ def _merge(k: int):
 
 
 def _one_each(vectors: DataFrame) -> DataFrame:
-    """(dim, vec_id, vec), one row a vec_id. Blocks bound what is pruned by rows, so that none may repeat."""
+    """(dim, vec_id, vec), one row a vec_id."""
     return vectors.groupBy("vec_id").agg(F.min(F.struct("dim", "vec")).alias("v")).select("v.dim", "vec_id", "v.vec")
 
 
@@ -179,14 +269,21 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = NEAREST, block:
     the least in bytes. Other columns are ignored.
     """
     left, right = (settle(_one_each(clean(x))) for x in (queries, candidates))
-    blocks, strips = -(-left.count() // block), min(MOST_STRIPS, -(-right.count() // strip))
+    nth = F.row_number().over(Window.partitionBy("dim", "vec").orderBy("vec_id"))
+    some = right.withColumn("nth", nth).filter(F.col("nth") <= k + 1).drop("nth")
+    x, y = (settle(v.mapInArrow(_coded, "dim int, vec_id long, code binary, numbers binary")) for v in (left, some))
+    blocks, strips = -(-left.count() // block), min(MOST_STRIPS, -(-y.count() // strip))
     chunk = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n))).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
-    dealt = left.select("dim", chunk(blocks).alias("ti"), every(strips).alias("tj"), F.lit(0).alias("side"), "vec_id", "vec")
-    dealt = dealt.unionByName(right.select("dim", every(blocks).alias("ti"), chunk(strips).alias("tj"), F.lit(1).alias("side"), "vec_id", "vec"))
+    dealt = x.select("dim", chunk(blocks).alias("ti"), every(strips).alias("tj"), F.lit(0).alias("side"), "vec_id", "code", "numbers")
+    dealt = dealt.unionByName(y.select("dim", every(blocks).alias("ti"), chunk(strips).alias("tj"), F.lit(1).alias("side"), "vec_id", "code", "numbers"))
     dealt = dealt.repartition("dim", "ti", "tj").sortWithinPartitions("dim", "ti", "tj", "side")
-    found = dealt.mapInArrow(_strips(k, tile), "query_id long, vec_id long, score double")
-    return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
+    found = dealt.mapInArrow(_strips(k, tile), "query_id long, vec_id long, low double, high double")
+    found = found.repartition("query_id").sortWithinPartitions("query_id", F.desc("low")).mapInArrow(_over_all_strips(k), "query_id long, vec_id long")
+    pairs = spread_join(settle(found), right.select("vec_id", F.col("vec").alias("y")), ["vec_id"])
+    pairs = pairs.join(left.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("x")), "query_id").select("query_id", "vec_id", "x", "y")
+    scored = pairs.mapInArrow(_scored, "query_id long, vec_id long, score double")
+    return scored.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

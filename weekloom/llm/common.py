@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 
 from weekloom.sources.stages import checkpoint_dir, settle
 
-__all__ = ["SLICE", "checkpoint_dir", "forest", "raw", "settle", "slices", "strings", "tiled"]
+__all__ = ["SLICE", "checkpoint_dir", "forest", "raw", "settle", "slices", "spread_join", "strings", "tiled"]
 
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE = 512
 
 
+#: Rows of one key from which on a join deals them over tasks, and most such keys, by which the former grows.
+HOT_ROWS, MOST_HOT = 100_000, 10_000
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -31,6 +35,23 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """many joined with one, which has a row for each key; how is inner or left. many is settled, as it is read twice.
+
+    The rows of a key that more than HOT_ROWS rows have (or, of a very large table, a MOST_HOT-th of them) are dealt over
+    as many tasks as that, and the key's row of one is repeated for each: no task gets a hot key whole. There can be no
+    more than MOST_HOT such keys, so that their table may be broadcast.
+    """
+    limit = max(HOT_ROWS, many.count() // MOST_HOT)
+    hot = settle(many.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / limit).alias("_parts")))
+    if hot.isEmpty():
+        return many.join(one, keys, how)
+    hot, parts = F.broadcast(hot), F.coalesce("_parts", F.lit(1))
+    left = many.withColumn("_nth", F.monotonically_increasing_id()).join(hot, keys, "left").withColumn("_salt", F.pmod("_nth", parts)).drop("_nth", "_parts")
+    right = one.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def tiled(left: DataFrame, right: DataFrame, keys: list[str], ident: str, block: int) -> DataFrame:
     """Deal the pairs left x right of equal keys into tiles (keys, ti, tj) of about block rows a side.
 
