@@ -103,6 +103,31 @@ def test_links_of_crowded_fingerprints(spark, monkeypatch, heavy, tile):
     assert all((fps[r.u] ^ fps[r.v]).bit_count() <= 3 for r in simhash.links(spark.createDataFrame(rows, "node bigint, fp bigint"), 3).collect()) or heavy < 256
 
 
+def test_light_values_beside_crowded_ones_are_dealt_out(spark, monkeypatch):
+    """A value that one fingerprint has, in reach of a value that 300 have: its probes must not meet in one task."""
+    monkeypatch.setattr(simhash, "HEAVY", 64)
+    crowd, lone = 0b1000 << 32, 0b1001 << 32
+    rows = [(i, crowd | i) for i in range(300)] + [(900, lone | 5), (901, 7 << 40)]
+    seg_key = spark.createDataFrame([(1, f >> 32, i, f) for i, f in rows] + [(0, f & 0xFFFFFFFF, i, f) for i, f in rows], "seg int, key bigint, node bigint, fp bigint")
+    heavy = {(r.seg, r.key) for r in simhash._crowded(seg_key).collect()}
+    assert {(1, crowd >> 32), (1, lone >> 32)} <= heavy and (1, 7 << 8) not in heavy
+    found = {r.node: r.component for r in graph.components(simhash.links(spark.createDataFrame(rows, "node bigint, fp bigint"))).collect()}
+    assert {i: found.get(i, i) for i, _ in rows} == brute_near(dict(rows))
+
+
+def test_very_many_copies_and_clashing_columns(spark):
+    """10^5 equal rows with ids, and as many without."""
+    copies = spark.range(100_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.lit("one page that is copied").alias("text"))
+    df = copies.unionByName(spark.createDataFrame([(5, "some other text of its own"), (5, "and one that repeats its id")], "doc_id bigint, text string"))
+    for name in ("_fp", "row", "fp", "n", "component_id", "_salt"):
+        df = df.withColumn(name, F.lit(7))
+    got = simhash.simhash_components(df).groupBy("component_id").count().collect()
+    assert sorted((r.component_id, r["count"]) for r in got) == [(0, 100_000), (5, 2)]
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [0, 5]
+    assert {r._fp for r in kept.collect()} == {7}
+
+
 def test_simhash_of_awkward_rows(spark):
     rows = [(5, None), (3, ""), (9, " \n"), (7, "some words that are here"), (7, "some words that are here"), (2, "some words that are here"), (None, "some words that are here"), (None, "alone without any id"), (None, "alone without any id")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("fp", F.lit("x"))
