@@ -1,6 +1,7 @@
 """Near-duplicates, neighbours, mixing, chat and the pipeline against brute force, on real and on awkward tables."""
 
 import hashlib
+import time
 from collections import defaultdict
 from itertools import combinations
 
@@ -361,6 +362,41 @@ def test_mixing_of_awkward_tables(spark):
     assert mixing.mix(df.filter("text is null")).collect()[0].copies == 0
 
 
+def test_mixing_of_rows_that_repeat(spark):
+    """Null ids, one id and one row very many times take about as long as distinct ids, and meet the targets."""
+    text = F.concat(F.lit("some words "), F.expr("repeat('x ', cast(id % 5 as int))"))
+    n, times = 20_000, {}
+    for name, doc_id in (("distinct", F.col("id")), ("null", F.lit(None).cast("long")), ("one", F.lit(3).cast("long"))):
+        df = spark.range(n).select(doc_id.alias("doc_id"), text.alias("text"), F.when(F.col("id") % 3 > 0, "a").otherwise("b").alias("source"))
+        for column in ("_row", "_copies", "_fp", "_score", "row", "total", "h", "times", "copies", "nth"):
+            df = df.withColumn(column, F.lit(7))
+        began = time.time()
+        got = mixing.mix(df).groupBy("source_size").agg(F.count("*").alias("n"), F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("target").alias("target"), F.max("copies").alias("most")).collect()
+        times[name] = time.time() - began
+        assert sum(r.n for r in got) == n and all(abs(r.taken - r.target) <= 0.01 * r.target and r.most <= 2 for r in got)
+        made = mixing.mixed(df)
+        assert made.columns == df.columns and made.filter("_row <> 7 or _copies <> 7 or row <> 7 or h <> 7").count() == 0
+        words = made.agg(F.sum(mixing.n_words(F.col("text")))).first()[0]
+        assert words == sum(r.taken for r in got)
+    assert max(times.values()) <= 3 * times["distinct"] + 2
+
+
+def test_a_target_that_is_not_met_is_told(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_STEPS", 1)
+    df = spark.createDataFrame([(i, "w " * (i % 7 + 1), "ab"[i % 2]) for i in range(40)], "doc_id bigint, text string, source string")
+    with pytest.warns(UserWarning, match="off their target"):
+        mixing.mix(df)
+
+
+def test_ranks_over_ranges(spark):
+    from weekloom.llm import common
+
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"), (F.col("id") % 2 == 0).alias("b")).repartition(7)
+    want = {(r.b, r.k): i for i, r in enumerate(sorted(df.collect(), key=lambda r: (r.b, r.k)), 1)}
+    assert {(r.b, r.k): r.n for r in common.ranked(df, ["b", "k"], "n").collect()} == want
+    assert common.repeated(spark.createDataFrame([(1, 3), (2, 0), (3, 25)], "a int, t bigint"), "t", 10).groupBy("a").count().orderBy("a").collect() == [(1, 3), (3, 25)]
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.dictionaries(st.one_of(st.none(), st.text("abé￿😀", min_size=1, max_size=3)), st.integers(0, 1000), min_size=1, max_size=8))
 def test_targets_against_repeated_sharing(spark, sizes):

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.sources.stages import checkpoint_dir, settle
 
-__all__ = ["SLICE", "checkpoint_dir", "forest", "raw", "settle", "slices", "spread_join", "strings", "tiled"]
+__all__ = ["SLICE", "checkpoint_dir", "forest", "ranked", "raw", "repeated", "settle", "slices", "spread_join", "strings", "tiled"]
 
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE = 512
@@ -52,6 +52,23 @@ def spread_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "in
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with its place in the order, from 1 on, of rows that differ in it. Ranges of the order are numbered each by itself,
+    and then moved on by what is before them: one row a range meets in one task, not the table."""
+    parts = settle(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    moved = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn(name, nth).join(F.broadcast(moved), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+
+
+def repeated(df: DataFrame, times: str, at_once: int = 10_000) -> DataFrame:
+    """Each row as often as its number of times says, which goes; none of no times. No array is longer than at_once."""
+    lots = df.filter(F.col(times) > 0).withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / F.lit(at_once)))))
+    some = F.least(F.lit(at_once).cast("long"), F.col(times) - F.col("_lot") * at_once)
+    return lots.withColumn("_one", F.explode(F.sequence(F.lit(1).cast("long"), some))).drop("_lot", "_one", times)
+
+
 def tiled(left: DataFrame, right: DataFrame, keys: list[str], ident: str, block: int) -> DataFrame:
     """Deal the pairs left x right of equal keys into tiles (keys, ti, tj) of about block rows a side.
 

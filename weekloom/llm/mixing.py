@@ -9,22 +9,23 @@ the bracket known so far is replaced by its middle.
 Rates become copies within small buckets of each source, from the longest document to the shortest: each takes the
 number of copies that keeps the words taken nearest to the words its rate and those before it ask for. That is the rate
 rounded down or up unless long documents have left more than a short one's size over. A source of any size is many
-buckets.
+buckets. Rows that repeat each other in all columns are one entry with their number, so that buckets are made of
+distinct entries and none is hot, whatever repeats: ids, rows, or ids that are null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import settle
+from weekloom.llm.common import ranked, repeated, settle, spread_join
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
-#: Documents that a bucket of the rounding holds on average.
+#: Entries that a bucket of the rounding holds on average.
 BUCKET = 256
-#: Parts into which each source is dealt for the join with its multiplier.
-SALTS = 64
 TOLERANCE, MOST_STEPS = 1e-7, 80
 _KEY = ["no_source", "source"]
 
@@ -38,23 +39,28 @@ def targets(sources: DataFrame, share: float = SHARE, most: float = MOST, weight
     """sources (no_source, source, source_size) with target: share of all sizes, dealt by weights that repeat in
     code-point order (null last); no target above most times the source's size, the excess going to the others by weight.
 
-    The level at which the others stop is found in one pass over the sources in order of size for their weight.
+    The level, words for each unit of weight, is raised until no further source is above its bound: each time is one
+    aggregation over the sources, of which the driver sees a row.
     """
-    order = Window.orderBy(*_KEY)
-    w = F.element_at(F.array(*map(F.lit, map(float, weights))), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    t = sources.withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = Window.orderBy(F.col("cap") / F.col("w"), *_KEY).rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("total", F.sum("source_size").over(every) * F.lit(float(share))).withColumn("all_w", F.sum("w").over(every))
-    level = (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.col("all_w") - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    t = t.withColumn("level", level).withColumn("level", F.max("level").over(every))
-    return t.select(*_KEY, "source_size", F.least("cap", F.col("level") * F.col("w")).alias("target"))
+    turn = ((F.col("nth") - 1) % len(weights) + 1).cast("int")
+    t = ranked(sources.select(*_KEY, "source_size"), _KEY, "nth").withColumn("w", F.element_at(F.array(*map(F.lit, map(float, weights))), turn))
+    t = settle(t.withColumn("cap", F.col("source_size") * F.lit(float(most))))
+    whole = t.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+    total, level, bound = float(whole["size"] or 0) * share, 0.0, None
+    while whole["w"]:
+        over = F.col("cap") < level * F.col("w")
+        got = t.agg(F.count_if(over).alias("n"), F.sum(F.when(over, F.col("cap"))).alias("cap"), F.sum(F.when(over, F.col("w"))).alias("w")).first()
+        if got.n == bound or (got.w or 0) >= whole["w"]:
+            break
+        bound, level = got.n, (total - (got.cap or 0)) / (whole["w"] - (got.w or 0))
+    return t.select(*_KEY, "source_size", F.least("cap", F.lit(level) * F.col("w")).alias("target"))
 
 
 def tilts(sizes: DataFrame, wanted: DataFrame, most: float = MOST) -> DataFrame:
     """wanted with tilt: the multiplier of each source's exponential rates. sizes: (no_source, source, size, n).
 
-    tilt is null where there is nothing to solve: no words, or a target of most times the size.
+    tilt is null where there is nothing to solve: no words, or a target of most times the size. Sources whose target is
+    not met within TOLERANCE are warned of.
     """
     ln_most = F.log(F.lit(float(most)))
     facts = sizes.filter(F.col("size") > 0).groupBy(*_KEY).agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), F.min("size").alias("least"))
@@ -73,56 +79,78 @@ def tilts(sizes: DataFrame, wanted: DataFrame, most: float = MOST) -> DataFrame:
         step = F.when((step > F.col("low")) & (step < F.col("high")), step).otherwise((F.col("low") + F.col("high")) / 2)
         met = F.abs(F.col("got") - F.col("target")) <= F.col("target") * TOLERANCE
         state = settle(now.withColumn("done", met).withColumn("tilt", F.when(met, F.col("tilt")).otherwise(step)).select(*keep))
-        if state.filter(~F.col("done")).isEmpty():
+        missed = state.filter(~F.col("done")).count()
+        if not missed:
             break
+    else:
+        warnings.warn(f"{missed} sources are off their target by more than {TOLERANCE} of it after {MOST_STEPS} steps", stacklevel=2)
     return wanted.join(state.select(*_KEY, "mean", "tilt"), _KEY, "left")
 
 
 def _rounded(rows: Column, most: float) -> Column:
-    """Copies, 0 to most, for an array of (minus size, doc_id, rate), toward the words wanted so far."""
-    start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<struct<doc_id:bigint,size:bigint,rate:double,copies:bigint>>").alias("out"))
+    """total: copies, 0 to most for each of n rows, for an array of (minus size, doc_id, h, n, rate), toward the words wanted so far."""
+    start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<struct<doc_id:bigint,size:bigint,h:bigint,n:bigint,rate:double,total:bigint>>").alias("out"))
 
     def add(state: Column, row: Column) -> Column:
         size = -row["minus"]
-        owed = state["owed"] + row["rate"] * size
+        owed = state["owed"] + row["rate"] * size * row["n"]
         near = F.rint(owed / F.nullif(size, F.lit(0).cast("bigint")))
-        copies = F.coalesce(F.least(F.greatest(near, F.lit(0.0)), F.floor(F.lit(most))), F.lit(0.0)).cast("bigint")
-        made = F.struct(row["doc_id"].alias("doc_id"), size.alias("size"), row["rate"].alias("rate"), copies.alias("copies"))
-        return F.struct((owed - copies * size).alias("owed"), F.concat(state["out"], F.array(made)).alias("out"))
+        total = F.coalesce(F.least(F.greatest(near, F.lit(0.0)), F.floor(F.lit(most)) * row["n"]), F.lit(0.0)).cast("bigint")
+        made = F.struct(row["doc_id"].alias("doc_id"), size.alias("size"), row["h"].alias("h"), row["n"].alias("n"), row["rate"].alias("rate"), total.alias("total"))
+        return F.struct((owed - total * size).alias("owed"), F.concat(state["out"], F.array(made)).alias("out"))
 
     return F.aggregate(rows, start, add, lambda s: s["out"])
 
 
-def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS) -> DataFrame:
-    """(doc_id, size, source_size, target, rate, copies) of every row of docs (doc_id, text, source).
+def _hash_of_row(docs: DataFrame) -> Column:
+    plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    return F.xxhash64(*plain)
 
-    size counts words, null text has none; null sources are one source, last in order. Copies are 0 .. most; documents
-    without words get none. Repeated rows count each time. The same rows give the same result, whatever their order or
-    partitions; rows that agree in doc_id and size are interchangeable. Empty table: no rows. Other columns are ignored.
-    """
-    own = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").isNull().alias("no_source"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), n_words(F.col("text")).alias("size")))
-    sizes = settle(own.groupBy(*_KEY, "size").agg(F.count("*").alias("n")))
-    sources = sizes.groupBy(*_KEY).agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("docs"))
-    wanted = settle(targets(sources.select(*_KEY, "source_size"), share, most, weights).join(sources.select(*_KEY, "docs"), _KEY))
+
+def _allotted(docs: DataFrame, share: float, most: float, weights: tuple) -> DataFrame:
+    """(doc_id, size, h, n, source_size, target, rate, total): total copies of n rows that agree in all columns, hash h."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").isNull().alias("no_source"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), n_words(F.col("text")).alias("size"), _hash_of_row(docs).alias("h"))
+    entries = settle(own.groupBy(*_KEY, "doc_id", "size", "h").agg(F.count("*").alias("n")))
+    sizes = settle(entries.groupBy(*_KEY, "size").agg(F.sum("n").alias("n"), F.count("*").alias("entries")))
+    sources = settle(sizes.groupBy(*_KEY).agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("entries").alias("entries")))
+    wanted = settle(targets(sources, share, most, weights).join(sources.select(*_KEY, "entries"), _KEY))
     solved = settle(tilts(sizes, wanted, most))
     rate = F.when(F.col("tilt").isNull(), F.when(F.col("target") > 0, F.lit(float(most))).otherwise(0.0)).otherwise(F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.log(F.lit(float(most))))))
-    bucket = F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("docs") / F.lit(BUCKET))).cast("int")
-    # salted, else all of a hot source would meet in one task
-    spread = solved.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = own.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
-    rated = salted.join(spread, [*_KEY, "salt"]).select(*_KEY, "source_size", "target", bucket.alias("bucket"), F.struct((-F.col("size")).alias("minus"), "doc_id", F.least(rate, F.lit(float(most))).alias("rate")).alias("row"))
+    bucket = F.pmod(F.xxhash64("doc_id", "size", "h"), F.ceil(F.col("entries") / F.lit(BUCKET))).cast("int")
+    row = F.struct((-F.col("size")).alias("minus"), "doc_id", "h", "n", F.least(rate, F.lit(float(most))).alias("rate"))
+    rated = spread_join(entries, solved, _KEY).select(*_KEY, "source_size", "target", bucket.alias("bucket"), row.alias("row"))
     made = rated.groupBy(*_KEY, "source_size", "target", "bucket").agg(_rounded(F.sort_array(F.collect_list("row")), float(most)).alias("rows"))
-    return made.select("source_size", "target", F.explode("rows").alias("r")).select("r.doc_id", "r.size", "source_size", "target", "r.rate", "r.copies")
+    return made.select("source_size", "target", F.explode("rows").alias("r")).select("r.*", "source_size", "target")
+
 
+def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS) -> DataFrame:
+    """(doc_id, size, source_size, target, rate, copies) of every row of docs (doc_id, text, source).
 
-def mixed(docs: DataFrame, **parameters) -> DataFrame:
-    """docs with each row as often as the mix takes it; rows that it does not take go."""
-    same = Window.partitionBy("doc_id")
-    copies = mix(docs, **parameters).select("doc_id", "size", "copies").withColumn("_nth", F.row_number().over(same.orderBy("size", "copies")))
-    copies = copies.select(F.col("doc_id").alias("_id"), F.col("_nth"), F.col("copies").alias("_copies"))
-    rows = docs.withColumn("_row", F.row_number().over(same.orderBy(n_words(F.col("text")), F.xxhash64(F.col("text")))))
-    joined = rows.join(copies, rows["doc_id"].eqNullSafe(copies["_id"]) & (rows["_row"] == copies["_nth"]))
-    return joined.filter(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    size counts words, null text has none; null sources are one source, last in order. Copies are 0 .. most; documents
+    without words get none. Repeated rows count each time; of rows that agree in all columns, some get one copy more than
+    others. The same rows give the same result, whatever their order or partitions. Empty table: no rows. Other columns
+    only tell rows apart.
+    """
+    found = _allotted(docs, share, most, weights)
+    each, more = F.floor(F.col("total") / F.col("n")), F.col("total") % F.col("n")
+    ways = F.array(F.struct((each + 1).alias("copies"), more.alias("times")), F.struct(each.alias("copies"), (F.col("n") - more).alias("times")))
+    rows = found.select("doc_id", "size", "source_size", "target", "rate", F.explode(ways).alias("way")).select("doc_id", "size", "source_size", "target", "rate", "way.*")
+    return repeated(rows, "times")
+
+
+def mixed(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple = WEIGHTS) -> DataFrame:
+    """docs with each row as often as the mix takes it; rows that it does not take go. Columns may have any names: rows
+    travel as one struct. Rows that agree in all columns are taken together, as often as all of them should be."""
+    keys = ["no_id", "doc_id", "size", "h"]
+    known = lambda c: (c.isNull().alias("no_id"), F.coalesce(c.cast("long"), F.lit(0).cast("long")).alias("doc_id"))
+    rows = docs.select(*known(F.col("doc_id")), n_words(F.col("text")).alias("size"), _hash_of_row(docs).alias("h"), F.struct("*").alias("row"))
+    taken = settle(_allotted(docs, share, most, weights).filter("total > 0").select(*known(F.col("doc_id")), "size", "h", "n", "total"))
+    once = repeated(rows.join(taken.filter("n = 1").drop("n"), keys).select("row", "total"), "total").select("row.*")
+    many = taken.filter("n > 1").drop("n")
+    if many.isEmpty():
+        return once
+    alike = rows.join(many, keys, "left_semi").groupBy(*keys).agg(F.any_value("row").alias("row"))
+    return once.unionByName(repeated(alike.join(many, keys).select("row", "total"), "total").select("row.*"))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
