@@ -420,7 +420,7 @@ def test_mixing_plan_has_no_python(spark, sf_dir):
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a\nb", "\\n", "<|end|>"]), st.lists(st.sampled_from(["<|turn|>", "<|end|>", "\n", "\\", "<", "|", ">", "[INST]", "[/INST]", "</s>", "<<SYS>>", "é", "n", "<|im_start|>"]), max_size=12).map("".join)), min_size=1, max_size=4))
 def test_chat_round_trip(turns):
     roles, texts = map(list, zip(*turns))
-    buffer, rows, starts, ends = chat.assemble(roles, texts, np.array([len(turns)]))
+    buffer, rows, starts, ends = chat.assemble([chat.escape_role(r).encode() for r in roles], [chat.escape(t).encode() for t in texts], np.array([len(turns)]))
     data = buffer.tobytes()
     assert rows.tolist() == [0, len(data)]
     assert chat.read_turns(data.decode()) == turns
@@ -439,6 +439,38 @@ def brute_chat(turns):
     return out
 
 
+def chat_batches(rows, monkeypatch, **limits):
+    import pyarrow as pa
+
+    for name, value in limits.items():
+        monkeypatch.setattr(chat, name, value)
+    table = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))], names=["conv_id", "role", "text"])
+    return list(chat._format(iter([table])))
+
+
+def test_chat_batches_keep_to_their_bytes(monkeypatch):
+    """Formatted bytes count: escapes double these texts, and one turn is longer than all limits."""
+    rows = [(i // 3, "assistant" if i % 3 else "user", "\\é|>" * (i * 7 % 40)) for i in range(90)] + [(99, "assistant", "\\" * 5000), (None, "user", "x")]
+    made = chat_batches(rows, monkeypatch, PART_BYTES=700, BATCH_BYTES=1500, SCATTER_BYTES=64)
+    assert len(made) > 5
+    for batch in made:
+        assert len("".join(batch.column("formatted").to_pylist()).encode()) <= 1500 or batch.num_rows == 1
+    turns, loss = defaultdict(list), defaultdict(str)
+    for batch in made:
+        for conv, part, formatted, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "part", "formatted", "loss_starts", "loss_ends"))):
+            turns[conv] += chat.read_turns(formatted)
+            loss[conv] += "".join(chat.unescape(formatted.encode()[a:b].decode()) for a, b in zip(starts, ends))
+    want = defaultdict(list)
+    for conv, role, text in rows:
+        want[conv].append((role, text))
+    assert turns == want and loss == {c: "".join(t for r, t in some if r == "assistant") for c, some in want.items()}
+
+
+def test_a_turn_too_long_for_a_string_is_an_error(monkeypatch):
+    with pytest.raises(ValueError, match="conversation 7"):
+        chat_batches([(7, "user", "x" * 100)], monkeypatch, MOST_BYTES=90)
+
+
 @pytest.mark.parametrize("turns_a_part", [4096, 2])
 def test_chat_of_awkward_rows(spark, monkeypatch, turns_a_part):
     monkeypatch.setattr(chat, "PART_TURNS", turns_a_part)

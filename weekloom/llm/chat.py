@@ -8,8 +8,9 @@ Template, for each turn: <|turn|>ROLE, a newline, TEXT, <|end|>, a newline. In T
 control strings (these, and those of common public templates) get a backslash after their first character, so that no
 control string is left and reading back gives the very same text.
 
-Conversations stream through a task in order of turn; one with very many turns is emitted in several parts, so memory
-is bounded by PART_TURNS and PART_BYTES, not by the conversation.
+Conversations stream through a task in order of turn; one with very many turns is emitted in several parts, and a batch
+goes out as soon as it holds BATCH_BYTES, so memory is bounded by these and by one turn, not by the conversation. Sizes
+are those of the formatted bytes. Index arrays of the scatter are made for SCATTER_BYTES at a time.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ from pyspark.sql import functions as F
 from weekloom.llm.common import slices
 
 OPEN, CLOSE = b"<|turn|>", b"<|end|>\n"
-PART_TURNS, PART_BYTES = 4096, 16 << 20
+PART_TURNS, PART_BYTES, BATCH_BYTES = 4096, 16 << 20, 32 << 20
+SCATTER_BYTES = 1 << 20
+#: Offsets of an Arrow string column are 32 bits wide, and so is the length of a string in Spark.
+MOST_BYTES = (1 << 31) - 1
 LOSS_ROLE = "assistant"
 _CONTROL = re.compile(r"<\||\|>|</?s>|\[/?INST\]|<</?SYS>>")
 _SPECIAL = re.compile(r"[\\<|\[]")
@@ -55,15 +59,26 @@ def unescape_role(role: str) -> str:
 
 
 def _scatter(buffer: np.ndarray, places: np.ndarray, data: bytes, lengths: np.ndarray) -> None:
-    """Copy the segments that lie in a row in data to their places in the buffer."""
-    index = np.repeat(places - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(data))
-    buffer[index] = np.frombuffer(data, np.uint8)
-
-
-def assemble(roles: list[str], texts: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(buffer, row offsets, content starts, content ends) of rows of counts[i] turns each, starts within the buffer."""
-    head = [escape_role(r).encode() for r in roles]
-    body = [escape(t).encode() for t in texts]
+    """Copy the segments that lie in a row in data to their places in the buffer, many short ones at once by their indices;
+    a segment of SCATTER_BYTES or more is one copy."""
+    source, ends = np.frombuffer(data, np.uint8), np.cumsum(lengths)
+    starts = ends - lengths
+    short = lengths < SCATTER_BYTES
+    for i in np.flatnonzero(~short).tolist():
+        buffer[places[i] : places[i] + lengths[i]] = source[starts[i] : ends[i]]
+    places, starts, lengths = places[short], starts[short], lengths[short]
+    lot = np.cumsum(lengths) // SCATTER_BYTES
+    for part in np.split(np.arange(len(lengths)), np.flatnonzero(np.diff(lot)) + 1):
+        n = lengths[part]
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        buffer[np.repeat(places[part], n) + within] = source[np.repeat(starts[part], n) + within]
+
+
+def assemble(head: list[bytes], body: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(buffer, row offsets, content starts, content ends) of rows of counts[i] turns each, starts within the buffer.
+
+    head and body: escaped role and text of each turn, in UTF-8.
+    """
     n_head, n_body = (np.fromiter(map(len, x), np.int64, len(x)) for x in (head, body))
     size = len(OPEN) + n_head + 1 + n_body + len(CLOSE)
     ends = np.cumsum(size)
@@ -77,41 +92,56 @@ def assemble(roles: list[str], texts: list[str], counts: np.ndarray) -> tuple[np
     return buffer, rows, content, content + n_body
 
 
-def _parts(convs: list, parts: list[int], counts: list[int], roles: list[str], texts: list[str]) -> pa.RecordBatch:
-    counts = np.array(counts, np.int64)
-    buffer, rows, starts, ends = assemble(roles, texts, counts)
-    formatted = pa.StringArray.from_buffers(len(counts), pa.py_buffer(rows.astype(np.int32)), pa.py_buffer(buffer))
-    loss = np.fromiter((r == LOSS_ROLE for r in roles), bool, len(roles))
-    row = np.repeat(np.arange(len(counts)), counts)
-    at = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[loss], minlength=len(counts)))]).astype(np.int32))
-    spans = [pa.ListArray.from_arrays(at, pa.array((x - rows[:-1][row])[loss].astype(np.int32))) for x in (starts, ends)]
-    return pa.RecordBatch.from_arrays([pa.array(convs, pa.int64()), pa.array(parts, pa.int32()), pa.array(counts.astype(np.int32)), formatted, *spans], names=["conv_id", "part", "n_turns", "formatted", "loss_starts", "loss_ends"])
+class _Open:
+    """Parts of conversations that wait to be emitted."""
 
+    def __init__(self) -> None:
+        self.convs, self.parts, self.counts, self.loss, self.head, self.body, self.size = [], [], [], [], [], [], 0
 
-def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    conv, part, roles, texts, size, begun = None, 0, [], [], 0, False
-    for batch in slices(batches, 2048):
-        done: tuple[list, list, list, list, list] = ([], [], [], [], [])
+    def add(self, conv, part: int, turns: list[tuple[bool, bytes, bytes]], size: int) -> None:
+        self.convs.append(conv)
+        self.parts.append(part)
+        self.counts.append(len(turns))
+        for target, own in zip((self.loss, self.head, self.body), zip(*turns)):
+            target.extend(own)
+        self.size += size
 
-        def close() -> None:
-            for x, y in zip(done, ([conv], [part], [len(roles)], roles, texts)):
-                x.extend(y)
+    def batch(self) -> pa.RecordBatch:
+        counts = np.array(self.counts, np.int64)
+        buffer, rows, starts, ends = assemble(self.head, self.body, counts)
+        formatted = pa.StringArray.from_buffers(len(counts), pa.py_buffer(rows.astype(np.int32)), pa.py_buffer(buffer))
+        loss, row = np.array(self.loss, bool), np.repeat(np.arange(len(counts)), counts)
+        at = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[loss], minlength=len(counts)))]).astype(np.int32))
+        spans = [pa.ListArray.from_arrays(at, pa.array((x - rows[:-1][row])[loss].astype(np.int32))) for x in (starts, ends)]
+        return pa.RecordBatch.from_arrays([pa.array(self.convs, pa.int64()), pa.array(self.parts, pa.int32()), pa.array(counts.astype(np.int32)), formatted, *spans], names=["conv_id", "part", "n_turns", "formatted", "loss_starts", "loss_ends"])
 
+
+def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    conv, part, turns, size, done = None, 0, [], 0, _Open()
+    for batch in slices(batches, 256):
         for c, role, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if begun and c != conv:
-                close()
-                part, roles, texts, size = 0, [], [], 0
-            elif roles and (len(roles) >= PART_TURNS or size >= PART_BYTES):
-                close()
-                part, roles, texts, size = part + 1, [], [], 0
-            conv, begun = c, True
-            roles.append(role or "")
-            texts.append(text or "")
-            size += len(texts[-1])
-        if done[0]:
-            yield _parts(*done)
-    if begun:
-        yield _parts([conv], [part], [len(roles)], roles, texts)
+            head, body = escape_role(role or "").encode(), escape(text or "").encode()
+            own = len(OPEN) + len(head) + 1 + len(body) + len(CLOSE)
+            if own > MOST_BYTES:
+                raise ValueError(f"a turn of conversation {c} is {own} bytes long when formatted; a string holds {MOST_BYTES}")
+            new = c != conv
+            if turns and (new or len(turns) >= PART_TURNS or size + own > PART_BYTES):
+                if done.size and done.size + size > BATCH_BYTES:
+                    yield done.batch()
+                    done = _Open()
+                done.add(conv, part, turns, size)
+                part, turns, size = part + 1, [], 0
+            if new:
+                conv, part = c, 0
+            turns.append(((role or "") == LOSS_ROLE, head, body))
+            size += own
+    if turns:
+        if done.size and done.size + size > BATCH_BYTES:
+            yield done.batch()
+            done = _Open()
+        done.add(conv, part, turns, size)
+    if done.size:
+        yield done.batch()
 
 
 def format_chat(turns: DataFrame) -> DataFrame:
@@ -119,7 +149,8 @@ def format_chat(turns: DataFrame) -> DataFrame:
 
     turns: rows (conv_id, turn, role, text). Null role and text count as empty; turns that tie go by role and text, null
     turns first; rows without conv_id are one conversation with a null id. loss_starts and loss_ends are UTF-8 offsets in
-    formatted of the assistant's contents. Nearly always a conversation is one part. Other columns are ignored.
+    formatted of the assistant's contents. Nearly always a conversation is one part. All turns of one stream through one
+    task. A single turn of 2 GiB or more is an error. Other columns are ignored.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "role", "text", "turn")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
