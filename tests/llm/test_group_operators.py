@@ -230,10 +230,13 @@ def brute_links(rows, least=0.93):
     return links
 
 
-@pytest.mark.parametrize("tile", [1024, 7])
-def test_near_vectors(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile, most_cells", [(1024, 1024), (7, 1024), (1024, 3), (7, 2)])
+def test_near_vectors(spark, monkeypatch, tile, most_cells):
+    """With one level of cells, and with two."""
     monkeypatch.setattr(embed_dedup, "TILE", tile)
-    monkeypatch.setattr(embed_dedup, "CELL", 20)
+    monkeypatch.setattr(embed_dedup, "CELL", 10)
+    monkeypatch.setattr(embed_dedup, "MOST_CELLS", most_cells)
+    monkeypatch.setattr(embed_dedup, "CHUNK", 50)
     rng = np.random.default_rng(4)
     rows = {}
     for g in range(12):
@@ -245,7 +248,7 @@ def test_near_vectors(spark, monkeypatch, tile):
     rows[len(rows)] = (rows[0][0] * 2, None)
     table = [(i, x.tolist(), p) for i, (x, p) in rows.items()] + [(0, rows[0][0].tolist(), 0), (900, None, 1), (901, [0.0] * 16, 1), (902, [1.0, 2.0], 1), (None, [1.0] * 16, 1)]
     df = spark.createDataFrame(table, VECTORS).withColumn("cell", F.lit(9)).repartition(3)
-    got = embed_dedup.near_duplicates(df, margin=2.0).collect()  # every cell is visited: exact
+    got = embed_dedup.near_duplicates(df).collect()
     links = brute_links(rows)
     label = brute_components(list(rows), [(a, b) for a, some in links.items() for b in some])
     assert len(got) == len(table)
@@ -257,30 +260,11 @@ def test_near_vectors(spark, monkeypatch, tile):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_recall_of_cells_on_borderline_links(spark):
-    """Pairs just over the least cosine, in random directions of 64 dimensions, across many cells."""
-    rng = np.random.default_rng(6)
-    rows = {}
-    for _ in range(1500):
-        x = rng.normal(size=64)
-        x /= np.linalg.norm(x)
-        d = rng.normal(size=64)
-        d -= d @ x * x
-        y = 0.935 * x + np.sqrt(1 - 0.935**2) * d / np.linalg.norm(d)
-        rows |= {len(rows): (x, 1), len(rows) + 1: (y, 1)}
-    df = spark.createDataFrame([(i, x.tolist(), p) for i, (x, p) in rows.items()], "vec_id bigint, embedding array<double>, label int")
-    embed_cell, embed_dedup.CELL = embed_dedup.CELL, 60
-    try:
-        got = embed_dedup.near_duplicates(df).agg(F.sum("n_links")).first()[0]
-    finally:
-        embed_dedup.CELL = embed_cell
-    assert got >= 0.98 * 3000
-
-
-@pytest.mark.parametrize("dims, power", [(64, 2), (64, 0), (4, 0)])
-def test_default_margin_loses_no_link(spark, monkeypatch, dims, power):
-    """Borderline pairs across many cells, also where few directions carry most of the vectors."""
+@pytest.mark.parametrize("dims, power, most_cells", [(64, 2, 1024), (64, 0, 1024), (16, 0, 1024), (4, 0, 1024), (64, 0, 5), (16, 1, 6), (4, 0, 8)])
+def test_default_margin_loses_no_link(spark, monkeypatch, dims, power, most_cells):
+    """Borderline pairs across many cells, also where few directions carry most of the vectors, at one level and at two."""
     monkeypatch.setattr(embed_dedup, "CELL", 40)
+    monkeypatch.setattr(embed_dedup, "MOST_CELLS", most_cells)
     rng, scale = np.random.default_rng(8), 1 / np.arange(1, dims + 1) ** power
     x, d = (rng.normal(size=(600, dims)) * scale for _ in range(2))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
