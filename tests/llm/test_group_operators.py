@@ -485,7 +485,7 @@ def test_pipeline_stages(spark, sf_dir):
         made.append(stage(spark, made[-1], sf_dir).cache())
         assert [f.simpleString() for f in made[-1].schema.fields] == kinds
     first, told, kept, masked, mixed = ([(r.doc_id, r.text, r.source, r.n_chars) for r in m.collect()] for m in made)
-    predictions = {r.doc_id: (r._lang_pred, r._score) for r in langid.predicted(docs).collect()}
+    predictions = {r.row.doc_id: (r.lang_pred, r.score) for r in langid.predicted(docs).collect()}
     assert sorted(told) == sorted(r for r in first if predictions[r[0]][0] != "und" and predictions[r[0]][1] >= 0.3)
     near = brute_near({i: simhash.fingerprint((t or "").encode()) for i, t, *_ in told})
     assert sorted(kept) == sorted(r for r in told if near[r[0]] == r[0])

@@ -1,6 +1,7 @@
 """Secrets, personal data, token files, SentencePiece and language ID against plain restatements and the libraries."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -436,13 +437,17 @@ def test_language_query(spark, sf_dir):
 def test_language_of_awkward_rows(spark):
     rows = [(i, ("the house and the dog " if i % 2 else "das haus und der hund ") * 3, "en" if i % 2 else "de") for i in range(60)]
     rows += [(100, None, "en"), (101, "", None), (102, "123 ²³ !!", "en"), (103, "haus und hund", None), (None, "the dog", "de"), (104, "x" * 50_000 + " the house", None)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("score", F.lit("s"))
-    got = {r.doc_id: (r._lang_pred, r._score) for r in langid.predicted(df).collect()}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for name in ("score", "_score", "_lang_pred", "row"):
+        df = df.withColumn(name, F.lit("s"))
+    got = {r.row.doc_id: (r.lang_pred, r.score) for r in langid.predicted(df).collect()}
     assert got[100] == got[101] == got[102] == ("und", 0.0)
     assert got[103][0] == "de" and got[None][0] == "en" and got[1][0] == "en"
-    assert {r.doc_id for r in langid.accepted(df).collect()} >= {1, 2, 103} and langid.accepted(df).filter("doc_id in (100, 101, 102)").count() == 0
+    kept = langid.accepted(df)
+    assert kept.columns == df.columns and {r._score for r in kept.collect()} == {"s"}
+    assert {r.doc_id for r in kept.collect()} >= {1, 2, 103} and langid.accepted(df).filter("doc_id in (100, 101, 102)").count() == 0
     nothing = langid.predicted(df.withColumn("lang", F.lit(None).cast("string")))
-    assert nothing.filter("_lang_pred <> 'und' or _score <> 0").count() == 0
+    assert nothing.filter("lang_pred <> 'und' or score <> 0").count() == 0
     assert langid.predicted(df.limit(0)).count() == 0
 
 
@@ -466,11 +471,93 @@ def test_forward_sums_all_segmentations():
                     p[j] += p[i] * table[-1, column]
         return np.log(p[-1])
 
-    for w in ["haus", "thing", "日本a", "q"]:
+    for w in ["haus", "thing", "日本a", "q", "internationalisation" * 2, "internationalisationsx" * 2]:
         assert own.forward([w], table)[0] == pytest.approx([total("▁" + w, c) for c in (0, 1)])
-    cells, counts = own.expected(["thing"], np.array([2.0]), np.array([1]), table)
-    spelled = sum(n * len(own.pieces[c // 2]) for c, n in zip(cells, counts))
-    assert spelled == pytest.approx(2 * len("▁thing"))  # expected pieces cover every character
+    for w in ["thing", "internationalisationsx" * 2]:
+        cells, counts = own.expected([w], np.array([2.0]), np.array([1]), table)
+        spelled = sum(n * len(own.pieces[c // 2]) for c, n in zip(cells, counts))
+        assert spelled == pytest.approx(2 * len("▁" + w))  # expected pieces cover every character
+    short = own.expected(["internationalisationofthings"], np.array([2.0]), np.array([1]), table)
+    long = own._expected_long("internationalisationofthings", 2.0, 1, table)
+    sums = [dict(zip(*x)) for x in (short, long)]
+    for c in {*sums[0], *sums[1]}:
+        mine, theirs = (sum(n for k, n in zip(*x) if k == c) for x in (short, long))
+        assert mine == pytest.approx(theirs)
+
+
+def test_a_very_long_word_is_one_lattice():
+    """500 letters against all segmentations in exact fractions, and a million letters in reasonable time."""
+    from fractions import Fraction
+
+    import numpy as np
+
+    own, rng = langid.lattice(), np.random.default_rng(1)
+    table = rng.random((len(own.pieces) + 1, 2)) * 1e-2
+    table[-1] = 1e-9
+    place = {p: i for i, p in enumerate(own.pieces)}
+    word = "".join(rng.choice(list("aeinrstz日ß"), 500))
+    spelled, p = "▁" + word, [Fraction(1)]
+    for j in range(1, len(spelled) + 1):
+        ways = [(i, place.get(spelled[i:j], -1)) for i in range(max(0, j - own.longest), j)]
+        p.append(sum(p[i] * Fraction(float(table[k, 1])) for i, k in ways if k >= 0 or i == j - 1))
+    want = math.log(p[-1].numerator) - math.log(p[-1].denominator)
+    assert own.forward([word], table)[0, 1] == pytest.approx(want)
+    began = time.process_time()
+    assert np.isfinite(own.forward(["straße" * 30_000], table)).all()
+    assert time.process_time() - began < 30
+
+
+def plain_model(rows, rounds):
+    """Piece probabilities by expectation maximisation in plain Python, over rows (text, lang)."""
+    own = langid.lattice()
+    known, longest = set(own.pieces), own.longest
+
+    def ways(word, j):
+        return [(i, word[i:j]) for i in range(max(0, j - longest), j) if word[i:j] in known or i == j - 1]
+
+    spelled = {}
+    for text, lang in rows:
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            spelled.setdefault(lang, {}).setdefault("▁" + w, 0)
+            spelled[lang]["▁" + w] += 1
+    model = {lang: {x: 1 / len(known) for x in known} for lang in spelled}
+    prob = lambda lang, piece: model[lang].get(piece, langid.UNKNOWN)
+
+    def sums(lang, word):
+        before, after = [1.0] + [0.0] * len(word), [0.0] * len(word) + [1.0]
+        for j in range(1, len(word) + 1):
+            before[j] = sum(before[i] * prob(lang, piece) for i, piece in ways(word, j))
+        for j in range(len(word), 0, -1):
+            for i, piece in ways(word, j):
+                after[i] += after[j] * prob(lang, piece)
+        return before, after
+
+    for _ in range(rounds):
+        counts = {lang: dict.fromkeys(known, langid.SMOOTHING) for lang in model}
+        for lang, some in spelled.items():
+            for word, n in some.items():
+                before, after = sums(lang, word)
+                for j in range(1, len(word) + 1):
+                    for i, piece in ways(word, j):
+                        if piece in known:
+                            counts[lang][piece] += n * before[i] * prob(lang, piece) * after[j] / before[-1]
+        model = {lang: {x: n / sum(c.values()) for x, n in c.items()} for lang, c in counts.items()}
+    return lambda text: {lang: sum(math.log(sums(lang, "▁" + w)[0][-1]) for w in re.findall(r"[^\W\d_]+", text.lower())) for lang in model}
+
+
+def test_predictions_are_those_of_a_plain_model(spark, sf_dir):
+    """100 documents, cut to some words here to keep the plain model's time short; predictions and scores."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang is not null and length(text) > 60").orderBy("doc_id").limit(100)
+    rows = [(r.doc_id, " ".join(r.text.split()[3:8]), r.lang) for r in docs.collect()]
+    got = {r.row.doc_id: (r.lang_pred, r.score) for r in langid.predicted(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    plain = plain_model([(t, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 5], langid.ROUNDS)
+    for i, text, _ in rows:
+        if not any(c.isalpha() for c in text):
+            assert got[i] == ("und", 0.0)
+            continue
+        logs = plain(text)
+        best = max(sorted(logs), key=logs.get)
+        assert got[i] == (best, pytest.approx(1 / sum(math.exp(x - logs[best]) for x in logs.values())))
 
 
 def test_learning_ignores_held_out_rows(spark):
@@ -478,5 +565,5 @@ def test_learning_ignores_held_out_rows(spark):
     rows = [(i, "alpha beta gamma" if i % 2 else "uno dos tres", "a" if i % 2 else "b") for i in range(40)]
     lied = [(i, t, ("b" if lang == "a" else "a") if zlib.crc32(str(i).encode()) % 5 == 0 else lang) for i, t, lang in rows]
     frames = [spark.createDataFrame(r, "doc_id bigint, text string, lang string") for r in (rows, lied)]
-    a, b = ({r.doc_id: (r._lang_pred, round(r._score, 9)) for r in langid.predicted(f).collect()} for f in frames)
+    a, b = ({r.row.doc_id: (r.lang_pred, round(r.score, 9)) for r in langid.predicted(f).collect()} for f in frames)
     assert a == b
