@@ -498,7 +498,7 @@ def test_pipeline_stages(spark, sf_dir):
     text = {i: t for i, t, *_ in mixed}
     assert len(last) == len(mixed)
     for r in last[:40]:
-        assert r.n_tokens == len(own.encode([text[r.doc_id]])[0])
+        assert r.ids == own.processor.encode(text[r.doc_id]) and r.n_tokens == len(r.ids)
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, last))
     for m in made[1:]:
         m.unpersist()

@@ -7,8 +7,9 @@ import re
 import time
 import zlib
 
+import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -359,25 +360,84 @@ def test_token_query(spark, sf_dir):
         at += len(ids)
 
 
-def test_sentencepiece_query_and_spans(spark, sf_dir, texts):
+def library_spans(processor, text):
+    """The library's offsets; a piece that is one byte of a character, for which it gives the whole to the last, by bytes."""
+    out, n = [], 0
+    for p in processor.encode(text, return_type="proto").pieces:
+        n = n + 1 if processor.is_byte(p.id) else 0
+        if n and p.begin == p.end:
+            out.append((p.begin + n - 1, p.begin + n))
+        elif n:
+            out.append((p.begin + n - 1, p.begin + n))
+            n = 0
+        else:
+            out.append((p.begin, p.end))
+    return out
+
+
+def test_sentencepiece_query_and_spans(spark, sf_dir):
     library = spm_codec.codec().processor
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
     for r in queries.QUERIES["op8_sentencepiece"](spark, sf_dir).collect():
         ids = library.encode(docs[r.doc_id])
-        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256, r.span_bytes) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest(), len(docs[r.doc_id].encode()))
-    got = {r.doc_id: r for r in spm_codec.encode(frame(spark, [*ODD, None])).collect()}
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids)).encode()), sha(library.decode(ids).encode()))
+        assert r.spans_sha256 == sha(b"".join(x.to_bytes(8, "little") for s in library_spans(library, docs[r.doc_id]) for x in s))
+    got = {r.doc_id: r for r in spm_codec.encode(frame(spark, [*ODD, None, *ODD], [*range(len(ODD) + 1), *range(100, 100 + len(ODD))])).collect()}
     for i, t in enumerate([*ODD, ""]):
         source = t.encode()
-        assert got[i].ids == library.encode(t)
+        assert got[i].ids == library.encode(t) and got[i].decoded == library.decode(library.encode(t))
+        assert list(zip(got[i].starts, got[i].ends)) == library_spans(library, t)
         assert b"".join(source[a:b] for a, b in zip(got[i].starts, got[i].ends)) == source
+        assert i == len(ODD) or got[100 + i].ids == got[i].ids
     assert spm_codec.encode(frame(spark, ["a"]).limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module", params=["nmt_nfkc", "nfkc_cf"])
+def mapped_model(request, tmp_path_factory):
+    """The public model with a compiled character map of the library's own, and blanks squeezed."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto.FromString(spm_codec.codec().processor.serialized_model_proto())
+    rule = pb.ModelProto.FromString(sentencepiece.SentencePieceNormalizer(rule_name=request.param).serialized_model_proto()).normalizer_spec
+    model.normalizer_spec.CopyFrom(rule)
+    model.normalizer_spec.add_dummy_prefix = model.normalizer_spec.remove_extra_whitespaces = model.normalizer_spec.escape_whitespaces = True
+    path = tmp_path_factory.mktemp("model") / f"{request.param}.model"
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+MAPPED = ["ﬁne ＡＢＣ　ｄ", "  two  blanks ", "①②③ ½ ㍿ ㌔", "e\u0301 Å ÄÖÜ ẞ", "", " ", "ｶﾞｷﾞ", "x\u200by\t\tz\n", "日本語　テキスト", "ﷺ", "İI"]
+
+
+def test_longest_prefixes_of_the_librarys_maps(mapped_model, texts):
+    own = spm_codec.Codec(mapped_model)
+    assert own.normalizer.map.units
+    for t in [*MAPPED, *ODD, *texts[:40]]:
+        normal, start = own.normalizer.normalize(t.encode())
+        assert normal.decode() == own.processor.normalize(t), t
+        ids, starts, ends = own.encode([t])[0]
+        assert ids == own.processor.encode(t)
+        following = [*starts.tolist()[1:], 1 << 60]
+        for x, y, after, (lib_x, lib_y) in zip(starts, ends, following, library_spans(own.processor, t)):
+            # of pieces that share a replaced unit, the library gives its bytes to the last one only
+            assert x == lib_x and (y == lib_y or (y > lib_y and after < y))
+        assert len(start) == len(normal) + 1 and (np.diff(start) >= 0).all() and (starts <= ends).all()
+
+
+@settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(text=st.lists(st.one_of(st.sampled_from([*MAPPED, " ", "▁"]), st.characters(exclude_categories=["Cs"])), max_size=12).map("".join))
+def test_normalisation_of_any_text_is_the_librarys(mapped_model, text):
+    own = spm_codec.codec(mapped_model)
+    assert own.normalizer.normalize(text.encode())[0].decode() == own.processor.normalize(text)
+
+
 def test_span_of_each_piece():
     own = spm_codec.codec()
     for t in ["Hello  world, é🤣x", "a b", " lead", "x▁y"]:
-        ids, source = own.encode([t])[0], t.encode()
-        for i, a, b in zip(ids, *own.spans(t, ids)):
+        (ids, starts, ends), source = own.encode([t])[0], t.encode()
+        for i, a, b in zip(ids, starts, ends):
             piece = own.processor.id_to_piece(i)
             if not own.processor.is_byte(i):
                 assert source[a:b].decode().replace(" ", "▁") in (piece, piece.removeprefix("▁"))

@@ -1,9 +1,11 @@
 """SentencePiece encoding with offsets, and decoding.
 
-Normalisation is done here as well as in the library: the longest prefix in the model's compiled character map (a
-double-array trie followed by replacement strings) is replaced, blanks become U+2581, a blank may be put in front, and
-each byte made records the source bytes it came from. The pieces of the library's encoding follow each other without a
-gap in the normalised text, so their byte lengths add up to spans in it and, through the record, in the source.
+Normalisation is done here: the longest prefix in the model's compiled character map (a double-array trie followed by
+replacement strings) is replaced, blanks become U+2581, a blank may be put in front, and each byte made records the
+source bytes it came from. The normalised text is what is encoded, by the library with the model's own normalisation
+taken out; it is compared with the library's normalisation of each text first, and a text for which they differ is left
+to the library, spans and all. Pieces follow each other without a gap in the normalised text, so their byte lengths add
+up to spans in it and, through the record, in the source. A piece that is one byte of a character spans that byte.
 """
 
 from __future__ import annotations
@@ -79,19 +81,20 @@ class Normalizer:
         start[-1] = len(text)
         return (space if self.prefix else b"") + source.replace(b" ", space), start
 
-    def _unit(self, source: bytes, at: int) -> tuple[int, bytes]:
+    def _unit(self, source: bytes, at: int) -> tuple[int, bytes, int]:
+        """(bytes read, bytes made, step: 1 if each byte made is its own, 0 if all stand for the whole)."""
         if found := self.map.longest(source, at):
-            return found[0], self.map.replacement(found[1])
+            return found[0], self.map.replacement(found[1]), 0
         lead = source[at]
         n = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-        return n, source[at : at + n]
+        return n, source[at : at + n], 1
 
     def _general(self, source: bytes) -> tuple[bytes, np.ndarray]:
         space = _SPACE if self.escape else b" "
         units, at = [], 0
         while at < len(source):
-            n, new = self._unit(source, at)
-            units.append((at, new))
+            n, new, step = self._unit(source, at)
+            units.append((at, new, step))
             at += n
         if self.squeeze:
             while units and units[0][1].strip(b" ") == b"":
@@ -101,19 +104,19 @@ class Normalizer:
             out += space
             starts += [units[0][0]] * len(space)
             after_space = self.squeeze
-        for at, new in units:
+        for at, new, step in units:
             if self.squeeze and after_space:
                 new = new.lstrip(b" ")
-            for c in new:
+            for i, c in enumerate(new):
                 made = space if c == 32 else bytes([c])
                 out += made
-                starts += [at] * len(made)
+                starts += [at + i * step] * len(made)
             if new:
                 after_space = self.squeeze and new.endswith(b" ")
-        if self.squeeze:
-            while out.endswith(space):
-                del out[-len(space) :], starts[-len(space) :]
-        end = len(source) if not self.squeeze else len(source.rstrip(b" "))
+        end = len(source)
+        while self.squeeze and out.endswith(space):
+            end = starts[-len(space)]
+            del out[-len(space) :], starts[-len(space) :]
         return bytes(out), np.array([*starts, end], np.int64)
 
 
@@ -125,28 +128,41 @@ class Codec:
         self.sizes = np.array([1 if p.type == p.BYTE else len(p.piece.encode()) for p in model.pieces], np.int64)
         self.unknown = self.processor.unk_id()
         self.names = [str(i) for i in range(len(model.pieces))]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.processor.encode(texts, num_threads=1)
-
-    def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Source byte spans (starts, ends) of the pieces; pieces of one replaced unit share its bytes."""
-        source = text.encode()
-        normal, start = self.normalizer.normalize(source)
+        plain = model.normalizer_spec
+        plain.precompiled_charsmap = b""
+        plain.add_dummy_prefix = plain.remove_extra_whitespaces = plain.escape_whitespaces = False
+        self.inner = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+
+    def encode(self, texts: list[str]) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
+        """(ids, starts, ends) of each text: ids as the library gives them, source byte spans of the pieces."""
+        made = [self.normalizer.normalize(t.encode()) for t in texts]
+        normal = [m.decode() for m, _ in made]
+        ids = self.inner.encode(normal, num_threads=1)
+        checked = self.processor.normalize(texts)
+        return [
+            (some, *self._spans(some, len(m), start)) if mine == theirs and self.unknown not in some else self._library(text)
+            for text, some, (m, start), mine, theirs in zip(texts, ids, made, normal, checked)
+        ]
+
+    def _library(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
+        pieces = self.processor.encode(text, return_type="proto").pieces
+        return [p.id for p in pieces], *(np.fromiter((getattr(p, n) for p in pieces), np.int64, len(pieces)) for n in ("begin", "end"))
+
+    def _spans(self, ids: list[int], size: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Source byte spans (starts, ends) of the pieces of a normalised text; pieces of one replaced unit share its bytes."""
         ends = np.cumsum(self.sizes[np.fromiter(ids, np.int64, len(ids))])
-        if (int(ends[-1]) if len(ids) else 0) != len(normal) or self.unknown in ids:
-            proto = self.processor.encode(text, return_type="proto")
-            return np.array([p.begin for p in proto.pieces], np.int64), np.array([p.end for p in proto.pieces], np.int64)
+        if (int(ends[-1]) if len(ids) else 0) != size:
+            raise ValueError("the pieces do not add up to the normalised text")
         begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ids)]
-        stops = start[ends]
+        stops = start[ends].astype(np.int64)
         # a piece that ends inside a unit reaches to the unit's end
-        inside = (ends < len(normal)) & (start[np.maximum(ends - 1, 0)] == stops) if len(ids) else np.zeros(0, bool)
+        inside = (ends < size) & (start[np.maximum(ends - 1, 0)] == stops) if len(ids) else np.zeros(0, bool)
         if inside.any():
             unit = np.unique(start)
             stops = np.where(inside & (begins < ends), unit[np.minimum(np.searchsorted(unit, stops, "right"), len(unit) - 1)], stops)
             front = len(_SPACE if self.normalizer.escape else b" ") if self.normalizer.prefix else 0
             stops = np.where(ends <= front, start[0], stops)  # the blank put in front has no source
-        return start[begins], stops
+        return start[begins].astype(np.int64), stops
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.processor.decode(ids, num_threads=1)
@@ -161,20 +177,22 @@ def codec(path: str = MODEL) -> Codec:
     return _codecs[path]
 
 
-def encode_batch(batch: pa.RecordBatch, path: str = MODEL) -> Iterator[tuple[object, str, list[int], np.ndarray, np.ndarray, str]]:
-    """(doc_id, text, ids, span starts, span ends, decoded text) of each row of (doc_id, text)."""
+def encode_batch(batch: pa.RecordBatch, path: str = MODEL) -> list[tuple[object, list[int], np.ndarray, np.ndarray, str]]:
+    """(doc_id, ids, span starts, span ends, decoded text) of each row of (doc_id, text). A text that repeats in the batch,
+    as copies of a mix do, is encoded once."""
     own, texts = codec(path), strings(batch.column(1))
-    ids = own.encode(texts)
-    for doc_id, text, some, decoded in zip(batch.column(0).to_pylist(), texts, ids, own.decode(ids)):
-        yield doc_id, text, some, *own.spans(text, some), decoded
+    each = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+    made = own.encode(list(each))
+    decoded = own.decode([ids for ids, _, _ in made])
+    return [(doc_id, *made[each[t]], decoded[each[t]]) for doc_id, t in zip(batch.column(0).to_pylist(), texts)]
 
 
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            rows = list(encode_batch(batch, path))
+            rows = encode_batch(batch, path)
             kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in zip((0, 2, 3, 4, 5), kinds)], names=["doc_id", "ids", "starts", "ends", "decoded"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["doc_id", "ids", "starts", "ends", "decoded"])
 
     return run
 
@@ -188,24 +206,25 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sha, own = hashlib.sha256, codec(path)
+        sha, own = lambda b: hashlib.sha256(b).hexdigest(), codec(path)
         name = own.names.__getitem__
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()))
         for batch in slices(batches, 64):
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, _, ids, starts, ends, decoded in encode_batch(batch, path):
-                row = doc_id, len(ids), sha(",".join(map(name, ids)).encode()).hexdigest(), sha(decoded.encode()).hexdigest(), int((ends - starts).sum())
-                for column, value in zip(out, row):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes"])
+            out = []
+            for doc_id, ids, starts, ends, decoded in encode_batch(batch, path):
+                spans = np.stack([starts, ends], axis=1).astype("<i8").tobytes()
+                out.append((doc_id, len(ids), sha(",".join(map(name, ids)).encode()), sha(decoded.encode()), sha(spans), ids))
+            columns = list(zip(*out)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256", "ids"])
 
     return run
 
 
 def digests(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """What encode() gives of each row, as digests made in the same pass; span_bytes: source bytes the spans cover."""
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long")
+    """What encode() gives of each row, as digests made in the same pass, and the ids; spans_sha256 is that of each piece's
+    start and end byte in the source, as little-endian 64-bit integers in turn."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string, ids array<int>")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids")
