@@ -333,6 +333,8 @@ def test_token_files(spark, sf_dir, tmp_path):
         at += r.n_tokens
     plan = spark.read.parquet(str(tmp_path / "t")).filter("doc_id = 3").select("n_tokens")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,3)]" in plan and "ReadSchema: struct<doc_id:bigint,n_tokens:bigint>" in plan
+    plan = token_output.read_tokens(spark, str(tmp_path / "t")).filter("doc_id = 3")._jdf.queryExecution().toString()
+    assert "EqualTo(doc_id,3)" in plan and "n_tokens" not in plan.split("_manifest")[-1].split("\n")[0]
     token_output.write_tokens(df.limit(0), str(tmp_path / "empty"))
     assert token_output.read_tokens(spark, str(tmp_path / "empty")).count() == 0
 

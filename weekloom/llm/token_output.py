@@ -3,8 +3,8 @@
 Texts are range-partitioned and sorted by doc_id, encoded with a public word-level BPE, and written by Spark's Parquet
 writer: ids dictionary-encoded in a list column, doc_id, start and n_tokens delta-encoded (writer version 2), row
 groups of bounded size with page indexes. Readers that want metadata only, or some documents only, read just those
-columns and pages. Each file knows its place in the order; a manifest of one row a file turns offsets within a file
-into offsets within the table.
+columns and pages. Each file knows its place in the order; a manifest of one row a file, written beside the files, turns
+offsets within a file into offsets within the table.
 
 Encoding is cached by parts of a text: no pre-token of the vocabulary spans white space, so the ids of a text are those
 of its words in a row. Each part's ids come from the tokenizers library; the cache is bounded.
@@ -21,13 +21,15 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weekloom.llm.common import checkpoint_dir, slices, strings
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
+#: Folder of the manifest within that of the files; readers of the files pass over names that start so.
+MANIFEST = "_manifest"
 #: Parts of texts that a worker's cache holds before it drops the less used.
 MOST_PARTS = 400_000
 #: Files up to which the manifest, of 12 bytes a file, is broadcast.
@@ -176,16 +178,14 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     encoded = dealt.mapInArrow(_encode(vocabulary, end_id), "doc_id long, part int, start long, n_tokens long, tokens array<int>")
     encoded.write.options(**WRITE_OPTIONS).parquet(path)
+    totals = docs.sparkSession.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).coalesce(1).write.parquet(f"{path}/{MANIFEST}")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(part, base): tokens in the files before each file. One row a file, from the n_tokens column alone."""
-    totals = sorted((r.part, r.n) for r in spark.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
-    rows, base = [], 0
-    for part, n in totals:
-        rows.append((part, base))
-        base += n
-    return spark.createDataFrame(rows, "part int, base long")
+    """(part, base): tokens in the files before each file. One row a file."""
+    return spark.read.schema("part int, base long").parquet(f"{path}/{MANIFEST}")
 
 
 def read_tokens(spark: SparkSession, path: str, columns: tuple[str, ...] = ("n_tokens", "tokens")) -> DataFrame:
