@@ -35,7 +35,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document's text and their decoding, as digests."""
+    """Token ids of each document's text, to train on, and digests of ids, spans and decoding. Copies that the mix made
+    lie side by side, so that each text is encoded once."""
     reachable(spark)
     return spm_codec.digests(docs)
 
@@ -52,12 +53,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. Each result is written to the shared folder and read again by the next stage."""
+    """All stages over documents. Each result is written to the shared folder and read again by the next stage; that of
+    a stage is deleted when the next one's is complete. The last one that is written stays: the rows returned read it."""
     reachable(spark)
     home = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{k}-{name}")
         docs = spark.read.parquet(f"{home}/{k}-{name}")
+        if k:
+            _delete(spark, f"{home}/{k - 1}-{STAGES[k - 1][0]}")
     return STAGES[-1][1](spark, docs, sf_dir)
