@@ -255,9 +255,25 @@ def _merge(k: int):
     return run
 
 
+def _of_crowds(rows: DataFrame, keys: list[str], most: int, handle) -> DataFrame:
+    """rows, those of keys that more than most rows have being handled. Only keys and counts are shuffled for the others."""
+    crowds = settle(rows.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(*keys))
+    if crowds.isEmpty():
+        return rows
+    return settle(rows.join(crowds, keys, "left_anti").unionByName(handle(rows.join(crowds, keys, "left_semi"))))
+
+
 def _one_each(vectors: DataFrame) -> DataFrame:
-    """(dim, vec_id, vec), one row a vec_id."""
-    return vectors.groupBy("vec_id").agg(F.min(F.struct("dim", "vec")).alias("v")).select("v.dim", "vec_id", "v.vec")
+    """(dim, vec_id, vec, hash), one row a vec_id."""
+    rows = settle(vectors.select("dim", "vec_id", "vec", F.xxhash64("vec").alias("hash")))
+    least = F.min(F.struct("dim", "vec", "hash")).alias("v")
+    return _of_crowds(rows, ["vec_id"], 1, lambda some: some.groupBy("vec_id").agg(least).select("v.dim", "vec_id", "v.vec", "v.hash"))
+
+
+def _without_needless_copies(rows: DataFrame, k: int) -> DataFrame:
+    """rows, of each vector only those of the k + 1 smallest ids."""
+    nth = F.row_number().over(Window.partitionBy("dim", "vec").orderBy("vec_id"))
+    return _of_crowds(rows, ["hash"], k + 1, lambda some: some.withColumn("nth", nth).filter(F.col("nth") <= k + 1).drop("nth"))
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int = NEAREST, block: int = BLOCK, tile: int = TILE, strip: int = STRIP) -> DataFrame:
@@ -268,10 +284,9 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = NEAREST, block:
     without vec_id take no part. A vec_id that repeats counts once, with its shortest usable vector, of equally long ones
     the least in bytes. Other columns are ignored.
     """
-    left, right = (settle(_one_each(clean(x))) for x in (queries, candidates))
-    nth = F.row_number().over(Window.partitionBy("dim", "vec").orderBy("vec_id"))
-    some = right.withColumn("nth", nth).filter(F.col("nth") <= k + 1).drop("nth")
-    x, y = (settle(v.mapInArrow(_coded, "dim int, vec_id long, code binary, numbers binary")) for v in (left, some))
+    left, right = (_one_each(clean(x)) for x in (queries, candidates))
+    right = _without_needless_copies(right, k)
+    x, y = (settle(v.select("dim", "vec_id", "vec").mapInArrow(_coded, "dim int, vec_id long, code binary, numbers binary")) for v in (left, right))
     blocks, strips = -(-left.count() // block), min(MOST_STRIPS, -(-y.count() // strip))
     chunk = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n))).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
