@@ -17,7 +17,7 @@ SLICE = 512
 
 
 #: Rows of one key from which on a join deals them over tasks, and most such keys, by which the former grows.
-HOT_ROWS, MOST_HOT = 100_000, 10_000
+HOT_ROWS, MOST_HOT = 2048, 10_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
