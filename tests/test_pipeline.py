@@ -33,8 +33,30 @@ def test_run_writes_everything(spark, transactions, tmp_path):
     assert explore.submission_check(submission).first().total >= 0
     for part in ("train", "validation", "features", "feature_statistics", "importance"):
         assert spark.read.option("header", True).csv(f"{tmp_path}/{part}").count() > 0
-    again = pipeline.run(spark, transactions, str(tmp_path), params=QUICK)  # from the cached stage
+    report, rows = json.load(open(f"{tmp_path}/outlier_report.json")), submission.count()
+    assert report["total_groups"] > 0
+    again = pipeline.run(spark, transactions, str(tmp_path), params=QUICK)  # from the cached stages
     assert again["wmape"] == pytest.approx(scores["wmape"])
+    assert json.load(open(f"{tmp_path}/outlier_report.json")) == report
+    log = sinks.read_experiments(spark, [f"{tmp_path}/experiment.json"])[0]
+    assert log["total_predictions"] == rows == json.load(open(f"{tmp_path}/summary.json"))["total_predictions"]
+    assert set(log["seconds"]) == {"features", "export", "training", "forecast"}
+
+
+def test_squared_loss_has_its_own_history_and_names(spark, transactions, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(forecast, "histories", lambda panel, keep, least, statics: seen.append((least, statics)) or (_ for _ in ()).throw(InterruptedError))
+    with pytest.raises(InterruptedError):
+        pipeline.run(spark, transactions, str(tmp_path), model="squared", interactions=False, use_cache=False, params=replace(QUICK, rounds=1))
+    assert seen[0][0] == 3 and all(c.replace("_", "").isalnum() for c in seen[0][1])
+
+
+def test_a_replaced_input_is_another_one(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/a")
+    before = sinks.state_of(spark, f"{tmp_path}/a")
+    assert sinks.state_of(spark, f"{tmp_path}/a") == before
+    spark.range(4).write.mode("overwrite").parquet(f"{tmp_path}/a")
+    assert sinks.state_of(spark, f"{tmp_path}/a") != before
 
 
 def test_cache_keys_and_retention(spark, tmp_path):
@@ -71,8 +93,9 @@ def test_submission_formats_and_summary(spark, tmp_path):
     row = sinks.write_summary(explore.submission_summary(df), f"{tmp_path}/s.json")
     assert row["by_semana"] == {"1": 7, "2": 0} and row["by_pdv"] == {"5": 3, "6": 4}
     assert json.load(open(f"{tmp_path}/s.json")) == row
-    sinks.write_experiment(f"{tmp_path}/a.json", Params(), 0.5, 10)
-    assert [x["wmape"] for x in sinks.read_experiments([f"{tmp_path}/a.json", f"{tmp_path}/none.json"])] == [0.5]
+    for name, wmape in (("a", 0.5), ("b", 0.25)):
+        sinks.write_experiment(spark, f"{tmp_path}/{name}.json", Params(), wmape, 10)
+    assert [x["wmape"] for x in sinks.read_experiments(spark, [f"{tmp_path}/{n}.json" for n in ("a", "none", "b")])] == [0.25, 0.5]
 
 
 def test_random_search_and_model_round_trip(spark, tmp_path):

@@ -6,21 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions.scalar import dummy_name
+from weekloom.operators.explore import percentiles
 from weekloom.operators.panel import KEYS
 from weekloom.params import Params
+from weekloom.sources.stages import settle
 
 INTERACTING = ("lag_1", "lag_2", "rmean_4", "rmean_8", "trend_4", "momentum_4_8")
 
 
-def value_counts(panel: DataFrame, column: str) -> DataFrame:
-    """(value, n, freq_rank): non-null values, most frequent first; ties by first appearance in order of key and week."""
-    counts = panel.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"), F.min(F.struct(*KEYS, "week_of_year")).alias("first"))
-    return counts.withColumn("freq_rank", F.row_number().over(Window.orderBy(F.desc("n"), "first", "value"))).select("value", "n", "freq_rank")
+def all_counts(panel: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, value, n, freq_rank) of the non-null values of all columns, in one aggregation of the panel; most frequent
+    first, ties by first appearance in order of key and week. Ranks of a column meet in one task, a row a value."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns))
+    long = panel.select(F.struct(*KEYS, "week_of_year").alias("at"), F.explode(pairs).alias("v")).select("at", "v.*").filter(F.col("value").isNotNull())
+    counts = long.groupBy("name", "value").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "first", "value"))
+    return counts.withColumn("freq_rank", rank).select("name", "value", "n", "freq_rank")
 
 
-def top_values(panel: DataFrame, column: str, k: int = 10) -> list:
-    """The k most frequent values, for names of columns: at most k rows come to the driver."""
-    return [r.value for r in value_counts(panel, column).orderBy("freq_rank").limit(k).collect()]
+def value_counts(panel: DataFrame, column: str) -> DataFrame:
+    """(value, n, freq_rank) of one column."""
+    return all_counts(panel, [column]).drop("name")
 
 
 def dummies(panel: DataFrame, column: str, values: list) -> dict[str, Column]:
@@ -28,26 +34,33 @@ def dummies(panel: DataFrame, column: str, values: list) -> dict[str, Column]:
 
 
 def one_hot(panel: DataFrame, params: Params = Params()) -> tuple[DataFrame, list[str]]:
-    """panel with 0/1 columns for the frequent values of the dummy attributes it has, and their names."""
+    """panel with 0/1 columns for the frequent values of the dummy attributes it has, and their names. The panel is read
+    once for the values, of which at most top_values a column come to the driver, for names of columns."""
+    columns = [c for c in params.dummy_columns if c in panel.columns]
+    if not columns:
+        return panel, []
+    top = all_counts(panel, columns).filter(F.col("freq_rank") <= params.top_values).orderBy("freq_rank").collect()
     new: dict[str, Column] = {}
-    for c in params.dummy_columns:
-        if c in panel.columns:
-            new |= dummies(panel, c, top_values(panel, c, params.top_values))
+    for c in columns:
+        new |= dummies(panel, c, [r.value for r in top if r.name == c])
     return panel.select("*", *(v.alias(k) for k, v in new.items())), list(new)
 
 
 def frequencies(panel: DataFrame, params: Params = Params()) -> tuple[DataFrame, list[str]]:
-    """panel with log frequency and frequency rank of the attributes it has; null values get 0 and the rank after the last."""
+    """panel with log frequency and frequency rank of the attributes it has; null values get 0 and the rank after the last.
+    The panel is read once for all counts."""
+    columns = [c for c in params.frequency_columns if c in panel.columns]
+    if not columns:
+        return panel, []
+    counts = settle(all_counts(panel, columns))
+    last = {r.name: r.n for r in counts.groupBy("name").agg(F.count("*").alias("n")).collect()}  # a row a column
     names: list[str] = []
-    for c in params.frequency_columns:
-        if c not in panel.columns:
-            continue
-        counts = value_counts(panel, c)
-        after_last = counts.agg((F.count("*") + 1).alias("_after"))  # one row
-        found = counts.select(F.col("value").alias(c), F.log1p("n").alias(f"{c}_log_freq"), F.col("freq_rank").cast("bigint").alias(f"{c}_freq_rank"))
-        panel = panel.join(found, c, "left").crossJoin(F.broadcast(after_last))
-        panel = panel.withColumns({f"{c}_log_freq": F.coalesce(f"{c}_log_freq", F.lit(0.0)), f"{c}_freq_rank": F.coalesce(f"{c}_freq_rank", "_after")}).drop("_after")
-        names += [f"{c}_log_freq", f"{c}_freq_rank"]
+    for c in columns:
+        found = counts.filter(F.col("name") == c).select(F.col("value").alias("_value"), F.log1p("n").alias("_log"), F.col("freq_rank").cast("bigint").alias("_rank"))
+        panel = panel.join(found, F.col(c).cast("string") == F.col("_value"), "left")
+        new = {f"{c}_log_freq": F.coalesce("_log", F.lit(0.0)), f"{c}_freq_rank": F.coalesce("_rank", F.lit(last.get(c, 0) + 1).cast("bigint"))}
+        panel = panel.withColumns(new).drop("_value", "_log", "_rank")
+        names += list(new)
     return panel, names
 
 
@@ -66,8 +79,12 @@ def package_flags(df: DataFrame, category: str = "Package", store_category: str
 def category_context(panel: DataFrame, column: str, target: str = "qty", wide: bool = False) -> DataFrame:
     """Mean, deviation and count of the target by value of an attribute, nulls 0; wide adds the quartiles."""
     t = F.col(target)
-    more = [F.percentile(t, F.lit(p)).alias(n) for n, p in (("median", 0.5), ("q1", 0.25), ("q3", 0.75))] if wide else []
-    return panel.groupBy(F.col(column).alias("value")).agg(F.avg(t).alias("mean"), F.stddev_samp(t).alias("std"), F.count(t).alias("count"), *more).fillna(0)
+    context = panel.groupBy(F.col(column).alias("value")).agg(F.avg(t).alias("mean"), F.stddev_samp(t).alias("std"), F.count(t).alias("count"))
+    if wide:
+        quartiles = percentiles(panel.select(F.col(column).alias("name"), t.alias("x")), {"median": 0.5, "q1": 0.25, "q3": 0.75})
+        quartiles = quartiles.withColumnRenamed("name", "_value")
+        context = context.join(quartiles, F.col("value").eqNullSafe(F.col("_value")), "left").drop("_value")
+    return context.fillna(0)
 
 
 def category_embedding(panel: DataFrame, column: str, size: int = 3) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.operators.panel import KEYS
+from weekloom.sources.stages import settle
 
 
 def total_by(df: DataFrame, key, value: str = "qty", name: str = "total") -> DataFrame:
@@ -39,32 +40,66 @@ def long_histories(panel: DataFrame, least: int = 12) -> DataFrame:
     return panel.groupBy(*KEYS).agg(F.count("*").alias("n_weeks")).filter(F.col("n_weeks") >= least)
 
 
+def percentiles(values: DataFrame, ps: dict[str, float]) -> DataFrame:
+    """(name, and a column for each of ps): exact percentiles, between neighbours by straight line, of (name, x) rows.
+
+    Equal values are counted first. The distinct ones are ranged by name and value over all tasks, each range sums up its
+    counts, and the few range totals move the sums on: no task holds the values of a name. Nulls don't count.
+    """
+    counts = values.filter(F.col("x").isNotNull()).groupBy("name", F.col("x").cast("double").alias("x")).agg(F.count("*").alias("n"))
+    parts = settle(counts.repartitionByRange("name", "x").withColumn("part", F.spark_partition_id()))
+    own = Window.partitionBy("name").orderBy("part")
+    sums = parts.groupBy("name", "part").agg(F.sum("n").alias("m"))
+    moved = sums.select(F.col("name").alias("_name"), F.col("part").alias("_part"), (F.sum("m").over(own) - F.col("m")).alias("before"), F.sum("m").over(Window.partitionBy("name")).alias("total"))
+    upto = F.sum("n").over(Window.partitionBy("name", "part").orderBy("x")) + F.col("before")
+    at = parts.join(moved, F.col("name").eqNullSafe(F.col("_name")) & (F.col("part") == F.col("_part"))).withColumn("upto", upto)
+
+    def value(rank):
+        return F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")), F.col("x")))
+
+    place = {k: F.lit(float(q)) * (F.col("total") - 1) for k, q in ps.items()}
+    ends = [c.alias(f"{k}_{side}") for k, r in place.items() for side, c in (("low", value(F.floor(r))), ("high", value(F.ceil(r))))]
+    found = at.groupBy("name", "total").agg(*ends)
+    line = {k: F.when(F.floor(r) == F.ceil(r), F.col(f"{k}_low")).otherwise((F.ceil(r) - r) * F.col(f"{k}_low") + (r - F.floor(r)) * F.col(f"{k}_high")) for k, r in place.items()}
+    return found.select("name", *(c.alias(k) for k, c in line.items()))
+
+
+def _of_one(df: DataFrame, column: str) -> DataFrame:
+    return df.select(F.lit(column).alias("name"), F.col(column).alias("x"))
+
+
 def basic_stats(panel: DataFrame) -> DataFrame:
     q = F.col("qty")
-    return panel.agg(
-        F.count("*").alias("total_records"), F.count_distinct("pdv").alias("unique_pdvs"), F.count_distinct("internal_product_id").alias("unique_products"), F.avg(q).alias("mean_sales"), F.median(q).alias("median_sales"),
+    one = panel.agg(
+        F.count("*").alias("total_records"), F.count_distinct("pdv").alias("unique_pdvs"), F.count_distinct("internal_product_id").alias("unique_products"), F.avg(q).alias("mean_sales"),
         (F.avg((q == 0).cast("double")) * 100).alias("zero_percentage"), F.avg("gross").alias("mean_gross_value"), F.min("week_of_year").alias("first_week"), F.max("week_of_year").alias("last_week"),
     )
+    median = percentiles(_of_one(panel, "qty"), {"median_sales": 0.5}).drop("name")
+    return one.join(F.broadcast(median), how="left")  # one row each
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature_name, count, mean, std, min, p25, p50, p75, max) of each column, percentiles exact. One pass over df."""
-    one = lambda c: F.struct(F.lit(c).alias("feature_name"), F.count(c).alias("count"), F.avg(c).cast("double").alias("mean"), F.stddev_samp(c).alias("std"), F.min(F.col(c).cast("double")).alias("min"), F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"), F.max(F.col(c).cast("double")).alias("max"))
-    rows = df.agg(F.array(*map(one, columns)).alias("rows")).select(F.explode("rows").alias("r"))
-    return rows.select("r.feature_name", "r.count", "r.mean", "r.std", "r.min", *(F.col("r.p")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))), "r.max")
+    """(feature_name, count, mean, std, min, p25, p50, p75, max) of each column, percentiles exact."""
+    one = lambda c: F.struct(F.lit(c).alias("feature_name"), F.count(c).alias("count"), F.avg(c).cast("double").alias("mean"), F.stddev_samp(c).alias("std"), F.min(F.col(c).cast("double")).alias("min"), F.max(F.col(c).cast("double")).alias("max"))
+    df = settle(df.select(*columns))  # read twice
+    rows = df.agg(F.array(*map(one, columns)).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns))).alias("v")).select("v.*")
+    quartiles = percentiles(long, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).withColumnRenamed("name", "feature_name")
+    return rows.join(quartiles, "feature_name", "left").select("feature_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def nonzero_stats(panel: DataFrame) -> DataFrame:
     q = F.col("qty")
-    p = F.percentile(q, F.array(*map(F.lit, (0.5, 0.75, 0.95))))
-    return panel.filter(q > 0).agg(F.count("*").alias("n"), F.avg(q).alias("mean"), F.stddev_samp(q).alias("std"), *(p[i].alias(n) for i, n in enumerate(("p50", "p75", "p95"))), F.max(q).alias("max"))
+    sold = panel.filter(q > 0)
+    one = sold.agg(F.count("*").alias("n"), F.avg(q).alias("mean"), F.stddev_samp(q).alias("std"), F.max(q).alias("max"))
+    return one.join(F.broadcast(percentiles(_of_one(sold, "qty"), {"p50": 0.5, "p75": 0.75, "p95": 0.95}).drop("name")), how="left")  # one row each
 
 
 def extreme_values(panel: DataFrame, times: float = 3.0) -> DataFrame:
     """One row: how many values above zero exceed the third quartile by times the quartiles' distance, and that limit."""
     sold = panel.filter(F.col("qty") > 0).select("qty")
-    p = F.percentile("qty", F.array(F.lit(0.25), F.lit(0.75)))
-    limit = sold.agg((p[1] + (p[1] - p[0]) * times).alias("threshold"))  # one row
+    q1, q3 = F.col("q1"), F.col("q3")
+    limit = percentiles(_of_one(sold, "qty"), {"q1": 0.25, "q3": 0.75}).select((q3 + (q3 - q1) * times).alias("threshold"))  # one row
     return sold.crossJoin(F.broadcast(limit)).agg(F.count_if(F.col("qty") > F.col("threshold")).alias("n_extreme"), F.max("threshold").alias("threshold"))
 
 
@@ -150,7 +185,7 @@ def group_mean(df: DataFrame, keys: list[str], value: str, name: str) -> DataFra
 
 def hash_sample(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
     """n rows, the same on every run: those of smallest hash."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", *keys, F.lit(seed)).cast("binary")), *keys).limit(n)
 
 
 def with_dims(facts: DataFrame, products: DataFrame, stores: DataFrame, product: str = "internal_product_id", store: str = "internal_store_id") -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weekloom.functions.scalar import safe_names
 from weekloom.operators import categorical, explore, features, forecast, outliers, panel
 from weekloom.params import Params
 from weekloom.sources import sinks
+from weekloom.sources.stages import settle
 
 
 @dataclass
@@ -45,22 +48,26 @@ def comprehensive_features(weekly: DataFrame, params: Params = Params(), advance
 
 
 def process(transactions: DataFrame, params: Params = Params(), treat_outliers: bool = True, advanced: bool = True, interactions: bool = True, cache: sinks.StageCache | None = None, inputs: tuple[str, ...] = ()) -> Prepared:
-    """Everything up to the training matrices. With a cache, the treated panel is a stage table by all parameters."""
+    """Everything up to the training matrices. With a cache, the treated panel and the outliers' statistics are stage
+    tables by all parameters. What is read more than once, panel and features, is settled."""
     switches = (*inputs, str(treat_outliers))
     weekly = cache.load(params, *switches) if cache else None
-    stats = None
+    stats = cache.load(params, *switches, "statistics") if cache else None
     if weekly is None:
         weekly = build_panel(transactions, params)
         if treat_outliers:
+            weekly = settle(weekly)
             if params.outlier_method == "z_score":
                 flagged = outliers.z_score_flags(weekly, params)
                 stats = outliers.group_stats(flagged)
                 weekly = outliers.treat_z_score(flagged, params).select(*weekly.columns)
             else:
                 weekly = outliers.treat(weekly, params)
-        if cache:
-            weekly = cache.save(weekly, params, *switches)
+        weekly = cache.save(weekly, params, *switches) if cache else settle(weekly)
+        if stats is not None:
+            stats = cache.save(stats, params, *switches, "statistics") if cache else settle(stats)
     featured, names = comprehensive_features(weekly, params, advanced, interactions)
+    featured = settle(featured)
     train, valid = explore.split(featured, params.train_until, params.valid_from, params.valid_until)
     return Prepared(weekly, featured, names, train, valid, stats)
 
@@ -86,15 +93,43 @@ def forecast_all(made: Prepared, model, params: Params = Params(), advanced: boo
     return forecast.recursive_forecast(state, score, params.forecast_weeks, last_week, params, advanced)
 
 
+def renamed(made: Prepared, names: list[str]) -> Prepared:
+    """made with its feature columns under other names."""
+    new = dict(zip(made.feature_columns, names))
+    other = lambda df: df.withColumnsRenamed(new)
+    return replace(made, featured=other(made.featured), train=other(made.train), valid=other(made.valid), feature_columns=names)
+
+
 def run(spark: SparkSession, path: str, output: str, model: str = "absolute", advanced: bool = True, interactions: bool = True, use_cache: bool = True, params: Params = Params()) -> dict:
-    """Train and forecast from a table of transactions; everything is written under output."""
-    cache = sinks.StageCache(spark, f"{output}/cache") if use_cache else None
-    made = process(spark.read.parquet(path), params, advanced=advanced, interactions=interactions, cache=cache, inputs=(path,))
+    """Train and forecast from a table of transactions; everything is written under output.
+
+    The validation weeks choose how many trees are kept. The model of squared loss is deeper, and it forecasts keys of
+    three weeks or more; feature names are made safe for both where they aren't.
+    """
+    seconds, began = {}, time.time()
+
+    def done(stage: str) -> None:
+        nonlocal began
+        seconds[stage], began = round(time.time() - began, 3), time.time()
+
+    if model == "squared":
+        params = replace(params, depth=params.depth + 1, least_history=min(params.least_history, 3))
+    cache = sinks.StageCache(spark, f"{output}/cache", keep=10) if use_cache else None
+    made = process(spark.read.parquet(path), params, advanced=advanced, interactions=interactions, cache=cache, inputs=(path, sinks.state_of(spark, path)))
+    made = made if model != "squared" else renamed(made, safe_names(made.feature_columns))
+    if made.outlier_stats is not None:
+        sinks.write_summary(outliers.report(made.outlier_stats), f"{output}/outlier_report.json")
+    done("features")
     export(spark, made, output)
-    fitted = forecast.train_trees(made.train, made.feature_columns, loss=model, params=replace(params, depth=6) if model == "squared" else params)
+    done("export")
+    fitted = forecast.train_trees(made.train, made.feature_columns, valid=made.valid, loss=model, params=params)
     fitted.write().overwrite().save(f"{output}/model")
     sinks.write_csv(forecast.importances(spark, fitted, made.feature_columns), f"{output}/importance", one_file=True)
     scores = forecast.validate(fitted, made.valid).first().asDict()
-    predictions = forecast_all(made, fitted, params, advanced)
+    done("training")
+    predictions = settle(forecast_all(made, fitted, params, advanced))
     sinks.write_submission(predictions, f"{output}/submission")
+    sinks.write_summary(explore.submission_summary(predictions), f"{output}/summary.json")
+    done("forecast")
+    sinks.write_experiment(spark, f"{output}/experiment.json", params, scores["wmape"], predictions.count(), seconds)
     return scores

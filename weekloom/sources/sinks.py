@@ -39,6 +39,29 @@ def _filesystem(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _write_json(spark: SparkSession, path: str, value: dict) -> None:
+    fs, p = _filesystem(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(json.dumps(value, indent=2).encode()))
+    finally:
+        out.close()
+
+
+def _read_json(spark: SparkSession, path: str) -> dict | None:
+    fs, p = _filesystem(spark, path)
+    if not fs.exists(p):
+        return None
+    return json.loads("".join(r.value + "\n" for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def state_of(spark: SparkSession, path: str) -> str:
+    """Files of an input with their sizes and times, so that a replaced input is another one."""
+    fs, p = _filesystem(spark, path)
+    files = sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in fs.listStatus(p))
+    return ",".join(files)
+
+
 class StageCache:
     """Stage tables by a key of all parameters and inputs; the newest few are kept."""
 
@@ -74,28 +97,20 @@ class StageCache:
         return len(stages)
 
 
-def write_experiment(path: str, params: Params, wmape: float, predictions: int) -> dict:
-    log = {"timestamp": datetime.now(timezone.utc).isoformat(), "params": json.loads(json.dumps(params.__dict__, default=str)), "wmape": float(wmape), "total_predictions": int(predictions)}
-    with open(path, "w") as f:
-        json.dump(log, f, indent=2)
+def write_experiment(spark: SparkSession, path: str, params: Params, wmape: float, predictions: int, seconds: dict[str, float] | None = None) -> dict:
+    """A log of one run: time, parameters, score, size, and seconds by stage."""
+    log = {"timestamp": datetime.now(timezone.utc).isoformat(), "params": json.loads(json.dumps(params.__dict__, default=str)), "wmape": float(wmape), "total_predictions": int(predictions), "seconds": seconds or {}}
+    _write_json(spark, path, log)
     return log
 
 
-def read_experiments(paths: list[str]) -> list[dict]:
+def read_experiments(spark: SparkSession, paths: list[str]) -> list[dict]:
     """The logs that are there, best first."""
-    logs = []
-    for p in paths:
-        try:
-            with open(p) as f:
-                logs.append(json.load(f))
-        except FileNotFoundError:
-            continue
-    return sorted(logs, key=lambda x: x["wmape"])
+    return sorted(filter(None, (_read_json(spark, p) for p in paths)), key=lambda x: x["wmape"])
 
 
 def write_summary(summary: DataFrame, path: str) -> dict:
     """One aggregated row as JSON with native types."""
     row = json.loads(summary.select(F.to_json(F.struct("*")).alias("j")).first().j)
-    with open(path, "w") as f:
-        json.dump(row, f, indent=2)
+    _write_json(summary.sparkSession, path, row)
     return row
