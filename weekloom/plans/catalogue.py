@@ -6,6 +6,7 @@ six places on both sides, since the order of summation differs between engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -17,6 +18,7 @@ from weekloom.operators import categorical, explore, features, forecast, outlier
 from weekloom.params import Params
 from weekloom.plans import pipeline
 from weekloom.sources import sinks, tables
+from weekloom.sources.stages import checkpoint_dir, settle
 from weekloom.streaming import weekly as stream_weekly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -373,7 +375,7 @@ def _dummy_sql(column: str) -> str:
 
 @query("one_hot_top10", _with(_PANEL, _rank_sql("categoria", "categoria_r"), _rank_sql("premise", "premise_r")) + f" {_dummy_sql('categoria')} UNION ALL {_dummy_sql('premise')}")
 def one_hot_top10(spark, sf_dir):
-    return _melted(*categorical.one_hot(weekly(spark, sf_dir, "categoria", "premise"), PARAMS))
+    return _melted(*categorical.one_hot(settle(weekly(spark, sf_dir, "categoria", "premise")), PARAMS))
 
 
 @query(
@@ -382,7 +384,7 @@ def one_hot_top10(spark, sf_dir):
     + f" SELECT {_K}, {_r('ln(1 + a.n)', 'subcategoria_log_freq')}, a.freq_rank AS subcategoria_freq_rank, {_r('ln(1 + b.n)', 'fabricante_log_freq')}, b.freq_rank AS fabricante_freq_rank FROM pn LEFT JOIN a ON a.value = subcategoria LEFT JOIN b ON b.value = fabricante",
 )
 def freq_features(spark, sf_dir):
-    df, names = categorical.frequencies(weekly(spark, sf_dir, "subcategoria", "fabricante"), PARAMS)
+    df, names = categorical.frequencies(settle(weekly(spark, sf_dir, "subcategoria", "fabricante")), PARAMS)
     return rounded(df, *_KEYS, *names)
 
 
@@ -395,7 +397,7 @@ p AS (SELECT freq_rank * 4 + CASE num WHEN 'lag_1' THEN 0 WHEN 'lag_2' THEN 1 WH
 SELECT name, {_r('total', 'total')} FROM p ORDER BY pos LIMIT 15""",
 )
 def interactions(spark, sf_dir):
-    df = weekly(spark, sf_dir, "categoria")
+    df = settle(weekly(spark, sf_dir, "categoria"))
     wide = features.rolling(8, 4)["rmean_8"]
     df = features.basic_features(df, PARAMS).withColumn("rmean_8", F.coalesce(wide, F.lit(0.0)))
     df, dummies = categorical.one_hot(df, PARAMS)
@@ -404,7 +406,7 @@ def interactions(spark, sf_dir):
 
 @query("category_context", _with(_PANEL) + f" SELECT categoria AS value, {_r('avg(qty)', 'mean')}, {_r('coalesce(stddev_samp(qty), 0)', 'std')}, count(qty) AS count, {_r('quantile_cont(qty, 0.5)', 'median')}, {_r('quantile_cont(qty, 0.25)', 'q1')}, {_r('quantile_cont(qty, 0.75)', 'q3')} FROM pn GROUP BY categoria")
 def category_context(spark, sf_dir):
-    return rounded(categorical.category_context(weekly(spark, sf_dir, "categoria"), "categoria", wide=True))
+    return rounded(categorical.category_context(settle(weekly(spark, sf_dir, "categoria")), "categoria", wide=True))
 
 
 # ---- prices ------------------------------------------------------------------------------------------------------
@@ -589,7 +591,7 @@ def brand_week_mean(spark, sf_dir):
 
 @query("basic_stats", _with(_PANEL) + f" SELECT count(*) AS total_records, count(DISTINCT pdv) AS unique_pdvs, count(DISTINCT internal_product_id) AS unique_products, {_r('avg(qty)', 'mean_sales')}, {_r('median(qty)', 'median_sales')}, {_r('avg(CASE WHEN qty = 0 THEN 100.0 ELSE 0.0 END)', 'zero_percentage')}, {_r('avg(gross)', 'mean_gross_value')}, min(week_of_year) AS first_week, max(week_of_year) AS last_week FROM pn")
 def basic_stats(spark, sf_dir):
-    return rounded(explore.basic_stats(weekly(spark, sf_dir)))
+    return rounded(explore.basic_stats(settle(weekly(spark, sf_dir))))
 
 
 def _describe_sql(source: str, columns: list[str]) -> str:
@@ -605,7 +607,7 @@ def describe_features(spark, sf_dir):
 
 @query("nonzero_stats", _with(_PANEL) + f" SELECT count(*) AS n, {_r('avg(qty)', 'mean')}, {_r('stddev_samp(qty)', 'std')}, {_r('quantile_cont(qty, 0.5)', 'p50')}, {_r('quantile_cont(qty, 0.75)', 'p75')}, {_r('quantile_cont(qty, 0.95)', 'p95')}, {_r('max(qty)', 'max')} FROM pn WHERE qty > 0")
 def nonzero_stats(spark, sf_dir):
-    return rounded(explore.nonzero_stats(weekly(spark, sf_dir)))
+    return rounded(explore.nonzero_stats(settle(weekly(spark, sf_dir))))
 
 
 @query("top_stores", _with(_PANEL) + f" SELECT pdv, {_r('sum(qty)', 'total')} FROM pn GROUP BY pdv ORDER BY sum(qty) DESC, pdv LIMIT 10")
@@ -640,7 +642,7 @@ def histogram_log(spark, sf_dir):
 
 @query("iqr_extremes", _with(_PANEL, "t AS (SELECT quantile_cont(qty, 0.75) + 3 * (quantile_cont(qty, 0.75) - quantile_cont(qty, 0.25)) AS t FROM pn WHERE qty > 0)") + f" SELECT count(*) FILTER (WHERE qty > t) AS n_extreme, {_r('max(t)', 'threshold')} FROM pn, t WHERE qty > 0")
 def iqr_extremes(spark, sf_dir):
-    return rounded(explore.extreme_values(weekly(spark, sf_dir)))
+    return rounded(explore.extreme_values(settle(weekly(spark, sf_dir))))
 
 
 _CORR = ["qty", "lag_1", "lag_2", "lag_3", "lag_4"]
@@ -738,9 +740,9 @@ def _direct_frame(spark, sf_dir):
     return forecast.direct_frame(df, tables.forecast_weeks(spark, 5), 250, 52)
 
 
-@query("sample_deterministic")
+@query("sample_deterministic", _with(_PANEL) + f" SELECT {_K}, {_r('qty', 'qty')}, {_r('gross', 'gross')} FROM pn ORDER BY md5(concat_ws('|', week_of_year, pdv, internal_product_id, 42)), {_K} LIMIT 1000")
 def sample_deterministic(spark, sf_dir):
-    return explore.hash_sample(weekly(spark, sf_dir), _KEYS, 1000)
+    return rounded(explore.hash_sample(weekly(spark, sf_dir), _KEYS, 1000), *_KEYS, "qty", "gross")
 
 
 # ---- serving features, models and forecasts ----------------------------------------------------------------------
@@ -768,7 +770,7 @@ _MODEL = replace(PARAMS, train_until=300, valid_from=301, valid_until=357)
 
 
 def _model_frame(spark, sf_dir):
-    df = features.basic_features(weekly(spark, sf_dir), _MODEL)
+    df = settle(features.basic_features(weekly(spark, sf_dir), _MODEL))
     return df, ["week_of_year", *_BASIC_COLUMNS]
 
 
@@ -882,7 +884,7 @@ def events_weekly(spark, sf_dir):
 
 @query("comprehensive_features")
 def comprehensive_features(spark, sf_dir):
-    df, names = pipeline.comprehensive_features(weekly(spark, sf_dir, *panel.ATTRIBUTES), PARAMS)
+    df, names = pipeline.comprehensive_features(settle(weekly(spark, sf_dir, *panel.ATTRIBUTES)), PARAMS)
     return df.select(*_KEYS, "qty", *(n for n in names if n not in _KEYS))
 
 
@@ -891,5 +893,193 @@ def feature_kinds(spark, sf_dir):
     return sinks.feature_kinds(spark, ["lag_1", "categoria_PROMO", "premise_NATION_1", "fabricante_log_freq"])
 
 
+# ---- forecasts with a linear score, which SQL can say -------------------------------------------------------------
+
+
+def _linear(df):
+    return df.withColumn("prediction", F.col("lag_1") * 0.3717391843 + F.col("rmean_4") * 0.2913284719 + F.col("lag_2") * 0.3111729183)
+
+
+@query(
+    "recursive_forecast_linear",
+    "WITH RECURSIVE "
+    + _PANEL
+    + f""", h AS (SELECT pdv, internal_product_id, list(qty ORDER BY week_of_year) AS h FROM pn GROUP BY ALL HAVING count(*) >= 12),
+st AS (SELECT 0 AS w, pdv, internal_product_id, h[-24:] AS h, CAST(0 AS DOUBLE) AS p FROM h UNION ALL
+  SELECT w + 1, pdv, internal_product_id, list_append(h, q), q FROM (SELECT *, greatest(h[-1] * 0.3717391843::DOUBLE + list_avg(h[-4:]) * 0.2913284719::DOUBLE + h[-2] * 0.3111729183::DOUBLE, 0) AS q FROM st WHERE w < 5))
+SELECT CAST(w AS INTEGER) AS semana, pdv, internal_product_id AS produto, CAST(round_even(CASE WHEN p >= 0.5 THEN p ELSE 0 END, 0) AS INTEGER) AS quantidade, {_r('p', 'predicted')} FROM st WHERE w > 0""",
+)
+def recursive_forecast_linear(spark, sf_dir):
+    state = forecast.histories(weekly(spark, sf_dir), _MODEL.history_kept, _MODEL.least_history)
+    return rounded(forecast.recursive_forecast(state, _linear, _MODEL.forecast_weeks, 357, _MODEL, advanced=False))
+
+
+@query(
+    "frozen_mean_forecast_linear",
+    "WITH RECURSIVE "
+    + _PANEL
+    + f""", nb AS (SELECT *, avg(qty) OVER (PARTITION BY pdv, internal_product_id ORDER BY week_of_year ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS mm FROM pn),
+top AS (SELECT pdv, internal_product_id FROM pn GROUP BY ALL ORDER BY sum(qty) DESC, pdv, internal_product_id LIMIT 250),
+st AS (SELECT 0 AS w, top.pdv, top.internal_product_id, coalesce(qty, 0) AS lag, coalesce(mm, 0) AS mm FROM top LEFT JOIN nb ON nb.pdv = top.pdv AND nb.internal_product_id = top.internal_product_id AND week_of_year = 52 UNION ALL
+  SELECT w + 1, pdv, internal_product_id, greatest(lag * 0.3717391843::DOUBLE + mm * 0.4113284719::DOUBLE + (w + 1) * 0.1311729183::DOUBLE, 0), mm FROM st WHERE w < 5)
+SELECT CAST(w AS INTEGER) AS semana, pdv, internal_product_id AS produto, CAST(round_even(lag * CASE WHEN w = 5 THEN 3.0::DOUBLE / 7 ELSE 1 END, 0) AS INTEGER) AS quantidade FROM st WHERE w > 0""",
+)
+def frozen_mean_forecast_linear(spark, sf_dir):
+    frame = _direct_frame(spark, sf_dir).filter("semana_do_ano = 1").drop("semana_do_ano")
+    score = lambda df: df.withColumn("prediction", F.col("lag_1_semana") * 0.3717391843 + F.col("media_movel_4_semanas") * 0.4113284719 + F.col("semana_do_ano") * 0.1311729183)
+    return forecast.frozen_mean_forecast(frame, score, (1, 2, 3, 4, 5), {5: 3 / 7})
+
+
+@query("zero_weight", _with(_PANEL) + f" SELECT pdv, {_r('sum(CASE WHEN qty = 0 THEN 1.5 ELSE 1 END)', 'weight')} FROM pn GROUP BY pdv")
+def zero_weight(spark, sf_dir):
+    return rounded(forecast.zero_weight(weekly(spark, sf_dir)).groupBy("pdv").agg(F.sum("weight").alias("weight")))
+
+
+# ---- sources and sinks: what is written is what is read -----------------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_TOTALS = f" SELECT pdv, count(*) AS n, {_r('sum(qty)', 'qty')} FROM pn GROUP BY pdv"
+
+
+def _totals(df):
+    return rounded(df.groupBy("pdv").agg(F.count("*").alias("n"), F.sum("qty").alias("qty")))
+
+
+@query("table_round_trip", _with(_TX) + f" SELECT pdv, count(*) AS n, {_r('sum(q)', 'qty')} FROM cl GROUP BY pdv")
+def table_round_trip(spark, sf_dir):
+    """Transactions written, and read with the declared schema, which the file need not fill."""
+    path = _folder(spark, "transactions")
+    df = transactions(spark, sf_dir).withColumn("pdv", F.col("pdv").cast("string"))
+    df.write.parquet(path)
+    back = tables.read_table(spark, path, tables.TRANSACTIONS)
+    return _totals(back.withColumn("pdv", F.col("pdv").cast("bigint")).withColumnRenamed("quantity", "qty"))
+
+
+@query("raw_folder_roles", "SELECT 'transactions' AS role, count(*) AS n FROM lineitem UNION ALL SELECT 'products', count(*) FROM part UNION ALL SELECT 'stores', count(*) FROM supplier")
+def raw_folder_roles(spark, sf_dir):
+    """Three unnamed raw tables, told apart by their columns."""
+    path, read = _folder(spark, "raw"), lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    read("lineitem").select(F.col("l_partkey").alias("internal_product_id"), F.col("l_quantity").alias("quantity")).write.parquet(f"{path}/a.parquet")
+    read("part").select(F.col("p_partkey").alias("produto"), F.col("p_type").alias("categoria")).write.parquet(f"{path}/b.parquet")
+    read("supplier").select(F.col("s_suppkey").alias("pdv"), F.col("s_name").alias("zipcode")).write.parquet(f"{path}/c.parquet")
+    found = tables.read_raw_folder(spark, f"{path}/*.parquet")
+    out = [df.agg(F.count("*").alias("n")).select(F.lit(role).alias("role"), "n") for role, df in sorted(found.items())]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def _submission_round_trip(kind):
+    def run(spark, sf_dir):
+        path = _folder(spark, "submission")
+        sinks.write_submission(_naive_submission(spark, sf_dir), path, kind)
+        return tables.read_submission(spark, path) if kind == "csv" else spark.read.parquet(path)
+
+    return run
+
+
+query("submission_csv", _with(_NAIVE) + " SELECT * FROM sub")(_submission_round_trip("csv"))
+query("submission_parquet", _with(_NAIVE) + " SELECT * FROM sub")(_submission_round_trip("parquet"))
+
+
+@query("matrix_csv", _with(_PANEL, f"bf AS (SELECT qty, {_BASIC} FROM pn)") + f" SELECT lag_1, rmean_4, count(*) AS n, {_r('sum(qty)', 'qty')} FROM bf GROUP BY ALL")
+def matrix_csv(spark, sf_dir):
+    """The training matrix as text: features, and the target last."""
+    path = _folder(spark, "matrix")
+    sinks.write_matrix(rounded(features.basic_features(weekly(spark, sf_dir), PARAMS), *_KEYS, "qty", *_BASIC_COLUMNS), _BASIC_COLUMNS, path)
+    back = spark.read.option("header", True).csv(path)
+    if back.columns != [*_BASIC_COLUMNS, "qty"]:
+        raise ValueError(f"columns of the matrix: {back.columns}")
+    back = back.select(*(F.col(c).cast("double").alias(c) for c in back.columns))
+    return rounded(back.groupBy("lag_1", "rmean_4").agg(F.count("*").alias("n"), F.sum("qty").alias("qty")))
+
+
+@query("stage_cache", _with(_PANEL) + _TOTALS)
+def stage_cache(spark, sf_dir):
+    """The newest of three stages; two are kept, the oldest is gone, and other parameters or inputs find nothing."""
+    cache = sinks.StageCache(spark, _folder(spark, "cache"), keep=2)
+    for z in (1.0, 2.0, 3.0):
+        cache.save(weekly(spark, sf_dir), replace(PARAMS, z_threshold=z), sf_dir)
+    gone = [cache.load(replace(PARAMS, z_threshold=1.0), sf_dir), cache.load(replace(PARAMS, z_threshold=3.0), "other")]
+    if gone != [None, None]:
+        raise ValueError("a stage was found that should not be there")
+    return _totals(cache.load(replace(PARAMS, z_threshold=3.0), sf_dir))
+
+
+@query("stage_cache_cleared", "SELECT 1 AS cleared, 0 AS found")
+def stage_cache_cleared(spark, sf_dir):
+    cache = sinks.StageCache(spark, _folder(spark, "cache"))
+    cache.save(spark.read.parquet(f"{sf_dir}/region.parquet"), PARAMS)
+    cleared = cache.clear()
+    return spark.createDataFrame([(cleared, int(cache.load(PARAMS) is not None))], "cleared int, found int")
+
+
+@query("experiment_logs", "SELECT * FROM (VALUES (CAST(1 AS INTEGER), CAST(0.25 AS DOUBLE), CAST(4.0 AS DOUBLE)), (2, 0.5, 2.0)) t(place, wmape, z_threshold)")
+def experiment_logs(spark, sf_dir):
+    """Logs of two runs, best first; one that is not there is passed over."""
+    path = _folder(spark, "logs")
+    for name, z, wmape in (("a", 2.0, 0.5), ("b", 4.0, 0.25)):
+        sinks.write_experiment(spark, f"{path}/{name}.json", replace(PARAMS, z_threshold=z), wmape, 1)
+    logs = sinks.read_experiments(spark, [f"{path}/{n}.json" for n in ("a", "none", "b")])
+    return spark.createDataFrame([(i, x["wmape"], x["params"]["z_threshold"]) for i, x in enumerate(logs, 1)], "place int, wmape double, z_threshold double")
+
+
+@query("summary_json", _with(_NAIVE) + " SELECT count(*) AS total_predictions, CAST(sum(quantidade) AS BIGINT) AS total_quantity FROM sub")
+def summary_json(spark, sf_dir):
+    path = f"{_folder(spark, 'summary')}.json"
+    sinks.write_summary(explore.submission_summary(_naive_submission(spark, sf_dir)), path)
+    return spark.read.option("multiLine", True).json(path).select("total_predictions", "total_quantity")
+
+
+# ---- names, flags and steps of the pipeline -----------------------------------------------------------------------
+
+
+@query("digit_stores", f"SELECT CAST(pdv AS BIGINT) AS pdv FROM (SELECT {_STORES.format('VARCHAR')} AS pdv FROM supplier) WHERE regexp_full_match(pdv, '[0-9]+')")
+def digit_stores(spark, sf_dir):
+    return panel.digit_stores(spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.expr(_STORES.format("STRING")).alias("pdv")))
+
+
+@query(
+    "safe_names",
+    "WITH t AS (SELECT DISTINCT c_mktsegment || ' / ' || c_nationkey % 3 AS name FROM customer), b AS (SELECT name, trim(regexp_replace(regexp_replace(name, '[^0-9A-Za-z_]', '_', 'g'), '_+', '_', 'g'), '_') AS safe FROM t) SELECT name, safe FROM b",
+)
+def safe_names(spark, sf_dir):
+    """Names made safe; these stay distinct."""
+    name = F.concat("c_mktsegment", F.lit(" / "), (F.col("c_nationkey") % 3).cast("string"))
+    names = sorted(r.name for r in spark.read.parquet(f"{sf_dir}/customer.parquet").select(name.alias("name")).distinct().collect())
+    return spark.createDataFrame(list(zip(names, scalar.safe_names(names))), "name string, safe string")
+
+
+@query("stable_bucket", "SELECT s_name AS name, CAST(('0x' || substr(md5(s_name), 1, 8)) AS BIGINT) % 1000000 AS bucket FROM supplier")
+def stable_bucket(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_name").alias("name"), scalar.stable_bucket(F.col("s_name")).alias("bucket"))
+
+
+@query("with_features", _with(_PANEL) + f" SELECT pdv, {_r('sum(qty)', 'qty')}, {_r('0', 'missing_a')}, {_r('0', 'missing_b')} FROM pn GROUP BY pdv")
+def with_features(spark, sf_dir):
+    """A frame for a model that wants features which the frame lacks."""
+    df = explore.with_features(weekly(spark, sf_dir), ["qty", "missing_a", "missing_b"])
+    return rounded(df.groupBy("pdv").agg(*(F.sum(c).alias(c) for c in ("qty", "missing_a", "missing_b"))))
+
+
+@query("treat_by_method", _with(_PAST) + f" SELECT {_K}, {_r('CASE WHEN qty > lim THEN coalesce(med, 1) ELSE qty END', 'qty')} FROM lim")
+def treat_by_method(spark, sf_dir):
+    """The treatment that the parameters name."""
+    return rounded(outliers.treat(weekly(spark, sf_dir), replace(PARAMS, outlier_method="median_imputation", percentile_cap=90.0)), *_KEYS, "qty")
+
+
+@query(
+    "build_panel",
+    _with(_PANEL, "p36 AS (SELECT * FROM pn WHERE week_of_year = 36), p38 AS (SELECT * FROM pn WHERE week_of_year = 38)")
+    + f""", al AS (SELECT week_of_year, qty FROM pn UNION ALL SELECT 37, (coalesce(a.qty, 0) + coalesce(b.qty, 0)) / 2 FROM p36 a FULL JOIN p38 b ON a.pdv = b.pdv AND a.internal_product_id = b.internal_product_id)
+SELECT CAST(week_of_year AS BIGINT) AS week_of_year, count(*) AS n, {_r('sum(qty)', 'qty')} FROM al WHERE week_of_year <> 53 GROUP BY 1""",
+)
+def build_panel(spark, sf_dir):
+    df = pipeline.build_panel(transactions(spark, sf_dir), PARAMS)
+    return rounded(df.groupBy("week_of_year").agg(F.count("*").alias("n"), F.sum("qty").alias("qty")))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling_basic(spark, sf_dir)
