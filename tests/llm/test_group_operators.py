@@ -50,6 +50,15 @@ def test_components(spark, edges):
     assert got == brute_components({n for e in whole for n in e}, whole)
 
 
+def test_components_around_hubs(spark):
+    """Nodes of far more edges than are dealt to one task: the least one, the largest one and one between."""
+    edges = [(hub, n) for hub, some in ((0, range(1, 400)), (999, range(300, 700)), (500, range(690, 990))) for n in some] + [(2000, 2001)]
+    edges = [edges[i] for i in np.random.default_rng(5).permutation(len(edges))]
+    frame = spark.createDataFrame([*edges, *edges[:200]], "u bigint, v bigint").repartition(4)
+    got = {r.node: r.component for r in graph.components(frame, hot_edges=16).collect()}
+    assert got == brute_components({n for e in edges for n in e}, edges)
+
+
 def test_components_of_a_random_graph(spark):
     rng = np.random.default_rng(3)
     edges = [tuple(map(int, e)) for e in rng.integers(0, 400, (330, 2)) if e[0] != e[1]]

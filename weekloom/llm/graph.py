@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import forest, settle
+from weekloom.llm.common import MOST_HOT, forest, settle
 
-SALTS = 8
+#: Edges around one node from which on they are dealt over tasks, or a MOST_HOT-th of all edges, if that is more.
+HOT_EDGES = 65_536
 
 
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -22,15 +23,18 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["u", "v"])
 
 
-def _toward_minima(edges: DataFrame, centre: str, keep) -> DataFrame:
-    """Attach every neighbour of a centre to the smallest node around it. The join is salted: a centre may be hot."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    least = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+def _toward_minima(edges: DataFrame, limit: int, keep) -> DataFrame:
+    """Attach every neighbour of a node u to the smallest node around it. The edges of a node that has more than limit of
+    them are dealt over as many tasks as that, and its minimum is repeated for each. As limit is no less than a
+    MOST_HOT-th of the edges, such nodes are few, and their table may be broadcast."""
+    around = edges.groupBy("u").agg(F.min("v").alias("m"), F.ceil(F.count("*") / F.lit(limit)).alias("parts"))
+    hot = F.broadcast(around.filter("parts > 1").select("u", "parts"))
+    salted = edges.join(hot, "u", "left").withColumn("salt", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
+    least = around.select("u", F.least("u", "m").alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
     return keep(salted.join(least, ["u", "salt"]))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, hot_edges: int = HOT_EDGES) -> DataFrame:
     """(node, component) for every node of edges (u, v): component is the smallest node reachable.
 
     Nodes without an edge to another node are absent. Each round is one large-star and one small-star step over the
@@ -42,9 +46,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     now = state(e)
     for _ in range(most_rounds):
+        limit = max(hot_edges, 2 * now[0] // MOST_HOT)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _toward_minima(both, "u", lambda j: j.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        small = _toward_minima(large, "u", lambda j: j.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter(F.col("u") > F.col("v"))).distinct()
+        large = _toward_minima(both, limit, lambda j: j.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
+        small = _toward_minima(large, limit, lambda j: j.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter(F.col("u") > F.col("v"))).distinct()
         e, before = settle(small), now
         now = state(e)
         if now == before:
