@@ -146,6 +146,18 @@ def test_distinct_dims_fan_out(spark):
     assert explore.with_dims(facts, explore.first_per_key(dims, ["produto"], ["marca"]), stores).count() == 1
 
 
+def test_scaled_context_and_lookup(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), ("b", 7.0), (None, 9.0), (None, 11.0)], "kind string, qty double")
+    context = categorical.category_context(df, "kind")
+    scaled = {r.value: r for r in categorical.scaled_context(context).collect()}
+    assert scaled["b"]["mean"] == scaled["b"]["std"] == scaled["a"]["count"] == 0
+    assert scaled["a"]["mean"] == pytest.approx(-(1.5**0.5)) and scaled[None]["mean"] == pytest.approx(1.5**0.5)
+    asked = spark.createDataFrame([(1, "a"), (2, "new"), (3, None), (1, "a")], "mean int, kind string")
+    got = sorted((r["mean"], r.kind_mean, r.kind_count) for r in categorical.with_context(asked, context, "kind").collect())
+    assert got == [(1, 2.0, 2), (1, 2.0, 2), (2, 0.0, 0), (3, 10.0, 2)]
+    assert categorical.scaled_context(context.limit(0)).count() == 0 and categorical.with_context(asked, context.limit(0), "kind").count() == 4
+
+
 def test_serving_features_equal_training_features(spark):
     """What a history array gives for the next week is what the window features give once that week is there."""
     values = [3.0, 0, 4, 1, 5, 9, 2, 6, 5, 3, 5, 8, 9, 7, 9, 3, 2, 3, 8, 4, 6, 2, 6, 4, 3, 3]

@@ -51,6 +51,21 @@ def test_squared_loss_has_its_own_history_and_names(spark, transactions, tmp_pat
     assert seen[0][0] == 3 and all(c.replace("_", "").isalnum() for c in seen[0][1])
 
 
+def test_asymmetric_runs_weigh_zero_demand(spark, transactions, tmp_path, monkeypatch):
+    seen = []
+
+    def caught(train, features, valid, loss, params, weight):
+        seen.extend([*(df.select("qty", weight).distinct().collect() for df in (train, valid)), weight in features])
+        raise InterruptedError
+
+    monkeypatch.setattr(forecast, "train_trees", caught)
+    monkeypatch.setattr(pipeline, "export", lambda *_: None)
+    with pytest.raises(InterruptedError):
+        pipeline.run(spark, transactions, str(tmp_path), interactions=False, use_cache=False, params=replace(QUICK, zero_weight=1.5))
+    assert seen[0] and not seen[2]
+    assert all(r.weight == (1.5 if r.qty == 0 else 1.0) for some in seen[:2] for r in some)
+
+
 def test_a_replaced_input_is_another_one(spark, tmp_path):
     spark.range(3).write.parquet(f"{tmp_path}/a")
     before = sinks.state_of(spark, f"{tmp_path}/a")

@@ -18,6 +18,7 @@ def main(argv: list[str] | None = None) -> dict | int:
     args.add_argument("output")
     args.add_argument("--model", choices=("absolute", "squared"), default="absolute")
     args.add_argument("--quick", action="store_true", help="few trees")
+    args.add_argument("--asymmetric", action="store_true", help="errors at zero demand count 1.5 times")
     args.add_argument("--basic-features", action="store_true")
     args.add_argument("--no-interactions", action="store_true")
     args.add_argument("--no-cache", action="store_true")
@@ -26,7 +27,7 @@ def main(argv: list[str] | None = None) -> dict | int:
     spark = SparkSession.builder.appName("weekloom").getOrCreate()
     if a.clear_cache:
         return StageCache(spark, f"{a.output}/cache").clear()
-    params = replace(Params(), rounds=5) if a.quick else Params()
+    params = replace(Params(), **({"rounds": 5} if a.quick else {}), **({"zero_weight": 1.5} if a.asymmetric else {}))
     return pipeline.run(spark, a.transactions, a.output, a.model, not a.basic_features, not a.no_interactions, not a.no_cache, params)
 
 

@@ -87,6 +87,23 @@ def category_context(panel: DataFrame, column: str, target: str = "qty", wide: b
     return context.fillna(0)
 
 
+def scaled_context(context: DataFrame) -> DataFrame:
+    """Statistics of values, each less its mean over the values and in units of its population deviation; 0 where all agree."""
+    names = [c for c in context.columns if c != "value"]
+    whole = context.agg(*(f(c).alias(f"_{k}_{c}") for c in names for k, f in (("mean", F.avg), ("std", F.stddev_pop))))  # one row
+    scaled = (F.coalesce(F.try_divide(F.col(c) - F.col(f"_mean_{c}"), F.col(f"_std_{c}")), F.lit(0.0)).alias(c) for c in names)
+    return context.crossJoin(F.broadcast(whole)).select("value", *scaled)
+
+
+def with_context(df: DataFrame, context: DataFrame, column: str) -> DataFrame:
+    """df with the statistics of each row's value as {column}_{statistic}; 0 for values that the context has not seen.
+    Nulls are a value if the context has it."""
+    names = {c: f"{column}_{c}" for c in context.columns if c != "value"}
+    found = context.withColumnsRenamed(names | {"value": "_value"})
+    joined = df.join(found, F.col(column).eqNullSafe(F.col("_value")), "left")
+    return joined.select(*df.columns, *(F.coalesce(c, F.lit(0).cast(found.schema[c].dataType)).alias(c) for c in names.values()))
+
+
 def category_embedding(panel: DataFrame, column: str, size: int = 3) -> DataFrame:
     """(value, embedding): principal components of the standardised context of each value of an attribute."""
     from pyspark.ml import Pipeline

@@ -834,6 +834,30 @@ def value_counts(spark, sf_dir):
     return categorical.value_counts(weekly(spark, sf_dir, "fabricante"), "fabricante")
 
 
+_CONTEXT = """
+cx AS (SELECT categoria AS value, avg(qty) AS mean, coalesce(stddev_samp(qty), 0) AS std, count(qty) AS count FROM pn GROUP BY categoria)"""
+
+
+def _scaled(c: str) -> str:
+    return _r(f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0)", c)
+
+
+@query("scaled_context", _with(_PANEL, _CONTEXT) + f" SELECT value, {_scaled('mean')}, {_scaled('std')}, {_scaled('count')} FROM cx")
+def scaled_context(spark, sf_dir):
+    return rounded(categorical.scaled_context(categorical.category_context(weekly(spark, sf_dir, "categoria"), "categoria")))
+
+
+@query(
+    "context_lookup",
+    _with(_PANEL, _CONTEXT)
+    + f""" SELECT p_partkey, p_type AS categoria, {_r("coalesce(mean, 0)", "categoria_mean")}, {_r("coalesce(std, 0)", "categoria_std")}, coalesce(count, 0) AS categoria_count
+  FROM (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'unseen' ELSE p_type END AS p_type FROM part) LEFT JOIN cx ON value IS NOT DISTINCT FROM p_type""",
+)
+def context_lookup(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, "unseen").otherwise(F.col("p_type")).alias("categoria"))
+    return rounded(categorical.with_context(parts, categorical.category_context(weekly(spark, sf_dir, "categoria"), "categoria"), "categoria"))
+
+
 @query("label_codes", "SELECT p_type AS categoria, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS DOUBLE) AS categoria_code, count(*) AS n FROM part GROUP BY p_type")
 def label_codes(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy(F.col("p_type").alias("categoria")).agg(F.count("*").alias("n"))

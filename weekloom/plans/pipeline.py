@@ -104,7 +104,7 @@ def run(spark: SparkSession, path: str, output: str, model: str = "absolute", ad
     """Train and forecast from a table of transactions; everything is written under output.
 
     The validation weeks choose how many trees are kept. The model of squared loss is deeper, and it forecasts keys of
-    three weeks or more; feature names are made safe for both where they aren't.
+    three weeks or more; feature names are made safe for both where they aren't. Rows of zero demand count zero_weight times.
     """
     seconds, began = {}, time.time()
 
@@ -122,7 +122,11 @@ def run(spark: SparkSession, path: str, output: str, model: str = "absolute", ad
     done("features")
     export(spark, made, output)
     done("export")
-    fitted = forecast.train_trees(made.train, made.feature_columns, valid=made.valid, loss=model, params=params)
+    train, valid, weight = made.train, made.valid, None
+    if params.zero_weight != 1:
+        train, valid = (forecast.zero_weight(df, heavy=params.zero_weight) for df in (train, valid))
+        weight = "weight"
+    fitted = forecast.train_trees(train, made.feature_columns, valid=valid, loss=model, params=params, weight=weight)
     fitted.write().overwrite().save(f"{output}/model")
     sinks.write_csv(forecast.importances(spark, fitted, made.feature_columns), f"{output}/importance", one_file=True)
     scores = forecast.validate(fitted, made.valid).first().asDict()
