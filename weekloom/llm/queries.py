@@ -10,7 +10,10 @@ from weekloom.llm.chat import op5_chat_formatting
 from weekloom.llm.embed_dedup import op10_embedding_near_dedup
 from weekloom.llm.langid import op6_language_id
 from weekloom.llm.mixing import op3_source_mixing
+from weekloom.llm.packing import op13_best_fit_packing
 from weekloom.llm.pii import op4_pii
+from weekloom.llm.repair import op12_structure_repair
+from weekloom.llm.runs import op11_periodic_runs
 from weekloom.llm.secret_scan import op1_secret_scan
 from weekloom.llm.simhash import op9_simhash_near_dedup
 from weekloom.llm.spm_codec import op8_sentencepiece
@@ -48,6 +51,9 @@ QUERIES = {
         op8_sentencepiece,
         op9_simhash_near_dedup,
         op10_embedding_near_dedup,
+        op11_periodic_runs,
+        op12_structure_repair,
+        op13_best_fit_packing,
     )
 }
 
