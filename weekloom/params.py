@@ -43,6 +43,7 @@ class Params:
     rounds: int = 60
     depth: int = 5
     step: float = 0.1
+    most_step: float = 10.0
     zero_weight: float = 1.0
     seed: int = 42
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekloom.functions import scalar
-from weekloom.operators import categorical, explore, features, forecast, outliers, panel, prices
+from weekloom.operators import boosting, categorical, explore, features, forecast, outliers, panel, prices
 from weekloom.params import Params
 from weekloom.plans import pipeline
 from weekloom.sources import sinks, tables
@@ -811,7 +811,89 @@ def iterative_forecast(spark, sf_dir):
 def loss_tournament(spark, sf_dir):
     df, names = _model_frame(spark, sf_dir)
     train, valid = explore.split(df, _MODEL.train_until, _MODEL.valid_from, _MODEL.valid_until)
-    return forecast.tournament(train, valid, names, params=_MODEL)
+    return forecast.tournament(train, valid, names)
+
+
+# ---- leaf-wise trees ---------------------------------------------------------------------------------------------
+
+_FEW = ("season", "pdv", "product", "lag_tens")
+_FEW_SQL = f"fr AS MATERIALIZED (SELECT CAST(week_of_year % 52 AS DOUBLE) AS season, CAST(pdv AS DOUBLE) AS pdv, CAST(internal_product_id AS DOUBLE) AS product, CAST(least(floor({_lag(1)} / 10), 40) AS DOUBLE) AS lag_tens, qty AS y FROM pn)"
+
+
+def _few_valued(spark, sf_dir):
+    """Rows with features of at most 52 values, which are bins of their own."""
+    df = weekly(spark, sf_dir).withColumn("lag", F.coalesce(F.lag("qty", 1).over(features.by_key()), F.lit(0.0)))
+    return df.select(F.expr("week_of_year % 52").cast("double").alias("season"), F.col("pdv").cast("double").alias("pdv"), F.col("internal_product_id").cast("double").alias("product"), F.least(F.floor(F.col("lag") / 10), F.lit(40)).cast("double").alias("lag_tens"), F.col("qty").alias("y"))
+
+
+def _trees_sql(rounds: int, leaves: int, step: float, least: int = 20) -> str:
+    """Best-first trees by squared loss, split after split: p{r} has the scores after r rounds, s{r}_{k} the k-th split and
+    v{r} the leaves' values of round r."""
+    parts = ["p0 AS MATERIALIZED (SELECT *, avg(y) OVER () AS s FROM fr)"]
+    value = "CASE f WHEN " + " WHEN ".join(f"{i} THEN {c}" for i, c in enumerate(_FEW)) + " END"
+    for r in range(1, rounds + 1):
+        parts.append(f"a{r}_0 AS MATERIALIZED (SELECT *, s - y AS g, 0 AS leaf FROM p{r - 1})")
+        for k in range(1, leaves):
+            long = " UNION ALL ".join(f"SELECT leaf, {i} AS f, {c} AS v, g FROM a{r}_{k - 1}" for i, c in enumerate(_FEW))
+            parts += [
+                f"h{r}_{k} AS (SELECT leaf, f, v, sum(g) AS g, count(*) AS n FROM ({long}) GROUP BY ALL)",
+                f"c{r}_{k} AS (SELECT leaf, f, v, sum(g) OVER upto AS gl, sum(n) OVER upto AS nl, sum(g) OVER whole AS ga, sum(n) OVER whole AS na FROM h{r}_{k} WINDOW upto AS (PARTITION BY leaf, f ORDER BY v), whole AS (PARTITION BY leaf, f))",
+                f"s{r}_{k} AS MATERIALIZED (SELECT leaf AS split_leaf, f, v, gl * gl / nl + (ga - gl) * (ga - gl) / (na - nl) - ga * ga / na AS gain, na FROM c{r}_{k} WHERE nl >= {least} AND na - nl >= {least} ORDER BY gain DESC, f, v LIMIT 1)",
+                f"a{r}_{k} AS MATERIALIZED (SELECT a.* EXCLUDE (leaf), CASE WHEN leaf = split_leaf AND {value} > v THEN {k} ELSE leaf END AS leaf FROM a{r}_{k - 1} a CROSS JOIN s{r}_{k})",
+            ]
+        last = f"a{r}_{leaves - 1}"
+        parts += [f"v{r} AS MATERIALIZED (SELECT leaf, -avg(g) * {step} AS value, count(*) AS n FROM {last} GROUP BY leaf)", f"p{r} AS MATERIALIZED (SELECT a.* EXCLUDE (g, leaf, s), s + value AS s FROM {last} a JOIN v{r} USING (leaf))"]
+    return ",\n".join(parts)
+
+
+def _split_rows(rounds: int, leaves: int) -> str:
+    name = "CASE f WHEN " + " WHEN ".join(f"{i} THEN '{c}'" for i, c in enumerate(_FEW)) + " END"
+    nothing = "CAST(NULL AS DOUBLE)"
+    parts = [f"SELECT CAST({r} AS INTEGER) AS round, {name} AS feature, v AS edge, {_r('gain', 'gain')}, CAST(na AS BIGINT) AS rows, {nothing} AS value FROM s{r}_{k}" for r in range(1, rounds + 1) for k in range(1, leaves)]
+    parts += [f"SELECT CAST({r} AS INTEGER), CAST(NULL AS VARCHAR), {nothing}, {nothing}, CAST(n AS BIGINT), {_r('value', 'value')} FROM v{r}" for r in range(1, rounds + 1)]
+    return " UNION ALL ".join(parts)
+
+
+@query("leafwise_splits", _with(_PANEL, _FEW_SQL, _trees_sql(3, 5, 0.3)) + " " + _split_rows(3, 5))
+def leafwise_splits(spark, sf_dir):
+    """Splits with their gains and leaves with their values of three best-first trees."""
+    growth = boosting.Growth(rounds=3, step=0.3, leaves=5)
+    model = boosting.fit(_few_valued(spark, sf_dir), list(_FEW), "y", objective=boosting.squared(), growth=growth)
+    return rounded(model.nodes(spark).drop("node"))
+
+
+@query("model_round_trip", _with(_PANEL, _FEW_SQL, _trees_sql(2, 4, 0.5)) + f" SELECT {_r('s', 'prediction')}, count(*) AS n FROM p2 GROUP BY 1")
+def model_round_trip(spark, sf_dir):
+    """Scores of a model that was written and read again."""
+    df, path = _few_valued(spark, sf_dir), f"{_folder(spark, 'model')}/model.json"
+    sinks.write_model(spark, boosting.fit(df, list(_FEW), "y", objective=boosting.squared(), growth=boosting.Growth(rounds=2, step=0.5, leaves=4)), path)
+    scored = sinks.read_model(spark, path).transform(df)
+    return rounded(scored.groupBy(F.round("prediction", PLACES).alias("prediction")).agg(F.count("*").alias("n")))
+
+
+def _slopes_sql() -> str:
+    r = "(s - y)"
+    heavy = "CASE WHEN y = 0 THEN 1.5 ELSE 1 END"
+    of = {"squared": (r, "1"), "absolute": (f"sign({r})", "1"), "huber": (f"greatest(-0.9, least(0.9, {r}))", "1"), "asymmetric_log_cosh": (f"tanh({r}) * {heavy}", f"(1 - tanh({r}) * tanh({r})) * {heavy}")}
+    return " UNION ALL ".join(f"SELECT '{k}' AS objective, week_of_year, {_r(f'sum({g})', 'gradient')}, {_r(f'sum({h})', 'curvature')} FROM ys GROUP BY week_of_year" for k, (g, h) in of.items())
+
+
+@query("objective_slopes", _with(_PANEL) + f", ys AS (SELECT week_of_year, CASE WHEN qty < 10 THEN 0 ELSE qty END / 8.0 AS y, {_lag(1)} / 8.0 AS s FROM pn) " + _slopes_sql())
+def objective_slopes(spark, sf_dir):
+    """Gradients and curvatures of all objectives at each row's last value, by week."""
+    df = weekly(spark, sf_dir).select("week_of_year", (F.when(F.col("qty") < 10, 0).otherwise(F.col("qty")) / 8.0).alias("y"), (F.coalesce(F.lag("qty", 1).over(features.by_key()), F.lit(0.0)) / 8.0).alias("s"))
+    rows = None
+    for name, objective in boosting.OBJECTIVES.items():
+        some = boosting.slopes(df, objective(), "y", "s").select(F.lit(name).alias("objective"), "week_of_year", "gradient", "curvature")
+        rows = some if rows is None else rows.unionByName(some)
+    return rounded(rows.groupBy("objective", "week_of_year").agg(F.sum("gradient").alias("gradient"), F.sum("curvature").alias("curvature")))
+
+
+@query("leafwise_train_score")
+def leafwise_train_score(spark, sf_dir):
+    df, names = _model_frame(spark, sf_dir)
+    train, valid = explore.split(df, _MODEL.train_until, _MODEL.valid_from, _MODEL.valid_until)
+    return forecast.validate(boosting.fit(train, names, valid=valid), valid)
 
 
 # ---- further operators -------------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekloom.functions.scalar import safe_names
-from weekloom.operators import categorical, explore, features, forecast, outliers, panel
+from weekloom.operators import boosting, categorical, explore, features, forecast, outliers, panel
 from weekloom.params import Params
 from weekloom.sources import sinks
 from weekloom.sources.stages import settle
@@ -100,12 +100,15 @@ def renamed(made: Prepared, names: list[str]) -> Prepared:
     return replace(made, featured=other(made.featured), train=other(made.train), valid=other(made.valid), feature_columns=names)
 
 
-def run(spark: SparkSession, path: str, output: str, model: str = "absolute", advanced: bool = True, interactions: bool = True, use_cache: bool = True, params: Params = Params()) -> dict:
+def run(spark: SparkSession, path: str, output: str, model: str = "absolute", advanced: bool = True, interactions: bool = True, use_cache: bool = True, params: Params = Params(), leaf_wise: bool = False) -> dict:
     """Train and forecast from a table of transactions; everything is written under output.
 
     The validation weeks choose how many trees are kept. The model of squared loss is deeper, and it forecasts keys of
     three weeks or more; feature names are made safe for both where they aren't. Rows of zero demand count zero_weight times.
+    leaf_wise trees take any objective of operators.boosting as model, and one of their own for zero demand.
     """
+    if not leaf_wise and model not in ("absolute", "squared"):
+        raise ValueError(f"{model} needs leaf-wise trees")
     seconds, began = {}, time.time()
 
     def done(stage: str) -> None:
@@ -126,8 +129,13 @@ def run(spark: SparkSession, path: str, output: str, model: str = "absolute", ad
     if params.zero_weight != 1:
         train, valid = (forecast.zero_weight(df, heavy=params.zero_weight) for df in (train, valid))
         weight = "weight"
-    fitted = forecast.train_trees(train, made.feature_columns, valid=valid, loss=model, params=params, weight=weight)
-    fitted.write().overwrite().save(f"{output}/model")
+    if leaf_wise:
+        growth = boosting.Growth(params.rounds, params.step, most_step=params.most_step)
+        fitted = boosting.fit(train, made.feature_columns, "qty", valid, boosting.OBJECTIVES[model](), growth, weight)
+        sinks.write_model(spark, fitted, f"{output}/model.json")
+    else:
+        fitted = forecast.train_trees(train, made.feature_columns, valid=valid, loss=model, params=params, weight=weight)
+        fitted.write().overwrite().save(f"{output}/model")
     sinks.write_csv(forecast.importances(spark, fitted, made.feature_columns), f"{output}/importance", one_file=True)
     scores = forecast.validate(fitted, made.valid).first().asDict()
     done("training")

@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weekloom.operators.boosting import Model
 from weekloom.params import Params
 
 
@@ -114,3 +115,14 @@ def write_summary(summary: DataFrame, path: str) -> dict:
     row = json.loads(summary.select(F.to_json(F.struct("*")).alias("j")).first().j)
     _write_json(summary.sparkSession, path, row)
     return row
+
+
+def write_model(spark: SparkSession, model: Model, path: str) -> None:
+    """A leaf-wise model as one JSON file."""
+    _write_json(spark, path, model.as_dict())
+
+
+def read_model(spark: SparkSession, path: str) -> Model | None:
+    """The model that write_model has written, or None where there is none."""
+    found = _read_json(spark, path)
+    return Model.from_dict(found) if found else None

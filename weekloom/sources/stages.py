@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,3 +27,13 @@ def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder once; what follows reads that, also after an executor is lost."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers that start from now on import this package from where the driver has it."""
+    known = spark.sparkContext.environment
+    if _ROOT not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, (_ROOT, known.get("PYTHONPATH"))))
