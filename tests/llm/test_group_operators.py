@@ -534,3 +534,37 @@ def test_queries_with_sql_agree(spark, sf_dir):
         assert sorted(mine.columns) == sorted(theirs.columns)
         rows = lambda d: sorted(map(repr, d[sorted(d.columns)].astype(object).values.tolist()))
         assert rows(mine) == rows(theirs), name
+
+
+def test_placing_in_many_cells_takes_bounded_memory():
+    """1024 cells at 768 dimensions: what placing allocates stays far below cells x cells x dimensions."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    centres, x = embed_dedup.unit(rng.normal(0, 1, (1024, 768))), rng.normal(0, 1, (3000, 768))
+    tracemalloc.start()
+    home, visits = embed_dedup._places(x, centres, embed_dedup.apart(centres), embed_dedup.exact_margin(0.93))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20
+    far = np.linalg.norm(centres[:40, None] - centres[None, :40], axis=2)
+    assert (embed_dedup.apart(centres)[:40, :40] >= far - 1e-12).all() and np.allclose(embed_dedup.apart(centres)[:40, :40], far, atol=1e-5)
+    assert (home == (embed_dedup.unit(x) @ centres.T).argmax(axis=1)).all() and all(h in v for h, v in zip(home, visits))
+
+
+def test_centroids_of_wide_vectors_are_fitted_on_fewer(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "SAMPLE_BYTES", 50 * 8 * 16)
+    rows = spark.range(1000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: F.sin(F.col("id") * i)).alias("embedding"))
+    taken = vectors.clean(rows).filter(embed_dedup._some(F.lit(1000), embed_dedup._sampled(F.col("dim")))).count()
+    assert 25 <= taken <= 90
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_hot_vec_ids_keep_their_rows(spark, monkeypatch, most):
+    from weekloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 8)
+    monkeypatch.setattr(common, "MOST_TILED", most)
+    rows = [(7, [1.0, 0.0], 1)] * 40 + [(None, [1.0, 0.0], 1)] * 30 + [(9, [1.0, 0.01], 1), (8, None, 1)]
+    got = sorted(map(tuple, embed_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()), key=str)
+    assert got == sorted([(7, 1, 7, True)] * 40 + [(None, 0, None, None)] * 30 + [(9, 1, 7, False), (8, 0, 8, True)], key=str)

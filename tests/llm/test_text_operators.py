@@ -629,3 +629,18 @@ def test_learning_ignores_held_out_rows(spark):
     frames = [spark.createDataFrame(r, "doc_id bigint, text string, lang string") for r in (rows, lied)]
     a, b = ({r.row.doc_id: (r.lang_pred, round(r.score, 9)) for r in langid.predicted(f).collect()} for f in frames)
     assert a == b
+
+
+@pytest.mark.parametrize("ident", [None, 5])
+def test_a_hot_doc_id_is_dealt_over_files(spark, tmp_path, ident):
+    docs = spark.range(4000, numPartitions=4).select(F.lit(ident).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_output.write_tokens(docs, f"{tmp_path}/tokens")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    by_file = spark.read.parquet(f"{tmp_path}/tokens").groupBy("part").count().collect()
+    assert len(by_file) > 1 and max(r["count"] for r in by_file) < 3000
+    got = [r.start for r in token_output.read_tokens(spark, f"{tmp_path}/tokens", ("n_tokens",)).orderBy("start").collect()]
+    lengths = [r.n_tokens for r in token_output.read_tokens(spark, f"{tmp_path}/tokens", ("n_tokens",)).orderBy("start").collect()]
+    assert got == [sum(lengths[:i]) for i in range(len(lengths))] and len(got) == 4000

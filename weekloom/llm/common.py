@@ -18,6 +18,8 @@ SLICE = 512
 
 #: Rows of one key from which on a join deals them over tasks, and most such keys, by which the former grows.
 HOT_ROWS, MOST_HOT = 2048, 10_000
+#: Keys of pairs up to which their counts, a few numbers each, are broadcast.
+MOST_TILED = 100_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -77,11 +79,14 @@ def tiled(left: DataFrame, right: DataFrame, keys: list[str], ident: str, block:
     """
     n = left.groupBy(*keys).agg(F.count("*").alias("nl")).join(right.groupBy(*keys).agg(F.count("*").alias("nr")), keys)
     n = n.select(*keys, *(F.ceil(F.col(c) / F.lit(block)).cast("int").alias(b) for c, b in (("nl", "bl"), ("nr", "br"))))
+    n = settle(n)
+    few = n.count() <= MOST_TILED
     columns = [c for c in left.columns if c not in keys]
 
     def dealt(df: DataFrame, own: str, other: str, mine: str, theirs: str, side: int) -> DataFrame:
         chunk = F.pmod(F.xxhash64(ident), F.col(own)).cast("int").alias(mine)
-        return df.join(n, keys).select(*keys, *columns, F.lit(side).alias("side"), chunk, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(theirs)).select(*keys, *columns, "side", "ti", "tj")
+        counted = df.join(F.broadcast(n), keys) if few else spread_join(settle(df), n, keys)
+        return counted.select(*keys, *columns, F.lit(side).alias("side"), chunk, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(theirs)).select(*keys, *columns, "side", "ti", "tj")
 
     return dealt(left, "bl", "br", "ti", "tj", 0).unionByName(dealt(right, "br", "bl", "tj", "ti", 1))
 

@@ -34,6 +34,8 @@ SLACK = 1e-9
 #: Vectors that centroids are fitted on, about, at most (all are indexed), vectors of a label that a cell should hold, most
 #: cells of a level, and cells that also small tables have, of some vectors each.
 SAMPLE, CELL, MOST_CELLS, LEAST_CELLS, SMALL_CELL = 16_384, 256, 1024, 8, 64
+#: Bytes of the vectors that centroids are fitted on: of wide ones fewer are taken. Vectors that are placed at a time.
+SAMPLE_BYTES, PLACED = 64 << 20, 1024
 #: Vectors of a first-level cell that meet its centroids in one task.
 CHUNK = 65_536
 TILE = 1024
@@ -61,30 +63,39 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def _some(n: Column, sample: int) -> Column:
+def _some(n: Column, sample: Column) -> Column:
     """Whether a row's hash is in the first sample / n of its range."""
-    return F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.least(F.lit(1.0), F.lit(float(sample)) / n) * F.lit(float(1 << 30))
+    return F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.least(F.lit(1.0), sample / n) * F.lit(float(1 << 30))
 
 
-def fit(vectors: DataFrame, n: int, cells: int, sample: int = SAMPLE) -> dict[int, np.ndarray]:
-    """Centroids for each dimension, from about sample of the n rows (vec_id, dim, vec), chosen by hash."""
+def _sampled(dim: Column) -> Column:
+    """About how many vectors of so many components centroids are fitted on."""
+    return F.least(F.lit(SAMPLE), F.floor(F.lit(SAMPLE_BYTES) / (dim * 8)))
+
+
+def fit(vectors: DataFrame, n: int, cells: int) -> dict[int, np.ndarray]:
+    """Centroids for each dimension, from a sample of the n rows (vec_id, dim, vec), chosen by hash."""
     by_dim: dict[int, list[bytes]] = {}
-    for r in sorted(vectors.filter(_some(F.lit(max(n, 1)), sample)).select("vec_id", "dim", "vec").collect()):
+    for r in sorted(vectors.filter(_some(F.lit(max(n, 1)), _sampled(F.col("dim")))).select("vec_id", "dim", "vec").collect()):
         by_dim.setdefault(r.dim, []).append(bytes(r.vec))
     return {dim: spherical_kmeans(unit(np.frombuffer(b"".join(some), np.float64).reshape(-1, dim)), max(1, min(cells, len(some) // 8))) for dim, some in by_dim.items()}
 
 
-def _places(x: np.ndarray, centres: np.ndarray, margin: float) -> tuple[np.ndarray, list[list[int]]]:
-    """The cell of each vector, and all that it visits, its own too."""
+def apart(centres: np.ndarray) -> np.ndarray:
+    """Distances of unit centroids, from their products; rounding only makes them larger."""
+    return np.sqrt(np.maximum(0, 2 - 2 * (centres @ centres.T)) + 1e-11)
+
+
+def _places(x: np.ndarray, centres: np.ndarray, between: np.ndarray, margin: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The cell of each vector, and all that it visits, its own too. between: apart(centres)."""
     home, visits = np.zeros(len(x), np.int32), []
-    apart = np.linalg.norm(centres[:, None] - centres[None], axis=2) if len(centres) > 1 else np.zeros((1, 1))
-    for at in range(0, len(x), 4096):
-        near = unit(x[at : at + 4096]) @ centres.T
+    for at in range(0, len(x), PLACED):
+        near = unit(x[at : at + PLACED]) @ centres.T
         own = near.argmax(axis=1)
-        close = near[np.arange(len(own)), own][:, None] - near <= margin * apart[own] + SLACK
+        close = near[np.arange(len(own)), own][:, None] - near <= margin * between[own] + SLACK
         close[np.arange(len(own)), own] = True
-        home[at : at + 4096] = own
-        visits += [np.flatnonzero(c).tolist() for c in close]
+        home[at : at + PLACED] = own
+        visits += [np.flatnonzero(c).astype(np.int32) for c in close]
     return home, visits
 
 
@@ -96,6 +107,7 @@ def _assign(centres: dict[int, np.ndarray], margin: float, level: str = ""):
     """Rows with their cell and the cells they visit, by broadcast centroids of each dimension."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        between: dict[int, np.ndarray] = {}
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             home, visits = np.zeros(len(dims), np.int32), np.full(len(dims), None)
@@ -103,7 +115,9 @@ def _assign(centres: dict[int, np.ndarray], margin: float, level: str = ""):
                 rows = np.flatnonzero(dims == dim)
                 own, seen = [0] * len(rows), [[0]] * len(rows)
                 if dim in centres:
-                    own, seen = _places(matrix(batch.column("vec").take(pa.array(rows))), centres[dim], margin)
+                    if dim not in between:
+                        between[dim] = apart(centres[dim])
+                    own, seen = _places(matrix(batch.column("vec").take(pa.array(rows))), centres[dim], between[dim], margin)
                 home[rows] = own
                 visits[rows] = np.fromiter(seen, object, len(seen))
             yield _with_places(batch, home, visits.tolist(), level)
@@ -124,7 +138,7 @@ def _assign_within(margin: float):
     """Rows come sorted by (dim, area, chunk, side): the centroids of a first-level cell, then its vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = np.zeros((1, 1))
+        centres = between = np.zeros((1, 1))
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in ("dim", "area", "chunk", "side")], axis=1)
             edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
@@ -132,8 +146,9 @@ def _assign_within(margin: float):
                 part = batch.slice(a, b - a)
                 if b > a and keys[a, 3] == 0:
                     centres = np.frombuffer(part.column("vec")[0].as_py(), np.float64).reshape(-1, int(keys[a, 0]))
+                    between = apart(centres)
                 elif b > a:
-                    yield _with_places(part.drop_columns(["chunk", "side"]), *_places(matrix(part.column("vec")), centres, margin), "")
+                    yield _with_places(part.drop_columns(["chunk", "side"]), *_places(matrix(part.column("vec")), centres, between, margin), "")
 
     return run
 
@@ -148,7 +163,7 @@ def _two_levels(reps: DataFrame, n: int, margin: float) -> DataFrame:
     members = settle(outer.withColumn("area", F.explode("outer_visits")).select("vec_id", "label", "dim", "vec", "copies", "area", "outer_home", "outer_visits"))
     sizes = members.groupBy("dim", "area", "label").agg(F.count("*").alias("n")).groupBy("dim", "area").agg(F.sum("n").alias("n"), F.max("n").alias("largest"))
     sizes = settle(sizes.withColumn("chunks", F.ceil(F.col("n") / CHUNK)))
-    chosen = members.join(sizes, ["dim", "area"]).filter(_some(F.col("n"), SAMPLE)).select("dim", "area", "chunks", "largest", "vec_id", "vec")
+    chosen = members.join(sizes, ["dim", "area"]).filter(_some(F.col("n"), _sampled(F.col("dim")))).select("dim", "area", "chunks", "largest", "vec_id", "vec")
     centres = chosen.groupBy("dim", "area").applyInArrow(_fit_cell, "dim int, area int, chunks long, vec binary")
     centres = centres.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
     dealt = members.join(sizes.select("dim", "area", "chunks"), ["dim", "area"]).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "chunks")).drop("chunks").withColumn("side", F.lit(1))
@@ -250,7 +265,9 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, label: str
     of_rep = reps.join(counts, reps["vec_id"] == counts["u"], "left").join(classes, reps["vec_id"] == classes["node"], "left")
     of_rep = of_rep.select("label", "dim", "vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     of_row = spread_join(base, of_rep, ["label", "dim", "vec"]).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(of_row, "vec_id", "left")
+    ids = settle(vectors.select(F.col("vec_id").cast("long").alias("vec_id")))
+    out = spread_join(ids.filter(F.col("vec_id").isNotNull()), of_row, ["vec_id"], "left")
+    out = out.select("vec_id", "n_links", "component_id").unionByName(ids.filter(F.col("vec_id").isNull()), allowMissingColumns=True)
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 

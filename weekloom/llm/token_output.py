@@ -28,6 +28,8 @@ from weekloom.llm.common import checkpoint_dir, slices, strings
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
+#: Characters of a text by which rows of one doc_id are dealt over files.
+BEGINNING = 128
 #: Folder of the manifest within that of the files; readers of the files pass over names that start so.
 MANIFEST = "_manifest"
 #: Parts of texts that a worker's cache holds before it drops the less used.
@@ -171,11 +173,15 @@ def _encode(path: str, end: int):
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> None:
-    """Write docs (doc_id, text) as token files in ascending doc_id order, null ids first, repeated ids by text.
+    """Write docs (doc_id, text) as token files in ascending doc_id order, null ids first, repeated ids by text. Rows of one id
+    or of none are dealt over files like others; only texts that agree in their first BEGINNING characters stay together.
 
     Null and empty texts hold the end id only. Other columns of docs are ignored; an empty table gives an empty one.
     """
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    begin, shorter = F.substring("text", 1, BEGINNING), F.coalesce(F.length("text"), F.lit(0)) < BEGINNING
+    # rows of one id that begin alike and are shorter are the same
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), begin.alias("_begin"), F.when(shorter, F.monotonically_increasing_id()).alias("_nth"))
+    dealt = dealt.repartitionByRange("doc_id", "_begin", "_nth").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
     encoded = dealt.mapInArrow(_encode(vocabulary, end_id), "doc_id long, part int, start long, n_tokens long, tokens array<int>")
     encoded.write.options(**WRITE_OPTIONS).parquet(path)
     totals = docs.sparkSession.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
