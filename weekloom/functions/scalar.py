@@ -102,11 +102,11 @@ def dummy_name(column: str, value: object) -> str:
 
 
 def safe_names(names: list[str]) -> list[str]:
-    """Names of letters, digits and single underscores, made distinct by a number at the end."""
+    """Names of letters, digits and single underscores, % as pct, made distinct by a number at the end."""
     out: list[str] = []
     taken: set[str] = set()
     for i, name in enumerate(names):
-        base = re.sub(r"_+", "_", re.sub(r"[^0-9A-Za-z_]", "_", str(name))).strip("_") or f"feature_{i}"
+        base = re.sub(r"_+", "_", re.sub(r"[^0-9A-Za-z_]", "_", str(name).replace("%", "pct"))).strip("_") or f"feature_{i}"
         new, n = base, 0
         while new in taken:
             n += 1

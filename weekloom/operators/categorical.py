@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weekloom.functions.scalar import dummy_name
 from weekloom.operators.explore import percentiles
+from weekloom.operators.lookup import MOST_BROADCAST, looked_up
 from weekloom.operators.panel import KEYS
 from weekloom.params import Params
 from weekloom.sources.stages import settle
@@ -56,10 +57,10 @@ def frequencies(panel: DataFrame, params: Params = Params()) -> tuple[DataFrame,
     last = {r.name: r.n for r in counts.groupBy("name").agg(F.count("*").alias("n")).collect()}  # a row a column
     names: list[str] = []
     for c in columns:
-        found = counts.filter(F.col("name") == c).select(F.col("value").alias("_value"), F.log1p("n").alias("_log"), F.col("freq_rank").cast("bigint").alias("_rank"))
-        panel = panel.join(found, F.col(c).cast("string") == F.col("_value"), "left")
+        found = counts.filter(F.col("name") == c).select(F.col("value").alias("_value"), "n", F.log1p("n").alias("_log"), F.col("freq_rank").cast("bigint").alias("_rank"))
+        panel = looked_up(panel, c, found, last.get(c, 0), "n")
         new = {f"{c}_log_freq": F.coalesce("_log", F.lit(0.0)), f"{c}_freq_rank": F.coalesce("_rank", F.lit(last.get(c, 0) + 1).cast("bigint"))}
-        panel = panel.withColumns(new).drop("_value", "_log", "_rank")
+        panel = panel.withColumns(new).drop("_log", "_rank")
         names += list(new)
     return panel, names
 
@@ -99,8 +100,10 @@ def with_context(df: DataFrame, context: DataFrame, column: str) -> DataFrame:
     """df with the statistics of each row's value as {column}_{statistic}; 0 for values that the context has not seen.
     Nulls are a value if the context has it."""
     names = {c: f"{column}_{c}" for c in context.columns if c != "value"}
+    context = settle(context)
     found = context.withColumnsRenamed(names | {"value": "_value"})
-    joined = df.join(found, F.col(column).eqNullSafe(F.col("_value")), "left")
+    few = context.count() <= MOST_BROADCAST
+    joined = df.join(F.broadcast(found) if few else found, F.col(column).eqNullSafe(F.col("_value")), "left")
     return joined.select(*df.columns, *(F.coalesce(c, F.lit(0).cast(found.schema[c].dataType)).alias(c) for c in names.values()))
 
 

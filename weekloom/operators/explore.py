@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,50 @@ def percentiles(values: DataFrame, ps: dict[str, float]) -> DataFrame:
     return found.select("name", *(c.alias(k) for k, c in line.items()))
 
 
+#: Buckets that an interval is parted into when percentiles are looked for.
+BUCKETS = 4096
+
+
+def column_percentiles(df: DataFrame, ends: dict[str, tuple[int, float, float]], ps: dict[str, float]) -> DataFrame:
+    """(name, and a column for each of ps): exact percentiles, between neighbours by straight line, of df's columns.
+
+    ends has the number of values, the least and the greatest of each column. A pass counts the values of all columns in
+    buckets of the intervals that are still looked into, in one aggregation that sends a bounded number of rows a task; the
+    bucket that has a wanted place is the next interval, from its least value to its greatest, until these are the same. df is
+    read once a pass, nearly always two or three times; nulls don't count.
+    """
+    spark = df.sparkSession
+    wanted = {c: {k: q * (n - 1) for k, q in ps.items()} for c, (n, _, _) in ends.items() if n}
+    found: dict[tuple[str, int], float] = {}
+    # places looked for, with the interval that has each and how many values are below it
+    left = {(c, place): (float(ends[c][1]), float(ends[c][2]), 0) for c, ranks in wanted.items() for r in ranks.values() for place in (math.floor(r), math.ceil(r))}
+    columns = [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in wanted]
+    while left:
+        found |= {k: lo for k, (lo, hi, _) in left.items() if lo == hi}
+        left = {k: v for k, v in left.items() if v[0] < v[1]}
+        if not left:
+            break
+        parts = spark.createDataFrame(sorted({(c, *v) for (c, _), v in left.items()}), "_name string, lo double, hi double, below long")
+        places = spark.createDataFrame([(c, place, *v[:2]) for (c, place), v in left.items()], "_name string, place long, _lo double, _hi double")
+        long = df.select(F.explode(F.array(*columns)).alias("v")).select("v.*").filter(F.col("x").isNotNull())
+        inside = long.join(F.broadcast(parts), (F.col("name") == F.col("_name")) & F.col("x").between(F.col("lo"), F.col("hi")))
+        share = (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))
+        counts = inside.groupBy("name", "lo", "hi", "below", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+        upto = F.col("below") + F.sum("n").over(Window.partitionBy("name", "lo", "hi").orderBy("bucket"))  # BUCKETS rows at most
+        at = counts.withColumn("upto", upto)
+        has = (F.col("name") == F.col("_name")) & (F.col("lo") == F.col("_lo")) & (F.col("hi") == F.col("_hi")) & (F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n"))
+        next_ones = at.join(F.broadcast(places), has).select("name", "place", "least", "most", (F.col("upto") - F.col("n")).alias("below")).collect()  # a row a place
+        left = {(r.name, r.place): (r.least, r.most, r.below) for r in next_ones}
+
+    def line(c: str, r: float) -> float:
+        low, high = found[c, math.floor(r)], found[c, math.ceil(r)]
+        return low if math.floor(r) == math.ceil(r) else (math.ceil(r) - r) * low + (r - math.floor(r)) * high
+
+    rows = [(c, *(line(c, r) for r in ranks.values())) for c, ranks in wanted.items()]
+    return spark.createDataFrame(rows, "name string, " + ", ".join(f"{k} double" for k in ps))
+
+
 def _of_one(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.lit(column).alias("name"), F.col(column).alias("x"))
 
@@ -81,11 +127,11 @@ def basic_stats(panel: DataFrame) -> DataFrame:
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature_name, count, mean, std, min, p25, p50, p75, max) of each column, percentiles exact."""
     one = lambda c: F.struct(F.lit(c).alias("feature_name"), F.count(c).alias("count"), F.avg(c).cast("double").alias("mean"), F.stddev_samp(c).alias("std"), F.min(F.col(c).cast("double")).alias("min"), F.max(F.col(c).cast("double")).alias("max"))
-    df = settle(df.select(*columns))  # read twice
-    rows = df.agg(F.array(*map(one, columns)).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns))).alias("v")).select("v.*")
-    quartiles = percentiles(long, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).withColumnRenamed("name", "feature_name")
-    return rows.join(quartiles, "feature_name", "left").select("feature_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    df = settle(df.select(*columns))  # read several times
+    rows = settle(df.agg(F.array(*map(one, columns)).alias("rows")).select(F.explode("rows").alias("r")).select("r.*"))
+    ends = {r["feature_name"]: (r["count"], r["min"], r["max"]) for r in rows.collect()}  # a row a column
+    quartiles = column_percentiles(df, ends, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).withColumnRenamed("name", "feature_name")
+    return rows.join(F.broadcast(quartiles), "feature_name", "left").select("feature_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def nonzero_stats(panel: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions.scalar import calendar_flags, seasonality
+from weekloom.operators.ordered import last_rows, rolled
 from weekloom.operators.panel import KEYS
 from weekloom.params import Params
 
@@ -33,9 +34,9 @@ def lags(lags_: tuple[int, ...], column: str = "qty") -> dict[str, Column]:
     return {f"lag_{k}": F.coalesce(F.lag(column, k).over(by_key()), F.lit(0.0)) for k in lags_}
 
 
-def rolling(w: int, need: int, column: str = "qty") -> dict[str, Column]:
+def rolling(w: int, need: int, column: str = "qty", window=before) -> dict[str, Column]:
     """Mean, sample deviation, extremes and range of the previous w rows; null with fewer than need of them."""
-    c, win = F.col(column), before(w)
+    c, win = F.col(column), window(w)
     at = lambda f: needing(need, win, f(c).over(win), c)
     return {f"rmean_{w}": at(F.avg), f"rstd_{w}": at(F.stddev_samp), f"rmax_{w}": at(F.max), f"rmin_{w}": at(F.min), f"rrange_{w}": at(F.max) - at(F.min)}
 
@@ -45,9 +46,9 @@ def nonzero_share(w: int = 8, column: str = "qty") -> Column:
     return needing(w, win, F.avg((c > 0).cast("double")).over(win), c)
 
 
-def skewness(w: int, need: int = 4, column: str = "qty") -> Column:
+def skewness(w: int, need: int = 4, column: str = "qty", window=before) -> Column:
     """Bias-corrected skewness of the previous w rows, 0 where they are all the same."""
-    c, win = F.col(column), before(w)
+    c, win = F.col(column), window(w)
     n = F.count(c).over(win)
     corrected = F.skewness(c).over(win) * F.sqrt(n * (n - 1)) / (n - 2)
     return F.when(n >= need, F.when(F.max(c).over(win) == F.min(c).over(win), 0.0).otherwise(corrected))
@@ -101,6 +102,21 @@ def advanced_features(featured: DataFrame, params: Params = Params()) -> DataFra
     return df.select(*keep, *(c.alias(k) for k, c in (filled | more).items()))
 
 
+def with_previous(panel: DataFrame, column: str, name: str = "_previous") -> DataFrame:
+    """panel with the row before's value of a column; null in a key's first row."""
+    return panel.withColumn(name, F.lag(column).over(by_key()))
+
+
+def compat_rolling(panel: DataFrame, windows: tuple[int, ...] = (8, 12, 16, 20), skewed: tuple[int, ...] = (8, 12), need: int = 4, parts: int | None = None) -> DataFrame:
+    """panel with the rolling columns as they come out when windows run on from one key into the next, in the order of keys
+    and weeks: a row's window is the previous quantities of it and the rows before, whosever they are."""
+    new: dict[str, Column] = {}
+    for w in windows:
+        new |= rolling(w, need, "_previous", last_rows)
+    new |= {f"rskew_{w}": skewness(w, need, "_previous", last_rows) for w in skewed}
+    return rolled(with_previous(panel, "qty"), [*KEYS, "week_of_year"], max((*windows, *skewed)), new, parts).drop("_previous")
+
+
 def feature_names(df: DataFrame) -> list[str]:
     """The numerical features among df's columns."""
     kinds = ("lag_", "rmean_", "rstd_", "rmax_", "rmin_", "rrange_", "rskew_", "rcv_", "pct_change_", "trend_", "accel_", "momentum_", "is_")

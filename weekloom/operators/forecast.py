@@ -14,6 +14,7 @@ from weekloom.functions.scalar import calendar_flags, half_even, seasonality
 from weekloom.operators import boosting
 from weekloom.operators.explore import metrics
 from weekloom.operators.features import percent_changes, ratios_and_changes
+from weekloom.operators.ordered import first_rows
 from weekloom.operators.panel import KEYS
 from weekloom.params import Params
 from weekloom.sources.stages import settle
@@ -117,7 +118,8 @@ def recursive_forecast(state: DataFrame, score, weeks: tuple[int, ...], last_wee
 
 def direct_frame(panel: DataFrame, weeks: DataFrame, k: int, last_week: int) -> DataFrame:
     """The k keys of most volume for each forecast week, with the state of the last week, 0 where there is none."""
-    top = panel.groupBy(*KEYS).agg(F.sum("qty").alias("total")).orderBy(F.desc("total"), *KEYS).limit(k).select(*KEYS)
+    totals = panel.groupBy(*KEYS).agg(F.sum("qty").alias("total"))
+    top = first_rows(totals, [F.desc("total"), *KEYS], k).select(*KEYS)
     last = panel.filter(F.col("week_of_year") == last_week).select(*KEYS, F.col("qty").alias("lag_1_semana"), F.col("media_movel_4").alias("media_movel_4_semanas"))
     spread = weeks.agg(F.sort_array(F.collect_list("semana_do_ano")).alias("w"))  # one row of a few weeks
     return top.crossJoin(F.broadcast(spread)).select(*KEYS, F.explode("w").alias("semana_do_ano")).join(last, KEYS, "left").fillna(0.0, ["lag_1_semana", "media_movel_4_semanas"])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekloom.operators.features import before
+from weekloom.operators.features import before, with_previous
+from weekloom.operators.ordered import last_rows, rolled
 from weekloom.operators.panel import KEYS
 from weekloom.params import Params
 
@@ -77,22 +78,29 @@ def group_stats(flagged: DataFrame) -> DataFrame:
     return flagged.groupBy(*KEYS).agg(F.max("n_obs").alias("n_obs"), *map(enough, ("mean_qty", "std_qty", "cv", "zero_pct")), F.max("threshold_used").alias("threshold_used"), n_out.alias("n_outliers"), (n_out / F.count("*") * 100).alias("outlier_pct"))
 
 
-def past_percentiles(panel: DataFrame, percentile: float, cap: float, window: int = 12) -> DataFrame:
-    """panel with limit (percentile of earlier rows, from three on, at most cap), median of them, and is_outlier."""
-    q, win = F.col("qty"), before(window)
+def past_percentiles(panel: DataFrame, percentile: float, cap: float, window: int = 12, compat: bool = False, parts: int | None = None) -> DataFrame:
+    """panel with limit (percentile of earlier rows, from three on, at most cap), median of them, and is_outlier.
+
+    compat: windows run on from one key into the next, in the order of keys and weeks.
+    """
+    q, win = (F.col("_previous"), last_rows(window)) if compat else (F.col("qty"), before(window))
     at = lambda p: F.when(F.count(q).over(win) >= 3, F.percentile(q, F.lit(p)).over(win))
-    df = panel.select("*", F.least(F.coalesce(at(percentile / 100), F.lit(cap)), F.lit(cap)).alias("limit"), at(0.5).alias("past_median"))
+    new = {"limit": F.least(F.coalesce(at(percentile / 100), F.lit(cap)), F.lit(cap)), "past_median": at(0.5)}
+    if compat:
+        df = rolled(with_previous(panel, "qty"), [*KEYS, "week_of_year"], window, new, parts).drop("_previous")
+    else:
+        df = panel.select("*", *(c.alias(k) for k, c in new.items()))
     return df.withColumn("is_outlier", F.col("qty") > F.col("limit"))
 
 
-def treat_percentile_cap(panel: DataFrame, percentile: float = 99.5, cap: float = 220.0, window: int = 12) -> DataFrame:
-    df = past_percentiles(panel, percentile, cap, window)
+def treat_percentile_cap(panel: DataFrame, percentile: float = 99.5, cap: float = 220.0, window: int = 12, compat: bool = False) -> DataFrame:
+    df = past_percentiles(panel, percentile, cap, window, compat)
     return df.withColumn("qty", F.when(F.col("is_outlier"), F.col("limit")).otherwise(F.col("qty")))
 
 
-def treat_median(panel: DataFrame, percentile: float = 99.5, cap: float = 220.0, window: int = 12) -> DataFrame:
+def treat_median(panel: DataFrame, percentile: float = 99.5, cap: float = 220.0, window: int = 12, compat: bool = False) -> DataFrame:
     """Outliers become the median of earlier rows, 1 where there is none."""
-    df = past_percentiles(panel, percentile, cap, window)
+    df = past_percentiles(panel, percentile, cap, window, compat)
     return df.withColumn("qty", F.when(F.col("is_outlier"), F.coalesce("past_median", F.lit(1.0))).otherwise(F.col("qty")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions.scalar import date_parts, relative_week, week_end
+from weekloom.operators.ordered import carried
 from weekloom.params import Params
 
 KEYS = ["pdv", "internal_product_id"]
@@ -75,15 +76,15 @@ def interpolated_week(panel: DataFrame, week: int, compat_fill: bool = False) ->
     """The rows of a missing week: means of the weeks before and after, a missing side counting 0.
 
     Attributes come from the week before, else the one after. compat_fill takes them from the nearest earlier key, then
-    later key, instead; that needs one order over all keys of the week.
+    later key, instead; the keys are dealt into ranges, and each hands its last values on.
     """
     attributes = [c for c in panel.columns if c in ATTRIBUTES]
     side = lambda w, s: panel.filter(F.col("week_of_year") == w).select(*KEYS, *(F.col(c).alias(c + s) for c in ("qty", "gross", *attributes)))
     both = side(week - 1, "_prev").join(side(week + 1, "_next"), KEYS, "full")
     mean = lambda c: ((F.coalesce(c + "_prev", F.lit(0.0)) + F.coalesce(c + "_next", F.lit(0.0))) / 2).alias(c)
     if compat_fill:
-        order = Window.orderBy(*KEYS)
-        fill = lambda c: F.coalesce(F.last(c + "_prev", True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.first(c + "_prev", True).over(order.rowsBetween(0, Window.unboundedFollowing))).alias(c)
+        both = carried(both, KEYS, [c + "_prev" for c in attributes]) if attributes else both
+        fill = lambda c: F.col(c + "_prev").alias(c)
     else:
         fill = lambda c: F.coalesce(c + "_prev", c + "_next").alias(c)
     return both.select(F.lit(week).cast("bigint").alias("week_of_year"), *KEYS, mean("qty"), mean("gross"), *map(fill, attributes))

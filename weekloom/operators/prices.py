@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.functions.scalar import clip, half_even
-from weekloom.operators.features import before, by_key
+from weekloom.operators.features import before, by_key, with_previous
+from weekloom.operators.ordered import last_rows, rolled
 from weekloom.operators.panel import KEYS
 
 
@@ -25,6 +26,12 @@ def price_features(priced: DataFrame) -> DataFrame:
     return priced.select("*", *(c.alias(k) for k, c in new.items()))
 
 
+def compat_price_mean(priced: DataFrame, parts: int | None = None) -> DataFrame:
+    """priced with unit_price_rolling_mean_4 as it comes out when windows run on from one key into the next."""
+    mean = F.coalesce(half_even(F.avg("_previous").over(last_rows(4)), 2), F.lit(0.0))
+    return rolled(with_previous(priced, "unit_price"), [*KEYS, "week_of_year"], 4, {"unit_price_rolling_mean_4": mean}, parts).drop("_previous")
+
+
 def price_forecast(priced: DataFrame, recent: int = 6) -> DataFrame:
     """(key, predicted): the last price moved on by the slope of the last recent ones, within 0.8 and 1.3 times itself."""
     at = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("week_of_year")))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekloom.functions import scalar
-from weekloom.operators import boosting, categorical, explore, features, forecast, outliers, panel, prices
+from weekloom.operators import boosting, categorical, embedding, explore, features, forecast, ordered, outliers, panel, prices
 from weekloom.params import Params
 from weekloom.plans import pipeline
 from weekloom.sources import sinks, tables
@@ -814,6 +814,92 @@ def loss_tournament(spark, sf_dir):
     return forecast.tournament(train, valid, names)
 
 
+# ---- windows over the whole order --------------------------------------------------------------------------------
+
+
+def _run_on(w: int) -> str:
+    return f"(ORDER BY pdv, internal_product_id, week_of_year ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+
+
+def _run_on_need(n: int, w: int, expr: str, of: str = "pq") -> str:
+    return f"CASE WHEN count({of}) OVER {_run_on(w)} >= {n} THEN {expr} OVER {_run_on(w)} END"
+
+
+_PREVIOUS = _PANEL + f", pv AS (SELECT *, lag(qty) OVER ({_W}) AS pq FROM pn)"
+
+
+def _run_on_skew(w: int) -> str:
+    same = f"max(pq) OVER {_run_on(w)} = min(pq) OVER {_run_on(w)}"
+    return f"CASE WHEN count(pq) OVER {_run_on(w)} >= 4 THEN CASE WHEN {same} THEN 0 ELSE skewness(pq) OVER {_run_on(w)} END END"
+
+
+@query(
+    "compat_rolling",
+    _with(_PREVIOUS)
+    + f" SELECT {_K}, "
+    + ", ".join(_r(_run_on_need(4, w, f"{f}(pq)"), n) for n, f, w in _MOMENTS)
+    + ", "
+    + ", ".join(_r(f"{_run_on_need(4, w, 'max(pq)')} - {_run_on_need(4, w, 'min(pq)')}", f"rrange_{w}") for w in PARAMS.rolling_windows)
+    + ", "
+    + ", ".join(_r(_run_on_skew(w), f"rskew_{w}") for w in (8, 12))
+    + " FROM pv",
+)
+def compat_rolling(spark, sf_dir):
+    """Rolling columns whose windows run on from one key into the next."""
+    df = features.compat_rolling(weekly(spark, sf_dir), PARAMS.rolling_windows)
+    return rounded(df, *_KEYS, *(n for n, _, _ in _MOMENTS), *(f"rrange_{w}" for w in PARAMS.rolling_windows), "rskew_8", "rskew_12")
+
+
+_RUN_ON_PAST = _PREVIOUS + f", lim AS (SELECT *, least(coalesce({_run_on_need(3, 12, 'quantile_cont(pq, 0.9)')}, 220), 220) AS lim, {_run_on_need(3, 12, 'quantile_cont(pq, 0.5)')} AS med FROM pv)"
+
+
+@query("compat_percentile_cap", _with(_RUN_ON_PAST) + f" SELECT {_K}, {_r('CASE WHEN qty > lim THEN lim ELSE qty END', 'qty')} FROM lim")
+def compat_percentile_cap(spark, sf_dir):
+    return rounded(outliers.treat_percentile_cap(weekly(spark, sf_dir), 90.0, compat=True), *_KEYS, "qty")
+
+
+@query("compat_median_impute", _with(_RUN_ON_PAST) + f" SELECT {_K}, {_r('CASE WHEN qty > lim THEN coalesce(med, 1) ELSE qty END', 'qty')} FROM lim")
+def compat_median_impute(spark, sf_dir):
+    return rounded(outliers.treat_median(weekly(spark, sf_dir), 90.0, compat=True), *_KEYS, "qty")
+
+
+@query(
+    "compat_price_mean",
+    _with(_PRICED, f"pv AS (SELECT *, lag(p) OVER ({_W}) AS pp FROM pr)") + f" SELECT {_K}, {_r(f'coalesce(round_even(avg(pp) OVER {_run_on(4)} * 100, 0) / 100, 0)', 'unit_price_rolling_mean_4')} FROM pv",
+)
+def compat_price_mean(spark, sf_dir):
+    return rounded(prices.compat_price_mean(prices.unit_price(weekly(spark, sf_dir))), *_KEYS, "unit_price_rolling_mean_4")
+
+
+def _carried_sql(c: str) -> str:
+    return f"coalesce(last_value({c} IGNORE NULLS) OVER (ORDER BY pdv, internal_product_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value({c} IGNORE NULLS) OVER (ORDER BY pdv, internal_product_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS {c}"
+
+
+@query(
+    "interpolate_week_compat",
+    _with(_PANEL)
+    + f""", a AS (SELECT * FROM pn WHERE week_of_year = 36), b AS (SELECT * FROM pn WHERE week_of_year = 38),
+j AS (SELECT coalesce(a.pdv, b.pdv) AS pdv, coalesce(a.internal_product_id, b.internal_product_id) AS internal_product_id, (coalesce(a.qty, 0) + coalesce(b.qty, 0)) / 2 AS qty,
+  (coalesce(a.gross, 0) + coalesce(b.gross, 0)) / 2 AS gross, a.categoria, a.premise, a.subcategoria, a.fabricante
+  FROM a FULL JOIN b ON a.pdv = b.pdv AND a.internal_product_id = b.internal_product_id)
+SELECT CAST(37 AS BIGINT) AS week_of_year, pdv, internal_product_id, {_r('qty', 'qty')}, {_r('gross', 'gross')}, {', '.join(map(_carried_sql, ('categoria', 'premise', 'subcategoria', 'fabricante')))} FROM j""",
+)
+def interpolate_week_compat(spark, sf_dir):
+    """The missing week with attributes carried on from the key before."""
+    return rounded(panel.interpolated_week(weekly(spark, sf_dir, *panel.ATTRIBUTES), 37, compat_fill=True))
+
+
+@query(
+    "top_fifth_of_keys",
+    _with(_PANEL, "g AS (SELECT pdv, internal_product_id, sum(qty) AS total FROM pn GROUP BY pdv, internal_product_id)", "t AS (SELECT *, row_number() OVER (ORDER BY total DESC, pdv, internal_product_id) AS nth, count(*) OVER () AS n FROM g)")
+    + f" SELECT pdv, internal_product_id, {_r('total', 'total')} FROM t WHERE nth <= n // 5",
+)
+def top_fifth_of_keys(spark, sf_dir):
+    """The fifth of all keys that sells most, chosen by places in ranges of the order."""
+    totals = settle(weekly(spark, sf_dir).groupBy(*panel.KEYS).agg(F.sum("qty").alias("total")))
+    return rounded(ordered.first_rows(totals, [F.desc("total"), *panel.KEYS], totals.count() // 5))
+
+
 # ---- leaf-wise trees ---------------------------------------------------------------------------------------------
 
 _FEW = ("season", "pdv", "product", "lag_tens")
@@ -889,6 +975,16 @@ def objective_slopes(spark, sf_dir):
     return rounded(rows.groupBy("objective", "week_of_year").agg(F.sum("gradient").alias("gradient"), F.sum("curvature").alias("curvature")))
 
 
+@query("autoencoder_embedding")
+def autoencoder_embedding(spark, sf_dir):
+    return embedding.of_column(weekly(spark, sf_dir, "categoria"), "categoria")
+
+
+@query("supervised_embedding")
+def supervised_embedding(spark, sf_dir):
+    return embedding.supervised(weekly(spark, sf_dir, "categoria"), "categoria")
+
+
 @query("leafwise_train_score")
 def leafwise_train_score(spark, sf_dir):
     df, names = _model_frame(spark, sf_dir)
@@ -994,9 +1090,21 @@ def comprehensive_features(spark, sf_dir):
     return df.select(*_KEYS, "qty", *(n for n in names if n not in _KEYS))
 
 
-@query("feature_kinds", "SELECT * FROM (VALUES ('lag_1', 'numerical'), ('categoria_PROMO', 'categorical'), ('premise_NATION_1', 'categorical'), ('fabricante_log_freq', 'numerical')) t(feature_name, feature_type)")
+_NUMERIC = sorted({"week_of_year", *(f"lag_{k}" for k in (*PARAMS.basic_lags, *PARAMS.extra_lags)), "nonzero_frac_8", "rmean_4", "rstd_4"} | {f"r{k}_{w}" for k in ("mean", "std", "max", "min", "range") for w in PARAMS.rolling_windows} | {f"{k}_{w}" for k in ("rskew", "rcv", "trend") for w in (4, 8, 12)} | {f"pct_change_{k}" for k in (1, 2, 4, 8)} | {"accel_4_8", "accel_8_12", "momentum_4_8", "momentum_8_12", "momentum_4_12", "month", "quarter", "week_of_month", "month_sin", "month_cos", "quarter_sin", "quarter_cos"} | {"is_start_of_month", "is_end_of_month", "is_start_of_quarter", "is_end_of_quarter", "is_holiday_season"} | {f"{c}_{k}" for c in ("subcategoria", "fabricante") for k in ("log_freq", "freq_rank")})
+_DUMMY_NAMES = """dn AS (SELECT c, freq_rank, c || '_' || value AS raw, replace(replace(c || '_' || value, ' ', '_'), '-', '_') AS name
+  FROM (SELECT 'categoria' AS c, * FROM ca UNION ALL SELECT 'premise', * FROM pm) WHERE freq_rank <= 10)"""
+
+
+@query(
+    "feature_kinds",
+    _with(_PANEL, _rank_sql("categoria", "ca"), _rank_sql("premise", "pm"), _DUMMY_NAMES)
+    + f""", cr AS (SELECT name || '_x_' || n AS name FROM dn CROSS JOIN (VALUES (1, 'lag_1'), (2, 'lag_2'), (3, 'rmean_4'), (4, 'rmean_8')) t(i, n) WHERE c = 'categoria' AND freq_rank <= 5 ORDER BY freq_rank, i LIMIT 15)
+SELECT unnest({_NUMERIC}) AS feature_name, 'numerical' AS feature_type UNION ALL SELECT name, 'categorical' FROM dn UNION ALL SELECT name, 'categorical' FROM cr""",
+)
 def feature_kinds(spark, sf_dir):
-    return sinks.feature_kinds(spark, ["lag_1", "categoria_PROMO", "premise_NATION_1", "fabricante_log_freq"])
+    """The names of all features of the panel, as far as they come from its values, and their kinds."""
+    _, names = pipeline.comprehensive_features(settle(weekly(spark, sf_dir, *panel.ATTRIBUTES)), PARAMS)
+    return sinks.feature_kinds(spark, names)
 
 
 # ---- forecasts with a linear score, which SQL can say -------------------------------------------------------------
@@ -1114,22 +1222,32 @@ def stage_cache(spark, sf_dir):
     return _totals(cache.load(replace(PARAMS, z_threshold=3.0), sf_dir))
 
 
-@query("stage_cache_cleared", "SELECT 1 AS cleared, 0 AS found")
+@query("stage_cache_cleared", "SELECT CAST(2 AS INTEGER) AS cleared, (SELECT count(*) FROM nation) + (SELECT count(*) FROM orders) AS n_rows, CAST(0 AS INTEGER) AS found")
 def stage_cache_cleared(spark, sf_dir):
-    cache = sinks.StageCache(spark, _folder(spark, "cache"))
-    cache.save(spark.read.parquet(f"{sf_dir}/region.parquet"), PARAMS)
+    """How many stages were cleared, the rows that they had, and how many are found after."""
+    cache, inputs = sinks.StageCache(spark, _folder(spark, "cache")), ("nation", "orders")
+    n = sum(cache.save(spark.read.parquet(f"{sf_dir}/{name}.parquet"), PARAMS, name).count() for name in inputs)
     cleared = cache.clear()
-    return spark.createDataFrame([(cleared, int(cache.load(PARAMS) is not None))], "cleared int, found int")
+    return spark.createDataFrame([(cleared, n, sum(cache.load(PARAMS, name) is not None for name in inputs))], "cleared int, n_rows long, found int")
+
 
+def _wmape_sql(p: str) -> str:
+    return f"SELECT sum(abs(qty - {p})) / sum(abs(qty)) AS wmape, count(*) AS total_predictions FROM fc"
 
-@query("experiment_logs", "SELECT * FROM (VALUES (CAST(1 AS INTEGER), CAST(0.25 AS DOUBLE), CAST(4.0 AS DOUBLE)), (2, 0.5, 2.0)) t(place, wmape, z_threshold)")
+
+@query(
+    "experiment_logs",
+    _with(_PANEL, f"fc AS (SELECT qty, {_lag(1)} AS a, coalesce({_agg('avg', 4, 4)}, 0) AS b FROM pn)")
+    + f", w AS ({_wmape_sql('a')} UNION ALL {_wmape_sql('b')}) SELECT CAST(row_number() OVER (ORDER BY wmape) AS INTEGER) AS place, {_r('wmape', 'wmape')}, total_predictions FROM w",
+)
 def experiment_logs(spark, sf_dir):
-    """Logs of two runs, best first; one that is not there is passed over."""
-    path = _folder(spark, "logs")
-    for name, z, wmape in (("a", 2.0, 0.5), ("b", 4.0, 0.25)):
-        sinks.write_experiment(spark, f"{path}/{name}.json", replace(PARAMS, z_threshold=z), wmape, 1)
-    logs = sinks.read_experiments(spark, [f"{path}/{n}.json" for n in ("a", "none", "b")])
-    return spark.createDataFrame([(i, x["wmape"], x["params"]["z_threshold"]) for i, x in enumerate(logs, 1)], "place int, wmape double, z_threshold double")
+    """Logs of two forecasts of the panel, best first; one that is not there is passed over."""
+    df, path = settle(features.basic_features(weekly(spark, sf_dir), PARAMS)), _folder(spark, "logs")
+    for name in ("lag_1", "rmean_4"):
+        score = explore.metrics(df.select(F.col("qty").alias("y"), F.col(name).alias("p"))).first()
+        sinks.write_experiment(spark, f"{path}/{name}.json", PARAMS, score.wmape, df.count())
+    logs = sinks.read_experiments(spark, [f"{path}/{n}.json" for n in ("lag_1", "none", "rmean_4")])
+    return rounded(spark.createDataFrame([(i, x["wmape"], x["total_predictions"]) for i, x in enumerate(logs, 1)], "place int, wmape double, total_predictions long"))
 
 
 @query("summary_json", _with(_NAIVE) + " SELECT count(*) AS total_predictions, CAST(sum(quantidade) AS BIGINT) AS total_quantity FROM sub")
@@ -1149,12 +1267,13 @@ def digit_stores(spark, sf_dir):
 
 @query(
     "safe_names",
-    "WITH t AS (SELECT DISTINCT c_mktsegment || ' / ' || c_nationkey % 3 AS name FROM customer), b AS (SELECT name, trim(regexp_replace(regexp_replace(name, '[^0-9A-Za-z_]', '_', 'g'), '_+', '_', 'g'), '_') AS safe FROM t) SELECT name, safe FROM b",
+    _with(_PANEL, _rank_sql("categoria", "ca"), _rank_sql("premise", "pm"), _DUMMY_NAMES)
+    + ", t AS (SELECT raw || ' (%)' AS name FROM dn) SELECT name, trim(regexp_replace(regexp_replace(replace(name, '%', 'pct'), '[^0-9A-Za-z_]', '_', 'g'), '_+', '_', 'g'), '_') AS safe FROM t",
 )
 def safe_names(spark, sf_dir):
-    """Names made safe; these stay distinct."""
-    name = F.concat("c_mktsegment", F.lit(" / "), (F.col("c_nationkey") % 3).cast("string"))
-    names = sorted(r.name for r in spark.read.parquet(f"{sf_dir}/customer.parquet").select(name.alias("name")).distinct().collect())
+    """Names of columns, of the ten most frequent values of two attributes, made safe; these stay distinct."""
+    found = categorical.all_counts(weekly(spark, sf_dir, "categoria", "premise"), ["categoria", "premise"]).filter(F.col("freq_rank") <= PARAMS.top_values)
+    names = sorted(f"{r.name}_{r.value} (%)" for r in found.collect())  # twenty at most
     return spark.createDataFrame(list(zip(names, scalar.safe_names(names))), "name string, safe string")
 
 
