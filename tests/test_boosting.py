@@ -158,3 +158,31 @@ def test_the_pipeline_with_leaf_wise_trees(spark, sf_dir, tmp_path):
     assert spark.read.option("header", True).option("sep", ";").csv(f"{tmp_path}/out/submission").count() > 0
     with pytest.raises(ValueError):
         pipeline.run(spark, f"{tmp_path}/tx", f"{tmp_path}/out2", "huber")
+
+
+def test_a_search_equals_plain_folds(spark):
+    """Each draw that goes all the way has the errors of fits on two folds, scored on the third; the others those of theirs
+    up to the rung at which they were given up."""
+    rng = np.random.default_rng(6)
+    frame = pd.DataFrame({"a": rng.integers(0, 9, 600), "b": rng.integers(0, 12, 600)}).astype(float)
+    frame["qty"] = frame.a * 2 + (frame.b > 6) * 5 + rng.normal(0, 2, 600)
+    frame["fold"] = np.arange(600) % 3
+    df = spark.createDataFrame(frame).repartition(4)
+    growths = boosting.random_growths(7, 1, (3, 5))
+    found = boosting.search(df, NAMES, growths=growths, rungs=(1, 2), fold=F.col("fold"))
+    assert sorted(d.number for d in found) == list(range(7))
+    assert [d.rounds for d in found[2:]] == [2, 2, 1, 1, 1] and all(d.rounds == d.growth.rounds for d in found[:2])
+    assert found[0].error <= found[1].error
+    for d in (found[0], found[1], found[-1]):
+        growth = catalogue.replace(growths[d.number], rounds=d.rounds)
+        for fold in range(3):
+            model = boosting.fit(df.filter(F.col("fold") != fold), NAMES, objective=boosting.squared(), growth=growth)
+            held = df.filter(F.col("fold") == fold)
+            assert forecast.validate(model, held).first().mae == pytest.approx(d.errors[fold]), (d, fold)
+
+
+def test_draws_and_reruns_of_a_search_agree(spark):
+    assert boosting.random_growths(25, 42) == boosting.random_growths(25, 42) and len(set(boosting.random_growths(25, 42))) == 25
+    df = spark.createDataFrame(pd.DataFrame({"a": np.arange(90.0) % 7, "b": np.arange(90.0) % 5, "qty": np.arange(90.0) % 11})).repartition(3)
+    one, two = (boosting.search(df, NAMES, growths=boosting.random_growths(4, 2, (2, 3)), rungs=(1,)) for _ in range(2))
+    assert one == two and len(one) == 4

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import random
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -147,10 +148,11 @@ def bin_edges(df: DataFrame, features: list[str], bins: int, more: list[Column]
     return [values[i][:-1] if i in values else sorted(set(one[i]["q"] or [])) for i in range(len(features))], list(one)[len(features) :]
 
 
-_BLOCK = "valid boolean, n int, bins binary, y binary, weight binary, score binary"
+_BLOCK = "n int, bins binary, y binary, weight binary, fold binary, score binary"
 
 
-def _to_blocks(edges: list[list[float]], valid: bool):
+def _to_blocks(edges: list[list[float]]):
+    """Rows of features, target, weight and fold as blocks, each column of which is one value."""
     cuts = [np.array(e) for e in edges]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,10 +163,10 @@ def _to_blocks(edges: list[list[float]], valid: bool):
             values = [c.to_numpy(zero_copy_only=False).astype(np.float64) for c in t.columns]
             # a missing value is in bin 0, with what is below the first edge
             bins = np.stack([np.where(np.isnan(x), 0, np.searchsorted(e, x, side="left")) for x, e in zip(values, cuts)]).astype(np.uint8)
-            y, weight = values[-2:]
+            y, weight, fold = values[-3:]
             return pa.RecordBatch.from_arrays(
-                [pa.array([valid]), pa.array([len(y)], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in (bins, y, weight, np.zeros(len(y))))],
-                names=["valid", "n", "bins", "y", "weight", "score"],
+                [pa.array([len(y)], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in (bins, y, weight, fold.astype(np.uint8), np.zeros(len(y))))],
+                names=["n", "bins", "y", "weight", "fold", "score"],
             )
 
         for batch in batches:
@@ -181,12 +183,13 @@ def _to_blocks(edges: list[list[float]], valid: bool):
 
 
 def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(valid, bins, y, weight, score) of each block."""
+    """(bins, y, weight, fold, score) of each block."""
+    kinds = (np.uint8, np.float64, np.float64, np.uint8, np.float64)
     for batch in batches:
         for i in range(batch.num_rows):
-            valid, n, *data = (batch.column(j)[i] for j in range(6))
-            bins, y, weight, score = (np.frombuffer(d.as_buffer(), t) for d, t in zip(data, (np.uint8, np.float64, np.float64, np.float64)))
-            yield valid.as_py(), bins.reshape(-1, n.as_py()), y, weight, score
+            n, *data = (batch.column(j)[i] for j in range(6))
+            bins, *columns = (np.frombuffer(d.as_buffer(), t) for d, t in zip(data, kinds))
+            yield bins.reshape(-1, n.as_py()), *columns
 
 
 def _rescored(trees: list[Tree], bins: np.ndarray, score: np.ndarray) -> np.ndarray:
@@ -198,7 +201,7 @@ def _rescored(trees: list[Tree], bins: np.ndarray, score: np.ndarray) -> np.ndar
 def _rebased(trees: list[Tree]):
     def run(batches):
         for batch in batches:
-            scores = [_rescored(trees, bins, score).tobytes() for _, bins, _, _, score in _each_block([batch])]
+            scores = [_rescored(trees, bins, score).tobytes() for bins, _, _, _, score in _each_block([batch])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(scores, pa.binary())], names=batch.schema.names)
 
     return run
@@ -207,158 +210,135 @@ def _rebased(trees: list[Tree]):
 # ---- passes --------------------------------------------------------------------------------------------------------
 
 
-def _histograms(objective: Objective, trees: list[Tree], tree: Tree, wanted: list[int], bins: int):
-    """(node, features x bins x (gradient, curvature, rows)) of the wanted nodes, and under -1 the validation's errors."""
-    place = np.full(len(tree.feature), -1)
-    place[wanted] = range(len(wanted))
-
-    def run(batches):
-        total, errors = None, np.zeros(3)
-        for valid, b, y, weight, score in _each_block(batches):
-            score = _rescored(trees, b, score)
-            if valid:
-                errors += (np.abs(np.maximum(score, 0) - y).sum(), np.abs(y).sum(), len(y))
-                continue
-            if total is None:
-                total = np.zeros((len(wanted), len(b), bins, 3))
-            node = place[tree.of_bins(b)]
-            rows = np.flatnonzero(node >= 0)
-            g, h = objective.slopes(y[rows], score[rows])
-            g, h, node = g * weight[rows], h * weight[rows], node[rows] * bins
-            for f in range(len(b)):
-                key = node + b[f, rows]
-                for k, w in enumerate((g, h, None)):
-                    total[:, f, :, k] += np.bincount(key, w, len(wanted) * bins).reshape(-1, bins)
-        keys, tables = [-1], [errors.tobytes()]
-        if total is not None:
-            keys, tables = keys + wanted, tables + [t.tobytes() for t in total]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(tables, pa.binary())], names=["key", "sums"])
-
-    return run
-
-
-_SUMS = "key int, sums binary"
-
-
-def _added(pairs) -> dict[int, np.ndarray]:
-    out: dict[int, np.ndarray] = {}
-    for key, data in pairs:
-        x = np.frombuffer(data, np.float64)
-        out[key] = out[key] + x if key in out else x
-    return out
-
-
-def _add(batches):
-    out = _added((k, s) for batch in batches for k, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-    yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([x.tobytes() for x in out.values()], pa.binary())], names=["key", "sums"])
-
-
-def _buckets(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    width = np.where(hi > lo, hi - lo, 1.0)
-    return np.clip(((x - lo) / width * BUCKETS).astype(np.int64), 0, BUCKETS - 1)
-
-
-def _counts(trees: list[Tree], tree: Tree, ranges: dict[int, tuple[float, float]]):
-    """(leaf x BUCKETS + bucket, weight, least, greatest) of residuals of leaves within their ranges, of nonempty buckets."""
-    lo, hi = (np.full(len(tree.feature), x) for x in (math.inf, -math.inf))
-    for leaf, (a, b) in ranges.items():
-        lo[leaf], hi[leaf] = a, b
-
-    def run(batches):
-        held = []
-        for valid, b, y, weight, score in _each_block(batches):
-            if valid:
-                continue
-            leaf, x = tree.of_bins(b), y - _rescored(trees, b, score)
-            keep = (x >= lo[leaf]) & (x <= hi[leaf])
-            leaf, x, weight = leaf[keep], x[keep], weight[keep]
-            held.append(_grouped(leaf * BUCKETS + _buckets(x, lo[leaf], hi[leaf]), weight, x, x))
-        yield _arrow(*_grouped(*map(np.concatenate, zip(*held)))) if held else _arrow(*(np.zeros(0) for _ in range(4)))
-
-    return run
-
-
-def _grouped(key, n, low, high):
+@dataclass
+class _Request:
+    """What one fit wants of a pass: histograms of nodes of a draft tree, or counts of leaves' residuals within ranges. The fit
+    learns from all rows but those of the held fold, whose errors histograms tell."""
+
+    trees: list[Tree]  # that the blocks' scores lack
+    tree: Tree
+    held: int
+    objective: Objective
+    wanted: list[int] = field(default_factory=list)
+    ranges: dict[int, tuple[float, float]] | None = None
+
+
+class _Histograms:
+    """features x bins x (gradient, curvature, rows) of each wanted node, and under -1 the held rows' errors."""
+
+    def __init__(self, r: _Request, bins: int) -> None:
+        self.r, self.bins, self.total, self.errors = r, bins, None, np.zeros(3)
+        self.place = np.full(len(r.tree.feature), -1)
+        self.place[r.wanted] = range(len(r.wanted))
+
+    def add(self, b: np.ndarray, y: np.ndarray, weight: np.ndarray, fold: np.ndarray, score: np.ndarray) -> None:
+        held = fold == self.r.held
+        self.errors += (np.abs(np.maximum(score[held], 0) - y[held]).sum(), np.abs(y[held]).sum(), held.sum())
+        node = self.place[self.r.tree.of_bins(b)]
+        rows = np.flatnonzero((node >= 0) & ~held)
+        if not len(rows):
+            return
+        if self.total is None:
+            self.total = np.zeros((len(self.r.wanted), len(b), self.bins, 3))
+        g, h = self.r.objective.slopes(y[rows], score[rows])
+        g, h, node = g * weight[rows], h * weight[rows], node[rows] * self.bins
+        for f in range(len(b)):
+            key = node + b[f, rows]
+            for k, w in enumerate((g, h, None)):
+                self.total[:, f, :, k] += np.bincount(key, w, len(self.r.wanted) * self.bins).reshape(-1, self.bins)
+
+    def rows(self) -> Iterator[tuple[int, bytes]]:
+        yield -1, self.errors.tobytes()
+        if self.total is not None:
+            yield from ((k, t.tobytes()) for k, t in zip(self.r.wanted, self.total))
+
+
+class _Counts:
+    """Under -2: (leaf x BUCKETS + bucket, weight, least, greatest) of the residuals in each bucket that isn't empty."""
+
+    def __init__(self, r: _Request, bins: int) -> None:
+        self.r, self.held = r, []
+        self.lo, self.hi = (np.full(len(r.tree.feature), x) for x in (math.inf, -math.inf))
+        for leaf, (a, b) in r.ranges.items():
+            self.lo[leaf], self.hi[leaf] = a, b
+
+    def add(self, b, y, weight, fold, score) -> None:
+        leaf, x = self.r.tree.of_bins(b), y - score
+        keep = (x >= self.lo[leaf]) & (x <= self.hi[leaf]) & (fold != self.r.held)
+        leaf, x, weight = leaf[keep], x[keep], weight[keep]
+        lo, width = self.lo[leaf] / 2, self.hi[leaf] / 2 - self.lo[leaf] / 2
+        bucket = np.clip(((x / 2 - lo) / np.where(width > 0, width, 1.0) * BUCKETS).astype(np.int64), 0, BUCKETS - 1)
+        self.held.append(_grouped((leaf * BUCKETS + bucket).astype(np.float64), weight, x, x))
+
+    def rows(self) -> Iterator[tuple[int, bytes]]:
+        if self.held:
+            yield -2, np.stack(_grouped(*map(np.concatenate, zip(*self.held)))).tobytes()
+
+
+def _grouped(key: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
     if not len(key):
-        return key.astype(np.int64), n, low, high
+        return key, n, low, high
     order = np.argsort(key, kind="stable")
     key, n, low, high = key[order], n[order], low[order], high[order]
     first = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
     return key[first], np.add.reduceat(n, first), np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
 
 
-_PARTS = "key long, n double, low double, high double"
+def _answers(requests: list[_Request], bins: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [_Histograms(r, bins) if r.ranges is None else _Counts(r, bins) for r in requests]
+        for b, y, weight, fold, score in _each_block(batches):
+            for part in own:
+                part.add(b, y, weight, fold, _rescored(part.r.trees, b, score))
+        for k, part in enumerate(own):
+            keys, tables = list(zip(*part.rows())) or [(), ()]
+            yield _sums([k] * len(keys), keys, tables)
 
+    return run
 
-def _arrow(key, n, low, high) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(key, np.int64)), *(pa.array(np.asarray(x, np.float64)) for x in (n, low, high))], names=["key", "n", "low", "high"])
 
+_SUMS = "request int, key int, sums binary"
 
-def _columns(batches) -> tuple:
-    t = [[np.asarray(b.column(i)) for b in batches] for i in range(4)]
-    return _grouped(*(np.concatenate(x) for x in t))
 
+def _sums(requests, keys, tables) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(requests, pa.int32()), pa.array(keys, pa.int32()), pa.array(tables, pa.binary())], names=["request", "key", "sums"])
 
-def _add_parts(batches):
-    held = list(batches)
-    if held:
-        yield _arrow(*_columns(held))
 
+def _added(rows) -> dict[tuple[int, int], np.ndarray]:
+    """Sums by request and key; counts are put together by bucket."""
+    out: dict[tuple[int, int], np.ndarray] = {}
+    for request, key, data in rows:
+        x, at = np.frombuffer(data, np.float64), (request, key)
+        if at not in out:
+            out[at] = x
+        elif key == -2:
+            out[at] = np.stack(_grouped(*np.hstack([out[at].reshape(4, -1), x.reshape(4, -1)]))).ravel()
+        else:
+            out[at] = out[at] + x
+    return out
 
-class _Passes:
-    """The blocks of one fit, the trees that their scores lack, and all trees since the beginning. The targets are between
-    least and most."""
-
-    def __init__(self, blocks: DataFrame, objective: Objective, bins: int, least: float, most: float) -> None:
-        self.blocks, self.objective, self.bins, self.least, self.most = blocks, objective, bins, least, most
-        self.trees: list[Tree] = []
-        self.since: list[Tree] = []
-        self.parts = blocks.rdd.getNumPartitions()
-
-    def _sum(self, rows: DataFrame, add, schema: str) -> DataFrame:
-        parts = self.parts
-        while parts > FAN:
-            parts = -(-parts // FAN)
-            rows = rows.repartition(parts).mapInArrow(add, schema)
-        return rows
 
-    def histograms(self, tree: Tree, wanted: list[int]) -> tuple[dict[int, np.ndarray], np.ndarray]:
-        rows = self.blocks.mapInArrow(_histograms(self.objective, self.trees, tree, wanted, self.bins), _SUMS)
-        sums = _added((r.key, r.sums) for r in self._sum(rows, _add, _SUMS).collect())
-        errors = sums.pop(-1, np.zeros(3))
-        return {k: x.reshape(-1, self.bins, 3) for k, x in sums.items()}, errors
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = _added(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    keys = list(zip(*out)) or [(), ()]
+    yield _sums(*keys, [x.tobytes() for x in out.values()])
 
-    def quantiles(self, tree: Tree, leaves: list[int], q: float) -> dict[int, float]:
-        """The q-th quantile of the residuals of each leaf: between the two values in the middle if the weights part there."""
-        whole = (self.least - sum(max(t.value) for t in self.since), self.most - sum(min(t.value) for t in self.since))
-        ranges, found, below, totals = dict.fromkeys(leaves, whole), {}, dict.fromkeys(leaves, 0.0), {}
-        while ranges:
-            rows = self.blocks.mapInArrow(_counts(self.trees, tree, ranges), _PARTS)
-            t = self._sum(rows, _add_parts, _PARTS).toArrow()
-            key, n, low, high = _grouped(*(np.asarray(t.column(i)) for i in range(4)))
-            leaf, new = key // BUCKETS, {}
-            for one in ranges:
-                at = leaf == one
-                if not at.any():
-                    continue
-                want, upto = q * totals.setdefault(one, float(n[at].sum())), below[one] + np.cumsum(n[at])
-                k = min(int(np.searchsorted(upto, want, side="left")), len(upto) - 1)
-                lo, hi = float(low[at][k]), float(high[at][k])
-                if upto[k] == want and k + 1 < len(upto):
-                    found[one] = (hi + float(low[at][k + 1])) / 2
-                elif lo == hi:
-                    found[one] = lo
-                else:
-                    below[one], new[one] = float(upto[k] - n[at][k]), (lo, hi)
-            ranges = new
-        return found
 
-    def grown(self, tree: Tree) -> None:
-        self.trees.append(tree)
-        self.since.append(tree)
-        if len(self.trees) >= REBASE:
-            self.blocks = settle(self.blocks.mapInArrow(_rebased(self.trees), _BLOCK))
-            self.trees = []
+class _Passes:
+    """The blocks of some fits. One pass answers a request of each."""
+
+    def __init__(self, blocks: DataFrame, bins: int) -> None:
+        self.blocks, self.bins, self.parts = blocks, bins, blocks.rdd.getNumPartitions()
+
+    def ask(self, requests: list[_Request]) -> list[dict[int, np.ndarray]]:
+        rows, parts = self.blocks.mapInArrow(_answers(requests, self.bins), _SUMS), self.parts
+        while parts > FAN:  # so that the driver gets a bounded number of tables
+            parts = -(-parts // FAN)
+            rows = rows.repartition(parts).mapInArrow(_add, _SUMS)
+        out: list[dict[int, np.ndarray]] = [{} for _ in requests]
+        for (request, key), x in _added(rows.collect()).items():
+            out[request][key] = x
+        return out
 
 
 # ---- growth --------------------------------------------------------------------------------------------------------
@@ -390,42 +370,129 @@ class _Node:
             self.gain, (self.feature, self.at_bin) = float(gains.flat[best]), divmod(best, gains.shape[1])
 
 
-def _grow(passes: _Passes, edges: list[list[float]], growth: Growth) -> tuple[Tree | None, np.ndarray]:
-    """One tree, and the validation's errors before it; None if there are no rows."""
-    draft = Tree()  # all nodes whose histograms are known, split or not
-    sums, errors = passes.histograms(draft, [0])
-    if 0 not in sums:
-        return None, errors
-    nodes = {0: _Node(sums[0], 0)}
-    nodes[0].split(growth)
-    while True:
-        heap, splits = [(-nodes[0].gain, 0)], []
-        while heap and len(splits) < growth.leaves - 1 and nodes[heap[0][1]].children:
-            node = heapq.heappop(heap)[1]
-            splits.append(node)
-            for child in nodes[node].children:
-                if nodes[child].gain > 0:
-                    heapq.heappush(heap, (-nodes[child].gain, child))
-        if not heap or nodes[heap[0][1]].gain <= 0 or len(splits) == growth.leaves - 1:
-            break
-        # the one that is next, and others that may be: their children cost less than another pass
-        ahead = [k for _, k in heapq.nsmallest(growth.leaves - 1, ((-n.gain, k) for k, n in nodes.items() if n.gain > 0 and not n.children))]
-        ahead = [heap[0][1], *(k for k in ahead if k != heap[0][1])]
-        smaller = []
-        for k in ahead:
-            node = nodes[k]
-            rows = node.sums[node.feature, : node.at_bin + 1, 2].sum(), node.sums[node.feature, node.at_bin + 1 :, 2].sum()
-            draft.feature[k], draft.at_bin[k] = node.feature, node.at_bin
-            node.children = draft.left[k], draft.right[k] = draft.leaf(int(rows[0])), draft.leaf(int(rows[1]))
-            smaller.append(node.children[int(rows[0] > rows[1])])
-        sums, _ = passes.histograms(draft, smaller)
-        for k, small in zip(ahead, smaller):
-            a, b = nodes[k].children
-            other = nodes[k].sums - sums[small]
-            for child in (a, b):
-                nodes[child] = _Node(sums[small] if child == small else other, nodes[k].depth + 1)
-                nodes[child].split(growth)
-    return _kept(nodes, set(splits), edges), errors
+class _Fit:
+    """One fit: a generator of requests that is sent their answers. Its model has the trees up to the best score so far."""
+
+    def __init__(self, features: list[str], edges: list[list[float]], bins: int, objective: Objective, growth: Growth, held: int, ends: tuple[float, float]) -> None:
+        self.edges, self.bins, self.objective, self.growth, self.held, self.ends = edges, bins, objective, growth, held, ends
+        self.trees: list[Tree] = []  # that the blocks' scores lack
+        self.made: list[Tree] = []
+        self.low = self.high = 0.0  # what scores are between
+        self.model = Model(features, 0.0, [])
+        self.error: list[float] = []  # mean absolute errors on held rows, as model.wmape
+
+    def _histograms(self, tree: Tree, wanted: list[int]):
+        sums = yield _Request(self.trees, tree, self.held, self.objective, wanted)
+        errors = sums.pop(-1, np.zeros(3))
+        return {k: x.reshape(-1, self.bins, 3) for k, x in sums.items()}, errors
+
+    def _quantiles(self, tree: Tree, leaves: list[int], q: float):
+        """The q-th quantile of the residuals of each leaf: between the two values in the middle if the weights part there."""
+        whole = (self.ends[0] - self.high, self.ends[1] - self.low)
+        pad = 1e-9 * (abs(whole[0]) + abs(whole[1]))
+        ranges, found, below, totals = dict.fromkeys(leaves, (whole[0] - pad, whole[1] + pad)), {}, dict.fromkeys(leaves, 0.0), {}
+        while ranges:
+            sums = yield _Request(self.trees, tree, self.held, self.objective, ranges=ranges)
+            key, n, low, high = sums.get(-2, np.zeros(0)).reshape(4, -1)
+            leaf, new = key // BUCKETS, {}
+            for one in ranges:
+                at = leaf == one
+                if not at.any():
+                    continue
+                want, upto = q * totals.setdefault(one, float(n[at].sum())), below[one] + np.cumsum(n[at])
+                k = min(int(np.searchsorted(upto, want, side="left")), len(upto) - 1)
+                lo, hi = float(low[at][k]), float(high[at][k])
+                if upto[k] == want and k + 1 < len(upto):
+                    found[one] = (hi + float(low[at][k + 1])) / 2
+                elif lo == hi:
+                    found[one] = lo
+                else:
+                    below[one], new[one] = float(upto[k] - n[at][k]), (lo, hi)
+            ranges = new
+        return found
+
+    def _grow(self):
+        """One tree, and the held rows' errors before it; None if there are no rows."""
+        growth, draft = self.growth, Tree()  # all nodes whose histograms are known, split or not
+        sums, errors = yield from self._histograms(draft, [0])
+        if 0 not in sums:
+            return None, errors
+        self._scored(errors)
+        nodes = {0: _Node(sums[0], 0)}
+        nodes[0].split(growth)
+        while True:
+            heap, splits = [(-nodes[0].gain, 0)], []
+            while heap and len(splits) < growth.leaves - 1 and nodes[heap[0][1]].children:
+                node = heapq.heappop(heap)[1]
+                splits.append(node)
+                for child in nodes[node].children:
+                    if nodes[child].gain > 0:
+                        heapq.heappush(heap, (-nodes[child].gain, child))
+            if not heap or nodes[heap[0][1]].gain <= 0 or len(splits) == growth.leaves - 1:
+                return _kept(nodes, set(splits), self.edges), errors
+            # the one that is next, and others that may be: their children cost less than another pass
+            ahead = [k for _, k in heapq.nsmallest(growth.leaves - 1, ((-n.gain, k) for k, n in nodes.items() if n.gain > 0 and not n.children))]
+            ahead = [heap[0][1], *(k for k in ahead if k != heap[0][1])]
+            smaller = []
+            for k in ahead:
+                node = nodes[k]
+                rows = node.sums[node.feature, : node.at_bin + 1, 2].sum(), node.sums[node.feature, node.at_bin + 1 :, 2].sum()
+                draft.feature[k], draft.at_bin[k] = node.feature, node.at_bin
+                node.children = draft.left[k], draft.right[k] = draft.leaf(int(rows[0])), draft.leaf(int(rows[1]))
+                smaller.append(node.children[int(rows[0] > rows[1])])
+            sums, _ = yield from self._histograms(draft, smaller)
+            for k, small in zip(ahead, smaller):
+                a, b = nodes[k].children
+                other = nodes[k].sums - sums[small]
+                for child in (a, b):
+                    nodes[child] = _Node(sums[small] if child == small else other, nodes[k].depth + 1)
+                    nodes[child].split(growth)
+
+    def _leaf_values(self, tree: Tree):
+        leaves = [k for k, f in enumerate(tree.feature) if f < 0]
+        growth = self.growth
+        if self.objective.quantile is not None:
+            found = yield from self._quantiles(tree, leaves, self.objective.quantile)
+            for k in leaves:
+                tree.value[k] = growth.step * found.get(k, 0.0)
+            return
+        for k in leaves:
+            g, h = tree.value[k]
+            newton = -g / (h + growth.ridge) if h + growth.ridge > 0 else 0.0
+            tree.value[k] = growth.step * max(-growth.most_step, min(growth.most_step, newton))
+
+    def _scored(self, errors: np.ndarray) -> None:
+        if errors[2] and len(self.model.wmape) == len(self.made) - 1:  # the first one is the start
+            self.model.wmape.append(float(errors[0] / errors[1]) if errors[1] else 0.0)
+            self.error.append(float(errors[0] / errors[2]))
+            best = int(np.argmin(self.model.wmape))
+            self.model.trees = self.made[1 : best + 1]
+
+    def _made(self, tree: Tree) -> None:
+        self.trees.append(tree)
+        self.made.append(tree)
+        self.low, self.high = self.low + min(tree.value), self.high + max(tree.value)
+        if not self.model.wmape:
+            self.model.trees = self.made[1:]
+
+    def run(self):
+        if self.objective.start == "median":
+            self.model.start = (yield from self._quantiles(Tree(), [0], 0.5)).get(0, 0.0)
+        else:
+            whole = (yield _Request([], Tree(), self.held, squared(), [0])).get(0)
+            g, h, _ = whole.reshape(-1, self.bins, 3)[0].sum(axis=0) if whole is not None else (0.0, 0.0, 0)
+            self.model.start = float(-g / h) if h else 0.0
+        self._made(Tree(value=[self.model.start]))
+        for _ in range(self.growth.rounds):
+            tree, _ = yield from self._grow()
+            if tree is None or self.model.wmape and len(self.model.wmape) - 1 - int(np.argmin(self.model.wmape)) >= self.growth.patience:
+                return
+            yield from self._leaf_values(tree)
+            if not any(tree.value):
+                return
+            self._made(tree)
+        if self.held >= 0:
+            self._scored((yield from self._histograms(Tree(), []))[1])
 
 
 def _kept(nodes: dict[int, _Node], splits: set[int], edges: list[list[float]]) -> Tree:
@@ -446,19 +513,6 @@ def _kept(nodes: dict[int, _Node], splits: set[int], edges: list[list[float]]) -
     return tree
 
 
-def _leaf_values(passes: _Passes, tree: Tree, growth: Growth) -> None:
-    leaves = [k for k, f in enumerate(tree.feature) if f < 0]
-    if passes.objective.quantile is not None:
-        found = passes.quantiles(tree, leaves, passes.objective.quantile)
-        for k in leaves:
-            tree.value[k] = growth.step * found.get(k, 0.0)
-        return
-    for k in leaves:
-        g, h = tree.value[k]
-        newton = -g / (h + growth.ridge) if h + growth.ridge > 0 else 0.0
-        tree.value[k] = growth.step * max(-growth.most_step, min(growth.most_step, newton))
-
-
 @dataclass
 class Model:
     features: list[str]
@@ -512,46 +566,123 @@ def _prediction(model: Model):
     return prediction
 
 
+@dataclass
+class Binned:
+    """Rows as blocks of bins, and what fits have to know of them."""
+
+    passes: _Passes
+    features: list[str]
+    edges: list[list[float]]
+    ends: tuple[float, float]
+
+    def fit(self, objective: Objective, growth: Growth, held: int = -1) -> _Fit:
+        return _Fit(self.features, self.edges, self.passes.bins, objective, growth, held, self.ends)
+
+    def rebase(self, fit: _Fit) -> None:
+        """Write the blocks with a fit's scores; of one fit only."""
+        self.passes.blocks = settle(self.passes.blocks.mapInArrow(_rebased(fit.trees), _BLOCK))
+        fit.trees = []
+
+
+def binned(df: DataFrame, features: list[str], target: str = "qty", bins: int = 64, weight: str | None = None, fold: Column | None = None, known: Column | None = None) -> Binned:
+    """df's rows that have a target as blocks, with their fold, from 0 to 255. Edges of bins come from the rows that known
+    says."""
+    if not 2 <= bins <= 256:
+        raise ValueError("from 2 to 256 bins")
+    reachable(df.sparkSession)
+    y = F.col(target).cast("double")
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = df.filter(y.isNotNull() & ~F.isnan(y))
+    seen = rows.filter(known) if known is not None else rows
+    edges, (least, most) = bin_edges(seen, features, bins, [F.min(y), F.max(y)])
+    columns = [F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)]
+    blocks = rows.select(*columns, y.alias("y"), w.alias("w"), (fold if fold is not None else F.lit(0)).cast("double").alias("fold")).mapInArrow(_to_blocks(edges), _BLOCK)
+    widest = max([2, *(len(e) + 1 for e in edges)])
+    return Binned(_Passes(settle(blocks), widest), list(features), edges, (least or 0.0, most or 0.0))
+
+
 def fit(train: DataFrame, features: list[str], target: str = "qty", valid: DataFrame | None = None, objective: Objective | None = None, growth: Growth = Growth(), weight: str | None = None) -> Model:
     """Leaf-wise boosted trees. Rows without a target don't count; negative weights are an error of the caller.
 
     With valid rows (not none of them) fitting stops after growth.patience rounds without a lower wmape, and the rounds up to
     the lowest are kept. A table without rows gives a model without trees.
     """
-    objective = objective or absolute()
-    spark = train.sparkSession
-    reachable(spark)
-    if growth.bins > 256:
-        raise ValueError("at most 256 bins")
-    y = F.col(target).cast("double")
-    of: Callable[[str], Column] = lambda c: F.col(c).cast("double")
-    kept = lambda df: df.filter(y.isNotNull() & ~F.isnan(y)).select(*(of(c).alias(f"f{i}") for i, c in enumerate(features)), y.alias("y"), w.alias("w"))
-    w = of(weight) if weight else F.lit(1.0)
-    known = train.filter(y.isNotNull() & ~F.isnan(y))
-    edges, (least, most, mean) = bin_edges(known, features, growth.bins, [F.min(y), F.max(y), F.try_divide(F.sum(y * w), F.sum(w))])
-    blocks = kept(train).mapInArrow(_to_blocks(edges, False), _BLOCK)
+    wanted = list(dict.fromkeys([*features, target, *([weight] if weight else [])]))
+    rows = train.select(*wanted, F.lit(0).alias("_fold"))
     if valid is not None:
-        blocks = blocks.unionByName(kept(valid).mapInArrow(_to_blocks(edges, True), _BLOCK))
-    passes = _Passes(settle(blocks), objective, max(2, *(len(e) + 1 for e in edges)) if edges else 2, least or 0.0, most or 0.0)
-    start = (mean or 0.0) if objective.start == "mean" else passes.quantiles(Tree(), [0], 0.5).get(0, 0.0)
-    passes.grown(Tree(value=[start]))
-    model, best = Model(list(features), start, []), 0
-    for _ in range(growth.rounds + 1):
-        last = len(model.trees) == growth.rounds
-        tree, errors = (None, passes.histograms(Tree(), [0])[1]) if last and valid is not None else (None, np.zeros(3)) if last else _grow(passes, edges, growth)
-        if valid is not None and errors[2]:
-            model.wmape.append(float(errors[0] / errors[1]) if errors[1] else 0.0)
-            if model.wmape[-1] < model.wmape[best]:
-                best = len(model.wmape) - 1
-            if len(model.wmape) - 1 - best >= growth.patience:
+        rows = rows.unionByName(valid.select(*wanted, F.lit(1).alias("_fold")))
+    data = binned(rows, features, target, growth.bins, weight, F.col("_fold"), F.col("_fold") == 0)
+    one = data.fit(objective or absolute(), growth, 1 if valid is not None else -1)
+    steps = one.run()
+    try:
+        request = next(steps)
+        while True:
+            request = steps.send(data.passes.ask([request])[0])
+            if len(one.trees) >= REBASE:
+                data.rebase(one)
+                request.trees = one.trees
+    except StopIteration:
+        return one.model
+
+
+@dataclass(frozen=True)
+class Draw:
+    """One draw of a search: its number, growth, mean absolute error by fold, and the rounds after which it was left."""
+
+    number: int
+    growth: Growth
+    errors: tuple[float, ...]
+    rounds: int
+
+    @property
+    def error(self) -> float:
+        return sum(self.errors) / len(self.errors)
+
+
+def random_growths(draws: int, seed: int, rounds: tuple[int, int] = (8, 16)) -> list[Growth]:
+    """Parameters drawn at random, the same for a seed."""
+    rng = random.Random(seed)
+    return [Growth(rounds=rng.randint(*rounds), step=rng.uniform(0.05, 0.4), leaves=rng.randint(4, 24), deepest=rng.choice([3, 4, 6]), ridge=rng.uniform(0.1, 0.9), least_rows=rng.choice([5, 20, 50]), patience=1 << 30) for _ in range(draws)]
+
+
+def search(df: DataFrame, features: list[str], target: str = "qty", objective: Objective | None = None, growths: list[Growth] | None = None, folds: int = 3, rungs: tuple[int, ...] = (1, 3, 6), seed: int = 42, fold: Column | None = None) -> list[Draw]:
+    """Draws of parameters by their mean absolute error on held folds, best first.
+
+    Rows are binned once, and a row's fold is a hash of its features and target unless fold says it. All draws and folds grow
+    side by side: a pass over the blocks answers one request of each. After so many rounds as a rung says, the worse half of
+    the draws that are left is given up; a draw of fewer rounds stays at its last error. Draws that went further come first.
+    """
+    growths = growths if growths is not None else random_growths(25, seed)
+    by_hash = F.pmod(F.xxhash64(*(F.col(c) for c in [*features, target]), F.lit(seed)), F.lit(folds))
+    data = binned(df, features, target, max(g.bins for g in growths), fold=fold if fold is not None else by_hash)
+    fits = {(d, f): data.fit(objective or squared(), g, f) for d, g in enumerate(growths) for f in range(folds)}
+    steps = {k: fit.run() for k, fit in fits.items()}
+    asked = {k: next(s) for k, s in steps.items()}
+    left, gone_at = set(range(len(growths))), {}
+
+    def known(draw: int) -> int:
+        """Rounds whose error is known in all folds."""
+        return min(len(fits[draw, f].error) - 1 for f in range(folds))
+
+    def error(draw: int, rounds: int) -> float:
+        return sum(fits[draw, f].error[min(rounds, len(fits[draw, f].error) - 1)] if fits[draw, f].error else math.inf for f in range(folds))
+
+    for rung in (*rungs, max(g.rounds for g in growths)):
+        while True:
+            some = [k for k in asked if k[0] in left and len(fits[k].error) - 1 < rung]
+            if not some:
                 break
-        if tree is None:
-            break
-        _leaf_values(passes, tree, growth)
-        if not any(tree.value):
-            break
-        model.trees.append(tree)
-        passes.grown(tree)
-    if model.wmape:
-        model.trees = model.trees[:best]
-    return model
+            for k, answer in zip(some, data.passes.ask([asked[k] for k in some])):
+                try:
+                    asked[k] = steps[k].send(answer)
+                except StopIteration:
+                    asked.pop(k)
+        order = sorted(left, key=lambda d: (error(d, rung), d))
+        for d in order[-(-len(order) // 2) :] if rung in rungs else []:
+            left.discard(d)
+            gone_at[d] = rung
+    results = []
+    for d, growth in enumerate(growths):
+        rounds = min(gone_at.get(d, growth.rounds), max(known(d), 0))
+        results.append(Draw(d, growth, tuple(fits[d, f].error[min(rounds, len(fits[d, f].error) - 1)] if fits[d, f].error else math.nan for f in range(folds)), rounds))
+    return sorted(results, key=lambda r: (-gone_at.get(r.number, 1 << 30), r.error, r.number))

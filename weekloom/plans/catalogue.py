@@ -985,6 +985,16 @@ def supervised_embedding(spark, sf_dir):
     return embedding.supervised(weekly(spark, sf_dir, "categoria"), "categoria")
 
 
+@query("random_search")
+def random_search(spark, sf_dir):
+    """All draws of a search with what each one's parameters were, how long it stayed in, and its error, best first."""
+    df, names = _model_frame(spark, sf_dir)
+    train, _ = explore.split(df, _MODEL.train_until, _MODEL.valid_from, _MODEL.valid_until)
+    found = boosting.search(train, names, seed=PARAMS.seed)
+    rows = [(place, d.number, d.growth.rounds, d.growth.step, d.growth.leaves, d.growth.deepest, d.growth.ridge, d.growth.least_rows, d.rounds, d.error) for place, d in enumerate(found, 1)]
+    return rounded(spark.createDataFrame(rows, "place int, draw int, most_rounds int, step double, leaves int, deepest int, ridge double, least_rows int, rounds int, mae double"))
+
+
 @query("leafwise_train_score")
 def leafwise_train_score(spark, sf_dir):
     df, names = _model_frame(spark, sf_dir)
