@@ -19,6 +19,7 @@ from weekloom.params import Params
 from weekloom.plans import pipeline
 from weekloom.sources import sinks, tables
 from weekloom.sources.stages import checkpoint_dir, settle
+from weekloom.streaming import histories as stream_histories
 from weekloom.streaming import weekly as stream_weekly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1094,6 +1095,25 @@ def events_weekly(spark, sf_dir):
     return df.select("event_type", F.col("week.start").cast("timestamp_ntz").alias("week_start"), "n", F.round("total", 4).alias("total"))
 
 
+@query("stream_features", _with(_PANEL.replace("WHERE wk <> 37 ", "")) + f" SELECT {_K}, {_r('qty', 'qty')}, {_BASIC} FROM pn")
+def stream_features(spark, sf_dir):
+    """The features of all weeks from a stream of the transactions: four batches of files, in order of time, and a last row
+    that closes all weeks. All weeks of the keys are there, the anomalous one too."""
+    path, df = _folder(spark, "stream"), transactions(spark, sf_dir).select("transaction_date", *panel.KEYS, "quantity")
+    df = settle(df)
+    first, last = df.agg(F.to_date(F.min("transaction_date")), F.to_date(F.max("transaction_date"))).first()
+    part = F.least(F.floor(F.datediff("transaction_date", F.lit(first)) * 4 / (F.datediff(F.lit(last), F.lit(first)) + 1)), F.lit(3))
+    for k in range(4):
+        df.filter(part == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    end = df.limit(1).select(F.date_add(F.lit(last), 60).cast(df.schema["transaction_date"].dataType).alias("transaction_date"), *(F.lit(-1).cast("long").alias(c) for c in panel.KEYS), F.lit(0).cast(df.schema["quantity"].dataType).alias("quantity"))
+    end.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{path}/in")
+    found = stream_histories.weekly_features(stream, first)
+    run = found.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return rounded(spark.read.parquet(f"{path}/out").filter("pdv >= 0"), *_KEYS, "qty", *_BASIC_COLUMNS)
+
+
 @query("comprehensive_features")
 def comprehensive_features(spark, sf_dir):
     df, names = pipeline.comprehensive_features(settle(weekly(spark, sf_dir, *panel.ATTRIBUTES)), PARAMS)
