@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weekloom.operators.lookup import MOST_BROADCAST
+from weekloom.operators.ordered import ordered
 from weekloom.operators.panel import KEYS
 from weekloom.sources.stages import settle
 
@@ -124,6 +126,31 @@ def basic_stats(panel: DataFrame) -> DataFrame:
     return one.join(F.broadcast(median), how="left")  # one row each
 
 
+def distinct_bitmaps(df: DataFrame, columns: list[str], by: str) -> DataFrame:
+    """(by, name, bucket, bits): for each value of by, which values of each column it has, one bit a value, so that counts of
+    distinct values of any part of the table come from these rows alone (merged_distinct).
+
+    A column's values are numbered densely first, by their place in order, so that bitmaps are no longer than there are values.
+    Nulls don't count.
+    """
+    out = None
+    for c in columns:
+        values = ordered(df.select(F.col(c).alias("_key")).filter(F.col("_key").isNotNull()).distinct(), "_key")
+        n = values.rows.count()
+        dense = values.rows.select("_key", F.col("_nth").alias("_id"))
+        seen = df.select(F.col(by).alias("by"), F.col(c).alias("_key")).groupBy("by", "_key").agg(F.lit(1).alias("_one"))  # each pair once
+        at = seen.join(F.broadcast(dense) if n <= MOST_BROADCAST else dense, "_key")
+        bits = at.groupBy("by", F.lit(c).alias("name"), F.bitmap_bucket_number("_id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_id")).alias("bits"))
+        out = bits if out is None else out.unionByName(bits)
+    return out
+
+
+def merged_distinct(bitmaps: DataFrame, *by: str) -> DataFrame:
+    """(by, name, n): how many distinct values the bitmaps have together, for each of by, or of all rows."""
+    merged = bitmaps.groupBy(*by, "name", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return merged.groupBy(*by, "name").agg(F.sum(F.bitmap_count("bits")).alias("n"))
+
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature_name, count, mean, std, min, p25, p50, p75, max) of each column, percentiles exact."""
     one = lambda c: F.struct(F.lit(c).alias("feature_name"), F.count(c).alias("count"), F.avg(c).cast("double").alias("mean"), F.stddev_samp(c).alias("std"), F.min(F.col(c).cast("double")).alias("min"), F.max(F.col(c).cast("double")).alias("max"))

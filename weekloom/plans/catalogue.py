@@ -595,6 +595,22 @@ def basic_stats(spark, sf_dir):
     return rounded(explore.basic_stats(settle(weekly(spark, sf_dir))))
 
 
+_UNIQUE = ("pdv", "internal_product_id", "categoria")
+
+
+@query(
+    "distinct_by_quarter",
+    _with(_PANEL, "q AS (SELECT *, CAST((week_of_year - 1) // 13 AS BIGINT) AS quarter FROM pn)")
+    + " "
+    + " UNION ALL ".join(f"SELECT quarter, '{c}' AS name, count(DISTINCT {c}) AS n FROM q GROUP BY quarter UNION ALL SELECT CAST(-1 AS BIGINT), '{c}', count(DISTINCT {c}) FROM q" for c in _UNIQUE),
+)
+def distinct_by_quarter(spark, sf_dir):
+    """Distinct values by quarter, and, as -1, of all time, from bitmaps by week, which are merged without the rows."""
+    weeks = settle(explore.distinct_bitmaps(settle(weekly(spark, sf_dir, "categoria")), list(_UNIQUE), "week_of_year"))
+    quarters = weeks.withColumn("quarter", F.floor((F.col("by") - 1) / 13).cast("long"))
+    return explore.merged_distinct(quarters, "quarter").unionByName(explore.merged_distinct(quarters).select(F.lit(-1).cast("long").alias("quarter"), "name", "n"))
+
+
 def _describe_sql(source: str, columns: list[str]) -> str:
     one = lambda c: f"SELECT '{c}' AS feature_name, count({c}) AS count, {_r(f'avg({c})', 'mean')}, {_r(f'stddev_samp({c})', 'std')}, {_r(f'min({c})', 'min')}, {_r(f'quantile_cont({c}, 0.25)', 'p25')}, {_r(f'quantile_cont({c}, 0.5)', 'p50')}, {_r(f'quantile_cont({c}, 0.75)', 'p75')}, {_r(f'max({c})', 'max')} FROM {source}"
     return " UNION ALL ".join(map(one, columns))
