@@ -568,3 +568,44 @@ def test_hot_vec_ids_keep_their_rows(spark, monkeypatch, most):
     rows = [(7, [1.0, 0.0], 1)] * 40 + [(None, [1.0, 0.0], 1)] * 30 + [(9, [1.0, 0.01], 1), (8, None, 1)]
     got = sorted(map(tuple, embed_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()), key=str)
     assert got == sorted([(7, 1, 7, True)] * 40 + [(None, 0, None, None)] * 30 + [(9, 1, 7, False), (8, 0, 8, True)], key=str)
+
+
+@pytest.mark.parametrize("most,crowd", [(ann.MOST_PAIRS, ann.CROWD), (ann.MOST_PAIRS, 20), (3000, 100_000), (1, 1)])
+def test_neighbours_in_a_crowd_of_near_copies(spark, most, crowd):
+    """Candidates whose bounds overlap: exact, whether pairs are held, given up for their number, or for one query's."""
+    rng = np.random.default_rng(12)
+    centre = rng.normal(0, 1, 16)
+    x = np.vstack([centre + 1e-9 * rng.normal(0, 1, (700, 16)), rng.normal(0, 1, (200, 16)), np.tile(centre, (60, 1))])
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>").repartition(5)
+    got = ann.nearest(rows.filter("vec_id % 20 = 0"), rows, k=7, block=16, tile=64, strip=200, most=most, crowd=crowd).collect()
+    want = []
+    for q in range(0, len(x), 20):
+        scores = ann.exact(np.tile(x[q], (len(x), 1)), x)
+        order = [v for v in np.lexsort((np.arange(len(x)), -scores)).tolist() if v != q][:7]
+        want += [(q, r, v, float(scores[v])) for r, v in enumerate(order, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_a_block_holds_no_more_pairs_than_it_may():
+    """Nothing can be pruned among 30 000 candidates of 256 queries, and yet memory stays where it is."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    centre = rng.normal(0, 1, 32)
+    near = lambda n: centre + 1e-9 * rng.normal(0, 1, (n, 32))
+
+    def coded(x, first):
+        batch = __import__("pyarrow").RecordBatch.from_pydict({"dim": np.full(len(x), 32, np.int32), "vec_id": np.arange(first, first + len(x)), "vec": [v.tobytes() for v in x]})
+        (out,) = ann._coded([batch])
+        return ann.Coded(out)
+
+    block = ann.Block(coded(near(256), 0), 20, 1 << 16, ann.CROWD)
+    tiles = [coded(near(2000), 1000 + 2000 * k) for k in range(15)]
+    tracemalloc.start()
+    for tile in tiles:
+        block.add(tile)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert block.held <= 1 << 16 and most < 200 << 20
+    out = block.batch()
+    assert out.column("vec_id").null_count == 256

@@ -10,13 +10,14 @@ narrower bounds of both layers and face the same test again.
 What survives in all strips is a little more than k pairs a query. Only these fetch the original vectors; their inner
 products are computed in double precision and merged by a heap for each query. No candidate is lost: the result is exact.
 Exact copies can't be told apart by bounds, but only the k + 1 smallest ids of a vector can be among k nearest; the
-others take no part in the join.
+others take no part in the join. Near copies can't either: a query with a crowd of them is given up by the bounds, and
+meets all candidates once more with original vectors, of which a task keeps the k best by score and id.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,11 @@ NEAREST = 20
 EVERY = 20
 #: Queries in a block, candidates in a tile, candidates in a strip at least, and most strips.
 BLOCK, TILE, STRIP, MOST_STRIPS = 8192, 2048, 8192, 64
-#: Surviving pairs that a task holds before it tests them again.
-MOST_PAIRS = 1 << 20
+#: Tasks that few queries are dealt over at most, by more strips.
+MOST_TASKS = 4096
+#: Surviving pairs that a task holds before it tests them again, and those of one query in a strip from which on its bounds
+#: are taken to tell nothing: such a query is scored anew with original vectors.
+MOST_PAIRS, CROWD = 1 << 20, 4096
 _CODES = ("scale1", "scale2", "norm", "rest1", "rest2")
 
 
@@ -89,8 +93,9 @@ def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 class Block:
     """A block of queries, the k best lower bounds of each, and the pairs that may be among its nearest."""
 
-    def __init__(self, queries: Coded, k: int) -> None:
-        self.x, self.k = queries.unpack(), k
+    def __init__(self, queries: Coded, k: int, most: int, crowd: int) -> None:
+        self.x, self.k, self.most, self.crowd = queries.unpack(), k, most, crowd
+        self.crowded = np.zeros(len(queries.ids), bool)
         self.best = np.full((len(queries.ids), k), -np.inf)
         self.least = np.full(len(queries.ids), -np.inf)
         self.pairs: list[tuple[np.ndarray, ...]] = []
@@ -125,9 +130,21 @@ class Block:
         keep = high >= self.least[i]
         self.pairs.append((i[keep], y.ids[j[keep]], low[keep], high[keep]))
         self.held += int(keep.sum())
-        if self.held > MOST_PAIRS:
-            self.pairs = [self.survivors()]
-            self.held = len(self.pairs[0][0])
+        if self.held > self.most:
+            self._settle()
+            while self.held > self.most // 2:  # no bound tells candidates of so many queries apart: those of most pairs go
+                self._give_up(np.bincount(self.pairs[0][0], minlength=len(x.ids)).argmax())
+
+    def _settle(self) -> None:
+        """Test all pairs again; queries of too many are given up."""
+        self.pairs = [self.survivors()]
+        self._give_up(np.bincount(self.pairs[0][0], minlength=len(self.x.ids)) > self.crowd)
+
+    def _give_up(self, queries) -> None:
+        self.crowded[queries] = True
+        self.least[self.crowded] = self.best[self.crowded] = np.inf  # nothing of theirs survives from now on
+        self.pairs = [self.survivors()]
+        self.held = len(self.pairs[0][0])
 
     def survivors(self) -> tuple[np.ndarray, ...]:
         i, ids, low, high = (np.concatenate(c) for c in zip(*self.pairs)) if self.pairs else (np.zeros(0, t) for t in (np.int64, np.int64, float, float))
@@ -135,8 +152,60 @@ class Block:
         return i[keep], ids[keep], low[keep], high[keep]
 
     def batch(self) -> pa.RecordBatch:
-        i, ids, low, high = self.survivors()
-        return _pairs(self.x.ids[i], ids, low, high)
+        """The pairs, and a row without vec_id for each query that was given up."""
+        self._settle()
+        i, ids, low, high = self.pairs[0]
+        given = self.x.ids[self.crowded]
+        none = np.full(len(given), np.inf)
+        return _pairs(np.concatenate([self.x.ids[i], given]), pa.array([*ids.tolist(), *[None] * len(given)], pa.int64()), np.concatenate([low, none]), np.concatenate([high, none]))
+
+
+class Originals:
+    """Vectors of one length themselves."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        self.ids, self.vec = batch.column("vec_id").to_numpy(), matrix(batch.column("vec"))
+
+    @classmethod
+    def together(cls, some: list[Originals]) -> Originals:
+        own = cls.__new__(cls)
+        own.ids, own.vec = (np.concatenate([getattr(x, n) for x in some]) for n in ("ids", "vec"))
+        return own
+
+
+class ExactBlock:
+    """A block of queries with the k best candidates of each, by exact score and then by id: nothing else is held."""
+
+    def __init__(self, queries: Originals, k: int) -> None:
+        self.x, self.k = queries, k
+        self.norm = np.linalg.norm(queries.vec, axis=1)
+        self.score, self.who = np.full((len(queries.ids), k), -np.inf), np.full((len(queries.ids), k), np.iinfo(np.int64).max)
+
+    def add(self, tile: Originals) -> None:
+        right, norm = np.ascontiguousarray(tile.vec.T), np.linalg.norm(tile.vec, axis=1)
+        rounding = 4e-16 * (len(right) + 8)
+        for at in range(0, len(self.x.ids), 64):
+            p = slice(at, at + 64)
+            near, slack = self.x.vec[p] @ right, rounding * self.norm[p, None] * norm
+            own = self.x.ids[p, None] == tile.ids[None, :]
+            kth = self.score[p, -1]
+            if near.shape[1] > self.k:
+                kth = np.maximum(kth, np.partition(np.where(own, -np.inf, near - slack), -self.k, axis=1)[:, -self.k])
+            i, j = np.nonzero((near + slack >= kth[:, None]) & ~own)
+            for cut in range(0, len(i), 8192):
+                self._merge(at + i[cut : cut + 8192], j[cut : cut + 8192], tile)
+
+    def _merge(self, i: np.ndarray, j: np.ndarray, tile: Originals) -> None:
+        score, ids = exact(self.x.vec[i], tile.vec[j]), tile.ids[j]
+        first = np.flatnonzero(np.diff(i, prepend=-1))
+        for q, a, b in zip(i[first].tolist(), first.tolist(), [*first[1:].tolist(), len(i)]):
+            scores, who = np.concatenate([self.score[q], score[a:b]]), np.concatenate([self.who[q], ids[a:b]])
+            best = np.lexsort((who, -scores))[: self.k]
+            self.score[q], self.who[q] = scores[best], who[best]
+
+    def batch(self) -> pa.RecordBatch:
+        i, j = np.nonzero(self.score > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(self.x.ids[i]), pa.array(self.who[i, j]), pa.array(self.score[i, j])], names=["query_id", "vec_id", "score"])
 
 
 def _pairs(*columns) -> pa.RecordBatch:
@@ -144,7 +213,7 @@ def _pairs(*columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["query_id", "vec_id", "low", "high"])
 
 
-def _strips(k: int, tile: int):
+def _strips(tile: int, kind: type, block_of: Callable):
     """Rows come sorted by (dim, ti, tj, side): first a block's queries, then the candidates of a strip."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,10 +222,10 @@ def _strips(k: int, tile: int):
         def flush(least: int) -> None:
             nonlocal block, queries, waiting
             if block is None and queries:
-                block, queries = Block(Coded.together(queries), k), []
+                block, queries = block_of(kind.together(queries)), []
             if waiting and sum(len(w.ids) for w in waiting) >= least:
                 if block is not None:
-                    block.add(Coded.together(waiting))
+                    block.add(kind.together(waiting))
                 waiting = []
 
         for batch in batches:
@@ -172,7 +241,7 @@ def _strips(k: int, tile: int):
                         yield block.batch()
                     key, block, queries, waiting = now, None, [], []
                 for at in range(a, b, tile):
-                    data = Coded(batch.slice(at, min(tile, b - at)))
+                    data = kind(batch.slice(at, min(tile, b - at)))
                     if side == 0:
                         queries.append(data)
                     else:
@@ -276,28 +345,53 @@ def _without_needless_copies(rows: DataFrame, k: int) -> DataFrame:
     return _of_crowds(rows, ["hash"], k + 1, lambda some: some.withColumn("nth", nth).filter(F.col("nth") <= k + 1).drop("nth"))
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, k: int = NEAREST, block: int = BLOCK, tile: int = TILE, strip: int = STRIP) -> DataFrame:
+def _dealt(x: DataFrame, y: DataFrame, blocks: int, strips: int, columns: list[str]) -> DataFrame:
+    """Each block of x with each strip of y: (dim, ti, tj), first x's rows, then y's."""
+    chunk = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
+    dealt = x.select("dim", chunk(blocks).alias("ti"), every(strips).alias("tj"), F.lit(0).alias("side"), "vec_id", *columns)
+    dealt = dealt.unionByName(y.select("dim", every(blocks).alias("ti"), chunk(strips).alias("tj"), F.lit(1).alias("side"), "vec_id", *columns))
+    return dealt.repartition("dim", "ti", "tj").sortWithinPartitions("dim", "ti", "tj", "side")
+
+
+def _in_strips(blocks: int, rows: int, strip: int) -> int:
+    return min(max(MOST_STRIPS, MOST_TASKS // max(1, blocks)), -(-rows // strip))
+
+
+def _by_originals(left: DataFrame, right: DataFrame, k: int, block: int, tile: int, strip: int) -> DataFrame:
+    """(query_id, vec_id, score) of the k nearest in each strip, exactly; original vectors travel."""
+    blocks = -(-left.count() // block)
+    dealt = _dealt(left, right, blocks, _in_strips(blocks, right.count(), strip), ["vec"])
+    return dealt.mapInArrow(_strips(tile, Originals, lambda q: ExactBlock(q, k)), "query_id long, vec_id long, score double")
+
+
+def nearest(queries: DataFrame, candidates: DataFrame, k: int = NEAREST, block: int = BLOCK, tile: int = TILE, strip: int = STRIP, most: int = MOST_PAIRS, crowd: int = CROWD) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates of largest inner product with each query, itself left out.
 
     Both have (vec_id, embedding) rows. Ties go to the smaller vec_id, fewer than k candidates give fewer rows, and
     vectors meet only those of their own length. Unusable vectors (null, zero, null or non-finite components) and rows
     without vec_id take no part. A vec_id that repeats counts once, with its shortest usable vector, of equally long ones
-    the least in bytes. Other columns are ignored.
+    the least in bytes. Other columns are ignored. Queries whose candidates lie so near to each other that more than crowd of
+    a strip survive all bounds are scored by original vectors, k of a strip being held; so are those of most pairs where a
+    task would hold more than most.
     """
     left, right = (_one_each(clean(x)) for x in (queries, candidates))
     right = _without_needless_copies(right, k)
     x, y = (settle(v.select("dim", "vec_id", "vec").mapInArrow(_coded, "dim int, vec_id long, code binary, numbers binary")) for v in (left, right))
-    blocks, strips = -(-left.count() // block), min(MOST_STRIPS, -(-y.count() // strip))
-    chunk = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n))).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
-    dealt = x.select("dim", chunk(blocks).alias("ti"), every(strips).alias("tj"), F.lit(0).alias("side"), "vec_id", "code", "numbers")
-    dealt = dealt.unionByName(y.select("dim", every(blocks).alias("ti"), chunk(strips).alias("tj"), F.lit(1).alias("side"), "vec_id", "code", "numbers"))
-    dealt = dealt.repartition("dim", "ti", "tj").sortWithinPartitions("dim", "ti", "tj", "side")
-    found = dealt.mapInArrow(_strips(k, tile), "query_id long, vec_id long, low double, high double")
+    blocks = -(-left.count() // block)
+    dealt = _dealt(x, y, blocks, _in_strips(blocks, y.count(), strip), ["code", "numbers"])
+    found = settle(dealt.mapInArrow(_strips(tile, Coded, lambda q: Block(q, k, max(most, 1), max(crowd, k))), "query_id long, vec_id long, low double, high double"))
+    crowded = settle(found.filter(F.col("vec_id").isNull()).select("query_id").distinct())
+    some = not crowded.isEmpty()
+    if some:
+        found = found.join(crowded, "query_id", "left_anti")
     found = found.repartition("query_id").sortWithinPartitions("query_id", F.desc("low")).mapInArrow(_over_all_strips(k), "query_id long, vec_id long")
     pairs = spread_join(settle(found), right.select("vec_id", F.col("vec").alias("y")), ["vec_id"])
     pairs = pairs.join(left.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("x")), "query_id").select("query_id", "vec_id", "x", "y")
     scored = pairs.mapInArrow(_scored, "query_id long, vec_id long, score double")
+    if some:
+        again = settle(left.join(crowded.withColumnRenamed("query_id", "vec_id"), "vec_id", "left_semi").select("dim", "vec_id", "vec"))
+        scored = scored.unionByName(_by_originals(again, right.select("dim", "vec_id", "vec"), k, max(1, block // 4), tile, strip))
     return scored.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
 
 
