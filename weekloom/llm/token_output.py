@@ -29,7 +29,7 @@ from weekloom.llm.common import checkpoint_dir, slices, strings
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 #: Characters of a text by which rows of one doc_id are dealt over files.
-BEGINNING = 128
+BEGINNING = 32
 #: Folder of the manifest within that of the files; readers of the files pass over names that start so.
 MANIFEST = "_manifest"
 #: Parts of texts that a worker's cache holds before it drops the less used.
