@@ -60,10 +60,17 @@ def test_iterative_forecast(spark, sf_dir):
     assert by_week[5] == pytest.approx(by_week[4] * 3 / 7, rel=0.15) and got.filter("quantidade < 0").count() == 0
 
 
-def test_loss_tournament(frame, spark, sf_dir):
-    """Each score is that of a fit of its own, worked out apart, and the best is first."""
+def test_loss_tournament(fitted, frame, spark, sf_dir):
+    """The best is first, and trees of absolute loss have the score of their own query."""
     rows = catalogue.loss_tournament(spark, sf_dir).collect()
     assert [r.wmape for r in rows] == sorted(r.wmape for r in rows) and {r.model for r in rows} == {"squared", "absolute", "huber"}
+    assert {r.model: r.wmape for r in rows}["absolute"] == pytest.approx(forecast.validate(fitted, frame[-1]).first().wmape)
+
+
+def test_leafwise_tournament(frame, spark, sf_dir):
+    """Each score is that of a fit of its own, worked out apart, and the best is first."""
+    rows = catalogue.leafwise_tournament(spark, sf_dir).collect()
+    assert [r.wmape for r in rows] == sorted(r.wmape for r in rows) and {r.model for r in rows} == {"squared", "absolute", "huber"}
     _, names, train, valid = frame
     x, y = valid.select(*names).toPandas().to_numpy(float), valid.select("qty").toPandas().qty.to_numpy()
     for r in rows[:2]:

@@ -187,7 +187,20 @@ def validate(model, valid: DataFrame, target: str = "qty") -> DataFrame:
     return metrics(scored)
 
 
-def tournament(train: DataFrame, valid: DataFrame, features: list[str], target: str = "qty", growth: boosting.Growth = boosting.Growth()) -> DataFrame:
+def tournament(train: DataFrame, valid: DataFrame, features: list[str], target: str = "qty", params: Params = Params()) -> DataFrame:
+    """(model, wmape) for trees with squared and absolute loss and a linear model with Huber loss, best first."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    huber = LinearRegression(labelCol=target, loss="huber", maxIter=50)
+    models = {loss: train_trees(train, features, target, valid, loss, params) for loss in ("squared", "absolute")}
+    models |= {"huber": Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), huber]).fit(train)}
+    rows = [(name, float(validate(m, valid, target).first().wmape)) for name, m in models.items()]
+    return train.sparkSession.createDataFrame(sorted(rows, key=lambda r: r[1]), "model string, wmape double")
+
+
+def leafwise_tournament(train: DataFrame, valid: DataFrame, features: list[str], target: str = "qty", growth: boosting.Growth = boosting.Growth()) -> DataFrame:
     """(model, wmape) of leaf-wise trees by squared, absolute and Huber loss, best first."""
     models = {name: boosting.fit(train, features, target, valid, boosting.OBJECTIVES[name](), growth) for name in ("squared", "absolute", "huber")}
     rows = [(name, float(validate(m, valid, target).first().wmape)) for name, m in models.items()]

@@ -828,7 +828,7 @@ def iterative_forecast(spark, sf_dir):
 def loss_tournament(spark, sf_dir):
     df, names = _model_frame(spark, sf_dir)
     train, valid = explore.split(df, _MODEL.train_until, _MODEL.valid_from, _MODEL.valid_until)
-    return forecast.tournament(train, valid, names)
+    return forecast.tournament(train, valid, names, params=_MODEL)
 
 
 # ---- windows over the whole order --------------------------------------------------------------------------------
@@ -992,6 +992,13 @@ def objective_slopes(spark, sf_dir):
     return rounded(rows.groupBy("objective", "week_of_year").agg(F.sum("gradient").alias("gradient"), F.sum("curvature").alias("curvature")))
 
 
+@query("leafwise_tournament")
+def leafwise_tournament(spark, sf_dir):
+    df, names = _model_frame(spark, sf_dir)
+    train, valid = explore.split(df, _MODEL.train_until, _MODEL.valid_from, _MODEL.valid_until)
+    return forecast.leafwise_tournament(train, valid, names)
+
+
 @query("autoencoder_embedding")
 def autoencoder_embedding(spark, sf_dir):
     return embedding.of_column(weekly(spark, sf_dir, "categoria"), "categoria")
