@@ -480,6 +480,34 @@ def test_chat_of_awkward_rows(spark, monkeypatch, turns_a_part):
     assert chat.read_back(chat.format_chat(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("ident", [None, 5])
+def test_a_hot_conversation_is_dealt_over_tasks(spark, monkeypatch, ident):
+    """Half of all turns have one id or none; ties of turn, role and a long common beginning, repeated rows and null turns."""
+    monkeypatch.setattr(chat, "PART_TURNS", 50)
+    hot = [(ident, None if i % 97 == 0 else i // 3, "assistant" if i % 2 else None, ("same " * 20 if i % 4 else "") + f"x{i % 500} </s>") for i in range(6000)]
+    others = [(i // 4 + 100, i % 4, "assistant" if i % 2 else "user", f"t{i} é") for i in range(4000)]
+    df = spark.createDataFrame(hot + others, "conv_id bigint, turn bigint, role string, text string").repartition(6)
+    parts = chat.format_chat(df)
+    cut = parts.filter("is_cut").withColumn("task", F.spark_partition_id())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # few bytes would go to one task
+    by_task = [(r["count"], r.least, r.most) for r in cut.groupBy("task").agg(F.count("*").alias("count"), F.min("n_turns").alias("least"), F.max("n_turns").alias("most")).collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(by_task) >= 3 and sum(n for n, *_ in by_task) == 120 and {x for _, *some in by_task for x in some} == {50}
+    places = [r.part for r in cut.orderBy("part").collect()]
+    assert places == list(range(0, 6000, 50))
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.read_back(parts).collect()}
+    first = lambda x: (x is not None, x or 0)
+    want = defaultdict(list)
+    for c, t, r, x in sorted(hot + others, key=lambda row: (first(row[1]), row[2] is not None, row[2] or "", row[3].encode())):
+        want[c].append((r or "", x))
+    assert got == brute_chat(want)
+
+
+def test_few_turns_are_formatted_once_and_without_ranges(spark, sf_dir):
+    plan = queries.QUERIES["op5_chat_formatting"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_format(") == 1 and "RepartitionByExpression [conv_id" in plan
+
+
 # ---- pipeline ----------------------------------------------------------------------------------------------------------
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekloom.sources.stages import checkpoint_dir, settle
 
-__all__ = ["SLICE", "checkpoint_dir", "forest", "ranked", "raw", "repeated", "settle", "slices", "spread_join", "strings", "tiled"]
+__all__ = ["SLICE", "checkpoint_dir", "forest", "head", "numbered", "ranked", "raw", "repeated", "settle", "slices", "spread_join", "strings", "tiled"]
 
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE = 512
@@ -54,16 +54,30 @@ def spread_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "in
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def head(column: str) -> Column:
+    """A text's first characters, to cut ranges by: of those, the driver gets a sample."""
+    return F.substring(column, 1, 32)
+
+
+def ranked(df: DataFrame, order: list[str], name: str, cut: list | None = None) -> DataFrame:
     """df with its place in the order, from 1 on, of rows that differ in it. Ranges of the order are numbered each by itself,
-    and then moved on by what is before them: one row a range meets in one task, not the table."""
-    parts = settle(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    and then moved on by what is before them: one row a range meets in one task, not the table. Ranges are cut by the order's
+    columns, or by cut: some of the first ones, the last of which may be a text's head."""
+    parts = settle(df.repartitionByRange(*(cut or order)).withColumn("_part", F.spark_partition_id()))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     moved = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return parts.withColumn(name, nth).join(F.broadcast(moved), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, cut: list | None = None) -> DataFrame:
+    """df with each row's place, from 0 on, among the rows of its keys, which are not null. No task gets a key's rows whole:
+    ranges of all rows are numbered (ranked; cut as there, after the keys), and a key's first place is taken away."""
+    at = settle(ranked(df, [*keys, *order], "_rank", cut and [*keys, *cut]))
+    starts = at.groupBy(*keys).agg(F.min("_rank").alias("_start"))
+    return spread_join(at, starts, keys).withColumn(name, F.col("_rank") - F.col("_start")).drop("_rank", "_start")
+
+
 def repeated(df: DataFrame, times: str, at_once: int = 10_000) -> DataFrame:
     """Each row as often as its number of times says, which goes; none of no times. No array is longer than at_once."""
     lots = df.filter(F.col(times) > 0).withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / F.lit(at_once)))))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import ranked, settle, slices, spread_join
+from weekloom.llm.common import head, ranked, settle, slices, spread_join
 
 #: Turns from which on a conversation is more than one block, and turns that one query takes.
 BLOCK, BATCH = 512, 32_768
@@ -253,7 +253,7 @@ def _long_ones(rows: DataFrame) -> DataFrame:
 
     schema = lambda text: to_arrow_schema(StructType.fromDDL(text))
     conv = ["_none", "_conv"]
-    at = settle(ranked(rows, [*conv, "turn", "role", "text"], "_rank"))
+    at = settle(ranked(rows, [*conv, "turn", "role", "text"], "_rank", [*conv, "turn", "role", head("text")]))
     starts = at.groupBy(*conv).agg(F.min("_rank").alias("_start"))
     firsts = at.groupBy(*conv, "role", F.sha2(F.col("text").cast("binary"), 256).alias("_text")).agg(F.min("_rank").alias("_rank")).select("_rank", F.lit(False).alias("_again"))
     placed = spread_join(at, starts, conv).withColumn("_i", F.col("_rank") - F.col("_start")).join(firsts, "_rank", "left")
