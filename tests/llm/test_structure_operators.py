@@ -239,6 +239,11 @@ def test_op12_by_brute_force(spark, sf_dir, tmp_path, monkeypatch, block):
     assert got[gone] == (0, 0, 0, 0, 0, 0, "", sha(""))
 
 
+def test_op12_repairs_a_conversation_once(spark, sf_dir):
+    plan = queries.QUERIES["op12_structure_repair"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow run(") == 1
+
+
 def test_repair_of_nothing(spark):
     assert repair.repair(spark.createDataFrame([], TURNS)).count() == 0
 

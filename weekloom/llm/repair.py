@@ -272,8 +272,8 @@ def _long_ones(rows: DataFrame) -> DataFrame:
 
 
 def repair(turns: DataFrame) -> DataFrame:
-    """(conv_id, part, parts, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired): what is wrong with each
-    conversation, the cheapest edits and what they give.
+    """(conv_id, part, parts, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired, is_cut): what is wrong with
+    each conversation, the cheapest edits and what they give.
 
     turns: rows (conv_id, turn, role, text), other columns are ignored; a conversation's turns go by turn, nulls first, ties by
     role and text. Null role and text count as one space. Rows without conv_id are one conversation. Roles other than those
@@ -281,8 +281,8 @@ def repair(turns: DataFrame) -> DataFrame:
     before is a duplicate; one that doesn't end in . ! or ? is truncated; the first of these that holds counts. repaired has a
     line role:text for each turn that is left.
 
-    A conversation of at most BLOCK turns is one row, part 0 of 1 part. Longer ones are several rows, of BLOCK turns each, that
-    agree in parts and figures; their audits, and their repaired lines that aren't empty, go on from each other. An empty table
+    A conversation of at most BLOCK turns is one row, part 0 of 1 part. Longer ones are several rows (is_cut), of BLOCK turns each,
+    that agree in parts and figures; their audits, and their repaired lines that aren't empty, go on from each other. An empty table
     gives an empty one.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -301,8 +301,8 @@ def repair(turns: DataFrame) -> DataFrame:
         short, rest = told.filter(F.col("_long").isNull()).drop("_long"), told.filter("_long").drop("_long")
     whole = short.repartition(*conv).sortWithinPartitions(*conv, "turn", "role", "text")
     whole = whole.select(F.when(~F.col("_none"), F.col("_conv")).alias("conv_id"), F.lit(0).alias("block"), "turn", "role", "text", F.lit(None).cast("boolean").alias("dup"))
-    out = whole.mapInArrow(_whole(to_arrow_schema(StructType.fromDDL(_REPAIRED))), _REPAIRED)
-    return out.unionByName(_long_ones(rest)) if some else out
+    out = whole.mapInArrow(_whole(to_arrow_schema(StructType.fromDDL(_REPAIRED))), _REPAIRED).withColumn("is_cut", F.lit(False))
+    return out.unionByName(settle(_long_ones(rest)).withColumn("is_cut", F.lit(True))) if some else out
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,10 +326,11 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def joined(repaired: DataFrame) -> DataFrame:
-    """One row a conversation of repair's rows: figures, the whole audit, and the digest of the repaired lines."""
+    """One row a conversation of repair's rows: figures, the whole audit, and the digest of the repaired lines. The cut ones
+    are told by a column that is constant in each part of repair's union, so that a filter by it repairs nothing twice."""
     figures = ["conv_id", *_FIGURES]
-    short = repaired.filter(F.col("parts") == 1).select(*figures, "audit", F.sha2(F.col("repaired").cast("binary"), 256).alias("repaired_sha256"))
-    parts = repaired.filter(F.col("parts") > 1)
+    short = repaired.filter(~F.col("is_cut")).select(*figures, "audit", F.sha2(F.col("repaired").cast("binary"), 256).alias("repaired_sha256"))
+    parts = repaired.filter("is_cut")
     digests = parts.select("conv_id", "part", "audit", "repaired").repartition("conv_id").sortWithinPartitions("conv_id", "part").select("conv_id", "part", "audit", "repaired")
     digests = digests.mapInArrow(_digests, "conv_id long, audit string, repaired_sha256 string")
     long = parts.filter(F.col("part") == 0).select(*figures)
