@@ -496,6 +496,28 @@ def test_language_query(spark, sf_dir):
     assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) >= 0.95 * len(held)
 
 
+def test_noisy_labels_do_not_widen_the_model(spark, monkeypatch):
+    """Of very many labels, those of most rows are learned, ties by name; the others' texts are told among these."""
+    text = {"en": "the house and the dog ", "de": "das haus und der hund ", "nl": "het huis en de hond "}
+    rows = [(3 * i + k, text[lang] * 2, lang) for i in range(30) for k, lang in enumerate(text)]
+    rows += [(1000 + i, f"odd label{i}", f"noise{i:03}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labelled = df.filter("lang is not null").select("text", "lang", F.xxhash64("doc_id").alias("hash"))
+    assert langid.train(labelled, rounds=1, most_languages=3).languages == ["de", "en", "nl"]
+    assert langid.train(labelled, rounds=1, most_languages=2).languages == ["de", "en"]
+    assert langid.train(labelled, rounds=1, most_languages=5).languages == ["de", "en", "nl", "noise000", "noise001"]
+    wide = langid.train(labelled, rounds=1)
+    assert len(wide.languages) == langid.MOST_LANGUAGES and {*text} < {*wide.languages}
+    got = langid.predicted(df, most_languages=3)
+    assert {r.lang_pred for r in got.collect()} == {*text}
+    assert got.filter("row.doc_id < 1000 and lang_pred <> row.lang").count() == 0
+    some = [langid.words(t) for _, t, _ in rows[::7]] + [[], ["hund"] * 1000]
+    whole = langid.Scorer(wide)(some)
+    monkeypatch.setattr(langid, "MOST_SCORES", 256 * 10)
+    small = langid.Scorer(wide)
+    assert np.allclose(whole, np.concatenate([small([x]) for x in some])) and len(small.index) < 30
+
+
 def test_language_of_awkward_rows(spark):
     rows = [(i, ("the house and the dog " if i % 2 else "das haus und der hund ") * 3, "en" if i % 2 else "de") for i in range(60)]
     rows += [(100, None, "en"), (101, "", None), (102, "123 ²³ !!", "en"), (103, "haus und hund", None), (None, "the dog", "de"), (104, "x" * 50_000 + " the house", None)]

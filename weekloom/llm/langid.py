@@ -31,14 +31,16 @@ from weekloom.llm.common import settle, slices, strings
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: Labelled texts of each language that a model is fitted on, about, at most (those of smallest hash), and rounds.
 SAMPLE, ROUNDS = 2000, 3
+#: Languages that a model tells apart, at most: those of most labelled rows. A column of it has 180 kB.
+MOST_LANGUAGES = 256
 #: Count added to every piece; probability of a character without a piece.
 SMOOTHING, UNKNOWN = 0.02, 1e-8
 #: Letters up to which words of one length are worked on together; longer ones are worked on one by one.
 SHORT_WORD = 40
 #: Scale of each character's probability, against underflow of short words; it cancels out.
 _SCALE = 1e3
-#: Words, and letters of them, that a worker's memory of scores holds.
-MOST_WORDS, MOST_LETTERS = 300_000, 20_000_000
+#: Words, letters of them, and scores (words by languages), that a worker's memory of scores holds.
+MOST_WORDS, MOST_LETTERS, MOST_SCORES = 300_000, 20_000_000, 1 << 24
 NONE = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _RADIX = 0x9E3779B97F4A7C15
@@ -232,7 +234,8 @@ class Scorer:
 
     def __call__(self, texts: list[list[str]]) -> np.ndarray:
         """A row for each list of words."""
-        if len(self.index) > MOST_WORDS or self.letters > MOST_LETTERS:
+        wide = len(self.model.languages)
+        if len(self.index) > MOST_WORDS or self.letters > MOST_LETTERS or len(self.index) * wide > MOST_SCORES:
             self.reset()
         known = len(self.index)
         index = self.index
@@ -243,7 +246,8 @@ class Scorer:
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
         for rows in by_length(new):
             self.scores[known + rows] = self.lattice.forward([new[i] for i in rows], self.model.table)
-        return np.array([self.scores[p].sum(axis=0) if p else np.zeros(len(self.model.languages)) for p in place])
+        lot = max(1, MOST_SCORES // wide)  # words whose scores are taken out at a time
+        return np.array([sum((self.scores[p[at : at + lot]].sum(axis=0) for at in range(0, len(p), lot)), np.zeros(wide)) for p in place])
 
 
 def _word_counts(languages: list[str]):
@@ -286,13 +290,15 @@ def _probabilities(counts: np.ndarray) -> np.ndarray:
     return np.vstack([counts / counts.sum(axis=0), np.full((1, counts.shape[1]), UNKNOWN)])
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, path: str = VOCABULARY) -> Model | None:
+def train(labelled: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, path: str = VOCABULARY, most_languages: int = MOST_LANGUAGES) -> Model | None:
     """A model of (text, lang, hash) rows without null lang; None if there are none.
 
-    Of a language with more than sample rows, those of smallest hash count: about sample of them. What the driver holds
-    is one row a language, and the table of pieces by languages.
+    Of a language with more than sample rows, those of smallest hash count: about sample of them. Of more than most_languages
+    languages, those of most rows are learned, ties by name. What the driver holds is one row a learned language, and the table
+    of pieces by languages.
     """
-    n = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    n = {r.lang: r.n for r in most.collect()}
     if not n:
         return None
     languages = sorted(n)
@@ -357,15 +363,15 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def predicted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def predicted(docs: DataFrame, sample: int = SAMPLE, most_languages: int = MOST_LANGUAGES) -> DataFrame:
     """(row, lang_pred, score): each row of docs as one struct, so that its columns may have any names, in its partitions.
 
     Learned from text and lang of the rows of docs with a lang whose crc32(doc_id as text) mod 5 is not 0 (a row without
-    doc_id never is learned from). Prediction sees the text only. "und" with score 0: no letter, null or empty text, or
+    doc_id never is learned from), of the most_languages languages that have most of them. Prediction sees the text only. "und" with score 0: no letter, null or empty text, or
     nothing to learn from. score is the posterior of the prediction with equal priors; ties go to the first language.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
-    model = train(rows.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("hash")), sample)
+    model = train(rows.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("hash")), sample, most_languages=most_languages)
     whole = docs.select(F.struct("*").alias("row"), F.col("text"))
     if model is None:
         return whole.select("row", F.lit(NONE).alias("lang_pred"), F.lit(0.0).alias("score"))
