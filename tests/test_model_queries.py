@@ -105,6 +105,25 @@ def test_category_embedding(spark, sf_dir):
     assert np.allclose(np.abs(mine), np.abs(want), atol=1e-6)
 
 
+@pytest.mark.parametrize("values", [[], ["a"], [None], ["a", "b"]])
+def test_category_embedding_of_few_values(spark, values):
+    """A table in which all rows have one value, or none, has no components; of two values there is one."""
+    rows = [(v, q + 10.0 * i) for i, v in enumerate(values) for q in (1.0, 2.0, 4.0)]
+    df = categorical.category_embedding(spark.createDataFrame(rows, "categoria string, qty double"), "categoria")
+    found = {r.value: r.embedding.toArray() for r in df.collect()}
+    assert set(found) == set(values) and all(len(v) == 3 for v in found.values())
+    if len(values) < 2:
+        assert not any(v.any() for v in found.values())
+    else:
+        assert np.allclose(found["a"], -found["b"]) and found["a"][0] and np.allclose(found["a"][1:], 0)
+
+
+def test_category_embedding_of_equal_values(spark):
+    rows = [(v, q) for v in "ab" for q in (1.0, 2.0, 4.0)]
+    df = categorical.category_embedding(spark.createDataFrame(rows, "categoria string, qty double"), "categoria")
+    assert [r.embedding.toArray().tolist() for r in df.collect()] == [[0.0] * 3] * 2
+
+
 def test_embeddings_of_the_panel(spark, sf_dir):
     df = catalogue.settle(catalogue.weekly(spark, sf_dir, "categoria"))
     means = {r.categoria: r.y for r in df.groupBy("categoria").agg(F.avg("qty").alias("y")).collect()}

@@ -108,13 +108,18 @@ def with_context(df: DataFrame, context: DataFrame, column: str) -> DataFrame:
 
 
 def category_embedding(panel: DataFrame, column: str, size: int = 3) -> DataFrame:
-    """(value, embedding): principal components of the standardised context of each value of an attribute."""
+    """(value, embedding): principal components of the standardised context of each value of an attribute. A lone value is its
+    own mean: zeros. So is every value where all have the same statistics."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+    from pyspark.ml.functions import array_to_vector
 
-    context = category_context(panel, column, wide=True)
+    context = settle(category_context(panel, column, wide=True))  # a row a value, read several times
     numbers = [c for c in context.columns if c != "value"]
-    stages = [VectorAssembler(inputCols=numbers, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), PCA(k=min(size, len(numbers)), inputCol="scaled", outputCol="embedding")]
+    size = min(size, len(numbers))
+    if context.limit(2).count() < 2:  # PCA wants two rows
+        return context.select("value", array_to_vector(F.array(*[F.lit(0.0)] * size)).alias("embedding"))
+    stages = [VectorAssembler(inputCols=numbers, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), PCA(k=size, inputCol="scaled", outputCol="embedding")]
     return Pipeline(stages=stages).fit(context).transform(context).select("value", "embedding")
 
 
