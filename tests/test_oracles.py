@@ -30,6 +30,29 @@ def test_query_agrees_with_sql(spark, sf_dir, duck, name):
     assert rows(mine) == rows(theirs)
 
 
+def tables_with(folder, sf_dir, table, **columns):
+    """The tables with other columns in one of them, each an expression, and a connection that sees them."""
+    con = duckdb.connect()
+    for p in glob.glob(f"{sf_dir}/*.parquet"):
+        name = os.path.basename(p)
+        if name == f"{table}.parquet":
+            con.sql(f"COPY (SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in columns.items())}) FROM '{p}') TO '{folder}/{name}'")
+        else:
+            os.symlink(p, f"{folder}/{name}")
+        con.sql(f"CREATE VIEW {name[:-8]} AS SELECT * FROM '{folder}/{name}'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("categories", [1, 2])
+def test_kinds_of_few_categories(spark, sf_dir, tmp_path, categories):
+    """Where the first attribute has fewer than five values, the next one's are crossed too."""
+    folder, con = tables_with(tmp_path, sf_dir, "part", p_type=f"'TYPE ' || p_partkey % {categories}")
+    mine, theirs = catalogue.feature_kinds(spark, folder).toPandas(), con.sql(catalogue.ORACLE_SQL["feature_kinds"]).df()
+    assert rows(mine) == rows(theirs)
+    crossed = [n for n in mine.feature_name if "_x_" in n]
+    assert len(crossed) == 15 and sum(n.startswith("premise_") for n in crossed) == 15 - 4 * categories
+
+
 #: Held against their definitions in test_model_queries.
 WITHOUT_SQL = {
     "autoencoder_embedding", "category_embedding", "comprehensive_features", "feature_importance", "gbt_train_score", "iterative_forecast",

@@ -1151,7 +1151,8 @@ _DUMMY_NAMES = """dn AS (SELECT c, freq_rank, c || '_' || value AS raw, replace(
 @query(
     "feature_kinds",
     _with(_PANEL, _rank_sql("categoria", "ca"), _rank_sql("premise", "pm"), _DUMMY_NAMES)
-    + f""", cr AS (SELECT name || '_x_' || n AS name FROM dn CROSS JOIN (VALUES (1, 'lag_1'), (2, 'lag_2'), (3, 'rmean_4'), (4, 'rmean_8')) t(i, n) WHERE c = 'categoria' AND freq_rank <= 5 ORDER BY freq_rank, i LIMIT 15)
+    + f""", few AS (SELECT name, row_number() OVER (ORDER BY c, freq_rank) AS place FROM dn ORDER BY place LIMIT 5),
+cr AS (SELECT name || '_x_' || n AS name FROM few CROSS JOIN (VALUES (1, 'lag_1'), (2, 'lag_2'), (3, 'rmean_4'), (4, 'rmean_8')) t(i, n) ORDER BY place, i LIMIT {PARAMS.most_interactions})
 SELECT unnest({_NUMERIC}) AS feature_name, 'numerical' AS feature_type UNION ALL SELECT name, 'categorical' FROM dn UNION ALL SELECT name, 'categorical' FROM cr""",
 )
 def feature_kinds(spark, sf_dir):
