@@ -53,6 +53,14 @@ def test_kinds_of_few_categories(spark, sf_dir, tmp_path, categories):
     assert len(crossed) == 15 and sum(n.startswith("premise_") for n in crossed) == 15 - 4 * categories
 
 
+def test_treatment_of_large_quantities(spark, sf_dir, tmp_path):
+    """No value is too large by itself: the parameters name no absolute cap."""
+    folder, con = tables_with(tmp_path, sf_dir, "lineitem", l_quantity="l_quantity * 50")
+    mine, theirs = catalogue.treat_by_method(spark, folder).toPandas(), con.sql(catalogue.ORACLE_SQL["treat_by_method"]).df()
+    assert rows(mine) == rows(theirs)
+    assert catalogue.PARAMS.absolute_cap == float("inf") and (mine.qty > 220).any()
+
+
 #: Held against their definitions in test_model_queries.
 WITHOUT_SQL = {
     "autoencoder_embedding", "category_embedding", "comprehensive_features", "feature_importance", "gbt_train_score", "iterative_forecast",

@@ -1343,7 +1343,7 @@ def with_features(spark, sf_dir):
     return rounded(df.groupBy("pdv").agg(*(F.sum(c).alias(c) for c in ("qty", "missing_a", "missing_b"))))
 
 
-@query("treat_by_method", _with(_PAST) + f" SELECT {_K}, {_r('CASE WHEN qty > lim THEN coalesce(med, 1) ELSE qty END', 'qty')} FROM lim")
+@query("treat_by_method", _with(_PAST.replace("220", f"'{PARAMS.absolute_cap}'::DOUBLE")) + f" SELECT {_K}, {_r('CASE WHEN qty > lim THEN coalesce(med, 1) ELSE qty END', 'qty')} FROM lim")
 def treat_by_method(spark, sf_dir):
     """The treatment that the parameters name."""
     return rounded(outliers.treat(weekly(spark, sf_dir), replace(PARAMS, outlier_method="median_imputation", percentile_cap=90.0)), *_KEYS, "qty")
